@@ -35,7 +35,7 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     distinct = F.filter(F.array_distinct(F.transform(lines, F.trim)), lambda x: x != "")
     counted = docs.where(F.col(host_col).isNotNull()).select(F.col(host_col).alias("_ts_host"), F.coalesce(F.transform(distinct, _key), F.array()).alias("_ts_keys"))
     pages = counted.groupBy("_ts_host").agg(F.count("*").alias("_ts_pages"))
-    having = counted.select("_ts_host", F.explode("_ts_keys").alias("k")).groupBy("_ts_host", F.col("k.a").alias("a"), F.col("k.b").alias("b")).agg(F.count("*").alias("n"))
+    having = counted.select("_ts_host", F.explode_outer("_ts_keys").alias("k")).where("k is not null").groupBy("_ts_host", F.col("k.a").alias("a"), F.col("k.b").alias("b")).agg(F.count("*").alias("n"))
     over = having.where(F.col("n") >= min_pages).join(pages, "_ts_host").where(F.col("n") > ratio * F.col("_ts_pages"))
     over = materialize(over.select("_ts_host", F.struct("a", "b").alias("k")))
     sets = over.groupBy("_ts_host").agg(F.collect_set("k").alias("_ts_over"))
