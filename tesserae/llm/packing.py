@@ -35,9 +35,9 @@ def _tokenize(path: str, end: int):
             ids = enc.encode(texts, end)
             key = []
             for x in ids:
-                n = np.bincount(np.frombuffer(x, enc.dtype))
-                often = np.flatnonzero(n > 1)
-                key.append(int(often[-1]) if len(often) else len(n) - 1)
+                s = np.sort(np.frombuffer(x, enc.dtype))
+                often = np.flatnonzero(s[1:] == s[:-1])
+                key.append(int(s[often[-1]]) if len(often) else int(s[-1]))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key, pa.int32()), pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "key", "n", "ids"])
 
     return run
@@ -48,7 +48,8 @@ def _frequencies(width: int, vocabulary: int):
         df = np.zeros(vocabulary, np.int64)
         for b in batches:
             for x in b.column(0):
-                df[np.flatnonzero(np.bincount(np.frombuffer(x.as_buffer(), f"<u{width}")))] += 1
+                s = np.sort(np.frombuffer(x.as_buffer(), f"<u{width}"))
+                df[s[np.flatnonzero(np.diff(s, append=s[-1:] + 1))]] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at])], ["token", "df"])
 

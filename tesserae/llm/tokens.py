@@ -11,11 +11,15 @@ import os
 import re
 import sys
 import types
+from array import array
+from itertools import chain
 
 import numpy as np
 
+#: ASCII marks but the apostrophe, which the tokenizer's pattern treats apart.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words that a worker remembers.
-KNOWN_WORDS = 1_500_000
+KNOWN_WORDS = 600_000
 
 
 def default_path() -> str:
@@ -37,7 +41,8 @@ class Encoder(dict):
             self.dtype = np.dtype("<u4")
         special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.plain = re.compile(r"([A-Za-z]+)([.,]?)")
+        self.last = np.zeros(1 << (8 * min(self.dtype.itemsize, 3)), bool)
+        self.last[[i for w, i in self.tokenizer.get_vocab(True).items() if w.endswith("</w>")]] = True
 
     @classmethod
     def of_worker(cls, path: str, dtype: str = "<u2") -> Encoder:
@@ -48,33 +53,51 @@ class Encoder(dict):
         return kept.encoder
 
     def _bytes(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return [array("H" if self.dtype.itemsize == 2 else "I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> None:
+        """Learns words of lower-case Latin letters, many in one text: the last token of each carries the end-of-word mark."""
+        texts = [" ".join(words[k : k + 64]) for k in range(0, len(words), 64)]
+        raw = b"".join(self._bytes(texts))
+        ends = (np.flatnonzero(self.last[np.frombuffer(raw, self.dtype)]) + 1) * self.dtype.itemsize
+        if len(ends) != len(words):
+            self.update(zip(words, self._bytes(words), strict=True))
+            return
+        at = 0
+        for w, to in zip(words, ends.tolist(), strict=True):
+            self[w] = raw[at:to]
+            at = to
 
     def _learn(self, words: list[str]) -> None:
-        """Words of ASCII letters with at most one stop or comma are the ids of the lower-case letters, then of the mark."""
-        new = {w for w in words if w not in self}
+        """A word of Latin letters and marks after them is the ids of its lower-case letters, then those of the marks."""
+        new = [w for w in set(words) if w not in self]
         if not new:
             return
         if len(self) + len(new) > KNOWN_WORDS:
             self.clear()
-            new = set(words)
-        split, ask = {}, set()
+            new = list(set(words))
+        letters, marks, rest, plain = set(), set(), [], []
         for w in new:
-            if m := self.plain.fullmatch(w):
-                split[w] = parts = (m[1].lower(), m[2])
-                ask.update(p for p in parts if p and p not in self)
+            core = w.rstrip(_MARKS)
+            if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
+                plain.append((w, core.lower(), mark := w[len(core) :]))
+                letters.add(plain[-1][1])
+                marks.add(mark)
             else:
-                ask.add(w)
-        ask = list(ask)
-        self.update(zip(ask, self._bytes(ask), strict=True))
-        for w, (x, y) in split.items():
-            self[w] = self[x] + self[y] if y else self[x]
+                rest.append(w)
+        rest += [m for m in marks if m and m not in self]
+        self.update(zip(rest, self._bytes(rest), strict=True))
+        self._letters([w for w in letters if w not in self])
+        for w, core, mark in plain:
+            self[w] = self[core] + self[mark] if mark else self[core]
 
     def encode(self, texts: list[str | None], end: int | None = None) -> list[bytes]:
         """The ids of each text, and `end` after them."""
-        words = [re.split("[ \n\t\r]+", t) if t else [] for t in texts]
-        self._learn([w for x in words for w in x if w])
-        self[""], get, tail = b"", self.__getitem__, b"" if end is None else np.array([end], self.dtype).tobytes()
+        # str.split also splits at four separators that are no white space to the tokenizer
+        odd = "\x1c\x1d\x1e\x1f"
+        words = [() if not t else t.split() if not any(c in t for c in odd) else [w for w in re.split("[ \n\t\r]+", t) if w] for t in texts]
+        self._learn(list(chain.from_iterable(words)))
+        get, tail = self.__getitem__, b"" if end is None else np.array([end], self.dtype).tobytes()
         out = []
         for t, w in zip(texts, words, strict=True):
             if t and self.special and "<" in t and self.special.search(t):
