@@ -5,8 +5,8 @@ signature of the low four bits of every minimum. Documents with the same set col
 Classes that share a band key are candidates; the packed signatures give a collision-corrected estimate by bit
 counts, and what passes a wide margin is confirmed on full sets.
 
-Groups never meet as pairs. Each bucket first links its members to its smallest one (a star); the components of
-the confirmed links make most pairs needless. Pairs inside a bucket that are still in different components are
+Groups never meet as pairs. Each bucket first links its members to its smallest one (a star), a few bands at a
+time; the components of the confirmed links make most pairs needless. Pairs inside a bucket that are still in different components are
 then compared, all of them, so that no link between components is lost: there is no cap.
 
 Chance of missing a pair at the threshold 0.85: (1 - 0.85^4)^24 = 2e-8 by the bands, and under 1e-8 by the
@@ -30,6 +30,8 @@ from tesserae.llm.common import connected_components, materialize, small, table
 
 WORDS, BANDS, ROWS, BITS = 5, 24, 4, 4
 MINIMA = BANDS * ROWS
+#: Bands whose stars are linked together; later rounds see only what earlier ones left apart.
+ROUNDS = ((0, 3), (3, 10), (10, BANDS))
 #: Bytes of text that are worked on at once.
 CHUNK = 2 << 20
 _M = (1 << 64) - 1
@@ -183,9 +185,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = percent / 100 - margin
     # one node for each set: its smallest id
     nodes = materialize(s.where("n > 0 and id is not null").groupBy("k0", "k1").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    buckets = nodes.select("node", F.explode("bands").alias("b"))
+    buckets = nodes.select("node", F.posexplode("bands").alias("i", "b"))
     shared = materialize(buckets.groupBy("b").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p < q").select("b", "p"))
     members = materialize(buckets.join(shared, "b").distinct())
+
     sigs = nodes.select("node", "sig")
 
     def estimated(pairs: DataFrame) -> DataFrame:
@@ -202,8 +205,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # rows that share an id are one document, whatever their texts
     repeated = s.where("n > 0 and id is not null").groupBy("id").agg(F.min("k0").alias("x"), F.max("k0").alias("y")).where("x <> y").select("id")
     same = s.join(repeated, "id").join(nodes.select("k0", "k1", "node"), ["k0", "k1"]).selectExpr("id u", "node v")
-    stars = materialize(confirmed(estimated(members.where("node <> p").selectExpr("p u", "node v").distinct())).unionByName(same).distinct())
-    comp = connected_components(stars)
+    # stars, a few bands at a time: a member that is in its centre's component already needs no pair
+    links, comp = same, None
+    for lo, hi in ROUNDS:
+        apart = members.where(F.col("i").between(lo, hi - 1) & (F.col("node") != F.col("p"))).select("p", "node")
+        if comp is not None:
+            apart = apart.join(comp, "node", "left").withColumnRenamed("component", "c").join(comp.selectExpr("node p", "component pc"), "p", "left").where("coalesce(c, node) <> coalesce(pc, p)")
+        links = materialize(confirmed(estimated(apart.selectExpr("p u", "node v").distinct())).unionByName(links).distinct())
+        comp = connected_components(links)
     # members of buckets that still hold several components
     placed = members.join(comp, "node", "left").selectExpr("b", "p", "node", "coalesce(component, node) c")
     open_ = placed.groupBy("b").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("b")
@@ -213,7 +222,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     l, r = rest.selectExpr("b", "p", "node u", "c cu", "sig su", "is_main"), rest.where("not is_main").selectExpr("b", "node v", "c cv", "sig sv")
     pairs = l.join(r, "b").where("cu <> cv and (is_main or u < v) and u <> p and v <> p").where(_estimate("su", "sv") >= least)
     more = confirmed(pairs.selectExpr("least(u, v) u", "greatest(u, v) v").distinct())
-    comp = connected_components(stars.unionByName(more))
+    comp = connected_components(links.unionByName(more))
     classes = materialize(nodes.join(comp, "node", "left").selectExpr("k0", "k1", "coalesce(component, node) component"))
     alone = s.where("n = 0 or id is null").selectExpr("id", "n n_shingles", "id component_id", "true kept")
     linked = s.where("n > 0 and id is not null").select("id", "n", "k0", "k1").join(classes, ["k0", "k1"])
