@@ -1,6 +1,6 @@
 """Near-duplicate documents by b-bit MinHash.
 
-Per document: the distinct shingles of five words, 96 minima, 24 band keys of four minima each, and a packed
+Per document: the distinct shingles of five words, 384 minima, 24 band keys of four of them each, and a packed
 signature of the low four bits of every minimum. Documents with the same set collapse into one class first.
 Classes that share a band key are candidates; the packed signatures give a collision-corrected estimate by bit
 counts, and what passes a wide margin is confirmed on full sets.
@@ -9,8 +9,8 @@ Groups never meet as pairs. Each bucket first links its members to its smallest
 time; the components of the confirmed links make most pairs needless. Pairs inside a bucket that are still in different components are
 then compared, all of them, so that no link between components is lost: there is no cap.
 
-Chance of missing a pair at the threshold 0.85: (1 - 0.85^4)^24 = 2e-8 by the bands, and under 1e-8 by the
-margin of six standard deviations on the estimate.
+Chance of missing a pair at the threshold 0.85: (1 - 0.85^4)^24 = 2e-8 by the bands, and 3e-7 by the margin of
+five standard deviations on the estimate.
 
 Nulls and edges: null or empty text and text of white space have an empty set, link with nothing and stay. Rows
 that share a doc_id count as one document. A row without doc_id takes no part: component_id null, kept true.
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import connected_components, materialize, small, table
 
 WORDS, BANDS, ROWS, BITS = 5, 24, 4, 4
-MINIMA = BANDS * ROWS
+#: Minima in all; the first BANDS * ROWS make the bands, all make the signature.
+MINIMA, MARGIN = 384, 5
 #: Bands whose stars are linked together; later rounds see only what earlier ones left apart.
 ROUNDS = ((0, 3), (3, 10), (10, BANDS))
 #: Bytes of text that are worked on at once.
@@ -181,7 +182,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     s = materialize(docs.mapInArrow(_sign, "id long, n long, k0 long, k1 long, bands array<long>, sig array<long>"))
     p = percent / 100
     p = p + (1 - p) * 2.0**-BITS
-    margin = 6 * (p * (1 - p) / MINIMA) ** 0.5 / (1 - 2.0**-BITS)
+    margin = MARGIN * (p * (1 - p) / MINIMA) ** 0.5 / (1 - 2.0**-BITS)
     least = percent / 100 - margin
     # one node for each set: its smallest id
     nodes = materialize(s.where("n > 0 and id is not null").groupBy("k0", "k1").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
