@@ -219,9 +219,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = placed.groupBy("b").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("b")
     placed = materialize(placed.join(open_, "b"))
     main = placed.groupBy("b", "c").count().groupBy("b").agg(F.max_by("c", F.struct("count", "c")).alias("m"))
-    rest = materialize(placed.join(main, "b").join(sigs, "node").select("b", "p", "node", "c", "sig", (F.col("c") == F.col("m")).alias("is_main")))
-    l, r = rest.selectExpr("b", "p", "node u", "c cu", "sig su", "is_main"), rest.where("not is_main").selectExpr("b", "node v", "c cv", "sig sv")
+    rest = materialize(placed.join(main, "b").join(nodes.select("node", "sig", "bands"), "node").select("b", "i", "p", "node", "c", "sig", "bands", (F.col("c") == F.col("m")).alias("is_main")))
+    l, r = rest.selectExpr("b", "i", "p", "node u", "c cu", "sig su", "bands bu", "is_main"), rest.where("not is_main").selectExpr("b", "node v", "c cv", "sig sv", "bands bv")
     pairs = l.join(r, "b").where("cu <> cv and (is_main or u < v) and u <> p and v <> p").where(_estimate("su", "sv") >= least)
+    # a pair of several buckets counts in the first
+    pairs = pairs.where("array_position(zip_with(bu, bv, (x, y) -> x = y), true) = i + 1")
     more = confirmed(pairs.selectExpr("least(u, v) u", "greatest(u, v) v").distinct())
     comp = connected_components(links.unionByName(more))
     classes = materialize(nodes.join(comp, "node", "left").selectExpr("k0", "k1", "coalesce(component, node) component"))
