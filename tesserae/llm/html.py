@@ -101,6 +101,8 @@ def blocks(page: str | None) -> list[Block]:
                         del stack[k:]
                         break
             else:
+                if stack[-1][0] == "head" or name == "body":  # either ends the head
+                    stack[:] = [x for x in stack if x[0] != "head"]
                 if stack[-1][0] == "p" or stack[-1][0] == name == "li":
                     stack.pop()
                 if name == "hr":

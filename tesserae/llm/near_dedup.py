@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = materialize(confirmed(estimated(apart.selectExpr("p u", "node v").distinct())).unionByName(links).distinct())
         comp = connected_components(links)
     # members of buckets that still hold several components
-    placed = members.join(comp, "node", "left").selectExpr("b", "p", "node", "coalesce(component, node) c")
+    placed = members.join(comp, "node", "left").selectExpr("b", "i", "p", "node", "coalesce(component, node) c")
     open_ = placed.groupBy("b").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("b")
     placed = materialize(placed.join(open_, "b"))
     main = placed.groupBy("b", "c").count().groupBy("b").agg(F.max_by("c", F.struct("count", "c")).alias("m"))
