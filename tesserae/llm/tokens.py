@@ -19,7 +19,7 @@ import numpy as np
 #: ASCII marks but the apostrophe, which the tokenizer's pattern treats apart.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words that a worker remembers.
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 300_000
 
 
 def default_path() -> str:
