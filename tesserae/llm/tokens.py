@@ -1,8 +1,9 @@
-"""Exact token ids at the speed of a dictionary: each white-space separated word is encoded once a worker.
+"""Exact token ids at the speed of a dictionary: each piece of a text is encoded once a worker.
 
-The tokenizer's pattern never crosses white space and its lower-casing and composition look at single words, so the
-ids of a text are those of its words, one after the other. Texts that hold a special token's string go through the
-tokenizer whole. tests/llm compares both ways.
+The tokenizer lower-cases and composes a text, cuts it at white space and by its pattern, and encodes each piece on its
+own. Text below U+0250 is cut here by the same pattern, all other words go through the tokenizer whole, and the ids of
+a text are those of its pieces, one after the other. Texts that hold a special token's string go through the tokenizer
+whole. tests/llm compares both ways.
 """
 
 from __future__ import annotations
@@ -11,15 +12,26 @@ import os
 import re
 import sys
 import types
+import unicodedata
 from array import array
 from itertools import chain
 
 import numpy as np
 
-#: ASCII marks but the apostrophe, which the tokenizer's pattern treats apart.
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Words that a worker remembers.
-KNOWN_WORDS = 300_000
+def _pattern() -> re.Pattern:
+    """The tokenizer's pattern over lower-cased text below U+0250."""
+    kinds = {"L": "", "N": ""}
+    for c in map(chr, range(0x250)):
+        if (k := unicodedata.category(c)[0]) in kinds:
+            kinds[k] += c
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{kinds['L']}]+|[{kinds['N']}]|[^ \t-\r\x85\xa0{kinds['L']}{kinds['N']}]+")
+
+
+_PIECES = _pattern().findall
+#: What is not lower-cased and composed letter by letter.
+_BEYOND = re.compile("[İɐ-\U0010ffff]").search
+#: Pieces that a worker remembers.
+KNOWN_WORDS = 500_000
 
 
 def default_path() -> str:
@@ -55,53 +67,41 @@ class Encoder(dict):
     def _bytes(self, words: list[str]) -> list[bytes]:
         return [array("H" if self.dtype.itemsize == 2 else "I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _letters(self, words: list[str]) -> None:
-        """Learns words of lower-case Latin letters, many in one text: the last token of each carries the end-of-word mark."""
-        texts = [" ".join(words[k : k + 64]) for k in range(0, len(words), 64)]
-        raw = b"".join(self._bytes(texts))
-        ends = (np.flatnonzero(self.last[np.frombuffer(raw, self.dtype)]) + 1) * self.dtype.itemsize
-        if len(ends) != len(words):
-            self.update(zip(words, self._bytes(words), strict=True))
-            return
-        at = 0
-        for w, to in zip(words, ends.tolist(), strict=True):
-            self[w] = raw[at:to]
-            at = to
-
-    def _learn(self, words: list[str]) -> None:
-        """A word of Latin letters and marks after them is the ids of its lower-case letters, then those of the marks."""
-        new = [w for w in set(words) if w not in self]
-        if not new:
-            return
+    def _learn(self, pieces: set[str]) -> None:
+        """Encodes new pieces, many in one text: the last token of each carries the end-of-word mark."""
+        new = [p for p in pieces if p not in self]
         if len(self) + len(new) > KNOWN_WORDS:
             self.clear()
-            new = list(set(words))
-        letters, marks, rest, plain = set(), set(), [], []
-        for w in new:
-            core = w.rstrip(_MARKS)
-            if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
-                plain.append((w, core.lower(), mark := w[len(core) :]))
-                letters.add(plain[-1][1])
-                marks.add(mark)
-            else:
-                rest.append(w)
-        rest += [m for m in marks if m and m not in self]
+            new = list(pieces)
+        rest = [p for p in new if _BEYOND(p)]
         self.update(zip(rest, self._bytes(rest), strict=True))
-        self._letters([w for w in letters if w not in self])
-        for w, core, mark in plain:
-            self[w] = self[core] + self[mark] if mark else self[core]
+        new = [p for p in new if p not in self]
+        raw = b"".join(self._bytes([" ".join(new[k : k + 64]) for k in range(0, len(new), 64)]))
+        size = self.dtype.itemsize
+        ends = ((np.flatnonzero(self.last[np.frombuffer(raw, self.dtype)]) + 1) * size).tolist()
+        if len(ends) != len(new):
+            self.update(zip(new, self._bytes(new), strict=True))
+            return
+        self.update(zip(new, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
 
     def encode(self, texts: list[str | None], end: int | None = None) -> list[bytes]:
         """The ids of each text, and `end` after them."""
-        # str.split also splits at four separators that are no white space to the tokenizer
-        odd = "\x1c\x1d\x1e\x1f"
-        words = [() if not t else t.split() if not any(c in t for c in odd) else [w for w in re.split("[ \n\t\r]+", t) if w] for t in texts]
-        self._learn(list(chain.from_iterable(words)))
+        pieces = [self._cut(t) if t else () for t in texts]
+        self._learn(set(chain.from_iterable(pieces)))
         get, tail = self.__getitem__, b"" if end is None else np.array([end], self.dtype).tobytes()
         out = []
-        for t, w in zip(texts, words, strict=True):
+        for t, p in zip(texts, pieces, strict=True):
             if t and self.special and "<" in t and self.special.search(t):
                 out.append(self._bytes([t])[0] + tail)
             else:
-                out.append(b"".join(map(get, w)) + tail)
+                out.append(b"".join(map(get, p)) + tail)
         return out
+
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        """The pieces of a text; words beyond U+0250 stay whole."""
+        if not _BEYOND(text):
+            return _PIECES(text.lower())
+        # white space of the tokenizer; str.split has four separators more
+        words = (w for w in re.split(r"[^\S\x1c-\x1f]+", text) if w)
+        return list(chain.from_iterable([w] if _BEYOND(w) else _PIECES(w.lower()) for w in words))
