@@ -28,30 +28,27 @@ from tesserae.llm.tokens import Encoder, default_path
 WINDOW, END, SHARD_TOKENS, K1, B = 4096, 2, 1 << 20, 1.2, 0.75
 
 
-def _tokenize(path: str, end: int):
+def _tokenize(path: str, end: int, vocabulary: int):
+    """A row for each document, and one for each partition with its document frequencies."""
+    names, counts = ["id", "key", "n", "ids", "df"], pa.map_(pa.int32(), pa.int64())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder.of_worker(path)
-        for part, texts in chunks(batches):
-            ids = enc.encode(texts, end)
+        enc, df = Encoder.of_worker(path), np.zeros(vocabulary, np.int64)
+        for part, _ in chunks(batches, size=8 << 20):
+            ids = enc.encode(part.column(1), end)
             key = []
             for x in ids:
                 s = np.sort(np.frombuffer(x, enc.dtype))
-                often = np.flatnonzero(s[1:] == s[:-1])
+                same = s[1:] == s[:-1]
+                often = np.flatnonzero(same)
                 key.append(int(s[often[-1]]) if len(often) else int(s[-1]))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key, pa.int32()), pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "key", "n", "ids"])
-
-    return run
-
-
-def _frequencies(width: int, vocabulary: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(vocabulary, np.int64)
-        for b in batches:
-            for x in b.column(0):
-                s = np.sort(np.frombuffer(x.as_buffer(), f"<u{width}"))
-                df[s[np.flatnonzero(np.diff(s, append=s[-1:] + 1))]] += 1
+                df[s[1:][~same]] += 1
+                df[s[0]] += 1
+            n = len(ids)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key, pa.int32()), pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.nulls(n, counts)], names)
         at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at])], ["token", "df"])
+        df = pa.array([list(zip(at.tolist(), df[at].tolist(), strict=True))], counts)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), df], names)
 
     return run
 
@@ -173,11 +170,12 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = Encoder(path)
     width, vocabulary = known.dtype.itemsize, max(known.tokenizer.get_vocab_size(True), end + 1)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    tok = materialize(docs.mapInArrow(_tokenize(path, end), "id long, key int, n long, ids binary"))
+    made = materialize(docs.mapInArrow(_tokenize(path, end, vocabulary), "id long, key int, n long, ids binary, df map<int, long>"))
+    tok = made.where("ids is not null").drop("df")
     total = tok.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
     df = np.zeros(vocabulary)
     # at most one row for each id of the vocabulary
-    for r in tok.select("ids").mapInArrow(_frequencies(width, vocabulary), "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).collect():
+    for r in made.where("df is not null").select(F.explode("df").alias("token", "df")).groupBy("token").agg(F.sum("df").alias("df")).collect():
         df[r.token] = r.df
     idf = np.maximum(0, np.log((total.docs - df + 0.5) / (df + 0.5))) * (df > 0)
     shards = max(1, -(-total.tokens // shard_tokens))

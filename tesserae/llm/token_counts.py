@@ -33,8 +33,8 @@ def count_tokens(docs: DataFrame, text_col: str = "text", tokenizer: str | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder.of_worker(path)
-        for part, texts in chunks(batches, 0):
-            n = [len(x) // enc.dtype.itemsize for x in enc.encode(texts)]
+        for part, texts in chunks(batches, 0, 8 << 20):
+            n = [len(x) // enc.dtype.itemsize for x in enc.encode(part.column(0))]
             yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([len(t.split()) if t else 0 for t in texts], pa.int64()), pa.array(n, pa.int64())], [*rest, "n_words", "n_tokens"])
 
     source = docs.select(text_col, *rest)

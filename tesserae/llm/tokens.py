@@ -1,9 +1,9 @@
-"""Exact token ids at the speed of a dictionary: each piece of a text is encoded once a worker.
+"""Exact token ids at the speed of a dictionary: each word of a text is encoded once a worker.
 
 The tokenizer lower-cases and composes a text, cuts it at white space and by its pattern, and encodes each piece on its
-own. Text below U+0250 is cut here by the same pattern, all other words go through the tokenizer whole, and the ids of
-a text are those of its pieces, one after the other. Texts that hold a special token's string go through the tokenizer
-whole. tests/llm compares both ways.
+own, so the ids of a text are those of its words between ASCII white space, one after the other. Known words are an
+Arrow array, their ids one flat array, and a text's ids are gathered from it. Texts that hold a special token's string
+go through the tokenizer whole. tests/llm compares both ways.
 """
 
 from __future__ import annotations
@@ -14,12 +14,13 @@ import sys
 import types
 import unicodedata
 from array import array
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 def _pattern() -> re.Pattern:
-    """The tokenizer's pattern over lower-cased text below U+0250."""
+    """The tokenizer's pattern over lower-cased text below U+0250, of which only the number of pieces is used."""
     kinds = {"L": "", "N": ""}
     for c in map(chr, range(0x250)):
         if (k := unicodedata.category(c)[0]) in kinds:
@@ -30,8 +31,8 @@ def _pattern() -> re.Pattern:
 _PIECES = _pattern().findall
 #: What is not lower-cased and composed letter by letter.
 _BEYOND = re.compile("[İɐ-\U0010ffff]").search
-#: Pieces that a worker remembers.
-KNOWN_WORDS = 500_000
+#: Words that a worker remembers, besides those of the texts at hand.
+KNOWN_WORDS = 1_000_000
 
 
 def default_path() -> str:
@@ -40,22 +41,25 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Encoder(dict):
-    """word -> its ids as little-endian bytes of `dtype`."""
+class Encoder:
+    """The ids of texts as little-endian bytes of `dtype`."""
 
     def __init__(self, path: str, dtype: str = "<u2"):
-        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
         if self.tokenizer.get_vocab_size(True) > 1 << (8 * self.dtype.itemsize):
             self.dtype = np.dtype("<u4")
-        special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.last = np.zeros(1 << (8 * min(self.dtype.itemsize, 3)), bool)
         self.last[[i for w, i in self.tokenizer.get_vocab(True).items() if w.endswith("</w>")]] = True
 
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.flat, self.starts, self.sizes = pa.array([], pa.string()), np.empty(0, self.dtype), np.empty(0, np.int64), np.empty(0, np.int64)
+
     @classmethod
     def of_worker(cls, path: str, dtype: str = "<u2") -> Encoder:
         """The one that this Python worker has used before, if any."""
@@ -67,41 +71,63 @@ class Encoder(dict):
     def _bytes(self, words: list[str]) -> list[bytes]:
         return [array("H" if self.dtype.itemsize == 2 else "I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Encodes new pieces, many in one text: the last token of each carries the end-of-word mark."""
-        new = [p for p in pieces if p not in self]
-        if len(self) + len(new) > KNOWN_WORDS:
-            self.clear()
-            new = list(pieces)
-        rest = [p for p in new if _BEYOND(p)]
-        self.update(zip(rest, self._bytes(rest), strict=True))
-        new = [p for p in new if p not in self]
-        raw = b"".join(self._bytes([" ".join(new[k : k + 64]) for k in range(0, len(new), 64)]))
-        size = self.dtype.itemsize
-        ends = ((np.flatnonzero(self.last[np.frombuffer(raw, self.dtype)]) + 1) * size).tolist()
-        if len(ends) != len(new):
-            self.update(zip(new, self._bytes(new), strict=True))
-            return
-        self.update(zip(new, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
-
-    def encode(self, texts: list[str | None], end: int | None = None) -> list[bytes]:
-        """The ids of each text, and `end` after them."""
-        pieces = [self._cut(t) if t else () for t in texts]
-        self._learn(set(chain.from_iterable(pieces)))
-        get, tail = self.__getitem__, b"" if end is None else np.array([end], self.dtype).tobytes()
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after the other, and how many each has. Many words go in one text: the last token
+        of each piece carries the end-of-word mark, and the pieces of a word are counted here."""
+        pieces = [1 if w.isalpha() and not _BEYOND(w) else 0 if _BEYOND(w) else len(_PIECES(w.lower())) for w in words]
+        order = sorted(range(len(words)), key=lambda i: pieces[i] == 0) if 0 in pieces else range(len(words))
+        many = [words[i] for i in order if pieces[i]]
+        raw = np.frombuffer(b"".join(self._bytes([" ".join(many[k : k + 64]) for k in range(0, len(many), 64)])), self.dtype)
+        ends, upto = np.flatnonzero(self.last[raw]) + 1, np.cumsum([pieces[i] for i in order if pieces[i]], dtype=np.int64)
+        if len(ends) != (upto[-1] if len(upto) else 0):
+            one = self._bytes(words)
+            return np.frombuffer(b"".join(one), self.dtype), np.array([len(x) for x in one], np.int64) // self.dtype.itemsize
+        alone = self._bytes([words[i] for i in order if not pieces[i]])
+        sizes = np.zeros(len(words), np.int64)
+        sizes[np.array(order, np.int64)] = np.concatenate([np.diff(ends[upto - 1], prepend=0), np.array([len(x) for x in alone], np.int64) // self.dtype.itemsize])
+        if not alone:
+            return raw, sizes
+        one, at = iter(alone), 0
         out = []
-        for t, p in zip(texts, pieces, strict=True):
-            if t and self.special and "<" in t and self.special.search(t):
-                out.append(self._bytes([t])[0] + tail)
+        for i, k in zip(pieces, sizes.tolist(), strict=True):
+            if i:
+                out.append(raw[at : at + k].tobytes())
+                at += k
             else:
-                out.append(b"".join(map(get, p)) + tail)
+                out.append(next(one))
+        return np.frombuffer(b"".join(out), self.dtype), sizes
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """The places of distinct words among the known ones; new ones are learnt."""
+        at = pc.index_in(words, value_set=self.words)
+        if len(self.words) and len(self.words) + at.null_count > KNOWN_WORDS:
+            self._forget()
+            at = pc.index_in(words, value_set=self.words)
+        place = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        if at.null_count:
+            new = words.filter(at.is_null())
+            ids, sizes = self._ids(new.to_pylist())
+            place[place < 0] = np.arange(len(new)) + len(self.words)
+            self.words = pa.concat_arrays([self.words, new])
+            self.starts = np.concatenate([self.starts, np.cumsum(sizes) - sizes + len(self.flat)])
+            self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, ids])
+        return place
+
+    def encode(self, texts: pa.Array | list[str | None], end: int | None = None) -> list[bytes]:
+        """The ids of each text, and `end` after them. Each distinct word of `texts` is looked up once."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        tail = b"" if end is None else np.array([end], self.dtype).tobytes()
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = split.flatten().dictionary_encode()
+        at = self._places(words.dictionary)[words.indices.to_numpy()]
+        flat, starts, sizes = self.flat, self.starts, self.sizes
+        # one range of `flat` for each word of the texts
+        n = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        raw = flat[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])]
+        bounds = ends[np.asarray(split.offsets) - split.offsets[0].as_py()]
+        out = [raw[x:y].tobytes() + tail for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for t in self.special:
+            for i in np.flatnonzero(pc.fill_null(pc.match_substring(texts, t), False)):
+                out[i] = self._bytes([texts[i].as_py()])[0] + tail
         return out
-
-    @staticmethod
-    def _cut(text: str) -> list[str]:
-        """The pieces of a text; words beyond U+0250 stay whole."""
-        if not _BEYOND(text):
-            return _PIECES(text.lower())
-        # white space of the tokenizer; str.split has four separators more
-        words = (w for w in re.split(r"[^\S\x1c-\x1f]+", text) if w)
-        return list(chain.from_iterable([w] if _BEYOND(w) else _PIECES(w.lower()) for w in words))
