@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.plans import catalogue, importer  # noqa: F401  importer adds to the catalogue
+from tesserae.plans import catalogue, importer, workflow  # noqa: F401  they add to the catalogue
 
 QUERIES = catalogue.QUERIES
 ORACLES = catalogue.ORACLES
