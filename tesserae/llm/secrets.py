@@ -1,10 +1,11 @@
 """Secret scan by corpus-wide ownership frequency, with DataFrame functions only.
 
-Generators propose spans. Those of the base rules stand. Further candidates (provider-style prefixes, signed
-tokens, long mixed strings) are judged by how the corpus owns them: the hashes of the candidate texts are counted by
-distinct repositories and distinct owners. What many owners have is a copied example; what one owner has, with enough
-entropy and not in the shape of a placeholder, looks live and is added. A repository is a document and its owner the
-document's source, unless other columns are named.
+Generators propose spans: those of the base rules, and further ones (provider-style prefixes, signed tokens, long mixed
+strings). All are judged by how the corpus owns them: the hashes of the candidate values (of an assignment, what is
+assigned) are counted by distinct owners, whatever the kind. What many owners have is a copied example; what one owner
+has, with enough entropy for its kind and not in the shape of a placeholder, looks live. Base spans stand whatever
+their class; of the further ones the live are added. A repository is a document and its owner the document's source,
+unless other columns are named.
 
 Only candidates are exploded, and counts combine before each shuffle: by (hash, owner), then by hash. A string that a
 third of all documents hold meets its class in a plain join that adaptive execution splits.
@@ -15,11 +16,11 @@ rows give a row each and count as one repository; ties in place go by kind.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import materialize, table
-from tesserae.llm.spans import SPAN, count, listed, spans
+from tesserae.llm.spans import count, listed, spans
 
 KINDS = ["assign", "access", "hex", "provider", "signed", "mixed"]
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
@@ -28,43 +29,53 @@ ACCESS, HEX = r"AKIA[A-Z0-9]++", r"[0-9a-f]{24,}+"
 PROVIDER = r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{30,255}|xox[abprs]-[A-Za-z0-9-]{10,255}|sk_live_[A-Za-z0-9]{16,255}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9_])"
 SIGNED = r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,4096}\.eyJ[A-Za-z0-9_-]{8,4096}\.[A-Za-z0-9_-]{8,4096}(?![A-Za-z0-9_-])"
 MIXED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,64}[0-9])(?=[A-Za-z0-9+/_-]{0,64}[A-Z])(?=[A-Za-z0-9+/_-]{0,64}[a-z])[A-Za-z0-9+/_-]{32,128}(?![A-Za-z0-9+/_-])"
-#: A candidate that more owners than this have is an example.
-OWNERS, DISTINCT_CHARACTERS = 1, 12
+#: The kinds from this one on are not of the base rules.
+FURTHER = 3
+#: A candidate that more owners than this have is an example. Distinct characters that a live value has, by kind.
+OWNERS, DISTINCT_CHARACTERS = 1, [6, 8, 8, 12, 12, 12]
+JUDGED = "struct<s:int,k:int,e:int,class:string>"
+
+
+def _hashed(x: Column) -> Column:
+    """The span x with the hash of its value and whether that is no placeholder."""
+    v = F.when(x["k"] == 0, F.regexp_extract(x["t"], VALUE, 1)).otherwise(x["t"])
+    least = F.get(F.array(*[F.lit(n) for n in DISTINCT_CHARACTERS]), x["k"])
+    sound = (F.size(F.array_distinct(F.split(v, ""))) >= least) & ~F.lower(v).rlike("example|sample|placeholder|changeme|x{6}|0{8}|1234567")
+    return F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.sha2(v, 256).alias("c"), sound.alias("sound"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = None, owner_col: str = "source") -> DataFrame:
-    """id, base (spans of the base rules), added (those that ownership adds), examples (candidates that were set aside)."""
+    """id, base (spans of the base rules), added (those that ownership adds), examples (candidates of any kind that do not
+    look live), judged (all candidates with their class, live or example)."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    base = F.concat(
+    found = F.concat(
         spans(t, ASSIGN, 0, lambda m: F.length(F.regexp_extract(m, VALUE, 1)) >= 6),
         spans(t, ACCESS, 1, lambda m: F.length(m) >= 20),
         spans(t, HEX, 2),
+        spans(t, PROVIDER, 3),
+        spans(t, SIGNED, 4),
+        spans(t, MIXED, 5),
     )
-    more = F.concat(spans(t, PROVIDER, 3), spans(t, SIGNED, 4), spans(t, MIXED, 5))
-    ids = docs.select(F.col(id_col).alias("id"), F.xxhash64(t).alias("th"), F.length(t).alias("tl"), F.col(repo_col or id_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), base.alias("base"), more.alias("more"))
+    # the row's number is fixed by the scratch table
+    narrow = materialize(docs.select(F.monotonically_increasing_id().alias("r"), F.col(id_col).alias("id"), F.col(repo_col or id_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.transform(found, _hashed).alias("found")))
+    cand = narrow.where(F.size("found") > 0).select("r", "id", "repo", "owner", F.inline("found"))
+    owned = materialize(cand.groupBy("c", "owner").agg(F.count("*").alias("n")).groupBy("c").agg(F.count("*").alias("owners")))
+    of = F.when((F.col("owners") <= OWNERS) & F.col("sound"), "live").otherwise("example")
+    judged = cand.join(owned, "c").groupBy("r", "id").agg(F.sort_array(F.collect_list(F.struct("s", "k", "e", of.alias("class")))).alias("judged"))
     # texts without a match cost no join
-    narrow = materialize(ids.select("id", "th", "tl", "repo", "owner", F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.lit("").alias("t"))).alias("base"), "more"))
-    cand = narrow.where(F.size("more") > 0).select("id", "th", "tl", "repo", "owner", F.explode("more").alias("x")).withColumn("c", F.sha2(F.col("x.t"), 256))
-    owned = cand.groupBy("c", "owner").agg(F.min("repo").alias("r1"), F.max("repo").alias("r2"))
-    # distinct repositories matter as one or several
-    owned = owned.groupBy("c").agg(F.count("*").alias("owners"), F.min("r1").alias("r1"), F.max("r2").alias("r2")).selectExpr("c", "owners", "not (r1 <=> r2) several")
-    owned = materialize(owned)
-    live = (F.col("owners") <= OWNERS) & (F.size(F.array_distinct(F.split("x.t", ""))) >= DISTINCT_CHARACTERS) & ~F.lower(F.col("x.t")).rlike("example|sample|placeholder|changeme|x{6}|0{8}|1234567")
-    judged = cand.join(owned, "c").withColumn("live", live)
-    per = judged.groupBy("id", "th", "tl").agg(
-        F.collect_set(F.when(F.col("live"), F.struct("x.s", "x.k", "x.e", F.lit("").alias("t")))).alias("added"), F.collect_set(F.when(~F.col("live"), F.struct("x.s", "x.k", "x.e", F.lit("").alias("t")))).alias("examples")
-    )
-    none = F.array().cast(f"array<{SPAN}>")
-    without = narrow.where(F.size("more") == 0).select("id", "base", none.alias("added"), none.alias("examples"))
-    keyed = narrow.where(F.size("more") > 0).select("id", "th", "tl", "base").alias("n").join(per.alias("p"), F.col("n.id").eqNullSafe(F.col("p.id")) & (F.col("n.th") == F.col("p.th")) & (F.col("n.tl") == F.col("p.tl")))
-    return without.unionByName(keyed.select("n.id", "n.base", F.col("p.added").cast(f"array<{SPAN}>").alias("added"), F.col("p.examples").cast(f"array<{SPAN}>").alias("examples")))
+    out = narrow.where(F.size("found") == 0).select("id", F.array().cast(f"array<{JUDGED}>").alias("judged")).unionByName(judged.select("id", "judged"))
+    part = lambda which: F.transform(F.filter("judged", which), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.lit("").alias("t")))
+    live = lambda x: x["class"] == "live"
+    return out.select("id", part(lambda x: x["k"] < FURTHER).alias("base"), part(lambda x: (x["k"] >= FURTHER) & live(x)).alias("added"), part(lambda x: ~live(x)).alias("examples"), "judged")
 
 
 def op9_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan(table(spark, sf_dir, "documents"))
+    kinds = F.array(*[F.lit(k) for k in KINDS])
     return out.select(
         F.col("id").alias("doc_id"), count(F.col("base"), 0).alias("n_assign"), count(F.col("base"), 1).alias("n_access"), count(F.col("base"), 2).alias("n_hex"),
         F.sha2(listed(F.col("base"), KINDS), 256).alias("base_sha256"), listed(F.concat("base", "added"), KINDS).alias("spans"), F.size("examples").cast("long").alias("n_examples"),
+        F.array_join(F.transform("judged", lambda x: F.concat_ws(":", F.get(kinds, x["k"]), x["s"].cast("string"), x["e"].cast("string"), x["class"])), ",").alias("classes"),
     )
 
 

@@ -96,6 +96,14 @@ def test_secret_ownership(spark):
     assert got == [(1, 1, 0), (2, 0, 1), (3, 0, 1), (4, 0, 0), (4, 0, 0)]
 
 
+def test_secret_ownership_judges_base_spans(spark):
+    copied, own, key = "0f1e2d3c4b5a69788796a5b4c3d2e1f0", "9a8b7c6d5e4f30211203f4e5d6c7b8a9", "AKIA" + "Q7W8E9R0T1Y2U3I4"
+    rows = [(i, f"token = '{copied}' and", "en", f"s{i}", 0) for i in range(40)] + [(50, f"say {copied}", "en", "s0", 0), (51, f"password={own}", "en", "s0", 0), (52, f"{key} x", "en", "s1", 0), (53, "api_key: changeme99", "en", "s1", 0), (53, "none", "en", "s1", 0)]
+    got = {(r.id, len(r.base)): ([(x.k, x["class"] == "live") for x in r.judged], len(r.examples)) for r in secrets.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[0, 2] == got[39, 2] == ([(0, False), (2, False)], 2) and got[50, 1] == ([(2, False)], 1)
+    assert got[51, 2] == ([(0, True), (2, True)], 0) and got[52, 1] == ([(1, True)], 0) and got[53, 1] == ([(0, False)], 1) and got[53, 0] == ([], 0)
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(2)
     x = r.normal(size=(400, 16))
