@@ -2,13 +2,15 @@
 
 Generators propose spans: those of the base rules, and further ones (provider-style prefixes, signed tokens, long mixed
 strings). All are judged by how the corpus owns them: the hashes of the candidate values (of an assignment, what is
-assigned) are counted by distinct owners, whatever the kind. What many owners have is a copied example; what one owner
-has, with enough entropy for its kind and not in the shape of a placeholder, looks live. Base spans stand whatever
-their class; of the further ones the live are added. A repository is a document and its owner the document's source,
-unless other columns are named.
+assigned) are counted by distinct repositories and distinct owners, whatever the kind. What is in the shape of a
+placeholder or has too little entropy for its kind, and what at least `COPIED_OWNERS` owners or `COPIED_REPOS`
+repositories have, is an example; what one owner has in at most `LIVE_REPOS` repositories looks live; what lies
+between is shared: a live secret whose document was copied once or twice, or an example in its first copies. Base spans
+stand whatever their class; of the further ones the live are added. A repository is a document and its owner the
+document's source, unless other columns are named.
 
-Only candidates are exploded, and counts combine before each shuffle: by (hash, owner), then by hash. A string that a
-third of all documents hold meets its class in a plain join that adaptive execution splits.
+Only candidates are exploded, and counts combine before each shuffle: by (hash, repository) and (hash, owner), then by
+hash. A string that a third of all documents hold meets its class in a plain join that adaptive execution splits.
 
 Nulls and edges: null text is empty; a null owner counts as one owner, a null repository as one repository; repeated
 rows give a row each and count as one repository; ties in place go by kind.
@@ -31,9 +33,11 @@ SIGNED = r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,4096}\.eyJ[A-Za-z0-9_-]{8,4096}\
 MIXED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,64}[0-9])(?=[A-Za-z0-9+/_-]{0,64}[A-Z])(?=[A-Za-z0-9+/_-]{0,64}[a-z])[A-Za-z0-9+/_-]{32,128}(?![A-Za-z0-9+/_-])"
 #: The kinds from this one on are not of the base rules.
 FURTHER = 3
-#: A candidate that more owners than this have is an example. Distinct characters that a live value has, by kind.
-OWNERS, DISTINCT_CHARACTERS = 1, [6, 8, 8, 12, 12, 12]
-JUDGED = "struct<s:int,k:int,e:int,class:string>"
+#: Repositories and owners that make a value live at most, and an example at least.
+LIVE_REPOS, LIVE_OWNERS, COPIED_REPOS, COPIED_OWNERS = 3, 1, 20, 4
+#: Distinct characters that a value has at least, by kind.
+DISTINCT_CHARACTERS = [6, 8, 8, 12, 12, 12]
+JUDGED = "struct<s:int,k:int,e:int,class:string,repos:bigint,owners:bigint>"
 
 
 def _hashed(x: Column) -> Column:
@@ -46,7 +50,7 @@ def _hashed(x: Column) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = None, owner_col: str = "source") -> DataFrame:
     """id, base (spans of the base rules), added (those that ownership adds), examples (candidates of any kind that do not
-    look live), judged (all candidates with their class, live or example)."""
+    look live), judged (all candidates with their class, live, shared or example, and the counts it rests on)."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     found = F.concat(
         spans(t, ASSIGN, 0, lambda m: F.length(F.regexp_extract(m, VALUE, 1)) >= 6),
@@ -59,9 +63,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     # the row's number is fixed by the scratch table
     narrow = materialize(docs.select(F.monotonically_increasing_id().alias("r"), F.col(id_col).alias("id"), F.col(repo_col or id_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.transform(found, _hashed).alias("found")))
     cand = narrow.where(F.size("found") > 0).select("r", "id", "repo", "owner", F.inline("found"))
-    owned = materialize(cand.groupBy("c", "owner").agg(F.count("*").alias("n")).groupBy("c").agg(F.count("*").alias("owners")))
-    of = F.when((F.col("owners") <= OWNERS) & F.col("sound"), "live").otherwise("example")
-    judged = cand.join(owned, "c").groupBy("r", "id").agg(F.sort_array(F.collect_list(F.struct("s", "k", "e", of.alias("class")))).alias("judged"))
+    # a value's pairs first, as one of its repositories or owners may have it in a third of all rows
+    distinct = lambda by: cand.groupBy("c", by).agg(F.count("*").alias("n")).groupBy("c").agg(F.count("*").alias(f"{by}s"))
+    owned = materialize(distinct("repo").join(distinct("owner"), "c"))
+    copied = ~F.col("sound") | (F.col("owners") >= COPIED_OWNERS) | (F.col("repos") >= COPIED_REPOS)
+    of = F.when(copied, "example").when((F.col("owners") <= LIVE_OWNERS) & (F.col("repos") <= LIVE_REPOS), "live").otherwise("shared")
+    judged = cand.join(owned, "c").groupBy("r", "id").agg(F.sort_array(F.collect_list(F.struct("s", "k", "e", of.alias("class"), "repos", "owners"))).alias("judged"))
     # texts without a match cost no join
     out = narrow.where(F.size("found") == 0).select("id", F.array().cast(f"array<{JUDGED}>").alias("judged")).unionByName(judged.select("id", "judged"))
     part = lambda which: F.transform(F.filter("judged", which), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.lit("").alias("t")))

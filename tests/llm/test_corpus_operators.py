@@ -104,6 +104,14 @@ def test_secret_ownership_judges_base_spans(spark):
     assert got[51, 2] == ([(0, True), (2, True)], 0) and got[52, 1] == ([(1, True)], 0) and got[53, 1] == ([(0, False)], 1) and got[53, 0] == ([], 0)
 
 
+def test_secret_ownership_counts_repositories(spark):
+    hot, twice, moved, wide = "Ab3dEf6hIj9kLmNoPqRsTuVwXyZ0923456", "Zx9cVb6nMq3wErTyUiOpAsDfGhJkL78901", "Mn4bVc7xZa2sDfGhJkLqWeRtYuIoP56483", "Qa8zWs5xEd2cRfVtGbYhNuJmIkOlP73920"
+    held = [(hot, i, "a") for i in range(30)] + [(twice, 100, "a"), (twice, 101, "a"), (twice, 101, "a"), (moved, 200, "a"), (moved, 201, "b")] + [(wide, 300 + i, f"s{i}") for i in range(5)]
+    got = {r.id: [tuple(x)[3:] for x in r.judged] for r in secrets.scan(spark.createDataFrame([(i, f"key {v} end", "en", o, 0) for v, i, o in held], DOCS)).collect()}
+    assert got[0] == [("example", 30, 1)] and got[100] == got[101] == [("live", 2, 1)]
+    assert got[200] == got[201] == [("shared", 2, 2)] and got[304] == [("example", 5, 5)]
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(2)
     x = r.normal(size=(400, 16))
