@@ -5,9 +5,13 @@ telephones. Boosted trees score each candidate from its format (lengths, digits,
 context (the characters before and after, cue words); a threshold for each kind, calibrated on the training sample,
 selects what is added. The spans of the base rules stand whatever the score.
 
-Training: candidates of a bounded sample of documents (at most `SAMPLE_DOCS` of those with a digit run or an at sign) give rows of
-whole-number features; equal rows are counted by Spark, so the driver sees at most `SAMPLE_ROWS` of them. The label
-is whether a candidate is a base span. Trees of depth two are fitted by gradient steps on the logistic loss and turned
+Training: base hits of a bounded sample of documents (at most `SAMPLE_DOCS` of those with a digit run or an at sign) are
+rewritten in their place into the forms that the base rules miss. Spelled-out or spaced addresses, masked dots, cards in
+dotted groups and telephones without country are positives; octets over 255, broken check digits, card runs too short
+for one, words in place of a top-level domain and runs like a telephone without cue or brackets are negatives, and so
+are the sample's own card runs of unsound check digit. Base spans themselves are no training rows, as none is ever
+added. Rows are whole-number features; equal rows are counted by Spark, so the driver sees at most `SAMPLE_ROWS` of
+them. Trees of depth two are fitted by gradient steps on the logistic loss and turned
 into CASE expressions, so scoring stays inside generated code. Thresholds are the least score at which the sample's
 precision is at least `PRECISION`, and never under `LEAST`.
 
@@ -34,12 +38,13 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Generators beyond the base rules, by kind.
 LOOSE = {
-    0: r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    0: r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?)[A-Za-z0-9-]{1,63}){0,4}\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z]{2,24}(?![A-Za-z0-9])",
     1: r"(?<![0-9.])[0-9]{1,3}(?:\[\.\][0-9]{1,3}){3}(?![0-9.])",
     2: r"(?<![0-9+])[0-9]{4}(?:[.\x20-]?[0-9]{4}){2}[.\x20-]?[0-9]{1,7}(?![0-9])",
     3: r"(?<![0-9+.(])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
 }
-FEATURES = ["kind", "length", "digits", "separators", "groups", "letters", "at", "plus", "before_space", "after_space", "cue", "check"]
+FEATURES = ["kind", "length", "digits", "separators", "groups", "letters", "at", "plus", "before_space", "after_space", "cue", "check", "spaces", "dots", "marks"]
+_TLD, _CUE = r"(?i)^(?:com|org|net|edu|gov|mil|info|biz|[a-z]{2})$", "tel. "
 
 
 def _octets(m: Column) -> Column:
@@ -55,6 +60,12 @@ def candidates(t: Column) -> Column:
     return F.concat(*[spans(t, p, k) for k, p in LOOSE.items()])
 
 
+def _sound(k: Column, m: Column) -> Column:
+    """Whether a candidate passes its kind's check: top-level domain, octets, check digit. Telephones have none."""
+    card = F.when(F.length(digits(m)).between(14, 19), luhn(digits(m))).otherwise(False)
+    return F.when(k == 0, F.regexp_extract(m, "[A-Za-z]+$", 0).rlike(_TLD)).when(k == 1, _octets(F.regexp_replace(m, r"\[\.\]", "."))).when(k == 2, card).otherwise(False)
+
+
 def _features(x: Column, t: Column) -> list[Column]:
     """Whole numbers that describe candidate x of text t."""
     m = x["t"]
@@ -62,14 +73,15 @@ def _features(x: Column, t: Column) -> list[Column]:
     n = lambda p: F.length(F.regexp_replace(m, p, ""))
     cue = before.rlike(r"(?:mail|contact|write|tel|phone|call|fax|card|visa|pay|ip|host|server|address|from|to)\W{0,3}$")
     return [x["k"], F.length(m), n("[^0-9]"), n(r"[^\x20.()\[\]-]"), F.size(F.split(m, r"[^A-Za-z0-9]+")), n("[^A-Za-z]"), n("[^@]"), F.when(before.endswith("+"), 1).otherwise(0),
-            F.when(before.rlike(r"(?:^|\s)$"), 1).otherwise(0), F.when((after == "") | after.rlike(r"\s"), 1).otherwise(0), F.when(cue, 1).otherwise(0), F.when(F.length(digits(m)).between(14, 19), luhn(digits(m)).cast("int")).otherwise(0)]
+            F.when(before.rlike(r"(?:^|\s)$"), 1).otherwise(0), F.when((after == "") | after.rlike(r"\s"), 1).otherwise(0), F.when(cue, 1).otherwise(0), _sound(x["k"], m).cast("int"), n("[^\x20]"), n("[^.]"), F.size(F.split(m, r"\[\.\]|[(\[](?:at|dot)[)\]]")) - 1]
 
 
 class Boosted:
-    """Trees of depth two, as (feature, cut, feature, cut, feature, cut, four leaves), and a threshold for each kind."""
+    """For each kind with both labels a prior and trees of depth two, as (feature, cut, feature, cut, feature, cut, four
+    leaves), and a threshold."""
 
     def __init__(self) -> None:
-        self.prior, self.trees, self.limits = 0.0, [], [2.0] * len(KINDS)
+        self.trees, self.limits = {}, [2.0] * len(KINDS)
 
     @staticmethod
     def _split(x: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[int, float]:
@@ -85,11 +97,16 @@ class Boosted:
         return where
 
     def fit(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> Boosted:
-        if len(x) == 0 or not 0 < (y * w).sum() < w.sum():
-            return self
+        for k in range(len(KINDS)):
+            own = x[:, 0] == k
+            if 0 < (y * w)[own].sum() < w[own].sum():
+                self._fit(k, x[own], y[own], w[own])
+        return self
+
+    def _fit(self, k: int, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
         p = (y * w).sum() / w.sum()
-        self.prior = float(np.log(p / (1 - p)))
-        s = np.full(len(x), self.prior)
+        prior, trees = float(np.log(p / (1 - p))), []
+        s = np.full(len(x), prior)
         for _ in range(TREES):
             q = 1 / (1 + np.exp(-s))
             g, h = w * (y - q), w * q * (1 - q)
@@ -103,31 +120,67 @@ class Boosted:
                     v = float(RATE * g[part].sum() / (h[part].sum() + 1))
                     s[part] += v
                     leaves.append(round(v, 6))
-            self.trees.append((*tree, *leaves))
+            trees.append((*tree, *leaves))
+        self.trees[k] = prior, trees
         q = 1 / (1 + np.exp(-s))
-        for k in range(len(KINDS)):
-            own = x[:, 0] == k
-            for limit in sorted({*q[own & (q >= LEAST)]}):
-                over = own & (q >= limit)
-                if (y * w)[over].sum() >= PRECISION * w[over].sum():
-                    self.limits[k] = float(limit) - 1e-6
-                    break
-        return self
+        for limit in sorted({*q[q >= LEAST]}):
+            over = q >= limit
+            if (y * w)[over].sum() >= PRECISION * w[over].sum():
+                self.limits[k] = float(limit) - 1e-6
+                break
 
     def score(self, features: list[Column]) -> Column:
         branch = lambda f, c, a, b: F.when(features[f] < c, a).otherwise(b) if np.isfinite(c) else F.lit(a)
-        total = F.lit(self.prior)
-        for f, c, f0, c0, f1, c1, *v in self.trees:
-            lo, hi = branch(f0, c0, v[0], v[1]), branch(f1, c1, v[2], v[3])
-            total = total + (F.when(features[f] < c, lo).otherwise(hi) if np.isfinite(c) else lo)
-        return 1 / (1 + F.exp(-total))
+        out = F.lit(0.0)
+        for k, (prior, trees) in self.trees.items():
+            total = F.lit(prior)
+            for f, c, f0, c0, f1, c1, *v in trees:
+                lo, hi = branch(f0, c0, v[0], v[1]), branch(f1, c1, v[2], v[3])
+                total = total + (F.when(features[f] < c, lo).otherwise(hi) if np.isfinite(c) else lo)
+            out = F.when(features[0] == k, 1 / (1 + F.exp(-total))).otherwise(out)
+        return out
+
+
+def _rewritten(k: Column, m: Column, after: Column) -> Column:
+    """Structs (pre, form, y): a base span in forms that the base rules miss, what is written before it, and its label."""
+    one = lambda y, form, pre="": F.struct(F.lit(pre).alias("pre"), form.alias("form"), F.lit(y).alias("y"))
+    put = lambda v, new: F.regexp_replace(v, r"\.", new)
+    local, host = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
+    word, label = F.regexp_extract(after, "[A-Za-z]{2,24}", 0), F.substring_index(host, ".", 1)
+    word = F.when(word.rlike(_TLD), None).otherwise(word)
+    tld = F.substring_index(host, ".", -1)
+    # short and whole hosts with both labels, so that their number tells nothing
+    stems = [label, F.substring(host, F.lit(1), F.length(host) - F.length(tld) - 1)]
+    email = [one(1, F.concat(local, F.lit(at), put(F.concat_ws(".", x, tld), dot))) for x in stems for at, dot in (("(at)", "(dot)"), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" (at) ", " (dot) "), (" @ ", "."), ("(at)", "."), ("@", "(dot)"))]
+    email += [one(0, F.concat(local, F.lit(at), x, F.lit(dot), word)) for x in stems for at, dot in (("@", ". "), (" @ ", "."), (" @ ", ". "))]
+    parts = F.split(m, r"\.")
+    far = lambda i: F.array_join(F.transform(parts, lambda p, j: F.when(j == i, (p.cast("int") + 256).cast("string")).otherwise(p)), "[.]")
+    ip = [one(1, put(m, "[.]")), one(0, far(0)), one(0, far(3))]
+    d = digits(m)
+    broken = F.concat(F.substring(d, F.lit(1), F.length(d) - 1), ((F.substring(d, -1, 1).cast("int") + 1) % 10).cast("string"))
+    grouped = lambda v, by: F.concat_ws(by, F.substring(v, 1, 4), F.substring(v, 5, 4), F.substring(v, 9, 4), F.substring(v, F.lit(13), F.length(v)))
+    card = [one(1, grouped(d, ".")), *[one(0, grouped(broken, by)) for by in (".", " ", "-", "")], *[one(0, grouped(F.substring(d, 1, 13), by)) for by in (".", " ", "")]]
+    a, b, c = F.substring(d, -10, 3), F.substring(d, -7, 3), F.substring(d, -4, 4)
+    bracket = F.concat(F.lit("("), a, F.lit(") "), b, F.lit("-"), c)
+    phone = [one(1, x, pre) for x in (bracket, F.concat_ws("-", a, b, c)) for pre in ("", _CUE)]
+    phone += [one(y, F.concat_ws(by, a, b, c), pre) for by in (" ", ".") for y, pre in ((1, _CUE), (0, "was "))]
+    return F.when(k == 0, F.array(*email)).when(k == 1, F.array(*ip)).when(k == 2, F.array(*card)).otherwise(F.array(*phone))
 
 
 def train(docs: DataFrame, text_col: str = "text") -> Boosted:
     """Fits on the candidates of a bounded sample of documents."""
     some = docs.select(F.col(text_col).alias("t")).where(F.col(text_col).rlike("[0-9]{3}|@")).limit(SAMPLE_DOCS)
-    rows = some.select("t", base_spans(F.col("t")).alias("b"), candidates(F.col("t")).alias("c")).select("t", "b", F.explode("c").alias("x"))
-    rows = rows.withColumn("y", F.exists("b", lambda v: (v["k"] == F.col("x.k")) & (v["s"] <= F.col("x.s")) & (v["e"] >= F.col("x.e"))).cast("int"))
+    rows = some.select("t", base_spans(F.col("t")).alias("b"), candidates(F.col("t")).alias("c"))
+    # a base hit with what its features read of its surroundings
+    near = rows.select("t", F.explode("b").alias("x")).select(F.col("x.k").alias("k"), F.col("x.t").alias("m"), F.substring("t", F.greatest(F.lit(1), F.col("x.s") - 23), F.least(F.lit(24), F.col("x.s"))).alias("before"), F.substring("t", F.col("x.e") + 1, F.lit(24)).alias("after"))
+    near = near.repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    made = near.select("k", "before", "after", F.explode(_rewritten(F.col("k"), F.col("m"), F.col("after"))).alias("v")).where("v.form is not null")
+    made = made.select("k", "v.y", F.concat("before", "v.pre").alias("before"), "v.form", F.concat("before", "v.pre", "v.form", "after").alias("t"))
+    made = made.select("*", candidates(F.col("t")).alias("c"), base_spans(F.col("t")).alias("b")).select("k", "y", "t", "b", F.length("before").alias("s"), F.length("form").alias("n"), F.explode("c").alias("x"))
+    made = made.where("x.k = k and x.s = s and x.e = s + n")
+    own = rows.select("t", "b", F.lit(0).alias("y"), F.explode("c").alias("x")).where("x.k = 2").where(~_sound(F.col("x.k"), F.col("x.t")))
+    free = ~F.exists("b", lambda v: (v["s"] < F.col("x.e")) & (F.col("x.s") < v["e"]))
+    rows = made.select("t", "b", "y", "x").unionByName(own).where(free)
     f = _features(F.col("x"), F.col("t"))
     got = rows.select("y", *[c.cast("int").alias(n) for c, n in zip(f, FEATURES, strict=True)]).groupBy("y", *FEATURES).count().orderBy(F.desc("count"), "y", *FEATURES).limit(SAMPLE_ROWS).collect()
     x = np.array([[r[n] for n in FEATURES] for r in got], float).reshape(-1, len(FEATURES))

@@ -89,6 +89,21 @@ def test_pii_redaction(spark):
     assert got[0] == "write to [email] now or call [phone]" and (got[60], got[61], got[62]) == ("", "", "clean")
 
 
+def test_pii_adds_what_the_base_rules_miss(spark):
+    r = np.random.default_rng(3)
+    luhn = lambda d: sum(x if i % 2 == 0 else (x * 2 - 9 if x > 4 else x * 2) for i, x in enumerate(d[::-1])) % 10
+    cards = [next([*d, e] for e in range(10) if luhn([*d, e]) == 0) for d in ([4, *r.integers(0, 10, 14).tolist()] for _ in range(60))]
+    plain = [f"an {'ox' * (i % 3)} und{i} erst user{i}.x@mail{i % 9}.example.com sonst {i % 250}.{i * 7 % 256}.3.{i} ere {''.join(map(str, c))} and +1 ({200 + i}) 555-{1000 + i * 37} thereof" for i, c in enumerate(cards)]
+    dotted = lambda d: ".".join("".join(map(str, d[k : k + 4])) for k in range(0, 16, 4))
+    good, bad = cards[0], [*cards[1][:-1], (cards[1][-1] + 1) % 10]
+    odd = ["so jo.doe(at)web.example(dot)org here", "so jo.doe @ example.net here", "so 10[.]20[.]30[.]40 here", f"so {dotted(good)} here", "so (212) 555-0187 here", "so +1 (826) 555-4081 190.137.223.204 here"]
+    none = ["so 10[.]20[.]300[.]40 here", f"so {dotted(bad)} here", f"so {''.join(map(str, bad))} here", "so 212 555 0187 here", "so jo @ home. There"]
+    model = pii.train(docs(spark, plain))
+    got = {x.id: [(a.k, x.text[a.s : a.e]) for a in x.added] for x in pii.find(docs(spark, odd + none), model).collect()}
+    assert [got[i] for i in range(6)] == [[(0, odd[0][3:-5])], [(0, odd[1][3:-5])], [(1, odd[2][3:-5])], [(2, odd[3][3:-5])], [(3, odd[4][3:-5])], [(3, "(826) 555-4081")]]
+    assert [got[i] for i in range(6, 11)] == [[]] * 5
+
+
 def test_secret_ownership(spark):
     live, copied = "Ab3dEf6hIj9kLmNoPqRsTuVwXyZ0123456", "Zx9cVb6nMq3wErTyUiOpAsDfGhJkL78901"
     rows = [(1, f"key {live} end", "en", "a", 0), (2, f"see {copied}", "en", "a", 0), (3, f"see {copied}", "en", "b", 0), (4, None, "en", None, 0), (4, None, "en", None, 0)]
