@@ -52,6 +52,14 @@ def test_line_dedup(spark, monkeypatch):
         assert (got[90].text, got[91].text, got[92].text) == (None, "Menu", "Menu\nx") and len(got) == 43
 
 
+def test_pipeline_drops_lines_of_a_fiftieth_of_a_host(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"line {i}" + ("\nShare this" if i % 50 == 0 else "") + ("\nordinary" if i % 125 == 1 else ""), "en", "host", 0) for i in range(500)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_site_lines(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert got[50] == "line 50" and got[126] == "line 126\nordinary"
+
+
 def test_decontamination(spark):
     item, long_ = words(40, 5), words(3000, 6)
     hidden = long_[:2000] + [w.upper() + "," for w in item] + long_[2000:]
