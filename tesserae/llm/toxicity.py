@@ -1,25 +1,30 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on windows of ordinary text, one on the pieces of words that toxic texts
-have and ordinary texts have not (document frequencies, a z value over a limit). A window is compressed twice, with
-the ordinary dictionary alone and with the toxic one laid before it. Ordinary windows come out alike; the bytes that
-a window saves by the toxic dictionary are its distance. A logistic curve, fitted on labelled texts that the
-dictionaries have not seen and weighted to the labels' true shares, turns a document's distances (largest, mean of
-the largest three, mean, windows over two limits, windows) into a probability; the z limit is the one with the
-least loss there.
-
-Learning looks at no more than `SAMPLE` labelled documents a class, the first by a hash of their id, and at
-`SAMPLE_CHARS` characters of each, so the driver's share is bounded. Scoring reads every text to its end, in
-batches, and its model is a few KB.
+Two zstandard dictionaries are trained on labelled texts: one on windows of ordinary text, one on the passages of toxic
+texts that ordinary texts lack (the words whose beginnings have a document frequency well over the ordinary one: a z
+value over a limit), as they stand there. A window is compressed twice, with the ordinary dictionary alone and with the
+toxic one laid before it. Ordinary windows come out alike; the bytes that a window saves by the toxic dictionary are its
+distance. A logistic curve, fitted on labelled texts that the dictionaries have not seen and weighted to the labels' true
+shares, turns a document's distances (largest, mean of the largest three, mean, windows over two limits, windows) into a
+probability; the z limit is the one with the least loss there.
+
+The toxic dictionary is laid before the ordinary one because two wholly separate ones tell little: an ordinary window's
+lengths under them differ by six bytes either way, more than a toxic word saves (README has the figures).
+
+Learning takes no more than `SAMPLE` labelled documents a class, the first by a hash of their id, each read whole, on
+executors: what comes to the driver are at most `TOLD` beginnings of words, `ORDINARY_WINDOWS` and `TOXIC_PASSAGES` short
+samples, and a row of features for each sampled document. Scoring reads every text to its end, in batches, and its model
+is a few KB.
 
 Nulls and edges: null and empty texts have distances of zero and get the curve's value there; documents labelled
-both ways are not learned from; without labels of both classes every score is 0. Repeated rows are scored each.
+both ways are not learned from; of rows that share an id the least text is learned from; without labels of both classes
+every score is 0; an empty table gives no row. Repeated rows are scored each. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,10 +33,13 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import table
+from tesserae.llm.common import materialize, table
 
-SAMPLE, SAMPLE_CHARS = 3000, 20_000
-WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 96, 16_384, 4096
+#: Labelled documents a class; beginnings of words, ordinary windows and toxic passages that the driver may see.
+SAMPLE, TOLD, ORDINARY_WINDOWS, TOXIC_PASSAGES = 3000, 5000, 60_000, 20_000
+WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 96, 16_384, 2048
+#: Bytes of a toxic passage: longer ones are taken in parts.
+PASSAGE = 1024
 SHORT, LONG = 4, 9
 LIMITS = (5.0, 8.0, 12.0)
 REJECT = 0.7
@@ -123,46 +131,89 @@ def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(toxic: list[str], ordinary: list[str], toxic_rows: int, ordinary_rows: int) -> Model:
-    """toxic, ordinary: the sampled texts; *_rows: how many labelled rows there are of each."""
-    if len(toxic) < 2 or len(ordinary) < 2:
+def passages(text: str | None, told: set[str]) -> list[bytes]:
+    """The words of a text that begin as told, as they stand, in parts of at least PASSAGE bytes but for the last."""
+    out, cur, n = [], [], 0
+    for w in words(text):
+        if w + " " in told or any(w[:k] in told for k in range(SHORT, min(LONG, len(w)) + 1)):
+            cur.append(b" " + w.encode("utf-8", "surrogatepass"))
+            n += len(cur[-1])
+            if n >= PASSAGE:
+                out.append(b"".join(cur) + b" ")
+                cur, n = [], 0
+    if cur:
+        out.append(b"".join(cur) + b" ")
+    return [x for x in out if len(x) >= 8]
+
+
+def _told(learn: DataFrame) -> dict[str, float]:
+    """z values of the beginnings of words that toxic documents have more often, the largest TOLD of them."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for y, t in zip(pdf["_ts_y"], pdf["_ts_t"], strict=True):
+                if found := list(pieces(t)):
+                    yield pd.DataFrame({"w": found, "a": int(y), "b": 1 - int(y)})
+
+    size = {r["_ts_y"]: r["count"] for r in learn.groupBy("_ts_y").count().collect()}
+    n, m = size.get(1, 0), size.get(0, 0)
+    if not n or not m:
+        return {}
+    c = learn.select("_ts_y", "_ts_t").mapInPandas(run, "w string, a long, b long").groupBy("w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    p = (F.col("a") + F.col("b")) / (n + m)
+    z = (F.col("a") / n - F.col("b") / m) / F.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12)
+    top = c.where((F.col("a") >= min(3, n)) & (F.col("a") / n > 2 * F.col("b") / m)).select("w", z.alias("z")).where(F.col("z") > min(LIMITS))
+    return {r.w: r.z for r in top.orderBy(F.desc("z"), "w").limit(TOLD).collect()}
+
+
+def _curve(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, tuple]:
+    """The loss of the fitted curve, and its mean, scale and weights."""
+    mean, scale = x.mean(0), x.std(0) + 1e-6
+    w = _logistic((x - mean) / scale, y, share)
+    p = np.clip(1 / (1 + np.exp(-np.clip(np.c_[np.ones(len(x)), (x - mean) / scale] @ w, -30, 30))), 1e-6, 1 - 1e-6)
+    return float(-(share * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()), (tuple(mean), tuple(scale), tuple(w))
+
+
+def fit(sample: DataFrame, rows: dict[int, int]) -> Model:
+    """sample: _ts_y, _ts_id, _ts_t of the learned documents; rows: how many labelled ones there are of each class."""
+    dealt = sample.withColumn("_ts_half", F.pmod(F.xxhash64("_ts_id", F.lit(7)), F.lit(2)))
+    learn, rest = dealt.where("_ts_half = 0"), dealt.where("_ts_half = 1").select("_ts_y", "_ts_t")
+    told = _told(learn)
+    if not told:
+        return Model()
+    levels = [{w for w, v in told.items() if v > limit} for limit in LIMITS]
+
+    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for y, t in zip(pdf["_ts_y"], pdf["_ts_t"], strict=True):
+                for k, level in enumerate(levels) if y else [(-1, None)]:
+                    if found := passages(t, level) if y else windows(t):
+                        yield pd.DataFrame({"k": k, "x": found})
+
+    samples = materialize(learn.select("_ts_y", "_ts_t").mapInPandas(cut, "k int, x binary"))
+    some = lambda k, n: [bytes(r.x) for r in samples.where(F.col("k") == k).orderBy(F.xxhash64("x"), "x").limit(n).collect()]
+    plain = some(-1, ORDINARY_WINDOWS)
+    bad = {k: x for k in range(len(LIMITS)) if (x := some(k, TOXIC_PASSAGES))}
+    if not plain or not bad:
         return Model()
-    n, m = (len(toxic) + 1) // 2, (len(ordinary) + 1) // 2
-    a, b = Counter(), Counter()
-    for t in toxic[:n]:
-        a.update(pieces(t))
-    for t in ordinary[:m]:
-        b.update(pieces(t))
-    z = {}
-    for w, c in a.items():
-        p = (c + b[w]) / (n + m)
-        if c >= min(3, n) and c / n > 2 * b[w] / m:
-            z[w] = (c / n - b[w] / m) / (p * (1 - p) * (1 / n + 1 / m) + 1e-12) ** 0.5
-    plain = trained([w for t in ordinary[:m] for w in windows(t)][:100_000], ORDINARY_BYTES)
-    rest = toxic[n:] + ordinary[m:]
-    y = np.r_[np.ones(len(toxic) - n), np.zeros(len(ordinary) - m)]
-    share = np.r_[np.full(len(toxic) - n, toxic_rows / len(toxic)), np.full(len(ordinary) - m, ordinary_rows / len(ordinary))]
+    ordinary = trained(plain, ORDINARY_BYTES)
+    toxic = {k: trained(x, TOXIC_BYTES) for k, x in bad.items()}
+
+    def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = [Distance(ordinary, x) for x in toxic.values()]
+        for pdf in parts:
+            yield pd.DataFrame({"y": pdf["_ts_y"], "x": [[v for d in known for v in d.features(t)] for t in pdf["_ts_t"]]})
+
+    got = rest.mapInPandas(measure, "y int, x array<double>").toPandas()
+    y = got["y"].to_numpy(float)
+    if not len(y) or not 0 < y.sum() < len(y):
+        return Model()
+    share = np.where(y == 1, rows[1] / y.sum(), rows[0] / (1 - y).sum())
     share *= len(share) / share.sum()
-    best, least = Model(), np.inf
-    for limit in LIMITS:
-        told = {w for w, v in z.items() if v > limit}
-
-        def longest(w: str, told=told) -> str | None:
-            return w + " " if w + " " in told else next((w[:k] for k in range(min(LONG, len(w)), SHORT - 1, -1) if w[:k] in told), None)
-
-        samples = [s for t in toxic[:n] if len(s := b"".join(b" " + f.encode() for w in words(t) if (f := longest(w)))) >= 8]
-        if not samples:
-            continue
-        bad = trained(samples, TOXIC_BYTES)
-        d = Distance(plain, bad)
-        x = np.array([d.features(t) for t in rest])
-        mean, scale = x.mean(0), x.std(0) + 1e-6
-        w = _logistic((x - mean) / scale, y, share)
-        p = np.clip(1 / (1 + np.exp(-np.clip(np.c_[np.ones(len(x)), (x - mean) / scale] @ w, -30, 30))), 1e-6, 1 - 1e-6)
-        loss = -(share * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()
-        if loss < least:
-            best, least = Model(plain, bad, tuple(mean), tuple(scale), tuple(w)), loss
-    return best
+    x = np.stack(got["x"].to_list()).reshape(len(y), len(toxic), 6)
+    tried = [(_curve(x[:, i], y, share), k) for i, k in enumerate(toxic)]
+    (_, parts), k = min(tried, key=lambda v: (v[0][0], v[1]))
+    return Model(ordinary, toxic[k], *parts)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -174,12 +225,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(id_col)).groupBy(F.col(id_col).alias("_ts_id")).agg(F.min("toxic").alias("_ts_y"), F.max("toxic").alias("_ts_z"))
     known = known.where("_ts_y = _ts_z").select("_ts_id", "_ts_y")
     rows = {r["_ts_y"]: r["count"] for r in known.groupBy("_ts_y").count().collect()}
+    if not rows.get(0) or not rows.get(1):
+        return Model()
     order = F.xxhash64("_ts_id")
     some = known.where("_ts_y = 1").orderBy(order, "_ts_id").limit(sample).unionByName(known.where("_ts_y = 0").orderBy(order, "_ts_id").limit(sample))
     # at most 2 * sample ids
-    met = docs.select(F.col(id_col).alias("_ts_id"), F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, SAMPLE_CHARS).alias("_ts_t")).join(F.broadcast(some), "_ts_id")
-    got = sorted(((r._ts_y, r._ts_id, r._ts_t) for r in met.limit(4 * sample).collect()), key=lambda r: (hash((r[1], 7)), r[1], r[2]))
-    return fit([t for y, _, t in got if y == 1], [t for y, _, t in got if y == 0], rows.get(1, 0), rows.get(0, 0))
+    met = docs.select(F.col(id_col).alias("_ts_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_ts_t")).join(F.broadcast(some), "_ts_id")
+    return fit(materialize(met.groupBy("_ts_id", "_ts_y").agg(F.min("_ts_t").alias("_ts_t"))), rows)
 
 
 def score(text: Column, model: Model) -> Column:
