@@ -5,31 +5,35 @@ telephones. Boosted trees score each candidate from its format (lengths, digits,
 context (the characters before and after, cue words); a threshold for each kind, calibrated on the training sample,
 selects what is added. The spans of the base rules stand whatever the score.
 
-Training: base hits of a bounded sample of documents (at most `SAMPLE_DOCS` of those with a digit run or an at sign) are
-rewritten in their place into the forms that the base rules miss. Spelled-out or spaced addresses, masked dots, cards in
+Training: base hits of a sample of documents (about `SAMPLE_DOCS` of those with a digit run or an at sign, drawn by a hash
+of id and text; all of fewer) are rewritten in their place into the forms that the base rules miss. Spelled-out or spaced addresses, masked dots, cards in
 dotted groups and telephones without country are positives; octets over 255, broken check digits, card runs too short
 for one, words in place of a top-level domain and runs like a telephone without cue or brackets are negatives, and so
 are the sample's own card runs of unsound check digit. Base spans themselves are no training rows, as none is ever
-added. Rows are whole-number features; equal rows are counted by Spark, so the driver sees at most `SAMPLE_ROWS` of
-them. Trees of depth two are fitted by gradient steps on the logistic loss and turned
+added. Rows are whole-number features; equal rows are counted by Spark, and the driver sees at most `SAMPLE_ROWS` of them,
+the first by a hash. Trees of depth two are fitted by gradient steps on the logistic loss and turned
 into CASE expressions, so scoring stays inside generated code. Thresholds are the least score at which the sample's
 precision is at least `PRECISION`, and never under `LEAST`.
 
+Candidates that touch a base span are set aside by running maxima and minima over a document's spans in their order, so
+a text with hundreds of thousands of them takes time in proportion.
+
 Nulls and edges: null text is empty; a text of any length is read whole; repeated rows give a row each; equal spans
-of one kind are one; an empty table gives no row; a sample without both classes adds nothing.
+of one kind are one; an empty table gives no row; a sample without both classes adds nothing. Only the two named columns
+are read, so others may have any name.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import table
-from tesserae.llm.spans import SPAN, count, digits, listed, luhn, spans
+from tesserae.llm.common import materialize, table
+from tesserae.llm.spans import PLACED, SPAN, count, digits, listed, luhn, spans
 
 KINDS = ["email", "ip", "card", "phone"]
-SAMPLE_DOCS, SAMPLE_ROWS, TREES, RATE, PRECISION, LEAST = 20_000, 5000, 12, 0.5, 0.99, 0.9
+SAMPLE_DOCS, SAMPLE_ROWS, TREES, RATE, PRECISION, LEAST = 20_000, 20_000, 12, 0.5, 0.99, 0.9
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 EMAIL = rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -38,7 +42,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Generators beyond the base rules, by kind.
 LOOSE = {
-    0: r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?)[A-Za-z0-9-]{1,63}){0,4}\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    0: r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?)[A-Za-z0-9-]++)++",
     1: r"(?<![0-9.])[0-9]{1,3}(?:\[\.\][0-9]{1,3}){3}(?![0-9.])",
     2: r"(?<![0-9+])[0-9]{4}(?:[.\x20-]?[0-9]{4}){2}[.\x20-]?[0-9]{1,7}(?![0-9])",
     3: r"(?<![0-9+.(])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
@@ -51,13 +55,15 @@ def _octets(m: Column) -> Column:
     return F.forall(F.split(m, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.substring(F.concat(F.lit("0"), F.ltrim(p, F.lit("0"))), 1, 4).cast("int") <= 255))
 
 
-def base_spans(t: Column) -> Column:
+def base_spans(t: Column, around: bool = False) -> Column:
     card = lambda m: F.length(digits(m)).between(14, 19) & luhn(digits(m))
-    return F.concat(spans(t, EMAIL, 0), spans(t, IP, 1, _octets), spans(t, CARD, 2, card), spans(t, PHONE, 3, lambda m: F.length(digits(m)).between(10, 15)))
+    phone = lambda m: F.length(digits(m)).between(10, 15)
+    return F.concat(spans(t, EMAIL, 0, around=around, needs=["@"]), spans(t, IP, 1, _octets, around), spans(t, CARD, 2, card, around), spans(t, PHONE, 3, phone, around, ["+"]))
 
 
 def candidates(t: Column) -> Column:
-    return F.concat(*[spans(t, p, k) for k, p in LOOSE.items()])
+    needs = {0: ["@", "(at)", "[at]"], 1: ["[.]"]}
+    return F.concat(*[spans(t, p, k, around=True, needs=needs.get(k)) for k, p in LOOSE.items()])
 
 
 def _sound(k: Column, m: Column) -> Column:
@@ -66,10 +72,10 @@ def _sound(k: Column, m: Column) -> Column:
     return F.when(k == 0, F.regexp_extract(m, "[A-Za-z]+$", 0).rlike(_TLD)).when(k == 1, _octets(F.regexp_replace(m, r"\[\.\]", "."))).when(k == 2, card).otherwise(False)
 
 
-def _features(x: Column, t: Column) -> list[Column]:
-    """Whole numbers that describe candidate x of text t."""
+def _features(x: Column) -> list[Column]:
+    """Whole numbers that describe candidate x."""
     m = x["t"]
-    before, after = F.lower(F.substring(t, F.greatest(F.lit(1), x["s"] - 15), F.least(F.lit(16), x["s"]))), F.substring(t, x["e"] + 1, F.lit(1))
+    before, after = F.lower(x["before"]), F.substring(x["after"], 1, 1)
     n = lambda p: F.length(F.regexp_replace(m, p, ""))
     cue = before.rlike(r"(?:mail|contact|write|tel|phone|call|fax|card|visa|pay|ip|host|server|address|from|to)\W{0,3}$")
     return [x["k"], F.length(m), n("[^0-9]"), n(r"[^\x20.()\[\]-]"), F.size(F.split(m, r"[^A-Za-z0-9]+")), n("[^A-Za-z]"), n("[^@]"), F.when(before.endswith("+"), 1).otherwise(0),
@@ -167,36 +173,57 @@ def _rewritten(k: Column, m: Column, after: Column) -> Column:
     return F.when(k == 0, F.array(*email)).when(k == 1, F.array(*ip)).when(k == 2, F.array(*card)).otherwise(F.array(*phone))
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Boosted:
-    """Fits on the candidates of a bounded sample of documents."""
-    some = docs.select(F.col(text_col).alias("t")).where(F.col(text_col).rlike("[0-9]{3}|@")).limit(SAMPLE_DOCS)
-    rows = some.select("t", base_spans(F.col("t")).alias("b"), candidates(F.col("t")).alias("c"))
+def free(rows: DataFrame) -> DataFrame:
+    """rows of r, base and cand -> (r, x): the candidates that touch no base span."""
+    marks = lambda c, n: rows.select("r", F.explode(c).alias("x")).select("r", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.lit(n).alias("c"), (F.col("x") if n else F.lit(None).cast(PLACED)).alias("x"))
+    order = Window.partitionBy("r").orderBy("s", "c", "e")
+    over = F.max(F.when(F.col("c") == 0, F.col("e"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    under = F.min(F.when(F.col("c") == 0, F.col("s"))).over(order.rowsBetween(0, Window.unboundedFollowing))
+    placed = marks("base", 0).unionByName(marks("cand", 1)).select("r", "s", "e", "c", "x", over.alias("over"), under.alias("under"))
+    return placed.where("c = 1 and coalesce(over <= s, true) and coalesce(under >= e, true)").select("r", "x")
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Boosted:
+    """Fits on the candidates of a sample of documents."""
+    eligible = docs.select(F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("h")).where(F.col(text_col).rlike("[0-9]{3}|@"))
+    n = eligible.count()
+    if not n:
+        return Boosted()
+    share = 1 << 20
+    some = eligible.where(F.pmod("h", F.lit(share)) < min(share, max(1, share * SAMPLE_DOCS // n)))
+    rows = some.select(F.monotonically_increasing_id().alias("r"), base_spans(F.col("t"), True).alias("base"), candidates(F.col("t")).alias("cand"))
+    rows = materialize(rows.where(F.size("base") + F.size("cand") > 0))
     # a base hit with what its features read of its surroundings
-    near = rows.select("t", F.explode("b").alias("x")).select(F.col("x.k").alias("k"), F.col("x.t").alias("m"), F.substring("t", F.greatest(F.lit(1), F.col("x.s") - 23), F.least(F.lit(24), F.col("x.s"))).alias("before"), F.substring("t", F.col("x.e") + 1, F.lit(24)).alias("after"))
+    near = rows.select(F.explode("base").alias("x")).select("x.k", F.col("x.t").alias("m"), "x.before", "x.after")
     near = near.repartition(docs.sparkSession.sparkContext.defaultParallelism)
     made = near.select("k", "before", "after", F.explode(_rewritten(F.col("k"), F.col("m"), F.col("after"))).alias("v")).where("v.form is not null")
     made = made.select("k", "v.y", F.concat("before", "v.pre").alias("before"), "v.form", F.concat("before", "v.pre", "v.form", "after").alias("t"))
-    made = made.select("*", candidates(F.col("t")).alias("c"), base_spans(F.col("t")).alias("b")).select("k", "y", "t", "b", F.length("before").alias("s"), F.length("form").alias("n"), F.explode("c").alias("x"))
-    made = made.where("x.k = k and x.s = s and x.e = s + n")
-    own = rows.select("t", "b", F.lit(0).alias("y"), F.explode("c").alias("x")).where("x.k = 2").where(~_sound(F.col("x.k"), F.col("x.t")))
-    free = ~F.exists("b", lambda v: (v["s"] < F.col("x.e")) & (F.col("x.s") < v["e"]))
-    rows = made.select("t", "b", "y", "x").unionByName(own).where(free)
-    f = _features(F.col("x"), F.col("t"))
-    got = rows.select("y", *[c.cast("int").alias(n) for c, n in zip(f, FEATURES, strict=True)]).groupBy("y", *FEATURES).count().orderBy(F.desc("count"), "y", *FEATURES).limit(SAMPLE_ROWS).collect()
+    made = made.select("k", "y", F.length("before").alias("s"), F.length("form").alias("n"), base_spans(F.col("t")).alias("b"), F.explode(candidates(F.col("t"))).alias("x")).where("x.k = k and x.s = s and x.e = s + n")
+    made = made.where(~F.exists("b", lambda v: (v["s"] < F.col("x.e")) & (F.col("x.s") < v["e"])))
+    own = free(rows.where(F.exists("cand", lambda x: x["k"] == 2))).where("x.k = 2").where(~_sound(F.col("x.k"), F.col("x.t")))
+    rows = made.select("y", "x").unionByName(own.select(F.lit(0).alias("y"), "x"))
+    counted = rows.select("y", *[c.cast("int").alias(n) for c, n in zip(_features(F.col("x")), FEATURES, strict=True)]).groupBy("y", *FEATURES).count()
+    got = counted.orderBy(F.xxhash64("y", *FEATURES), "y", *FEATURES).limit(SAMPLE_ROWS).collect()
     x = np.array([[r[n] for n in FEATURES] for r in got], float).reshape(-1, len(FEATURES))
     return Boosted().fit(x, np.array([r["y"] for r in got], float), np.array([r["count"] for r in got], float))
 
 
-def find(docs: DataFrame, model: Boosted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text, base and added spans of every document."""
+def find(docs: DataFrame, model: Boosted, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+    """id, text (if asked for), base and added spans of every document."""
     t = F.coalesce(F.col(text_col), F.lit(""))
+    d = docs.select(F.monotonically_increasing_id().alias("r"), F.col(id_col).alias("id"), t.alias("text"))
+    cand = candidates(F.col("text")) if model.trees else F.array().cast(f"array<{PLACED}>")
+    # the row's number is fixed by the scratch table
+    d = materialize(d.select("r", "id", *(["text"] if with_text else []), base_spans(F.col("text")).alias("base"), cand.alias("cand")))
     limit = F.array(*[F.lit(v) for v in model.limits])
-    d = docs.select(F.col(id_col).alias("id"), t.alias("text"))
-    # each generator runs once; what has no candidate is not looked at further
-    d = d.withColumn("base", base_spans(F.col("text"))).withColumn("cand", candidates(F.col("text")) if model.trees else F.array().cast(f"array<{SPAN}>"))
-    ok = lambda b: lambda x: ~F.exists(b, lambda v: (v["s"] < x["e"]) & (x["s"] < v["e"])) & (model.score(_features(x, F.col("text"))) >= F.get(limit, x["k"]))
-    added = F.when(F.size("cand") == 0, F.col("cand")).otherwise(F.array_distinct(F.filter("cand", ok(F.col("base")))))
-    return d.withColumn("added", added).select("id", "text", "base", "added")
+    some = free(d.where(F.size("cand") > 0).select("r", "base", "cand"))
+    some = some.where(model.score(_features(F.col("x"))) >= F.get(limit, F.col("x.k"))).select("r", F.struct("x.s", "x.k", "x.e", "x.t").alias("x"))
+    some = some.groupBy("r").agg(F.sort_array(F.collect_set("x")).alias("added"))
+    none = F.array().cast(f"array<{SPAN}>")
+    # what has no candidate costs no join
+    met = d.where(F.size("cand") > 0).join(some, "r", "left").withColumn("added", F.coalesce("added", none))
+    out = d.where(F.size("cand") == 0).withColumn("added", none).unionByName(met)
+    return out.select("id", *(["text"] if with_text else []), "base", "added")
 
 
 def redact(found: DataFrame) -> DataFrame:
@@ -209,7 +236,7 @@ def redact(found: DataFrame) -> DataFrame:
 
 def op5_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = find(docs, train(docs))
+    out = find(docs, train(docs), with_text=False)
     n = [count(F.col("base"), k).alias(f"n_{x}") for k, x in enumerate(KINDS)]
     return out.select(F.col("id").alias("doc_id"), *n, F.sha2(listed(F.col("base"), KINDS), 256).alias("base_sha256"), listed(F.concat("base", "added"), KINDS).alias("spans"))
 

@@ -13,7 +13,8 @@ Only candidates are exploded, and counts combine before each shuffle: by (hash,
 hash. A string that a third of all documents hold meets its class in a plain join that adaptive execution splits.
 
 Nulls and edges: null text is empty; a null owner counts as one owner, a null repository as one repository; repeated
-rows give a row each and count as one repository; ties in place go by kind.
+rows give a row each and count as one repository; ties in place go by kind; runs of any length are candidates; an empty
+table gives no row. Only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ KINDS = ["assign", "access", "hex", "provider", "signed", "mixed"]
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
 VALUE = r"""^[A-Za-z_]+["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
 ACCESS, HEX = r"AKIA[A-Z0-9]++", r"[0-9a-f]{24,}+"
-PROVIDER = r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{30,255}|xox[abprs]-[A-Za-z0-9-]{10,255}|sk_live_[A-Za-z0-9]{16,255}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9_])"
-SIGNED = r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,4096}\.eyJ[A-Za-z0-9_-]{8,4096}\.[A-Za-z0-9_-]{8,4096}(?![A-Za-z0-9_-])"
-MIXED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,64}[0-9])(?=[A-Za-z0-9+/_-]{0,64}[A-Z])(?=[A-Za-z0-9+/_-]{0,64}[a-z])[A-Za-z0-9+/_-]{32,128}(?![A-Za-z0-9+/_-])"
+PROVIDER = r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{30,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_live_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9_])"
+SIGNED = r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
+MIXED = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+"
 #: The kinds from this one on are not of the base rules.
 FURTHER = 3
 #: Repositories and owners that make a value live at most, and an example at least.
@@ -54,11 +55,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     t = F.coalesce(F.col(text_col), F.lit(""))
     found = F.concat(
         spans(t, ASSIGN, 0, lambda m: F.length(F.regexp_extract(m, VALUE, 1)) >= 6),
-        spans(t, ACCESS, 1, lambda m: F.length(m) >= 20),
+        spans(t, ACCESS, 1, lambda m: F.length(m) >= 20, needs=["AKIA"]),
         spans(t, HEX, 2),
-        spans(t, PROVIDER, 3),
-        spans(t, SIGNED, 4),
-        spans(t, MIXED, 5),
+        spans(t, PROVIDER, 3, needs=["gh", "xox", "sk_live_", "AIza"]),
+        spans(t, SIGNED, 4, needs=["eyJ"]),
+        spans(t, MIXED, 5, lambda m: m.rlike("[0-9]") & m.rlike("[A-Z]") & m.rlike("[a-z]")),
     )
     # the row's number is fixed by the scratch table
     narrow = materialize(docs.select(F.monotonically_increasing_id().alias("r"), F.col(id_col).alias("id"), F.col(repo_col or id_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.transform(found, _hashed).alias("found")))
