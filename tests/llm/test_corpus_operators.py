@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.llm import decontam, embeddings, html, line_dedup, near_dedup, packing, pii, secrets, tokens, toxicity
+from tesserae.llm import decontam, embeddings, line_dedup, near_dedup, packing, pii, secrets, tokens, toxicity
 from tesserae.llm.spans import spans
 from tesserae.llm.token_counts import TokenRollup
 
@@ -156,26 +156,6 @@ def test_embeddings(spark):
         assert all(got[i].n_links == 0 and got[i].kept for i in range(900, 905))
 
 
-def test_html():
-    page = """<html><head><title>t</title><script>if (a<b) "</p>"</script><body><header><p>Site</p></header><nav><ul><li><a href=x>Home</a><li>About</ul></nav>
-    <div class="cookie-notice">We use cookies</div><article><h1>A &amp; B</h1><p>First <b>bold<br>text.<p>Second&nbsp;one, &copy; here.</p><div class="ad">Buy</div></article>
-    <div id="comments"><p>Nice post!</p></div><form><p>Mail</p></form><footer>&copy; x"""
-    w = html.fit([page])
-    assert html.main_text(page, w) == "A & B\n\nFirst bold text.\n\nSecond one, © here."
-    assert html.main_text(None, w) == html.main_text("", w) == ""
-
-
-def test_least_cut_is_least():
-    r = np.random.default_rng(0)
-    for _ in range(60):
-        n = 7
-        gain = r.normal(size=n).tolist()
-        edges = {(i, j): float(r.random()) for i in range(n) for j in range(i + 1, n) if r.random() < 0.5}
-        cost = lambda s: sum((g < 0) * -g if x else (g > 0) * g for g, x in zip(gain, s, strict=True)) + sum(c for (i, j), c in edges.items() if s[i] != s[j])  # noqa: B023, E731
-        best = min(cost([bool(k >> i & 1) for i in range(n)]) for k in range(1 << n))
-        assert cost(html.least_cut(gain, edges)) == pytest.approx(best)
-
-
 def test_encoder_and_packing(spark):
     texts = ["It's a test, ABC's <|endoftext|> x.", "İstanbul ΣΑΣ é \x1cfoo １２ nbsp\xa0x %%% a.b!", None, "", "word " * 9000, "one two", "one two"]
     enc = tokens.Encoder(tokens.default_path())
