@@ -3,16 +3,20 @@
 Equal vectors of a label collapse into one class first. Classes are dealt into shards of about `SHARD_ROWS` of one
 label; each shard gets a hierarchical graph: levels fall off geometrically by a hash of the id, a level is built from
 the top down in batches, and a node keeps neighbours that are nearer to it than to each other. Every class queries
-every shard of its label, blocks of queries against one graph a task. A beam that ends full of matches widens until
-its last entry is none; after each block a sample of its queries is compared with a full scan, and all beams widen
-until the recall passes. Cosines are in double precision throughout.
+every shard of its label: each two shards of a label are one group of their own, which searches either's graph with the
+other's vectors, so a label of any size is dealt over all tasks. A link counts for both ends if either search found it.
+A beam that ends full of matches widens until its last entry is none. Then a sample of the queries is compared with a
+scan, links of a vector with itself left out, and the sample grows until it has seen `AUDIT_LINKS` true links or every
+query; all beams widen until the recall passes, and what no beam mends is scanned. recall() reports these audits by
+label. Cosines are in double precision throughout, of vectors that are first scaled by their largest part.
 
 A task returns, for each query, the number of vectors it found, and a forest that joins what it found: at most one
 edge for each class it saw, however many links a group of near copies has. Components come from these forests.
 
 Nulls and edges: null labels, null or zero vectors and those with null or non-finite parts link with nothing and
 stand alone; vectors of different lengths never link; every row counts as a vector of its own, so a repeated row is
-linked with its twin; rows that share a vec_id have one component.
+linked with its twin; rows that share a vec_id have one component; an empty table gives no row. Only the three named
+columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -25,7 +29,12 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import connected_components, materialize, table
 
-THRESHOLD, SHARD_ROWS, M, BEAM, BATCH, AUDIT, RECALL = 0.98, 4096, 16, 48, 512, 24, 0.999
+THRESHOLD, SHARD_ROWS, M, BEAM, BATCH, RECALL = 0.98, 4096, 16, 48, 512, 0.999
+#: Queries that an audit compares at once, and the true links that it sees at least if there are any.
+AUDIT, AUDIT_LINKS = 256, 50
+#: Tasks that pairs of shards are dealt over at most.
+PAIR_TASKS = 20_000
+FOUND = "label string, u long, v long, n long, seen long, hit long"
 
 
 def _pick(x: np.ndarray, own: np.ndarray, cand: np.ndarray, sim: np.ndarray, m: int) -> np.ndarray:
@@ -143,18 +152,12 @@ class Graph:
             start = ids
         return start
 
-    def within(self, q: np.ndarray, threshold: float, beam: int = BEAM) -> list[np.ndarray]:
-        """For each query the nodes of at least that cosine."""
-        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(q)
-        todo, n = np.arange(len(q)), len(self.x)
+    def within(self, q: np.ndarray, threshold: float, beam: int = BEAM) -> np.ndarray:
+        """For each query and node whether the search found a cosine of at least the threshold."""
+        n, todo = len(self.x), np.arange(len(q))
+        out = np.zeros((len(q), n), bool)
         while len(todo):
-            if 2 * beam >= n:  # a beam as wide as half the graph is a scan
-                for lo in range(0, len(todo), BATCH):
-                    s = q[todo[lo : lo + BATCH]] @ self.x.T
-                    for i, r in zip(todo[lo : lo + BATCH], s, strict=True):
-                        out[i] = np.flatnonzero(r >= threshold)
-                break
-            more = []
+            beam, more = min(beam, n), []
             for lo in range(0, len(todo), BATCH):
                 part = todo[lo : lo + BATCH]
                 start = np.repeat(self.layers[0][0][:1, None].astype(np.int32), len(part), 0)
@@ -162,52 +165,70 @@ class Graph:
                     start = self._beam(q[part], table, start, 8)[0]
                 ids, sim = self._beam(q[part], self.layers[-1][1], start, beam)
                 hit = (sim >= threshold) & (ids >= 0)
-                for i, a, h in zip(part, ids, hit, strict=True):
-                    out[i] = a[h].astype(np.int64)
+                out[np.repeat(part, hit.sum(1)), ids[hit]] = True
                 more.append(part[hit.all(1)])
+            if beam == n:
+                break
             todo, beam = np.concatenate(more), 4 * beam
         return out
 
 
-def audited(g: Graph, q: np.ndarray, threshold: float) -> list[np.ndarray]:
-    """within(), with beams that widen until a scan of some of the queries finds no more than they did."""
-    beam = BEAM
-    some = np.unique(np.linspace(0, len(q) - 1, AUDIT).astype(int))
-    true = (q[some] @ g.x.T >= threshold).sum(1)
+def linked(g: Graph, h: Graph | None, threshold: float, beam: int = BEAM) -> tuple[np.ndarray, int, int]:
+    """Links of g's nodes with h's (None: among g's own), and how many true ones the last audit saw and had found."""
+    other = g if h is None else h
+    order = np.random.default_rng(0).permutation(len(g.x))
     while True:
-        got = g.within(q, threshold, beam)
-        if 2 * beam >= len(g.x) or sum(len(got[i]) for i in some) >= RECALL * true.sum():
-            return got
+        hit = other.within(g.x, threshold, beam)
+        hit |= hit.T if h is None else g.within(h.x, threshold, beam).T
+        seen = found = 0
+        for lo in range(0, len(order), AUDIT):
+            some = order[lo : lo + AUDIT]
+            true = g.x[some] @ other.x.T >= threshold
+            if h is None:
+                true[np.arange(len(some)), some] = False
+            seen, found = seen + int(true.sum()), found + int((true & hit[some]).sum())
+            if seen >= AUDIT_LINKS:
+                break
+        if found >= RECALL * seen:
+            break
+        if beam >= max(len(g.x), len(other.x)):
+            for lo in range(0, len(g.x), BATCH):
+                hit[lo : lo + BATCH] |= g.x[lo : lo + BATCH] @ other.x.T >= threshold
+            break
         beam *= 4
-
-
-def _forest(pairs: np.ndarray, n: int) -> np.ndarray:
-    """Rows of pairs that join all that the pairs join."""
-    up = np.arange(n)
-
-    def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    keep = []
-    for k, (a, b) in enumerate(pairs):
-        a, b = root(a), root(b)
-        if a != b:
-            up[max(a, b)] = min(a, b)
-            keep.append(k)
-    return pairs[keep]
+    if h is None:
+        np.fill_diagonal(hit, False)
+    return hit, seen, found
+
+
+def forest(hit: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """Edges (row, column) that join all that the links join; same: rows and columns are the same nodes."""
+    rows, cols = np.zeros(hit.shape[0], bool), np.zeros(hit.shape[1], bool)
+    if same:
+        cols = rows
+    out = []
+    for start in np.flatnonzero(hit.any(1)):
+        if rows[start]:
+            continue
+        rows[start], todo = True, [(start, True)]
+        while todo:
+            k, row = todo.pop()
+            near = np.flatnonzero((hit[k] & ~cols) if row else (hit[:, k] & ~rows))
+            (cols if row else rows)[near] = True
+            out += [(k, j) if row else (j, k) for j in near]
+            todo += [(j, same or not row) for j in near]
+    return out
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("node", kind="stable")
     ids, m = pdf["node"].to_numpy(np.int64), pdf["m"].to_numpy(np.int64)
     x = np.stack(pdf["v"].to_list()).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     g = Graph(x, ids)
     layers = b"".join(np.int64([len(n), t.shape[1]]).tobytes() + n.astype(np.int64).tobytes() + t.tobytes() for n, t in g.layers)
-    return pd.DataFrame({"label": [pdf["label"].iloc[0]], "dim": [int(x.shape[1])], "shard": [int(pdf["shard"].iloc[0])], "ids": [ids.tobytes()], "ms": [m.tobytes()], "xs": [x.tobytes()], "graph": [layers]})
+    return pd.DataFrame({"label": [pdf["label"].iloc[0]], "dim": [int(x.shape[1])], "shard": [int(pdf["shard"].iloc[0])], "ids": [ids.tobytes()], "hs": [pdf["a"].to_numpy(np.int64).tobytes()], "ms": [m.tobytes()], "xs": [x.tobytes()], "graph": [layers]})
 
 
 def _load(x: np.ndarray, raw: bytes) -> Graph:
@@ -225,21 +246,42 @@ def _query(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in pdf.itertuples():
-            ids, ms, qids = (np.frombuffer(b, np.int64) for b in (r.ids, r.ms, r.qids))
-            x, q = (np.frombuffer(b, np.float64).reshape(-1, r.dim) for b in (r.xs, r.qxs))
-            found = audited(_load(x, r.graph), q, threshold)
-            both, back = np.unique(np.concatenate([ids, qids]), return_inverse=True)
-            own = qids[:, None]
-            n = [int(ms[f].sum()) - (int(ms[f[ids[f] == i]].sum())) for f, i in zip(found, own[:, 0], strict=True)]
-            pairs = np.concatenate([np.stack([np.full(len(f), back[len(ids) + k]), back[f]], 1) for k, f in enumerate(found)])
-            pairs = _forest(pairs[pairs[:, 0] != pairs[:, 1]], len(both))
-            out.append(pd.DataFrame({"u": qids, "v": pd.array([None] * len(qids), "Int64"), "n": n}))
-            out.append(pd.DataFrame({"u": both[pairs[:, 0]], "v": pd.array(both[pairs[:, 1]], "Int64"), "n": 0}))
+            sides = [(r.a_ids, r.a_hs, r.a_ms, r.a_xs, r.a_graph)] + ([(r.b_ids, r.b_hs, r.b_ms, r.b_xs, r.b_graph)] if r.a != r.b else [])
+            (ids, hs, ms, g), *rest = [(*(np.frombuffer(x, np.int64) for x in (i, h, m)), _load(np.frombuffer(x, np.float64).reshape(-1, r.dim), y)) for i, h, m, x, y in sides]
+            oids, ohs, oms, other = rest[0] if rest else (ids, hs, ms, None)
+            hit, seen, found = linked(g, other, threshold)
+            u, n = (np.concatenate([hs, ohs]), np.concatenate([hit @ oms, ms @ hit])) if rest else (hs, hit @ ms)
+            edges = np.array(forest(hit, not rest), np.int64).reshape(-1, 2)
+            whole = lambda x: pd.array(x, "Int64")
+            out.append(pd.DataFrame({"label": r.label, "u": whole(u[n > 0]), "v": whole([None] * int((n > 0).sum())), "n": n[n > 0], "seen": 0, "hit": 0}))
+            out.append(pd.DataFrame({"label": r.label, "u": whole(ids[edges[:, 0]]), "v": whole(oids[edges[:, 1]]), "n": 0, "seen": 0, "hit": 0}))
+            out.append(pd.DataFrame({"label": [r.label], "u": whole([None]), "v": whole([None]), "n": 0, "seen": seen, "hit": found}))
         return pd.concat(out)
 
     return run
 
 
+def search(classes: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """classes: label, dim, node, a (hash of the vector), m, v -> rows FOUND: links of the class of hash u (v null), edges
+    (u, v) that join nodes, audits (u null)."""
+    counts = classes.groupBy("label", "dim").count().select("label", "dim", F.ceil(F.col("count") / shard_rows).cast("int").alias("k"))
+    dealt = classes.join(counts, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    graphs = materialize(dealt.groupBy("label", "dim", "shard").applyInPandas(_build, "label string, dim int, shard int, ids binary, hs binary, ms binary, xs binary, graph binary"))
+    shards = graphs.select("label", "dim", "shard")
+    # the shards of a label once with each other and themselves
+    pairs = materialize(shards.withColumnRenamed("shard", "a").join(shards.withColumnRenamed("shard", "b"), ["label", "dim"]).where("a <= b"))
+    side = lambda s: graphs.select("label", "dim", F.col("shard").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("ids", "hs", "ms", "xs", "graph")])
+    met = pairs.join(side("a"), ["label", "dim", "a"]).join(side("b"), ["label", "dim", "b"])
+    n = min(max(1, pairs.count()), PAIR_TASKS)
+    keys = ["label", "dim", "a", "b"]
+    return met.repartition(n, *keys).groupBy(*keys).applyInPandas(_query(threshold), FOUND)
+
+
+def recall(found: DataFrame) -> DataFrame:
+    """label, seen, hit: the true links that the audits saw and those that the searches had found."""
+    return found.where("u is null").groupBy("label").agg(F.sum("seen").alias("seen"), F.sum("hit").alias("hit"))
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """id, n_links, component_id, kept of every row."""
     v = F.col(vec_col).cast("array<double>")
@@ -247,15 +289,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), v.alias("v"), F.coalesce(fine, F.lit(False)).alias("fine"))
     rows = rows.withColumn("a", F.xxhash64("label", "v")).withColumn("b", F.xxhash64(F.lit(7), "label", "v"))
     classes = materialize(rows.where("fine").groupBy("label", "a", "b").agg(F.min("id").alias("node"), F.count("*").alias("m"), F.first("v").alias("v")).withColumn("dim", F.size("v")))
-    counts = classes.groupBy("label", "dim").count().select("label", "dim", F.ceil(F.col("count") / shard_rows).cast("int").alias("k"))
-    dealt = classes.join(counts, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("a"), F.col("k")).cast("int"))
-    graphs = materialize(dealt.groupBy("label", "dim", "shard").applyInPandas(_build, "label string, dim int, shard int, ids binary, ms binary, xs binary, graph binary"))
-    asked = graphs.select("label", "dim", F.col("shard").alias("qshard"), F.col("ids").alias("qids"), F.col("xs").alias("qxs"))
-    met = graphs.join(asked.hint("shuffle_hash"), ["label", "dim"])
-    found = materialize(met.groupBy("label", "dim", "shard", "qshard").applyInPandas(_query(threshold), "u long, v long, n long"))
-    links = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
+    found = materialize(search(classes, threshold, shard_rows))
+    links = found.where("u is not null and v is null").groupBy("label", F.col("u").alias("a")).agg(F.sum("n").alias("n"))
     comp = connected_components(found.where("v is not null").select("u", "v"))
-    known = classes.select("label", "a", "b", "node", "m").join(links, "node", "left").join(comp, "node", "left")
+    known = classes.select("label", "a", "b", "node", "m").join(links, ["label", "a"], "left").join(comp, "node", "left")
     known = materialize(known.selectExpr("a", "b", "m - 1 + coalesce(n, 0) n_links", "coalesce(component, node) component_id"))
     out = rows.where("fine").select("id", "a", "b").join(known, ["a", "b"]).select("id", "n_links", "component_id")
     alone = rows.where("not fine").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
