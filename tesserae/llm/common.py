@@ -31,30 +31,44 @@ def scratch_dir(spark: SparkSession) -> str:
     return named
 
 
+def keep_until_end(spark: SparkSession, path: str) -> str:
+    """path, which goes when the driver ends if no one frees it before."""
+    if not _scratch:
+        atexit.register(clean)
+    _scratch.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends there, and a lost
-    executor costs a re-read only. The tables go when the driver ends."""
+    executor costs a re-read only. The tables go when the driver ends, or with free()."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tesserae-{uuid.uuid4().hex}"
+    path = keep_until_end(spark, f"{scratch_dir(spark)}/tesserae-{uuid.uuid4().hex}")
     if partitions:
         df = df.coalesce(partitions)
     df.write.option("compression", "zstd").parquet(path)
-    if not _scratch:
-        atexit.register(clean)
-    _scratch.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held() -> list[str]:
+    """The scratch tables of this driver."""
+    return [path for _, path in _scratch]
+
+
+def free(paths: list[str]) -> None:
+    """Deletes scratch tables that nothing reads any more."""
+    for spark, path in [x for x in _scratch if x[1] in set(paths)]:
+        _scratch.remove((spark, path))
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def clean() -> None:
-    """Deletes the scratch tables of this driver."""
-    while _scratch:
-        spark, path = _scratch.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the JVM may be gone at exit; the folder is the cluster's scratch
-            return
+    """Deletes all scratch tables of this driver."""
+    try:
+        free(held())
+    except Exception:  # noqa: BLE001  the JVM may be gone at exit; the folder is the cluster's scratch
+        _scratch.clear()
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
