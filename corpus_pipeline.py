@@ -1,16 +1,18 @@
 """From raw documents to packed training sequences: toxicity, line dedup, near-duplicates, decontamination, packing.
 
 Each stage takes what its predecessor kept, and all but the last return the columns of documents.
-Rows without text pass the filters; rows that share a doc_id count as one document for the near-duplicate stage.
+Rows without text pass the filters. Rows that share a doc_id, and those without one, are documents of their own: the
+near-duplicate stage keeps all whose texts are no near copies. An empty table stays empty; columns beyond those of
+documents are kept by all stages but packing. A stage's scratch tables go when its output is written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import decontam, line_dedup, near_dedup, packing, toxicity
-from tesserae.llm.common import materialize, small, table
+from tesserae.llm.common import free, held, materialize, small, table
 
 NEAR_PERCENT = 80
 #: Share of a host's pages over which a line goes; op4's SQL has 5 %, which leaves most repeated lines.
@@ -33,16 +35,17 @@ def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest id."""
-    found = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT)
-    gone = small(materialize(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_ts_id")).distinct()))
-    kept = docs.join(gone, F.col("doc_id") == F.col("_ts_id"), "left_anti")
-    twice = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_ts_id")))
-    if twice.limit(1).count() == 0:
-        return kept
-    twice = small(twice)
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    one = kept.join(twice, F.col("doc_id") == F.col("_ts_id"), "left_semi").withColumn("_ts_n", F.row_number().over(first)).where("_ts_n = 1")
-    return kept.join(twice, F.col("doc_id") == F.col("_ts_id"), "left_anti").unionByName(one.select(*docs.columns))
+    ids = docs.groupBy("doc_id").count()
+    if ids.where("doc_id is null or count > 1").limit(1).count() == 0:
+        found = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT)
+        gone = small(materialize(found.where("not kept").select(F.col("doc_id").alias("_ts_id"))))
+        return docs.join(gone, F.col("doc_id") == F.col("_ts_id"), "left_anti")
+    # ids that do not tell rows apart: rows are numbered, and the numbers fixed by a scratch table
+    rows = materialize(docs.withColumn("_ts_row", F.monotonically_increasing_id()))
+    found = near_dedup.near_duplicates(rows.select("_ts_row", "text"), "_ts_row", percent=NEAR_PERCENT).select("_ts_row", "component_id")
+    placed = materialize(found.join(rows.select("_ts_row", "doc_id"), "_ts_row"))
+    first = placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_ts_row")).alias("first"))
+    return rows.join(first.select(F.col("first._ts_row").alias("_ts_row")), "_ts_row", "left_semi").drop("_ts_row")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,14 +65,18 @@ STAGES = [
     ("decontamination", drop_benchmark_leaks),
     ("packing", pack),
 ]
-#: Compression lengths, MinHash components and token ids are beyond SQL; tests/llm holds the stages against brute force.
+#: Compression lengths, MinHash components and token ids are beyond SQL; tests/llm/test_pipeline.py holds run() and each
+#: stage against plain Python on a fixture.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
+        before = held()
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
+            mine = set(held()) - set(before)
             docs = materialize(docs)
+            free(list(mine | set(before[-1:] if k else [])))
     return docs
