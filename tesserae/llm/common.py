@@ -46,7 +46,8 @@ def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
     path = keep_until_end(spark, f"{scratch_dir(spark)}/tesserae-{uuid.uuid4().hex}")
     if partitions:
         df = df.coalesce(partitions)
-    df.write.option("compression", "zstd").parquet(path)
+    # small row groups: a writer holds one in memory
+    df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

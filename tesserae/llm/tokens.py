@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+
 def _pattern() -> re.Pattern:
     """The tokenizer's pattern over lower-cased text below U+0250, of which only the number of pieces is used."""
     kinds = {"L": "", "N": ""}
@@ -32,7 +33,7 @@ _PIECES = _pattern().findall
 #: What is not lower-cased and composed letter by letter.
 _BEYOND = re.compile("[İɐ-\U0010ffff]").search
 #: Words that a worker remembers, besides those of the texts at hand.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 400_000
 
 
 def default_path() -> str:
