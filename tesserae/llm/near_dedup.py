@@ -6,15 +6,19 @@ Classes that share a band key are candidates; the packed signatures give a colli
 counts, and what passes a wide margin is confirmed on full sets.
 
 Groups never meet as pairs. Each bucket first links its members to its smallest one (a star), a few bands at a
-time; the components of the confirmed links make most pairs needless. Pairs inside a bucket that are still in different components are
-then compared, all of them, so that no link between components is lost: there is no cap. Most of those are a little
-under the threshold, so their documents get a second, wider signature first.
+time; the components of the confirmed links make most pairs needless. Documents whose buckets still hold several
+components are then paired where they share a band and a rare shingle: two sets of this similarity have a shingle in
+common among the first of each in any one order, and how many are the first follows from the sizes (prefix filtering, in
+classes of sizes `STEP` apart, for each two classes that the threshold allows). The order is by how many of these
+documents have a shingle, rarest first, so what copies of a template have in common seldom is among the first. That
+loses no pair: there is no cap.
 
 Chance of missing a pair at the threshold 0.85: (1 - 0.85^4)^24 = 2e-8 by the bands, and 3e-7 by the margin of
-five standard deviations on each estimate.
+five standard deviations on the estimate.
 
 Nulls and edges: null or empty text and text of white space have an empty set, link with nothing and stay. Rows
-that share a doc_id count as one document. A row without doc_id takes no part: component_id null, kept true.
+that share a doc_id count as one document. A row without doc_id takes no part: component_id null, kept true. An empty
+table gives no row. Only the two named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -32,8 +36,8 @@ from tesserae.llm.common import connected_components, materialize, small, table
 WORDS, BANDS, ROWS, BITS = 5, 24, 4, 4
 #: Minima in all; the first BANDS * ROWS make the bands, all make the signature.
 MINIMA, MARGIN = 384, 5
-#: Minima and bits of the second signature.
-WIDE, WIDE_BITS = 2048, 2
+#: Ratio of the sizes where one class of sizes ends and the next begins.
+STEP = 1.03
 #: Bands whose stars are linked together; later rounds see only what earlier ones left apart.
 ROUNDS = ((0, 3), (3, 10), (10, BANDS))
 #: Bytes of text that are worked on at once.
@@ -145,26 +149,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(k0), pa.array(k1), _lists(bands, BANDS), _lists(sig, sig.shape[1])], ["id", "n", "k0", "k1", "bands", "sig"])
 
 
-def _widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
-    xor, mul = (np.array(_seeds(WIDE, k), np.uint64) for k in (3, 4))
-    mul |= np.uint64(1)
-    per = 64 // WIDE_BITS
     for part, texts in chunks(batches):
         sets = shingle_sets(texts, known)
-        n = np.array([len(x) for x in sets], np.int64)
-        full = np.flatnonzero(n)
-        wide = np.zeros((len(n), WIDE // per), np.int64)
-        if len(full):
-            s, at = np.concatenate([sets[i] for i in full]), np.concatenate([[0], np.cumsum(n[full])[:-1]])
-            with np.errstate(over="ignore"):
-                for k in range(WIDE // per):
-                    x = np.zeros(len(full), np.uint64)
-                    for j in range(per):
-                        low = _mix(np.minimum.reduceat((s ^ xor[k * per + j]) * mul[k * per + j], at))
-                        x |= (low & np.uint64((1 << WIDE_BITS) - 1)) << np.uint64(WIDE_BITS * j)
-                    wide[full, k] = x.view(np.int64)
-        yield pa.RecordBatch.from_arrays([part.column(0), _lists(wide, wide.shape[1])], ["id", "wide"])
+        ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["node", "hs"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,14 +191,6 @@ def _estimate(x: str, y: str):
     return (1 - differ / MINIMA - chance) / (1 - chance)
 
 
-def _wide_estimate(x: str, y: str):
-    """The same of two wide signatures, of two bits a minimum."""
-    mask = int("01" * 32, 2)
-    differ = F.expr(f"aggregate(zip_with({x}, {y}, (x, y) -> bit_count(((x ^ y) | shiftrightunsigned(x ^ y, 1)) & {mask}L)), 0, (n, c) -> n + c)")
-    chance = 2.0**-WIDE_BITS
-    return (1 - differ / WIDE - chance) / (1 - chance)
-
-
 def _least(percent: int, minima: int, bits: int) -> float:
     """The estimate that a pair at the threshold exceeds but by MARGIN standard deviations."""
     chance, p = 2.0**-bits, percent / 100
@@ -216,11 +198,32 @@ def _least(percent: int, minima: int, bits: int) -> float:
     return p - MARGIN * (q * (1 - q) / minima) ** 0.5 / (1 - chance)
 
 
+def _classes(percent: int) -> int:
+    """How many classes of sizes apart two sets of this similarity are at most."""
+    return int(np.ceil(np.log(100 / percent) / np.log(STEP))) + 1
+
+
+def _prefixed(nodes: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """nodes: node, n (of each of its texts, if it has several); tokens: node, h (every shingle of each) -> node, h, lo, hi, small: the shingles by which a node meets
+    those of the classes of sizes lo and hi, as the smaller or the larger of both (either, in its own class)."""
+    # a shingle of one node only stands before all others, and meets none
+    often = tokens.groupBy("h").count().where("count > 1")
+    ranked = tokens.join(often, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "h"))).alias("hs"))
+    ranked = ranked.join(nodes.select("node", "n"), "node").select("node", "n", (F.col("n") - F.size("hs")).alias("alone"), F.posexplode("hs").alias("p", "x"))
+    own, share = F.floor(F.log("n") / np.log(STEP)).cast("int"), percent / (100 + percent)
+    k = F.explode(F.expr(f"sequence(-{_classes(percent)}, {_classes(percent)})"))
+    at = ranked.select("node", "n", (F.col("alone") + F.col("p")).alias("before"), F.col("x.h").alias("h"), own.alias("c"), k.alias("k"))
+    # the overlap that the least size of the other's class calls for, with a hair for rounding
+    need = F.ceil(share * (F.col("n") + F.pow(F.lit(STEP), F.col("c") + F.col("k"))) - 1e-6)
+    at = at.where(F.col("before") < F.col("n") - need + 1)
+    return at.select("node", "h", F.least("c", F.col("c") + F.col("k")).alias("lo"), F.greatest("c", F.col("c") + F.col("k")).alias("hi"), (F.col("k") >= 0).alias("small"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """(id, n_shingles, component_id, kept) per row of docs; links where 100 * intersection >= percent * union."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     s = materialize(docs.mapInArrow(_sign, "id long, n long, k0 long, k1 long, bands array<long>, sig array<long>"))
-    least, wide_least = _least(percent, MINIMA, BITS), _least(percent, WIDE, WIDE_BITS)
+    least = _least(percent, MINIMA, BITS)
     # one node for each set: its smallest id
     nodes = materialize(s.where("n > 0 and id is not null").groupBy("k0", "k1").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     buckets = nodes.select("node", F.posexplode("bands").alias("i", "b"))
@@ -252,19 +255,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = materialize(confirmed(estimated(apart.selectExpr("p u", "node v").distinct())).unionByName(links).distinct())
         comp = connected_components(links)
     # members of buckets that still hold several components
-    placed = members.join(comp, "node", "left").selectExpr("b", "i", "p", "node", "coalesce(component, node) c")
+    placed = members.join(comp, "node", "left").selectExpr("b", "i", "node", "coalesce(component, node) c")
     open_ = placed.groupBy("b").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("b")
-    placed = materialize(placed.join(open_, "b"))
-    main = placed.groupBy("b", "c").count().groupBy("b").agg(F.max_by("c", F.struct("count", "c")).alias("m"))
-    ids = small(materialize(placed.select(F.col("node").alias("id")).distinct()))
-    wide = materialize(docs.join(ids, "id", "left_semi").mapInArrow(_widen, "id long, wide array<long>")).withColumnRenamed("id", "node")
-    rest = placed.join(main, "b").join(nodes.select("node", "sig", "bands"), "node").join(wide, "node")
-    rest = materialize(rest.select("b", "i", "p", "node", "c", "sig", "bands", "wide", (F.col("c") == F.col("m")).alias("is_main")))
-    l, r = rest.selectExpr("b", "i", "p", "node u", "c cu", "sig su", "bands bu", "wide wu", "is_main"), rest.where("not is_main").selectExpr("b", "node v", "c cv", "sig sv", "bands bv", "wide wv")
-    pairs = l.join(r, "b").where("cu <> cv and (is_main or u < v) and u <> p and v <> p").where(_estimate("su", "sv") >= least)
-    # a pair of several buckets counts in the first
-    pairs = pairs.where("array_position(zip_with(bu, bv, (x, y) -> x = y), true) = i + 1").where(_wide_estimate("wu", "wv") >= wide_least)
-    more = confirmed(pairs.selectExpr("least(u, v) u", "greatest(u, v) v").distinct())
+    rest = materialize(placed.join(open_, "b").select("node", "c").distinct().join(s.where("n > 0 and id is not null").selectExpr("id node", "n").distinct(), "node"))
+    ids = small(materialize(rest.select(F.col("node").alias("id")).distinct()))
+    tokens = materialize(docs.join(ids, "id", "left_semi").mapInArrow(_shingles, "node long, hs array<long>")).select("node", F.explode("hs").alias("h")).distinct()
+    met = materialize(_prefixed(rest, tokens, percent).join(rest.select("node", "c").distinct(), "node"))
+    # the largest component of a place never meets itself
+    place = ["h", "lo", "hi"]
+    main = met.groupBy(*place, "c").count().groupBy(*place).agg(F.max_by("c", F.struct("count", "c")).alias("m"), F.count("*").alias("components")).where("components > 1")
+    met = met.join(main.select(*place, "m"), place)
+    l, r = met.selectExpr(*place, "node u", "c cu", "small su", "m"), met.where("c <> m").selectExpr(*place, "node v", "c cv", "small sv")
+    pairs = l.join(r, place).where("cu <> cv and (lo = hi or su <> sv) and (cu = m or u < v)").selectExpr("least(u, v) u", "greatest(u, v) v").distinct()
+    bands = nodes.select("node", "bands")
+    pairs = pairs.join(bands.selectExpr("node u", "bands bu"), "u").join(bands.selectExpr("node v", "bands bv"), "v").where("exists(zip_with(bu, bv, (x, y) -> x = y), z -> z)").select("u", "v")
+    more = confirmed(estimated(pairs))
     comp = connected_components(links.unionByName(more))
     classes = materialize(nodes.join(comp, "node", "left").selectExpr("k0", "k1", "coalesce(component, node) component"))
     alone = s.where("n = 0 or id is null").selectExpr("id", "n n_shingles", "id component_id", "true kept")
