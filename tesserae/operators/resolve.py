@@ -15,34 +15,52 @@ def posting_sizes(index: DataFrame) -> DataFrame:
     return index.groupBy("token").agg(F.count("*").alias("n"))
 
 
-def within_budget(tokens: DataFrame, budget: int) -> DataFrame:
-    """tokens (form, token, n) that a form may ask for: rarest first, the rarest always; one that would go over the
-    budget is passed over and the next is tried."""
-    sort = F.array_sort(F.collect_list(F.struct("n", "token")))
-    step = lambda acc, t: F.when((F.size(acc["x"]) == 0) | (acc["s"] + t["n"] <= budget), F.struct((acc["s"] + t["n"]).alias("s"), F.concat(acc["x"], F.array(t["token"])).alias("x"))).otherwise(acc)
-    start = F.struct(F.lit(0).cast("long").alias("s"), F.array().cast("array<string>").alias("x"))
-    return tokens.groupBy("form").agg(sort.alias("t")).select("form", F.explode(F.aggregate("t", start, step)["x"]).alias("token"))
-
-
-def rank_names(df: DataFrame, name: Column, query: str) -> DataFrame:
-    """df with rank: 0 equal, 1 one begins with the other, 2 contains the query; others go."""
+def within_budget(tokens: DataFrame, index: DataFrame, budget: int) -> DataFrame:
+    """(form, token, n, used) of tokens (form, token, n): rarest first, the rarest always; one that would take the distinct
+    entries so far and its own list over the budget is passed over and the next is tried. index: token, id.
+
+    A list longer than the budget can only be used as a form's rarest, and then alone, so only shorter ones are put into
+    arrays; no array of a form holds more than the budget."""
+    ranked = tokens.withColumn("_r", F.row_number().over(Window.partitionBy("form").orderBy("n", "token")))
+    lists = index.join(posting_sizes(index).where(F.col("n") < budget), "token").groupBy("token").agg(F.collect_set("id").alias("_ids"))
+    met = ranked.where(F.col("n") < budget).join(lists, "token")
+    sort = F.array_sort(F.collect_list(F.struct("_r", "token", "n", "_ids")))
+    empty = F.slice(F.get(F.col("_t"), F.lit(0))["_ids"], 1, 0)
+    start = F.struct(empty.alias("seen"), F.array().cast("array<string>").alias("x"))
+    step = lambda acc, t: F.when((F.size(acc["x"]) == 0) | (F.size(acc["seen"]) + t["n"] <= budget), F.struct(F.array_union(acc["seen"], t["_ids"]).alias("seen"), F.concat(acc["x"], F.array(t["token"])).alias("x"))).otherwise(acc)
+    used = met.groupBy("form").agg(sort.alias("_t")).select("form", F.explode(F.aggregate("_t", start, step)["x"]).alias("token"), F.lit(True).alias("_u"))
+    # where the rarest is short it is in used; where it is long it is the only one
+    return ranked.join(used, ["form", "token"], "left").select("form", "token", "n", (F.coalesce("_u", F.lit(False)) | (F.col("_r") == 1)).alias("used"))
+
+
+# How a name matches, from the best.
+MATCHES = ["exact_name", "name_prefix", "name_contains", "biography_mention"]
+
+
+def rank_names(df: DataFrame, name: Column, query: str, text: Column | None = None, require_name: bool = False) -> DataFrame:
+    """df with rank: 0 equal, 1 one begins with the other, 2 the name contains the query, 3 (with `text`) the text does; others
+    go. An empty name begins every query, unless a name is required."""
     q = F.lit(query)
-    return df.withColumn("rank", F.when(name == q, 0).when(F.startswith(name, q) | F.startswith(q, name), 1).when(F.contains(name, q), 2)).where("rank is not null")
+    prefix = (F.startswith(name, q) | F.startswith(q, name)) & ((name != "") if require_name else F.lit(True))
+    rank = F.when(name == q, 0).when(prefix, 1).when(F.contains(name, q), 2)
+    return df.withColumn("rank", rank if text is None else rank.when(F.contains(text, q), 3)).where("rank is not null")
 
 
 def top(df: DataFrame, group: str, order: list, k: int) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("place") <= k)
 
 
-def chronology(a_birth: Column, a_death: Column, b_birth: Column, b_death: Column) -> dict[str, Column]:
-    """Verdict, overlap and gap of two lives given as years. Lives that only touch are impossible, with no gap."""
-    overlap = F.least(a_death, b_death) - F.greatest(a_birth, b_birth)
-    known = a_birth.isNotNull() & a_death.isNotNull() & b_birth.isNotNull() & b_death.isNotNull()
-    return {
-        "verdict": F.when(~known, "insufficient").when(overlap > 0, "possible").otherwise("impossible"),
-        "overlap_years": F.when(known & (overlap > 0), overlap),
-        "gap_years": F.when(known & (overlap < 0), -overlap),
-    }
+def bounds_verdict(a_birth: Column, a_death: Column, b_birth: Column, b_death: Column, known: Column | None = None) -> Column:
+    """(verdict, reason) of two persons by their earliest birth and latest death, branch by branch in this order: either is
+    unknown; either has no year at all; one is born after the other's death (touching years are none such); either has no
+    birth, which no death stands in for; else possible. That they met is never said."""
+    said = lambda verdict, reason: F.struct(F.lit(verdict).alias("verdict"), F.lit(reason).alias("reason"))
+    dated = (a_birth.isNotNull() | a_death.isNotNull()) & (b_birth.isNotNull() | b_death.isNotNull())
+    return (
+        F.when(~F.coalesce(F.lit(True) if known is None else known, F.lit(False)), said("insufficient", "unknown"))
+        .when(~dated, said("insufficient", "undated")).when(a_birth > b_death, said("impossible", "a-after-b")).when(b_birth > a_death, said("impossible", "b-after-a"))
+        .when(a_birth.isNull() | b_birth.isNull(), said("insufficient", "no-birth")).otherwise(said("possible", "no-contradiction"))
+    )
 
 
 def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -31,11 +31,33 @@ def variant_signal(surface: Column, name: Column, surface_words: Column, variant
     return F.when(hit & (surface != name), WEIGHTS["variant"]).otherwise(0.0)
 
 
-def neighbour_signal(before: Column, after: Column, teachers: Column, students: Column) -> Column:
-    met = F.coalesce(F.array_contains(teachers, before).cast("int"), F.lit(0)) + F.coalesce(F.array_contains(students, after).cast("int"), F.lit(0))
+def _meets(forms: Column, bags: Column) -> Column:
+    """Whether one of the forms (arrays of words) has all its words in one of the bags."""
+    return F.coalesce(F.exists(forms, lambda f: (F.size(f) > 0) & F.exists(bags, lambda b: F.size(F.array_except(f, b)) == 0)), F.lit(False))
+
+
+def neighbour_signal(citing: Column, cited: Column, teachers: Column, students: Column) -> Column:
+    """The narrator before (citing) is met among the candidate's students, the one after (cited) among his teachers. All are
+    arrays of arrays of words: forms, and the bags of mentions."""
+    met = _meets(citing, students).cast("int") + _meets(cited, teachers).cast("int")
     return F.least(F.lit(WEIGHTS["neighbours"]), PER_NEIGHBOUR * met)
 
 
+def death_conflict(year: Column, last: Column, asserted: Column, known: Column) -> Column:
+    """Whether a transmission comes after the last year, or none of the place's asserted years (arrays of (lo, hi)) is among
+    the candidate's. Null years do not conflict."""
+    after = F.coalesce(year > last, F.lit(False))
+    apart = (F.size(asserted) > 0) & (F.size(known) > 0) & ~F.exists(asserted, lambda x: F.exists(known, lambda y: y.between(x["lo"], x["hi"])))
+    return after | F.coalesce(apart, F.lit(False))
+
+
+def source_conflicts(pairs: DataFrame, claims: DataFrame, form: str, candidate: str) -> DataFrame:
+    """pairs with source_conflict: a source says that the candidate is another, and the passage is named; claims without a
+    passage count for nothing. claims: form, candidate, passage."""
+    said = claims.where("passage is not null and passage <> ''").select(form, candidate, F.lit(True).alias("source_conflict")).distinct()
+    return pairs.join(said, [form, candidate], "left").withColumn("source_conflict", F.coalesce("source_conflict", F.lit(False)))
+
+
 def flag_signal(kind: str, holds: Column) -> Column:
     """chronology, region, book or death: its weight if it holds, once; null does not hold."""
     return F.when(holds, WEIGHTS[kind]).otherwise(0.0)
@@ -66,8 +88,9 @@ def competing(scores: DataFrame, form: str, candidate: str) -> DataFrame:
 
 
 def proposals(scores: DataFrame, form: str, candidate: str) -> DataFrame:
-    """Of each form its best unblocked candidate, the level, and whether it may be linked without a reviewer."""
-    free = F.when(~F.col("blocked"), F.struct(F.col("score"), (-F.col(candidate)).alias("c")))
-    best = scores.groupBy(form).agg(F.max(free).alias("b"), F.bool_or("blocked").alias("any_blocked"))
-    lv = level(F.col("b.score"))
-    return best.select(form, (-F.col("b.c")).alias(candidate), F.col("b.score").alias("score"), lv.alias("level"), ((lv == "high") & ~F.col("any_blocked")).alias("auto_link"))
+    """Of each form its best unblocked candidate (ties by candidate), the level, and whether it may be linked without a
+    reviewer. A form of which any candidate is blocked is in conflict."""
+    w = Window.partitionBy(form).orderBy(F.col("blocked"), F.desc("score"), candidate)
+    best = scores.withColumn("_n", F.row_number().over(w)).groupBy(form).agg(F.max(F.when((F.col("_n") == 1) & ~F.col("blocked"), F.struct(F.col(candidate).alias("c"), F.col("score").alias("s")))).alias("b"), F.bool_or("blocked").alias("any_blocked"))
+    lv = F.when(F.col("any_blocked"), "conflict").otherwise(level(F.col("b.s")))
+    return best.select(form, F.col("b.c").alias(candidate), F.col("b.s").alias("score"), lv.alias("level"), (lv == "high").alias("auto_link"))

@@ -149,13 +149,22 @@ def inverted_index_stats(spark, d):
     return resolve.posting_sizes(resolve.postings(t(spark, d, "part"), "p_partkey", F.col("p_name")))
 
 
-@query()
+_TOKENS = "SELECT DISTINCT p_partkey AS id, unnest(string_split(lower(p_name), ' ')) AS token FROM part"
+
+
+@query(
+    f"""WITH RECURSIVE i AS ({_TOKENS}), n AS (SELECT token, count(*) AS n, list(id) AS ids FROM i GROUP BY 1), f AS (SELECT DISTINCT lower(p_name) AS form, unnest(string_split(lower(p_name), ' ')) AS token FROM part),
+r AS (SELECT form, token, n, ids, row_number() OVER (PARTITION BY form ORDER BY n, token) AS r FROM f JOIN n USING (token)),
+w(form, r, seen, used) AS (SELECT form, r, ids, 1 FROM r WHERE r = 1 UNION ALL SELECT w.form, r.r, CASE WHEN len(w.seen) + r.n <= 40 THEN list_distinct(list_concat(w.seen, r.ids)) ELSE w.seen END, w.used + (len(w.seen) + r.n <= 40)::INTEGER FROM w JOIN r ON r.form = w.form AND r.r = w.r + 1)
+SELECT form, arg_max(len(seen), r)::BIGINT AS n_candidates, arg_max(used, r)::BIGINT AS n_used FROM w GROUP BY form"""
+)
 def blocking_candidates(spark, d):
-    """Candidates of each distinct part name by its rarest tokens, within a budget of 1500 postings."""
+    """Candidates of each distinct part name by its rarest tokens, within a budget of 40 distinct entries."""
     index = resolve.postings(t(spark, d, "part"), "p_partkey", F.col("p_name"))
-    forms = resolve.postings(t(spark, d, "part").select("p_name").distinct(), "p_name", F.col("p_name")).withColumnRenamed("id", "form")
-    asked = resolve.within_budget(forms.join(resolve.posting_sizes(index), "token"), 1500)
-    return asked.join(index, "token").select("form", "id").distinct().groupBy("form").agg(F.count("*").alias("n_candidates"))
+    forms = resolve.postings(t(spark, d, "part").select(F.lower("p_name").alias("p_name")).distinct(), "p_name", F.col("p_name")).withColumnRenamed("id", "form")
+    asked = resolve.within_budget(forms.join(resolve.posting_sizes(index), "token"), index, 40).where("used")
+    found = asked.join(index, "token").groupBy("form").agg(F.countDistinct("id").alias("n_candidates"))
+    return found.join(asked.groupBy("form").agg(F.count("*").alias("n_used")), "form")
 
 
 @query("WITH n AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem GROUP BY 1), a AS (SELECT list_sort(list(n)) AS v FROM n) SELECT v[len(v) // 2 + 1] AS median, v[least(floor(len(v) * 0.9)::INTEGER + 1, len(v))] AS p90, v[len(v)] AS most FROM a")
@@ -178,13 +187,14 @@ def life_bounds(spark, d):
 
 
 @query(
-    f"""WITH {_LIVES}, p AS (SELECT x.k AS a, y.k AS b, least(x.death, y.death) - greatest(x.birth, y.birth) AS o FROM b x JOIN b y ON y.k = x.k + 1)
-SELECT a, b, CASE WHEN o > 0 THEN 'possible' ELSE 'impossible' END AS verdict, CASE WHEN o > 0 THEN o END AS overlap_years, CASE WHEN o < 0 THEN -o END AS gap_years FROM p"""
+    f"""WITH {_LIVES}, k AS (SELECT k, CASE WHEN k % 4 <> 0 THEN birth + k % 9 END AS birth, CASE WHEN k % 3 <> 0 THEN death - 6 + k % 5 END AS death FROM b), p AS (SELECT x.k AS a, y.k AS b, x.birth AS ab, x.death AS ad, y.birth AS bb, y.death AS bd FROM k x JOIN k y ON y.k BETWEEN x.k + 1 AND x.k + 4)
+SELECT a, b, CASE WHEN (ab IS NULL AND ad IS NULL) OR (bb IS NULL AND bd IS NULL) THEN 'insufficient' WHEN ab > bd OR bb > ad THEN 'impossible' WHEN ab IS NULL OR bb IS NULL THEN 'insufficient' ELSE 'possible' END AS verdict FROM p"""
 )
 def chronology_bounds(spark, d):
-    x = life_bounds(spark, d)
-    y = x.selectExpr("k - 1 k", "k b", "birth birth2", "death death2")
-    return x.join(y, "k").select(F.col("k").alias("a"), "b", *[c.alias(n) for n, c in resolve.chronology(F.col("birth"), F.col("death"), F.col("birth2"), F.col("death2")).items()])
+    x = life_bounds(spark, d).selectExpr("k", "if(k % 4 <> 0, birth + cast(k % 9 as int), null) birth", "if(k % 3 <> 0, death - 6 + cast(k % 5 as int), null) death")
+    y = x.selectExpr("k b", "birth birth2", "death death2")
+    p = x.selectExpr("k a", "birth", "death", "explode(array(k + 1, k + 2, k + 3, k + 4)) b").join(y, "b")
+    return p.select("a", "b", resolve.bounds_verdict(F.col("birth"), F.col("death"), F.col("birth2"), F.col("death2"))["verdict"].alias("verdict"))
 
 
 @query("SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_type <> 'click') WHERE r = 1")

@@ -57,7 +57,7 @@ def life_intervals(spark, d):
 
 @query(
     f"""WITH {_BOUNDS}, p AS (SELECT x.k AS a, y.k AS b, least(x.death, y.death) - greatest(x.birth, y.birth) AS o FROM i x JOIN i y ON y.k = x.k + 1),
-g AS (SELECT a, b, max(o) FILTER (o >= 0) AS overlap_years, min(-o) FILTER (o < 0) AS g FROM p GROUP BY ALL)
+g AS (SELECT a, b, max(o) FILTER (o > 0) AS overlap_years, min(-o) FILTER (o < 0) AS g FROM p GROUP BY ALL)
 SELECT a, b, CASE WHEN overlap_years IS NULL THEN 'impossible' ELSE 'possible' END AS verdict, overlap_years, CASE WHEN overlap_years IS NULL THEN g END AS gap_years FROM g"""
 )
 def chronology_intervals(spark, d):
@@ -111,7 +111,7 @@ def identity_scores(spark, d):
 
 @query(
     f"""WITH {_SCORES}, b AS (SELECT form, max(score) FILTER (NOT blocked) AS score, bool_or(blocked) AS x FROM s GROUP BY form)
-SELECT form, (SELECT min(candidate) FROM s WHERE s.form = b.form AND s.score = b.score AND NOT blocked) AS candidate, score, CASE WHEN score IS NULL THEN 'unresolved' WHEN score >= 0.9 THEN 'high' WHEN score >= 0.7 THEN 'medium' ELSE 'low' END AS level, coalesce(score >= 0.9, false) AND NOT x AS auto_link FROM b"""
+SELECT form, (SELECT min(candidate) FROM s WHERE s.form = b.form AND s.score = b.score AND NOT blocked) AS candidate, score, CASE WHEN x THEN 'conflict' WHEN score IS NULL THEN 'unresolved' WHEN score >= 0.9 THEN 'high' WHEN score >= 0.7 THEN 'medium' ELSE 'low' END AS level, coalesce(score >= 0.9, false) AND NOT x AS auto_link FROM b"""
 )
 def identity_proposals(spark, d):
     return scoring.proposals(identity_scores(spark, d), "form", "candidate")
