@@ -80,9 +80,9 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) long pairs -> (node, component): the smallest node reachable, for every node in an edge.
 
-    Minimum labels over neighbours plus pointer jumping, a scratch table a round, until nothing changes.
+    Minimum labels over neighbours plus two pointer jumps, a scratch table a round, until nothing changes.
     Both sides of each join are scans, so adaptive execution can split a hub's rows; minima combine
-    before they are shuffled. No link or label reaches the driver, only the count of changed rows.
+    before they are shuffled. No link or label reaches the driver, only whether one changed.
     """
     e = edges.where("u is not null and v is not null and u <> v").selectExpr("least(u, v) u", "greatest(u, v) v").distinct()
     e = materialize(e.selectExpr("stack(2, u, v, v, u) as (src, dst)"))
@@ -92,7 +92,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         near = e.join(old.selectExpr("node dst", "component c"), "dst").groupBy("src").agg(F.min("c").alias("m"))
         new = old.select("node", "component").join(near.withColumnRenamed("src", "node"), "node", "left").selectExpr("node", "component was", "least(component, m) c")
         up = old.selectExpr("node c", "component above")
-        new = new.join(up, "c", "left").selectExpr("node", "least(c, above) component", "least(c, above) <> was changed")
+        new = new.join(up, "c", "left").selectExpr("node", "was", "coalesce(least(c, above), c) c")
+        new = new.join(up, "c", "left").selectExpr("node", "coalesce(least(c, above), c) component", "coalesce(least(c, above), c) <> was changed")
         labels = materialize(new)
         if labels.where("changed").limit(1).count() == 0:
             return labels.select("node", "component")

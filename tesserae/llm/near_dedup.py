@@ -37,9 +37,9 @@ WORDS, BANDS, ROWS, BITS = 5, 24, 4, 4
 #: Minima in all; the first BANDS * ROWS make the bands, all make the signature.
 MINIMA, MARGIN = 384, 5
 #: Ratio of the sizes where one class of sizes ends and the next begins.
-STEP = 1.03
+STEP = 1.05
 #: Bands whose stars are linked together; later rounds see only what earlier ones left apart.
-ROUNDS = ((0, 3), (3, 10), (10, BANDS))
+ROUNDS = ((0, 4), (4, BANDS))
 #: Bytes of text that are worked on at once.
 CHUNK = 2 << 20
 _M = (1 << 64) - 1
@@ -200,7 +200,7 @@ def _least(percent: int, minima: int, bits: int) -> float:
 
 def _classes(percent: int) -> int:
     """How many classes of sizes apart two sets of this similarity are at most."""
-    return int(np.ceil(np.log(100 / percent) / np.log(STEP))) + 1
+    return int(np.ceil(np.log(100 / percent) / np.log(STEP) + 1e-9))
 
 
 def _prefixed(nodes: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
