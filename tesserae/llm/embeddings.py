@@ -5,7 +5,7 @@ label; each shard gets a hierarchical graph: levels fall off geometrically by a
 the top down in batches, and a node keeps neighbours that are nearer to it than to each other. Every class queries
 every shard of its label: each two shards of a label are one group of their own, which searches either's graph with the
 other's vectors, so a label of any size is dealt over all tasks. A link counts for both ends if either search found it.
-A beam that ends full of matches widens until its last entry is none. Then a sample of the queries is compared with a
+A beam that ends full of matches widens fourfold, and a query whose beam ends full again is scanned. Then a sample of the queries is compared with a
 scan, links of a vector with itself left out, and the sample grows until it has seen `AUDIT_LINKS` true links or every
 query; all beams widen until the recall passes, and what no beam mends is scanned. recall() reports these audits by
 label. Cosines are in double precision throughout, of vectors that are first scaled by their largest part.
@@ -153,23 +153,25 @@ class Graph:
         return start
 
     def within(self, q: np.ndarray, threshold: float, beam: int = BEAM) -> np.ndarray:
-        """For each query and node whether the search found a cosine of at least the threshold."""
-        n, todo = len(self.x), np.arange(len(q))
-        out = np.zeros((len(q), n), bool)
-        while len(todo):
-            beam, more = min(beam, n), []
+        """For each query and node whether the search found a cosine of at least the threshold. A query whose beam ends full
+        of matches gets one four times as wide; one that ends full again lies in a crowd, and is compared with all nodes."""
+        out = np.zeros((len(q), len(self.x)), bool)
+        todo = np.arange(len(q))
+        for width in (beam, 4 * beam):
+            width, more = min(width, len(self.x)), []
             for lo in range(0, len(todo), BATCH):
                 part = todo[lo : lo + BATCH]
                 start = np.repeat(self.layers[0][0][:1, None].astype(np.int32), len(part), 0)
                 for _, table in self.layers[:-1]:
                     start = self._beam(q[part], table, start, 8)[0]
-                ids, sim = self._beam(q[part], self.layers[-1][1], start, beam)
+                ids, sim = self._beam(q[part], self.layers[-1][1], start, width)
                 hit = (sim >= threshold) & (ids >= 0)
                 out[np.repeat(part, hit.sum(1)), ids[hit]] = True
                 more.append(part[hit.all(1)])
-            if beam == n:
-                break
-            todo, beam = np.concatenate(more), 4 * beam
+            todo = np.concatenate(more) if more else todo
+        for lo in range(0, len(todo), BATCH):
+            part = todo[lo : lo + BATCH]
+            out[part] = q[part] @ self.x.T >= threshold
         return out
 
 
@@ -266,7 +268,8 @@ def search(classes: DataFrame, threshold: float = THRESHOLD, shard_rows: int = S
     (u, v) that join nodes, audits (u null)."""
     counts = classes.groupBy("label", "dim").count().select("label", "dim", F.ceil(F.col("count") / shard_rows).cast("int").alias("k"))
     dealt = classes.join(counts, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    graphs = materialize(dealt.groupBy("label", "dim", "shard").applyInPandas(_build, "label string, dim int, shard int, ids binary, hs binary, ms binary, xs binary, graph binary"))
+    tasks = min(counts.agg(F.coalesce(F.sum("k"), F.lit(1)).alias("n")).first().n, PAIR_TASKS)
+    graphs = materialize(dealt.repartition(tasks, "label", "dim", "shard").groupBy("label", "dim", "shard").applyInPandas(_build, "label string, dim int, shard int, ids binary, hs binary, ms binary, xs binary, graph binary"))
     shards = graphs.select("label", "dim", "shard")
     # the shards of a label once with each other and themselves
     pairs = materialize(shards.withColumnRenamed("shard", "a").join(shards.withColumnRenamed("shard", "b"), ["label", "dim"]).where("a <= b"))
