@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tesserae.functions.text import surface_tokens
-from tesserae.functions.scalars import normalize
+from tesserae.functions.scalars import normalize, normalize_each
+from tesserae.functions.text import surface_tokens, tokens_of
 
 # Words of kinship and of unnamed persons with kinship, kind, person, number, whether they hang on the
 # narrator before, whether they name no one, and where they count (anywhere, at the head, alone).
@@ -64,16 +64,27 @@ def form_tokens(surface: Column) -> Column:
     return surface_tokens(surface, MARKS, PARTICLES)
 
 
+def _names(normalized: Column) -> Column:
+    return F.filter(tokens_of(normalized, MARKS, PARTICLES), lambda w: ~w.isin(*NAME_STOPWORDS))
+
+
 def name_tokens(surface: Column) -> Column:
     """The words of a name that tell it from others."""
-    return F.filter(form_tokens(surface), lambda w: ~w.isin(*NAME_STOPWORDS))
+    return _names(normalize(surface))
+
+
+def name_tokens_each(surfaces: Column) -> Column:
+    return F.transform(normalize_each(surfaces), _names)
+
+
+def mention_bags(mentions: Column) -> Column:
+    """Of each mention its words, and its first without a conjunction that may stand before it."""
 
+    def bag(w: Column) -> Column:
+        first = F.get(w, F.lit(0))
+        return F.when(F.startswith(first, F.lit("و")) & (F.length(first) >= 4), F.concat(w, F.array(F.substring(first, 2, 1000)))).otherwise(w)
 
-def mention_bag(mention: Column) -> Column:
-    """The words of a mention, and its first without a conjunction that may stand before it."""
-    w = name_tokens(mention)
-    first = F.get(w, F.lit(0))
-    return F.when(F.startswith(first, F.lit("و")) & (F.length(first) >= 4), F.concat(w, F.array(F.substring(first, 2, 1000)))).otherwise(w)
+    return F.transform(name_tokens_each(mentions), bag)
 
 
 def analysis(surface: Column) -> Column:
@@ -117,5 +128,5 @@ def resolution(a: Column, position: Column) -> Column:
 
 def form_of(surface: Column, a: Column) -> Column:
     """What a name is looked up by: its normalized form, of a relative one the rest; null where nothing is left."""
-    n = F.when(a["relative"], normalize(a["rest"])).otherwise(normalize(surface))
+    n = F.when(a["relative"], a["rest"]).otherwise(normalize(surface))
     return F.when(n != "", n)

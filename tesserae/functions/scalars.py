@@ -11,23 +11,42 @@ from pyspark.sql import types as T
 
 # Letters that normalization folds together.
 FOLDED = {"أ": "ا", "إ": "ا", "آ": "ا", "ٱ": "ا", "ى": "ي", "ة": "ه", "ؤ": "و", "ئ": "ي"}
+# What counts as white space.
+WHITE = r"\t\n\x0B\f\r\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 # The alphabet of stable keys, and the least scores of the levels high and medium.
 KEY_ALPHABET, HIGH, MEDIUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.90, 0.70
 
 
+def _decompose(t: str | None) -> str | None:
+    return t if t is None or t.isascii() else unicodedata.normalize("NFKD", t)
+
+
 @F.pandas_udf(T.StringType())
-def _strip_marks(s: pd.Series) -> pd.Series:
-    """Compatibility decomposition without marks; null stays null."""
-    return s.map(lambda t: t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t) if unicodedata.category(c)[0] != "M"))
+def _decomposed(s: pd.Series) -> pd.Series:
+    """Compatibility decomposition, which Spark has not; null stays null."""
+    return s.map(_decompose)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _decomposed_each(s: pd.Series) -> pd.Series:
+    return s.map(lambda xs: None if xs is None else [_decompose(x) for x in xs])
+
+
+def _folded(decomposed: Column) -> Column:
+    t = F.translate(F.regexp_replace(decomposed, r"\p{M}+", ""), "".join(FOLDED) + "ـ", "".join(FOLDED.values()))
+    t = F.regexp_replace(t, r"(?i)(?<![\p{L}\p{N}_])(?:ibn|bin)(?![\p{L}\p{N}_])", "b")
+    return F.lower(F.trim(F.regexp_replace(t, f"[{WHITE}]+", " ")))
 
 
 def normalize(text: Column) -> Column:
-    """Search form of a text: marks and the elongation sign go, letter variants fold, ibn and bin become b, white
+    """Search form of a text: marks and the elongation sign go, letter variants fold, Latin ibn and bin become b, white
     space collapses, case goes. Null gives an empty text. Only the decomposition leaves the JVM."""
-    t = F.translate(_strip_marks(F.coalesce(text, F.lit(""))), "".join(FOLDED) + "ـ", "".join(FOLDED.values()))
-    t = F.regexp_replace(t, r"(?i)(?<![\p{L}\p{N}_])(?:ibn|bin)(?![\p{L}\p{N}_])", "b")
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}_])(?:ابن|بن)(?![\p{L}\p{N}_])", "ب")
-    return F.lower(F.trim(F.regexp_replace(t, r"[\s ‌‍﻿]+", " ")))
+    return _folded(_decomposed(F.coalesce(text, F.lit(""))))
+
+
+def normalize_each(texts: Column) -> Column:
+    """The search forms of an array of texts; null stays null."""
+    return F.transform(_decomposed_each(texts), lambda t: _folded(F.coalesce(t, F.lit(""))))
 
 
 def short_hash(text: Column, n: int = 12) -> Column:

@@ -14,13 +14,13 @@ COLLECTIVE_PARTICLES = ["في", "من", "وفي", "ومن"]
 # Words of statements and comments that begin no name.
 NO_NAME = (
     "عن حدثنا حدثني حدثناه حدثنيه اخبرنا اخبرني اخبرناه اخبرنيه انبانا انباني نبانا ثنا نا سمعت سمعنا سمع روي يروي يرويه رواه قال وقال قلت قيل وقيل ذكر ذكره وذكره كتب كتبت اخرج اخرجه واخرجه اخرجاه "
-    "اخرجا ساق سالت ساله وثقه وثق نسبه ياتي سياتي هو هي هما هم من في لم لن لا ليس كان كانت يكون لانه ان انه انها انما ثم وقد قرا قرات ب له مات توفي عامل حكي ارسل قاله فيه فيحتمل حديثا نسيبه حفيده حفيدها بعضه الصحيح كانه منهم خاليه"
+    "اخرجا ساق سالت ساله وثقه وثق نسبه ياتي سياتي هو هي هما هم من في لم لن لا ليس كان كانت يكون لانه ان انه انها انما ثم وقد قرا قرات بن له مات توفي عامل حكي ارسل قاله فيه فيحتمل حديثا نسيبه حفيده حفيدها بعضه الصحيح كانه منهم خاليه"
 ).split()
 # Words at which a name goes over into a sentence, and heads that mean a relative.
 NO_NAME_INSIDE = "عن عنه عنها في فيه بواسطه حديثا مرسلا خلاف اختلاف قصه القصه مسايل المسايل وحده وحدها".split()
 RELATIVE_HEADS = "اخوه اخوها ابوه ابوها والده والدها ولده ولدها ابناه ابنا ابني ابناوه ابناء ابنته زوجها شيخه شيخها".split()
 # Words after which a word may begin with the conjunction's letter, and words that always may.
-BEFORE_WAW, WITH_WAW = ["ب", "ابي", "ابو", "بنت", "ام", "عبد"], ["وسلم"]
+BEFORE_WAW, WITH_WAW = ["بن", "ابن", "ابي", "ابو", "بنت", "ام", "عبد"], ["وسلم"]
 MOST_WORDS = 8
 _EDGES = r"^[\s.,،؛:\-–—()\[\]]+|[\s.,،؛:\-–—()\[\]]+$"
 
@@ -39,24 +39,26 @@ def mention_surface(raw: Column, index: Column) -> Column:
 def mention_code(surface: Column, entry_text: Column) -> Column:
     """Why a cleaned mention names no single person, null if it names one that stands in the entry's text. The checks go in
     their order; the first that holds gives the code."""
-    norm = normalize(surface)
     at = lambda w, i: F.coalesce(F.get(w, i), F.lit(""))
 
-    def judged(ws: Column) -> Column:
+    def judged(x: Column) -> Column:
+        ws, norm, relative = x["ws"], x["norm"], x["relative"]
         head = F.when(at(ws, F.lit(0)).isin(*COLLECTIVE_PARTICLES) & (F.size(ws) > 1), at(ws, F.lit(1))).otherwise(at(ws, F.lit(0)))
         collective = head.isin(*COLLECTIVE) | (_waw(head) & F.substring(head, 2, 1000).isin(*COLLECTIVE))
         rest = F.slice(ws, 2, F.greatest(F.size(ws), F.lit(1)))
         several = F.exists(F.transform(rest, lambda w, i: _waw(w) & ~w.isin(*WITH_WAW) & ~at(ws, i).isin(*BEFORE_WAW)), lambda x: x)
         unsegmented = F.lit("unsegmented_phrase")
         return (
-            F.when(surface == "", "empty_after_cleaning").when(surface.contains("."), unsegmented).when(norm == "", "empty_after_cleaning").when(is_relative(surface), "relative_form")
-            .when(F.size(ws) > MOST_WORDS, unsegmented).when(F.exists(ws, lambda w: F.length(w) == 1) & ~F.forall(ws, lambda w: (F.length(w) > 1) | (w == "ب")), unsegmented)
+            F.when(surface == "", "empty_after_cleaning").when(surface.contains("."), unsegmented).when(norm == "", "empty_after_cleaning").when(relative, "relative_form")
+            .when(F.size(ws) > MOST_WORDS, unsegmented).when(F.exists(ws, lambda w: F.length(w) == 1), unsegmented)
             .when(collective, "no_person_named").when(at(ws, F.lit(0)).isin(*RELATIVE_HEADS), "relative_form").when(at(ws, F.lit(0)).isin(*NO_NAME), unsegmented)
             .when(F.exists(rest, lambda w: w.isin(*NO_NAME_INSIDE)), unsegmented).when(surface.rlike(r"[:\-–—/\[\]]"), unsegmented).when(several, unsegmented)
             .when(F.coalesce(entry_text, F.lit("")) == "", "entry_text_missing").when(~F.contains(entry_text, surface), "phrase_not_in_passage")
         )
 
-    return F.element_at(F.transform(F.array(F.filter(F.split(norm, " "), lambda w: w != "")), judged), 1)
+    n = normalize(surface)
+    one = F.struct(F.filter(F.split(n, " "), lambda w: w != "").alias("ws"), n.alias("norm"), is_relative(surface).alias("relative"))
+    return F.element_at(F.transform(F.array(one), judged), 1)
 
 
 def statements(entries: DataFrame) -> DataFrame:

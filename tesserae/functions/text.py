@@ -77,15 +77,19 @@ def trim_head(text: Column) -> Column:
     return F.regexp_replace(text, r"^[ .،؛:\-()\[\]]+|[ .،؛:\-()\[\]]+$", "")
 
 
-def surface_tokens(text: Column, trim: str = "،؛,.:()[]«»\"'", particles: tuple[str, ...] = ()) -> Column:
-    """Words of the normalized form without marks at their edges, ornaments and leading particles."""
-    words = F.filter(F.transform(F.split(normalize(text), " "), lambda w: F.btrim(w, F.lit(trim))), lambda w: (w != "") & ~F.regexp_like(w, F.lit("^[﴾-﷿]+$")))
+def tokens_of(normalized: Column, trim: str = "،؛,.:()[]«»\"'", particles: tuple[str, ...] = ()) -> Column:
+    """Words of a normalized text without marks at their edges, ornaments and leading particles."""
+    words = F.filter(F.transform(F.split(normalized, " "), lambda w: F.btrim(w, F.lit(trim))), lambda w: (w != "") & ~F.regexp_like(w, F.lit("^[﴾-﷿]+$")))
     if not particles:
         return words
     other = F.array_position(F.transform(words, lambda w: ~w.isin(*particles)), True)
     return F.when(other == 0, F.slice(words, 1, 0)).otherwise(F.slice(words, F.greatest(other, F.lit(1)).cast("int"), F.size(words)))
 
 
+def surface_tokens(text: Column, trim: str = "،؛,.:()[]«»\"'", particles: tuple[str, ...] = ()) -> Column:
+    return tokens_of(normalize(text), trim, particles)
+
+
 def places(text: Column) -> Column:
     """Names between commas or colons, each once, in their order."""
     return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[،,:]"), lambda p: F.trim(p)), lambda p: p != ""))

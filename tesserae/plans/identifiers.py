@@ -13,7 +13,7 @@ NAMES = Literal(
     "names",
     "record string, chain_order int, position int, form string, norm string, relative boolean",
     [
-        ("b-1", 0, 0, "مَالِكُ بْنُ أَنَسٍ", "مالك ب انس", False),
+        ("b-1", 0, 0, "مَالِكُ بْنُ أَنَسٍ", "مالك بن انس", False),
         ("b-1", 0, 1, "عن  نافع", "عن نافع", False),
         ("b-1", 1, 2, "أبيه", "ابيه", True),
         ("b-2", 0, 2, "أَبِيهِ", "ابيه", True),
@@ -21,7 +21,7 @@ NAMES = Literal(
         ("b-3", 0, 0, "", "", False),
         ("b-3", 0, 1, None, "", False),
         ("b-4", 0, 0, "Ibn Sīrīn", "b sirin", False),
-        ("b-5", 2, 1, "هشام بن عروة", "هشام ب عروه", False),
+        ("b-5", 2, 1, "هشام بن عروة", "هشام بن عروه", False),
         ("b-6", 0, 0, "يحيى ٱلقطان", "يحيي القطان", False),
     ],
 )
