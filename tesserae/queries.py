@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.plans import catalogue, corpus, identifiers, identities, importer, lifecycle, profiles, workflow  # noqa: F401  they add to the catalogue
+from tesserae.plans import archive, catalogue, corpus, identifiers, identities, importer, lifecycle, profiles, workflow  # noqa: F401  they add to the catalogue
 
 QUERIES = catalogue.QUERIES
 ORACLES = catalogue.ORACLES
