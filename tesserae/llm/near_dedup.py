@@ -98,7 +98,8 @@ def shingle_sets(texts: list[str | None], known: WordHashes) -> list[np.ndarray]
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: int = 1, size: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Slices of batches whose texts have about `size` bytes."""
+    """Slices of batches whose texts have about `size` bytes. What the last one leaves unused goes back to the system, as a
+    worker lives on with the executor."""
     for b in batches:
         col = b.column(text)
         lens = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), np.int64)
@@ -108,6 +109,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: int = 1, size: int = CHUNK)
             part = b.slice(at, to - at)
             yield part, part.column(text).to_pylist()
             at = to
+    pa.default_memory_pool().release_unused()
 
 
 def _lists(values: np.ndarray, width: int) -> pa.Array:

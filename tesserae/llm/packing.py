@@ -34,7 +34,7 @@ def _tokenize(path: str, end: int, vocabulary: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, df = Encoder.of_worker(path), np.zeros(vocabulary, np.int64)
-        for part, _ in chunks(batches, size=8 << 20):
+        for part, _ in chunks(batches, size=4 << 20):
             ids = enc.encode(part.column(1), end)
             key = []
             for x in ids:
@@ -160,6 +160,7 @@ def _pack(width: int, idf: np.ndarray, mean: float, window: int, shard_tokens: i
                     docs, tokens = [], 0
         if docs:
             yield done(docs)
+        pa.default_memory_pool().release_unused()
 
     return run
 

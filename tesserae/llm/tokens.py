@@ -32,8 +32,10 @@ def _pattern() -> re.Pattern:
 _PIECES = _pattern().findall
 #: What is not lower-cased and composed letter by letter.
 _BEYOND = re.compile("[İɐ-\U0010ffff]").search
-#: Words that a worker remembers, besides those of the texts at hand.
+#: Words that a worker remembers, besides those of the texts at hand. When they are too many, those that were met again stay.
 KNOWN_WORDS = 1_000_000
+#: Words whose ids are gathered at once.
+GATHERED = 200_000
 
 
 def default_path() -> str:
@@ -59,7 +61,14 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.words, self.flat, self.starts, self.sizes = pa.array([], pa.string()), np.empty(0, self.dtype), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.words, self.flat, self.starts, self.sizes, self.again = pa.array([], pa.string()), np.empty(0, self.dtype), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, bool)
+
+    def _shrink(self) -> None:
+        """Keeps the words that were met again since they were learnt or kept."""
+        keep, n = np.flatnonzero(self.again), self.sizes[self.again].astype(np.int64)
+        ends = np.cumsum(n)
+        self.flat = self.flat[np.repeat(self.starts[keep] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        self.words, self.starts, self.sizes, self.again = self.words.take(pa.array(keep)), (ends - n).astype(np.int32), n.astype(np.int32), np.zeros(len(keep), bool)
 
     @classmethod
     def of_worker(cls, path: str, dtype: str = "<u2") -> Encoder:
@@ -102,16 +111,20 @@ class Encoder:
         """The places of distinct words among the known ones; new ones are learnt."""
         at = pc.index_in(words, value_set=self.words)
         if len(self.words) and len(self.words) + at.null_count > KNOWN_WORDS:
-            self._forget()
+            self._shrink()
+            if len(self.words) + at.null_count > KNOWN_WORDS:
+                self._forget()
             at = pc.index_in(words, value_set=self.words)
         place = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        self.again[place[place >= 0]] = True
         if at.null_count:
             new = words.filter(at.is_null())
             ids, sizes = self._ids(new.to_pylist())
             place[place < 0] = np.arange(len(new)) + len(self.words)
             self.words = pa.concat_arrays([self.words, new])
-            self.starts = np.concatenate([self.starts, np.cumsum(sizes) - sizes + len(self.flat)])
-            self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, ids])
+            self.starts = np.concatenate([self.starts, (np.cumsum(sizes) - sizes + len(self.flat)).astype(np.int32)])
+            self.sizes, self.flat = np.concatenate([self.sizes, sizes.astype(np.int32)]), np.concatenate([self.flat, ids])
+            self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
         return place
 
     def encode(self, texts: pa.Array | list[str | None], end: int | None = None) -> list[bytes]:
@@ -121,13 +134,18 @@ class Encoder:
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         words = split.flatten().dictionary_encode()
         at = self._places(words.dictionary)[words.indices.to_numpy()]
-        flat, starts, sizes = self.flat, self.starts, self.sizes
-        # one range of `flat` for each word of the texts
-        n = sizes[at]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        raw = flat[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])]
-        bounds = ends[np.asarray(split.offsets) - split.offsets[0].as_py()]
-        out = [raw[x:y].tobytes() + tail for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        # one range of `flat` for each word; some texts at a time, as the places of all ids are many times the texts
+        offsets, out = np.asarray(split.offsets) - split.offsets[0].as_py(), []
+        first = 0
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + GATHERED, "right")) - 1)
+            some = at[offsets[first] : offsets[last]]
+            n = self.sizes[some]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            raw = self.flat[np.repeat(self.starts[some] - ends[:-1], n) + np.arange(ends[-1])]
+            bounds = ends[offsets[first : last + 1] - offsets[first]]
+            out += [raw[x:y].tobytes() + tail for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            first = last
         for t in self.special:
             for i in np.flatnonzero(pc.fill_null(pc.match_substring(texts, t), False)):
                 out[i] = self._bytes([texts[i].as_py()])[0] + tail
