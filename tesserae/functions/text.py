@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import groupby
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.functions.scalars import normalize
+from tesserae.functions.scalars import normalize, normalize_each
 
 # Qualifiers of a year, in the order in which they are looked for.
 QUALIFIERS = {"قبيل": "shortly_before", "بعد": "after", "قبل": "before", "نحو": "circa", "حدود": "circa", "زهاء": "circa"}
@@ -20,6 +18,26 @@ LAST_YEAR, REPORTED, ALTERNATIVE = 1100, "ق(?:ي|ِي)ل", "أو|او"
 SECTIONS = {"hearing_evidence": "اثبات سماع|السماع", "disconnection": "الارسال|الانقطاع|لم يسمع|لم يدرك", "comparison": "المفاضله|مقارنه", "other": "التدليس|الاختلاط|البدعه|الصحبه|الادراك"}
 
 
+#: Lengths that are summed in one block.
+BLOCK = 256
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def starts(lengths: Column) -> Column:
+    """Where pieces of these lengths begin that follow each other. Sums are made in blocks, each from the totals of those before."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+
+    def of(ls: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(ls) - 1) / BLOCK).cast("int")), lambda k: F.slice(ls, k * BLOCK + 1, BLOCK))
+        return let(F.transform(blocks, total), lambda sums: F.flatten(F.transform(blocks, lambda b, k: let(total(F.slice(sums, 1, k)), lambda o: F.transform(b, lambda x, i: o + total(F.slice(b, 1, i)))))))
+
+    return let(lengths, lambda ls: F.when(F.size(ls) > 0, of(ls)).otherwise(F.array().cast("array<int>")))
+
+
 def ascii_digits(text: Column) -> Column:
     return F.translate(text, "٠١٢٣٤٥٦٧٨٩", "0123456789")
 
@@ -35,12 +53,8 @@ def year_phrases(phrase: Column) -> Column:
     t = ascii_digits(F.trim(F.coalesce(phrase, F.lit(""))))
     digits = F.regexp_extract_all(t, F.lit(r"(\d{1,4})"), F.lit(1))
     between = F.slice(F.split(t, r"\d{1,4}"), 1, F.size(digits))
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<before:string,year:int,offset:int>>").alias("found"))
-    step = lambda acc, x: F.struct(
-        (acc["end"] + F.length(x["b"]) + F.length(x["d"])).alias("end"),
-        F.concat(acc["found"], F.array(F.struct(x["b"].alias("before"), x["d"].cast("int").alias("year"), (acc["end"] + F.length(x["b"])).alias("offset")))).alias("found"),
-    )
-    found = F.aggregate(F.arrays_zip(between.alias("b"), digits.alias("d")), start, step)["found"]
+    at = starts(F.zip_with(between, digits, lambda b, d: F.length(b) + F.length(d)))
+    found = F.zip_with(F.arrays_zip(between.alias("b"), digits.alias("d")), at, lambda x, o: F.struct(x["b"].alias("before"), x["d"].cast("int").alias("year"), (o + F.length(x["b"])).alias("offset")))
     years = F.filter(found, lambda x: x["year"].between(1, LAST_YEAR))
 
     def qualifier(words: Column) -> Column:
@@ -51,10 +65,10 @@ def year_phrases(phrase: Column) -> Column:
         words = F.when(i == 0, F.substring(t, F.lit(1), x["offset"])).otherwise(x["before"])
         return F.struct(x["year"].alias("year"), relation.alias("relation"), qualifier(words).alias("qualifier"), x["offset"].alias("offset"))
 
-    said = F.transform(years, assertion)
-    key = lambda x: F.struct(x["year"], x["relation"], F.coalesce(x["qualifier"], F.lit("")))
-    keys = F.transform(said, key)
-    return F.filter(said, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    # equal ones side by side, the first of each, and back in the text's order
+    said = F.array_sort(F.transform(F.transform(years, assertion), lambda x: F.struct(F.struct(x["year"], x["relation"], F.coalesce(x["qualifier"], F.lit(""))).alias("key"), x["offset"].alias("offset"), x.alias("x"))))
+    first = let(said, lambda xs: F.filter(xs, lambda x, i: (i == 0) | (F.get(xs, i - 1)["key"] != x["key"])))
+    return F.transform(F.array_sort(F.transform(first, lambda y: F.struct(y["offset"].alias("offset"), y["x"].alias("x")))), lambda y: y["x"])
 
 
 def span_integrity(text: Column) -> Column:
@@ -107,57 +121,94 @@ def length_band(text: Column, bounds: list[int]) -> Column:
     return out
 
 
-def has_kunya(form: Column) -> Column:
-    return F.regexp_like(F.trim(form), F.lit(r"^(?:ابو|ابي|ابى|ابا|ام)\s"))
+# Words that begin a name by a child, and the ends of a name by a place or tribe.
+KUNYA, NISBA_ENDS = ["ابو", "ابي", "ابى", "ابا", "ام"], ["ي", "ية", "يه"]
 
 
-def has_nisba(form: Column) -> Column:
-    return F.exists(F.split(form, r"\s+"), lambda w: F.regexp_like(F.regexp_replace(w, r"[،.:؛()\"«»]", ""), F.lit("^ال.{2,}(?:ي|ية|يه)$")))
-
-
-def _runs(a: list[str], b: list[str]) -> list[list]:
-    """[kind, words of a, words of b] along a longest common subsequence; an addition goes before an omission."""
-    codes, ids = {}, lambda ws: np.array([codes.setdefault(w, len(codes)) for w in ws], np.int64)
-    x, y = ids(a), ids(b)
-    best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    for i in range(len(x) - 1, -1, -1):
-        here = np.maximum(best[i + 1, :-1], np.where(y == x[i], best[i + 1, 1:] + 1, 0))
-        best[i, :-1] = np.maximum.accumulate(here[::-1])[::-1]
-    i = j = 0
-    trace = []
-    while i < len(x) or j < len(y):
-        both = i < len(x) and j < len(y)
-        if both and x[i] == y[j]:
-            trace.append(("equal", i, j))
-            i, j = i + 1, j + 1
-        elif i == len(x) or (both and best[i, j + 1] >= best[i + 1, j]):
-            trace.append(("addition", -1, j))
-            j += 1
-        else:
-            trace.append(("omission", i, -1))
-            i += 1
-    out = []
-    for kind, steps in groupby(trace, key=lambda s: s[0]):
-        steps = list(steps)
-        out.append([kind, [a[s[1]] for s in steps if s[1] >= 0], [b[s[2]] for s in steps if s[2] >= 0]])
-    return out
+def has_kunya(form: Column) -> Column:
+    """Whether a form of several words begins with a word of a kunya."""
+    w = F.split(F.trim(form), r"\s+")
+    return (F.size(w) > 1) & F.get(w, F.lit(0)).isin(*KUNYA)
 
 
-def _difference(a: list[str], b: list[str]) -> list[tuple[str, str, str]]:
-    runs, out, in_a, in_b = _runs(a, b), [], set(a), set(b)
-    while runs:
-        kind, left, right = runs.pop(0)
-        if kind != "equal" and runs and runs[0][0] != "equal":
-            _, l2, r2 = runs.pop(0)
-            left, right, kind = left + l2, right + r2, "replacement"
-        if kind != "equal" and in_b.issuperset(left) and in_a.issuperset(right):
-            kind = "reorder"
-        out.append((kind, " ".join(left), " ".join(right)))
+def has_nisba(form: Column) -> Column:
+    """Whether a word has the article, an end of a nisba, and two letters at least between them."""
+    bare = lambda w: F.translate(w, "،.:؛()\"«»", "")
+
+    def one(w: Column) -> Column:
+        out = F.lit(False)
+        for end in NISBA_ENDS:
+            out = out | (F.endswith(w, F.lit(end)) & (F.length(w) >= 4 + len(end)))
+        return F.startswith(w, F.lit("ال")) & out
+
+    return F.exists(F.transform(F.split(form, r"\s+"), bare), one)
+
+
+def _alignment(x: np.ndarray, y: np.ndarray, block: int = 256) -> list[tuple[int, int]]:
+    """Pairs of equal words of a longest common subsequence, words of y passed over first where either would do. The table's rows
+    are kept every `block` words and made again between them, so memory grows with the root of the table, not with it."""
+
+    def above(i: int, row: np.ndarray) -> np.ndarray:
+        best = np.maximum(row[:-1], np.where(y == x[i], row[1:] + 1, 0))
+        return np.append(np.maximum.accumulate(best[::-1])[::-1], 0).astype(np.int32)
+
+    row, kept = np.zeros(len(y) + 1, np.int32), {}
+    for i in range(len(x), -1, -1):
+        if i < len(x):
+            row = above(i, row)
+        if i % block == 0 or i == len(x):
+            kept[i] = row
+    pairs, j = [], 0
+    for lo in range(0, len(x), block):
+        hi = min(lo + block, len(x))
+        rows = [kept[hi]]
+        for i in range(hi - 1, lo - 1, -1):
+            rows.append(above(i, rows[-1]))
+        rows.reverse()
+        for i in range(lo, hi):
+            here, under = rows[i - lo], rows[i - lo + 1]
+            while j < len(y) and y[j] != x[i] and here[j + 1] >= under[j]:
+                j += 1
+            if j < len(y) and y[j] == x[i]:
+                pairs.append((i, j))
+                j += 1
+    return pairs
+
+
+def _difference(a: list[str], b: list[str], shown_a: list[str] | None = None, shown_b: list[str] | None = None) -> list[tuple[str, str, str]]:
+    """Steps from one row of words to the other: runs of equal words, and what stands between them, as one step each."""
+    shown_a, shown_b = shown_a or a, shown_b or b
+    codes: dict[str, int] = {}
+    x, y = (np.array([codes.setdefault(w, len(codes)) for w in ws], np.int64) for ws in (a, b))
+    in_a, in_b, out, i, j, run = set(a), set(b), [], 0, 0, []
+
+    def close() -> None:
+        if run:
+            out.append(("equal", " ".join(shown_a[k] for k, _ in run), " ".join(shown_b[k] for _, k in run)))
+            run.clear()
+
+    for k, n in [*_alignment(x, y), (len(a), len(b))]:
+        left, right = a[i:k], b[j:n]
+        if left or right:
+            close()
+            kind = "replacement" if left and right else "omission" if left else "addition"
+            out.append(("reorder" if in_b.issuperset(left) and in_a.issuperset(right) else kind, " ".join(shown_a[i:k]), " ".join(shown_b[j:n])))
+        run.append((k, n))
+        i, j = k + 1, n + 1
+    run.pop()
+    close()
     return out
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField(k, T.StringType()) for k in ("kind", "before", "after")])))
-def word_difference(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Steps from one array of words to another: equal, addition, omission, replacement or reorder (moved words)."""
+def _steps(a: pd.Series, b: pd.Series, shown_a: pd.Series, shown_b: pd.Series) -> pd.Series:
     none = lambda w: [] if w is None else list(w)
-    return pd.Series([[dict(zip(("kind", "before", "after"), s, strict=True)) for s in _difference(none(x), none(y))] for x, y in zip(a, b, strict=True)])
+    rows = zip(*(map(none, c) for c in (a, b, shown_a, shown_b)), strict=True)
+    return pd.Series([[dict(zip(("kind", "before", "after"), s, strict=True)) for s in _difference(*r)] for r in rows])
+
+
+def word_difference(a: Column, b: Column) -> Column:
+    """Steps from one text to another by their words (runs of letters, marks and digits), compared in the search form and given
+    as they stand: equal, addition, omission, replacement or reorder (words that the other text has elsewhere)."""
+    words = lambda t: F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
+    return _steps(normalize_each(words(a)), normalize_each(words(b)), words(a), words(b))

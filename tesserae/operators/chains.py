@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,18 +28,35 @@ def hubs(edges: DataFrame, k: int) -> DataFrame:
     return edges.groupBy("src").agg(F.count("*").alias("degree")).orderBy(F.desc("degree"), "src").limit(k)
 
 
-def bounded_paths(edges: DataFrame, start: Column | int, depth: int, cap: int) -> DataFrame:
-    """Rows (depth, src, dst, path) of simple paths from start, by depth, source, target and path, cut at cap."""
-    edges.select("src", "dst").distinct().createOrReplaceTempView("_ts_edges")
-    spark = edges.sparkSession
-    return spark.sql(
-        f"""WITH RECURSIVE w(depth, src, dst, path) AS (
-        SELECT 1, src, dst, concat('|', src, '|', dst, '|') FROM _ts_edges WHERE src = {start} AND dst <> src
-        UNION ALL
-        SELECT w.depth + 1, e.src, e.dst, concat(w.path, e.dst, '|') FROM w JOIN _ts_edges e ON e.src = w.dst
-        WHERE w.depth < {depth} AND instr(w.path, concat('|', e.dst, '|')) = 0)
-        SELECT * FROM w ORDER BY depth, src, dst, path LIMIT {cap}"""
-    )
+#: Relations that lead from a node in each direction.
+DIRECTIONS = {"teachers": ["transmitted_from"], "students": ["transmitted_to"], "both": ["transmitted_from", "transmitted_to"]}
+
+
+def bounded_paths(edges: DataFrame, start: int | str, depth: int, cap: int, direction: str = "both") -> DataFrame:
+    """(depth, src, dst, path, truncated) of the simple paths from start, by depth, source, target and path, cut at cap.
+
+    Level by level: deeper paths come later in that order, so a level is cut where the cap is reached and no further one is
+    needed. Each level joins the edges with the one before, of at most `cap` rows, which alone pass through the driver."""
+    d = edges.where(F.col("relation").isin(DIRECTIONS[direction])) if "relation" in edges.columns else edges
+    d = d.select("src", "dst").distinct()
+    spark, kind = edges.sparkSession, d.schema["src"].dataType.simpleString()
+    schema = f"depth int, src {kind}, dst {kind}, path string"
+    rows: list = []
+    level = [(0, None, start, f"|{start}|")]
+    for k in range(1, depth + 1):
+        if not level or len(rows) >= cap:
+            break
+        before = spark.createDataFrame([(x[2], x[3]) for x in level], f"src {kind}, before string")
+        step = d.join(F.broadcast(before), "src").select(F.lit(k).alias("depth"), "src", "dst", F.concat("before", F.col("dst").cast("string"), F.lit("|")).alias("path"), "before")
+        step = step.where(~F.contains("before", F.concat(F.lit("|"), F.col("dst").cast("string"), F.lit("|")))).drop("before")
+        level = [tuple(r) for r in step.orderBy("src", "dst", "path").limit(cap - len(rows)).collect()]
+        rows += level
+    return spark.createDataFrame(rows, schema).withColumn("truncated", F.lit(len(rows) >= cap))
+
+
+def path_nodes(paths: DataFrame) -> DataFrame:
+    """(node) of all ends on the paths, in order."""
+    return paths.select(F.explode(F.array("src", "dst")).alias("node")).distinct().orderBy("node")
 
 
 def prefix_segments(df: DataFrame, chain: str, label: str, order: list[str]) -> DataFrame:

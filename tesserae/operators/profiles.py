@@ -139,3 +139,14 @@ def shared_segments(nodes: DataFrame) -> DataFrame:
     """Of merged nodes those that several chains share, with their children and how many chains each takes on."""
     child = nodes.select(F.col("parent").alias("key"), F.col("form").alias("child"), F.col("n_chains").alias("child_chains"))
     return nodes.where("n_chains > 1").join(child, "key", "left").select("depth", "form", "n_chains", "child", "child_chains")
+
+
+def comparison(verdict: Column, meetings: Column) -> Column:
+    """(chronology, reason, meeting, level) of two persons: a verdict of their dates, and whether a chain has them side by side."""
+    met = meetings > 0
+    return F.struct(verdict["verdict"].alias("chronology"), verdict["reason"].alias("reason"), F.when(met, "asserted_isnad").otherwise("not_asserted").alias("meeting"), F.when((verdict["verdict"] != "insufficient") | met, "high").otherwise("unresolved").alias("level"))
+
+
+def highlighted(edges: DataFrame, families: str, wanted: str) -> DataFrame:
+    """edges with highlighted: whether a family is among theirs."""
+    return edges.withColumn("highlighted", F.coalesce(F.array_contains(families, wanted), F.lit(False)))

@@ -72,3 +72,23 @@ def clusters(df: DataFrame, text: str, order: str) -> DataFrame:
 def coverage(df: DataFrame, groups: list[str], state: Column) -> DataFrame:
     """Rows of each group, how many are covered, and the share in per cent to one place."""
     return df.groupBy(*groups).agg(F.count("*").alias("n"), F.count_if(state).alias("n_covered")).withColumn("percent", F.round(100.0 * F.col("n_covered") / F.col("n"), 1))
+
+
+#: What an allow-list's label opens of a registry entry; phrases take a cleared source as well.
+ENTRY_LABELS = {
+    "entry_number": ["number"], "name_surface": ["name"], "date_assertions": ["death", "birth", "dates"], "source_pointer": ["volume", "page"], "critic_ranks": ["grade", "second_grade"], "criticism_references": ["criticisms"],
+    "biographical_fields": ["long_name", "kunya", "nisbas", "laqab", "region", "generation", "metadata", "residences", "travels", "deaths", "births", "relations", "creed"], "teacher_student_phrases": ["teacher_phrase", "student_phrase"],
+}
+PHRASES = "teacher_student_phrases"
+
+
+def public_entries(entries: DataFrame, registry: DataFrame, key: str) -> DataFrame:
+    """entries as they may be shown: columns of a label that the source's list has not are null, phrases also where the source
+    is not cleared; text_withheld says so. Columns that no label names stay. registry: key, rights, fields."""
+    r = F.broadcast(registry.select(F.col("key").alias("_key"), F.col("rights").alias("_rights"), F.col("fields").alias("_fields")))
+    label = {c: k for k, cs in ENTRY_LABELS.items() for c in cs}
+    cleared = F.coalesce(F.col("_rights").isin(*CLEARED), F.lit(False))
+    has = lambda k: F.coalesce(F.array_contains("_fields", k), F.lit(False)) & (cleared if k == PHRASES else F.lit(True))
+    out = entries.join(r, F.col(key) == F.col("_key"), "left")
+    shown = [F.when(has(label[c]), F.col(c)).alias(c) if c in label else F.col(c) for c in entries.columns]
+    return out.select(*shown, (~has(PHRASES)).alias("text_withheld"), (has("criticism_references") & ~cleared).alias("criticisms_withheld"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -65,15 +65,24 @@ def status_level(status: Column, score: Column) -> Column:
     return F.coalesce(F.when(status.isin("verified", "unresolved", "conflict"), status).when(status == "candidate", by_score), F.lit("unresolved"))
 
 
+def checkpoint_dir(spark: SparkSession) -> None:
+    """The shared folder that the cluster names in spark.checkpoint.dir. Only a local session gets one of its own."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tesserae-"))
+
+
 def layers(nodes: DataFrame, edges: DataFrame, columns: int = 6) -> DataFrame:
     """nodes (node, place) with depth, the longest path from a node without predecessors along edges (source, target).
 
     A round places the nodes whose predecessors all are placed and drops their edges, so that round and depth are one.
     What a cycle holds back lies one below its deepest placed predecessor, else at place % columns. Edges between
     unknown nodes are left out, rows that repeat count once. Each round is checkpointed."""
-    sc = nodes.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(nodes.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tesserae-"))
+    checkpoint_dir(nodes.sparkSession)
     known = nodes.select("node").distinct()
     edges = edges.select("source", "target").distinct()
     for side in ("source", "target"):

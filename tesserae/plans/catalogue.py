@@ -63,7 +63,7 @@ def node_relations_page(spark, d):
 e AS (SELECT DISTINCT src, dst FROM (SELECT a AS src, b AS dst FROM n WHERE b IS NOT NULL UNION ALL SELECT b, a FROM n WHERE b IS NOT NULL)),
 w(depth, src, dst, path) AS (SELECT 1, src, dst, concat('|', src, '|', dst, '|') FROM e WHERE src = 1 AND dst <> src UNION ALL
 SELECT w.depth + 1, e.src, e.dst, concat(w.path, e.dst, '|') FROM w JOIN e ON e.src = w.dst WHERE w.depth < 3 AND instr(w.path, concat('|', e.dst, '|')) = 0)
-SELECT * FROM w ORDER BY depth, src, dst, path LIMIT 500"""
+SELECT *, (SELECT count(*) FROM w) >= 500 AS truncated FROM w ORDER BY depth, src, dst, path LIMIT 500"""
 )
 def bounded_paths(spark, d):
     return chains.bounded_paths(_edges(spark, d, "l_partkey"), 1, 3, 500)
@@ -83,11 +83,12 @@ def fingerprint_clusters(spark, d):
 
 
 @query(
-    """WITH f AS (SELECT source AS cluster, substr(sha1(text), 1, 12) AS family, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1, 2)
+    """WITH f AS (SELECT 'HCL-' || substr(sha256(lower(substr(text, 1, 12))), 1, 20) AS cluster, substr(sha1(text), 1, 12) AS family, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1, 2)
 SELECT *, ((dense_rank() OVER (PARTITION BY cluster ORDER BY first_id) - 1) % 5)::INTEGER AS colour FROM f"""
 )
 def matn_families(spark, d):
-    return records.families(t(spark, d, "documents"), "source", F.col("text"), "doc_id")
+    docs = t(spark, d, "documents").withColumn("cluster", F.concat(F.lit("HCL-"), F.substring(F.sha2(F.lower(F.substring("text", 1, 12)), 256), 1, 20)))
+    return records.families(docs, "cluster", F.col("text"), "doc_id")
 
 
 @query(r"SELECT doc_id, lower(trim(regexp_replace(regexp_replace(strip_accents(text), '\s+', ' ', 'g'), '^ | $', '', 'g'))) AS normalized FROM documents")
@@ -265,9 +266,14 @@ def identity_links(spark, d):
     return t(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 100 + 1).alias("s_suppkey")).join(s, "s_suppkey").select("p_partkey", "s_suppkey")
 
 
-@query()
+@query(
+    """WITH n AS (SELECT item_id, doc_id, lower(b.text) AS a, lower(d.text) AS b FROM benchmark b JOIN (SELECT doc_id, lower(substr(text, 1, 200)) AS text FROM documents) d ON doc_id % 7 = item_id % 7 AND doc_id < 60),
+w AS (SELECT *, list_distinct(list_filter(string_split(a, ' '), lambda x: x <> '')) AS wa, list_distinct(list_filter(string_split(b, ' '), lambda x: x <> '')) AS wb, regexp_replace(a, '\\s+', '', 'g') AS sa, regexp_replace(b, '\\s+', '', 'g') AS sb FROM n),
+g AS (SELECT *, list_distinct(list_transform(range(1, length(sa) - 1), lambda i: substr(sa, i, 3))) AS ga, list_distinct(list_transform(range(1, length(sb) - 1), lambda i: substr(sb, i, 3))) AS gb FROM w)
+SELECT item_id, doc_id, CASE WHEN a = b THEN 1.0::DOUBLE ELSE round(0.58::DOUBLE * len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb))) + 0.42::DOUBLE * len(list_intersect(ga, gb)) / len(list_distinct(list_concat(ga, gb))), 4) END AS similarity FROM g"""
+)
 def text_similarity(spark, d):
-    """Of documents that begin with the same 40 characters, each with the next by id."""
-    w = Window.partitionBy(F.substring("text", 1, 40)).orderBy("doc_id")
-    p = t(spark, d, "documents").select("doc_id", "text", F.lead("doc_id").over(w).alias("other"), F.lead("text").over(w).alias("b")).where("other is not null")
-    return p.select("doc_id", "other", S.text_similarity(F.col("text"), F.col("b")).alias("similarity"))
+    """Passages against beginnings of documents: words and trigrams."""
+    docs = t(spark, d, "documents").where("doc_id < 60").select("doc_id", F.lower(F.substring("text", 1, 200)).alias("b"), (F.col("doc_id") % 7).alias("k"))
+    p = t(spark, d, "benchmark").select("item_id", F.lower("text").alias("a"), (F.col("item_id") % 7).alias("k")).join(docs, "k")
+    return p.select("item_id", "doc_id", S.text_similarity(F.col("a"), F.col("b")).alias("similarity"))

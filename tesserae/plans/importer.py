@@ -45,14 +45,14 @@ def redirect_closure(spark, d):
     return editorial.resolve_redirects(keys, keys.where("key % 40 > 3").selectExpr("key", "key - 3 target"))
 
 
-_BOUNDS = """b AS (SELECT DISTINCT l_suppkey AS k, year(l_shipdate)::INTEGER AS birth FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 45),
-d AS (SELECT DISTINCT l_suppkey AS k, year(l_shipdate)::INTEGER AS death FROM lineitem WHERE l_linenumber = 2 AND l_quantity > 45), i AS (SELECT k, birth, death FROM b JOIN d USING (k) WHERE birth <= death)"""
+_BOUNDS = """b AS (SELECT DISTINCT l_suppkey AS k, year(l_shipdate)::INTEGER AS birth FROM lineitem),
+d AS (SELECT DISTINCT l_suppkey AS k, year(l_shipdate)::INTEGER + (l_suppkey % 7)::INTEGER - 3 AS death FROM lineitem), i AS (SELECT k, birth, death FROM b JOIN d USING (k) WHERE birth <= death)"""
 
 
 @query(f"WITH {_BOUNDS} SELECT * FROM i")
 def life_intervals(spark, d):
-    side = lambda n, name: t(spark, d, "lineitem").where(f"l_linenumber = {n} and l_quantity > 45").select(F.col("l_suppkey").alias("k"), F.year("l_shipdate").alias(name)).distinct()
-    return editorial.life_intervals(side(1, "birth"), side(2, "death"), "k")
+    y = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.year("l_shipdate").alias("y")).distinct()
+    return editorial.life_intervals(y.selectExpr("k", "y birth"), y.selectExpr("k", "y + cast(k % 7 as int) - 3 death"), "k")
 
 
 @query(
@@ -170,9 +170,23 @@ def review_queue(spark, d):
     return editorial.queue(o.selectExpr("'identity' kind", "o_orderkey id", "o_orderdate created", "coalesce(c_name, '?') target"), e.selectExpr("'parse' kind", "event_id id", "ts created", "coalesce(c_name, '?') target"), "created", "id", 50)
 
 
-@query()
+@query("""SELECT conv_id, turn, trim(regexp_replace(text, '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g')) AS before, trim(regexp_replace(other, '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g')) AS after FROM (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS other FROM conversations) WHERE other IS NOT NULL""")
 def word_diff(spark, d):
-    """Steps from each turn of a conversation to the next."""
-    words = lambda c: F.filter(F.split(S.normalize(F.col(c)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Steps from each turn of a conversation to the next, put together again: they give both texts' words."""
     p = t(spark, d, "conversations").selectExpr("conv_id", "turn", "text", "lead(text) over (partition by conv_id order by turn, role, text) other").where("other is not null")
-    return p.select("conv_id", "turn", F.posexplode(X.word_difference(words("text"), words("other"))).alias("step", "s")).select("conv_id", "turn", "step", "s.*")
+    joined = lambda k: F.array_join(F.filter(F.transform("s", lambda x: x[k]), lambda w: w != ""), " ")
+    return p.withColumn("s", X.word_difference(F.col("text"), F.col("other"))).select("conv_id", "turn", joined("before").alias("before"), joined("after").alias("after"))
+
+
+@query("SELECT * FROM (VALUES (1, 0, 'equal', 'إِنَّمَا الأعمال', 'انما الأعمال'), (2, 0, 'equal', 'إنما الأعمال', 'إنما الأعمال'), (2, 1, 'replacement', 'بالنيات', 'بالنية وزيادة'), (3, 0, 'equal', 'قال زيد', 'قال زيد'), (3, 1, 'addition', '', 'اليوم'), (4, 0, 'equal', 'قال زيد', 'قال زيد'), (4, 1, 'omission', 'اليوم', '')) v(k, step, kind, before, after)")
+def word_steps(spark, d):
+    """Kinds of steps between two wordings; words are compared in the search form and given as they stand."""
+    rows = [(1, "إِنَّمَا الأعمال", "انما الأعمال"), (2, "إنما الأعمال بالنيات", "إنما الأعمال بالنية وزيادة"), (3, "قال زيد", "قال زيد، اليوم"), (4, "قال زيد اليوم", "قال زيد"), (5, None, "")]
+    df = spark.createDataFrame(rows, "k int, a string, b string")
+    return df.select("k", F.posexplode(X.word_difference(F.col("a"), F.col("b"))).alias("step", "s")).select("k", "step", "s.*")
+
+
+@query("SELECT * FROM (VALUES (2, 'replacement', 'بالنيات', 'بالنية وزيادة'), (3, 'addition', '', 'اليوم'), (4, 'omission', 'اليوم', '')) v(k, kind, before, after)")
+def variant_differences(spark, d):
+    """What differs between the representatives of two families."""
+    return word_steps(spark, d).where("kind <> 'equal'").select("k", "kind", "before", "after")
