@@ -11,8 +11,9 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tesserae.functions.scalars import FOLDED
+from tesserae.functions.scalars import BOOLEAN, DOUBLE, FOLDED, INT, STRING, struct_of
 
 # Terms of transmission, those that link in a wider sense, words that begin the report, names of the prophet.
 STRONG = ["حدثنا", "حدثني", "حدثناه", "حدثنيه", "حدثنا به", "اخبرنا", "اخبرني", "اخبرناه", "اخبرنيه", "انبانا", "انباني", "نبانا", "ثنا", "انا", "نا", "سمعت", "سمعنا", "قرات علي", "حكي لنا"]
@@ -47,9 +48,10 @@ _HEADING = re.compile(r"(?:باب|ابواب|كتاب)(?=[\s:.،]|$)")
 _PART = re.compile(rf"(?:^|(?<=\s))(?:{PARTS})(?=\s)")
 _PROPHET = re.compile(r"(?:رسول الله|نبي الله|النبي)(?:\s*صلي الله عليه وسلم)?")
 
-BOUNDARY = "struct<boundary:int,rule:string,confidence:double,class:string,error:string,strong:boolean>"
-ROUTES = "array<struct<start:int,end:int>>"
-NARRATORS = "array<struct<position:int,form:string,term:string,start:int,end:int,relative:boolean,prophet:boolean>>"
+SPAN = T.ArrayType(struct_of(start=INT, end=INT))
+BOUNDARY = T.StructType([*struct_of(boundary=INT, rule=STRING, confidence=DOUBLE), T.StructField("class", STRING), *struct_of(error=STRING, strong=BOOLEAN)])
+NARRATORS = T.ArrayType(struct_of(position=INT, form=STRING, term=STRING, start=INT, end=INT, relative=BOOLEAN, prophet=BOOLEAN))
+PLACES = T.ArrayType(INT)
 
 
 def boundary_of(text: str) -> dict:
@@ -113,7 +115,7 @@ def record_boundary(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([boundary_of(t or "") for t in text]).astype({"boundary": "Int32"})
 
 
-@F.pandas_udf(ROUTES)
+@F.pandas_udf(SPAN)
 def chain_routes(chain: pd.Series) -> pd.Series:
     return chain.map(lambda c: routes_of(c or ""))
 
@@ -173,12 +175,12 @@ def plain_with_places(raw: str) -> tuple[str, list[int], list[tuple[int, int]]]:
     return text[lead:end], places[lead:end], [(max(a - lead, 0), min(b, end) - lead) for a, b in titles if b > lead and a < end]
 
 
-@F.pandas_udf("struct<text:string,places:array<int>>")
+@F.pandas_udf(struct_of(text=STRING, places=PLACES))
 def normalized_with_places(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([folded_with_places(t or "") for t in text], columns=["text", "places"])
 
 
-@F.pandas_udf("struct<plain:string,plain_places:array<int>,titles:array<struct<start:int,end:int>>,normalized:string,places:array<int>>")
+@F.pandas_udf(struct_of(plain=STRING, plain_places=PLACES, titles=SPAN, normalized=STRING, places=PLACES))
 def prepared(raw: pd.Series) -> pd.DataFrame:
     """A page in three forms: plain, normalized, and the places in the raw page of the letters of both."""
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesserae.functions.scalars import BOOLEAN, DOUBLE, INT, STRING, struct_of
+
 # Words of units, tens and hundreds in the search form, words of an open amount, the article.
 UNITS = {1: "واحد واحده احدي احد احدا", 2: "اثنتين اثنين ثنتين اثنتي اثني ثنتي اثنتان اثنان", 3: "ثلاث ثلاثه ثلاثا", 4: "اربع اربعه اربعا", 5: "خمس خمسه خمسا", 6: "ست سته ستا", 7: "سبع سبعه سبعا", 8: "ثمان ثمانيه ثماني ثمانه ثمانيا", 9: "تسع تسعه تسعا"}
 TENS = {10: "عشر عشره", 20: "عشرين عشرون", 30: "ثلاثين ثلاثون", 40: "اربعين اربعون", 50: "خمسين خمسون", 60: "ستين ستون", 70: "سبعين سبعون", 80: "ثمانين ثمانون", 90: "تسعين تسعون"}
@@ -178,7 +180,9 @@ def assertions(text: str | None) -> list[dict]:
     return out
 
 
-ASSERTION = "array<struct<kind:string,verb:string,qualifier:string,value:int,until:int,explicit:boolean,shared:boolean,shared_from:string,approximate:boolean,phrase:string,offset:int,confidence:double>>"
+ASSERTION = T.ArrayType(
+    struct_of(kind=STRING, verb=STRING, qualifier=STRING, value=INT, until=INT, explicit=BOOLEAN, shared=BOOLEAN, shared_from=STRING, approximate=BOOLEAN, phrase=STRING, offset=INT, confidence=DOUBLE)
+)
 
 
 @F.pandas_udf(ASSERTION)

@@ -9,6 +9,9 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tesserae.functions.scalars import BOOLEAN, STRING, struct_of
 
 # What ends a name for certain, and what only describes its bearer.
 ENDS = (
@@ -40,10 +43,11 @@ _SPELLS, _SPELLED, _NO_NISBA = set(SPELLS), set(SPELLED), set(NO_NISBA)
 _EDGES = re.compile(r"^[.:،؛()\[\]\"]+|[.:،؛()\[\]\"]+$")
 #: A head's words: as they stand, and their search forms.
 Words = list[tuple[str, str]]
-HEAD = (
-    "struct<name:string,normalized:string,rule:string,forms:array<string>,described:string,cut:boolean,notes:array<string>,"
-    "kunya:string,nisbas:array<string>,name_chain:string,chain_names:array<string>,region:string,residence:string>"
-)
+_LIST = T.ArrayType(STRING)
+HEAD = struct_of(
+    name=STRING, normalized=STRING, rule=STRING, forms=_LIST, described=STRING, cut=BOOLEAN, notes=_LIST,
+    kunya=STRING, nisbas=_LIST, name_chain=STRING, chain_names=_LIST, region=STRING, residence=STRING,
+)
 
 
 def _text(ws: Words) -> str:

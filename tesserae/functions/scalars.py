@@ -17,6 +17,13 @@ WHITE = r"\t\n\x0B\f\r\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\
 KEY_ALPHABET, HIGH, MEDIUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.90, 0.70
 
 
+STRING, INT, DOUBLE, BOOLEAN = T.StringType(), T.IntegerType(), T.DoubleType(), T.BooleanType()
+
+
+def struct_of(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
 def _decompose(t: str | None) -> str | None:
     return t if t is None or t.isascii() else unicodedata.normalize("NFKD", t)
 

@@ -125,7 +125,7 @@ def first_fields(spark, d):
     return m.select("k", I.first_value(metadata_fields(F.col("t")), ["النسب", "الرتبة"]).alias("first"))
 
 
-@query("WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT x.vec_id, list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))) AS c FROM e x JOIN e y ON y.vec_id = x.vec_id + 1 AND x.label = y.label) SELECT vec_id, round(c, 6) AS cosine, round(0.35 * 0.2 + 0.25 * 4 / 22 + 0.4 * c, 4) AS similarity FROM p")
+@query("WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT x.vec_id, list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))) AS c FROM e x JOIN e y ON y.vec_id = x.vec_id + 1 AND x.label = y.label) SELECT vec_id, round(c, 6) AS cosine, round(0.35 * 0.2 + 0.25 * 3 / 22 + 0.4 * c, 4) AS similarity FROM p")
 def semantic_similarity(spark, d):
     """Similarity of two wordings with a similarity of meaning."""
     e = t(spark, d, "embeddings")
