@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +74,15 @@ def clean() -> None:
         _scratch.clear()
 
 
+def give_back() -> None:
+    """At the end of a task: what its Python worker holds unused goes back to the system, as the worker lives on with the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if a count shows at most `limit` rows, else unmarked (a shuffle join)."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -1,24 +1,25 @@
 """Benchmark decontamination with DataFrame functions only.
 
 Texts become words (runs of letters, digits and marks, lower case) and shingles of five words. An item of n shingles
-is sought in windows of n shingles. A window can only reach the weighted similarity (sum of minima over sum of maxima
-of the shingles' counts) if at least threshold * n of its shingles are those of items of that size; and moving a
-window's start to its first such shingle never lowers the similarity. So windows start at such shingles only, and
-only where enough others follow: nothing else can match.
-
-Equal windows are taken once. Each gets a 64-bit SimHash: lanes of 16 bits in 16 sums count, over its shingles, how
-often each bit is set. Fingerprints within `RADIUS` differ in at most RADIUS // 5 bits in one of five blocks; each
-item is listed under every block value that near to its own, so a join on (size, block, value) finds all fingerprints
-within the radius. At the threshold 0.8 the mean distance is 9.6 bits with a deviation of 2.9, so the radius of 19
-loses one in a thousand of the pairs exactly at the threshold, and none that are well over it. What is within the
-radius is then verified exactly.
-
-Hot passages: counts combine before a shuffle, equal windows collapse, and the joins that a passage's many windows
-meet in are plain joins that adaptive execution splits. The shingles of the benchmark are broadcast only if a count
-shows that they are few.
-
-Nulls and edges: null ids, null and empty texts and items with fewer than five words match nothing; repeated
-documents give a row each for each item; a document shorter than an item is one window of its own size.
+is sought in windows of n shingles. Moving a window's start to its first shingle that is one of an item of that size never
+lowers its weighted similarity to that item (sum of minima over sum of maxima of the shingles' counts), so windows start
+at such shingles only.
+
+Equal windows are taken once. Each gets a 64-bit SimHash: lanes of 32 bits in 32 sums count, over its shingles, how often
+each bit is set. Fingerprints within `RADIUS` differ in at most RADIUS // 5 bits in one of five blocks; each item is listed
+under every block value that near to its own, so a join on (size, block, value) finds all fingerprints within the radius,
+and that is what pairs windows with items. At the threshold 0.8 the mean distance is 9.6 bits with a deviation of 2.9, so
+the radius of 19 loses one in a thousand of the pairs exactly at the threshold, and none that are well over it. What is
+within the radius is then verified exactly. An item of fewer than five words is one shingle of all its words, and its
+windows are runs of that many words; equal ones have equal fingerprints, so a join on the shingle finds them.
+
+Hot passages: counts combine before a shuffle, equal windows collapse to the place of one of them, whose shingles alone are
+read, and the joins that a passage's many windows meet in are plain joins that adaptive execution splits. The shingles of
+the benchmark are broadcast only if a count shows that they are few.
+
+Nulls and edges: null ids, null and empty texts and items without words match nothing; repeated documents give a row each
+for each item; a document shorter than an item is one window of its own size; empty tables give no row. Only the named
+columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -33,27 +34,23 @@ WORDS, THRESHOLD, RADIUS = 5, 0.8, 19
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
 
-def shingles(text: Column) -> Column:
-    """64-bit hashes of the runs of five words, in their order."""
+def shingles(text: Column, width: int = WORDS) -> Column:
+    """64-bit hashes of the runs of `width` words, in their order."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}\p{M}]+"), F.lit(0))
-    runs = lambda ws: F.when(F.size(ws) < WORDS, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.size(ws) - WORDS), lambda i: F.xxhash64(*[F.get(ws, i + k) for k in range(WORDS)]))
+    runs = lambda ws: F.when(F.size(ws) < width, F.array().cast("array<bigint>")).otherwise(
+        F.transform(F.sequence(F.lit(0), F.size(ws) - width), lambda i: F.xxhash64(*[F.get(ws, i + k) for k in range(width)]))
     )
     # the outer transform binds the words, which the inner one would else find anew for each run
     return F.element_at(F.transform(F.array(words), runs), 1)
 
 
-def _need(n: Column, threshold: float) -> Column:
-    return F.ceil(n * F.lit(threshold) - 1e-9).cast("int")
-
-
 def _fingerprints(df: DataFrame, keys: list[str], shingle_col: str) -> DataFrame:
     """keys and fp: the SimHash of each row's shingles."""
     one = df.select(*keys, F.explode(shingle_col).alias("_h"))
-    # the bits 4k .. 4k+3 of a hash, each in a lane of 16 bits
-    lane = lambda k: F.expr(" | ".join(f"shiftleft((shiftrightunsigned(_h, {4 * k + j}) & 1L), {16 * j})" for j in range(4)))
-    sums = one.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.sum(lane(k)).alias(f"_s{k}") for k in range(16)])
-    bits = [f"shiftleft(if(2 * (shiftrightunsigned(_s{k}, {16 * j}) & 65535L) > _n, 1L, 0L), {4 * k + j})" for k in range(16) for j in range(4)]
+    # the bits 2k and 2k+1 of a hash, each in a lane of 32 bits
+    lane = lambda k: F.expr(f"(shiftrightunsigned(_h, {2 * k}) & 1L) | shiftleft(shiftrightunsigned(_h, {2 * k + 1}) & 1L, 32)")
+    sums = one.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.sum(lane(k)).alias(f"_s{k}") for k in range(32)])
+    bits = [f"shiftleft(if(2 * (shiftrightunsigned(_s{k}, {32 * j}) & 4294967295L) > _n, 1L, 0L), {2 * k + j})" for k in range(32) for j in range(2)]
     # in four parts, so that the generated code stays small
     for q in range(4):
         sums = sums.withColumn(f"_q{q}", F.expr(" | ".join(bits[16 * q : 16 * q + 16])))
@@ -71,32 +68,33 @@ def _similarity(a: Column, b: Column) -> Column:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """(id, row_hash, item, start, similarity): the best window of each document row and item; start in words.
     row_hash is the xxhash64 of the text, to tell rows that share an id."""
-    items = materialize(benchmark.select(F.col(item_col).alias("item"), shingles(F.col(item_text)).alias("ih")).where(F.size("ih") > 0).where("item is not null").withColumn("n", F.size("ih")))
+    words = F.regexp_extract_all(F.lower(F.col(item_text)), F.lit(r"[\p{L}\p{N}\p{M}]+"), F.lit(0))
+    known = materialize(benchmark.select(F.col(item_col).alias("item"), shingles(F.col(item_text)).alias("ih"), words.alias("ws")).where("item is not null and size(ws) > 0").withColumn("n", F.size("ih")))
+    items = known.where("n > 0").drop("ws")
     index = materialize(items.select("n", F.explode("ih").alias("h")).distinct())
     sizes = index.groupBy("h").agg(F.sort_array(F.collect_set("n")).alias("ns"))
     few = index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     sizes = F.broadcast(sizes) if few else sizes
 
-    # rows that have enough shingles of items of some size
+    # rows that have a shingle of an item
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("row_hash"), F.col(text_col).alias("t")).where("id is not null")
     # outer: else Spark infers a filter that would build the shingles twice
-    at = d.select("id", "row_hash", F.explode_outer(shingles(F.col("t"))).alias("h")).join(sizes, "h").select("id", "row_hash", F.explode("ns").alias("n"))
-    rows = at.groupBy("id", "row_hash", "n").count().where(F.col("count") >= _need(F.col("n"), threshold)).select("id", "row_hash").distinct()
-    rows = small(materialize(rows))
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("row_hash"), F.col(text_col).alias("t")).join(rows, ["id", "row_hash"])
-    found = found.groupBy("id", "row_hash").agg(F.first("t").alias("t"), F.count("*").alias("times"))
+    at = d.select("id", "row_hash", F.explode_outer(shingles(F.col("t"))).alias("h")).join(sizes, "h")
+    rows = small(materialize(at.select("id", "row_hash").distinct()))
+    found = d.join(rows, ["id", "row_hash"]).groupBy("id", "row_hash").agg(F.first("t").alias("t"), F.count("*").alias("times"))
     found = materialize(found.select("id", "row_hash", "times", shingles(F.col("t")).alias("hs")))
 
-    # the places of such shingles by size, and the windows that they allow
+    # the windows that begin at the places of such shingles, by their hashes; of equal ones the shingles of the first
     hits = found.select("id", "row_hash", F.posexplode("hs").alias("p", "h")).join(sizes, "h").select("id", "row_hash", "p", F.explode("ns").alias("n"))
-    hits = hits.groupBy("id", "row_hash", "n").agg(F.sort_array(F.collect_list("p")).alias("ps"))
-    hits = hits.withColumn("k", _need(F.col("n"), threshold)).where("size(ps) >= k")
-    starts = F.expr("transform(filter(sequence(0, size(ps) - k), j -> get(ps, j + k - 1) - get(ps, j) < n), j -> get(ps, j))")
-    windows = hits.select("id", "row_hash", "n", F.explode(starts).alias("p")).join(found, ["id", "row_hash"])
-    windows = windows.withColumn("p", F.greatest(F.lit(0), F.least("p", F.size("hs") - F.col("n")))).distinct()
-    windows = windows.select("id", "row_hash", "times", "n", "p", F.slice("hs", F.col("p") + 1, F.col("n")).alias("w"))
-    windows = materialize(windows.withColumn("a", F.xxhash64("w")).withColumn("b", F.xxhash64(F.lit(7), "w")))
-    distinct = materialize(windows.groupBy("n", "a", "b").agg(F.first("w").alias("w")))
+    placed = hits.groupBy("id", "row_hash").agg(F.collect_set(F.struct("n", "p")).alias("ps")).join(found, ["id", "row_hash"])
+    at = lambda x: F.greatest(F.lit(0), F.least(x["p"], F.size("hs") - x["n"]))
+    starts = F.array_distinct(F.transform("ps", lambda x: F.struct(x["n"].alias("n"), at(x).alias("p"))))
+    cut = lambda x: F.slice("hs", x["p"] + 1, x["n"])
+    hashed = F.transform(starts, lambda x: F.struct(x["n"].alias("n"), x["p"].alias("p"), F.xxhash64(cut(x)).alias("a"), F.xxhash64(F.lit(7), cut(x)).alias("b")))
+    windows = placed.select("id", "row_hash", "times", F.inline(hashed))
+    windows = materialize(windows)
+    first = windows.groupBy("n", "a", "b").agg(F.min(F.struct("id", "row_hash", "p")).alias("x")).select("n", "a", "b", "x.*")
+    distinct = materialize(first.join(found.select("id", "row_hash", "hs"), ["id", "row_hash"]).select("n", "a", "b", F.slice("hs", F.col("p") + 1, F.col("n")).alias("w")))
 
     # all fingerprints within the radius, then the exact similarity
     mask = lambda lo, bits: F.col("fp").bitwiseAND(F.lit(((1 << bits) - 1) << lo if lo + bits < 64 else -(1 << lo)))
@@ -110,8 +108,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     matched = materialize(checked.where(F.col("similarity") >= threshold - 1e-12).select("n", "a", "b", "item", "similarity"))
     out = windows.select("id", "row_hash", "times", "n", "p", "a", "b").join(matched, ["n", "a", "b"])
     best = out.groupBy("id", "row_hash", "item").agg(F.max(F.struct("similarity", (-F.col("p")).alias("q"))).alias("m"), F.first("times").alias("times"))
+    best = best.select("id", "row_hash", "item", "times", (-F.col("m.q")).cast("long").alias("start"), F.col("m.similarity").alias("similarity"))
+    short = known.where("n = 0")
+    for width in [r.w for r in short.select(F.size("ws").alias("w")).distinct().collect()]:  # 1 to 4
+        one = short.where(F.size("ws") == width).select("item", F.xxhash64(*[F.get("ws", F.lit(k)) for k in range(width)]).alias("h"))
+        at = d.select("id", "row_hash", F.posexplode(shingles(F.col("t"), width)).alias("p", "h")).join(small(one), "h")
+        same = at.groupBy("id", "row_hash", "item").agg(F.min("p").cast("long").alias("start"))
+        times = d.groupBy("id", "row_hash").agg(F.count("*").alias("times"))
+        best = best.unionByName(same.join(times, ["id", "row_hash"]).withColumn("similarity", F.lit(1.0)))
     best = best.withColumn("_r", F.explode(F.expr("sequence(1L, times)")))
-    return best.select("id", "row_hash", "item", (-F.col("m.q")).cast("long").alias("start"), F.col("m.similarity").alias("similarity"))
+    return best.select("id", "row_hash", "item", "start", "similarity")
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

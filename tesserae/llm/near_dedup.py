@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import connected_components, materialize, small, table
+from tesserae.llm.common import connected_components, give_back, materialize, small, table
 
 WORDS, BANDS, ROWS, BITS = 5, 24, 4, 4
 #: Minima in all; the first BANDS * ROWS make the bands, all make the signature.
@@ -98,8 +98,7 @@ def shingle_sets(texts: list[str | None], known: WordHashes) -> list[np.ndarray]
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: int = 1, size: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Slices of batches whose texts have about `size` bytes. What the last one leaves unused goes back to the system, as a
-    worker lives on with the executor."""
+    """Slices of batches whose texts have about `size` bytes."""
     for b in batches:
         col = b.column(text)
         lens = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), np.int64)
@@ -109,7 +108,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: int = 1, size: int = CHUNK)
             part = b.slice(at, to - at)
             yield part, part.column(text).to_pylist()
             at = to
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _lists(values: np.ndarray, width: int) -> pa.Array:
@@ -175,6 +174,7 @@ def _confirm(percent: int):
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             b = b.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"])
+        give_back()
 
     return run
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import materialize, table
+from tesserae.llm.common import give_back, materialize, table
 from tesserae.llm.near_dedup import chunks
 from tesserae.llm.tokens import Encoder, default_path
 
@@ -160,7 +160,7 @@ def _pack(width: int, idf: np.ndarray, mean: float, window: int, shard_tokens: i
                     docs, tokens = [], 0
         if docs:
             yield done(docs)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return run
 

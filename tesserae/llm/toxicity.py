@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -33,7 +33,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import materialize, table
+from tesserae.llm.common import give_back, materialize, table
 
 #: Labelled documents a class; beginnings of words, ordinary windows and toxic passages that the driver may see.
 SAMPLE, TOLD, ORDINARY_WINDOWS, TOXIC_PASSAGES = 3000, 5000, 60_000, 20_000
@@ -114,11 +114,17 @@ class Model:
     mean: tuple = ()
     scale: tuple = ()
     weights: tuple = ()
+    known: Distance | None = field(default=None, repr=False, compare=False)
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "known": None}  # compressors stay where they are made
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not self.weights:
             return np.zeros(len(texts))
-        d = Distance(self.ordinary, self.toxic)
+        if self.known is None:
+            self.known = Distance(self.ordinary, self.toxic)
+        d = self.known
         x = (np.array([d.features(t) for t in texts]).reshape(-1, 6) - self.mean) / self.scale
         return 1 / (1 + np.exp(-np.clip(x @ np.array(self.weights[1:]) + self.weights[0], -30, 30)))
 
@@ -236,8 +242,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(text: Column, model: Model) -> Column:
     @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(list(texts)))
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series(model.scores(list(texts)))
+        give_back()
 
     return run(text)
 
