@@ -1,15 +1,16 @@
 """Line dedup by site-relative frequency.
 
 A page is a row, its host names the site. For each host and line: the pages that have the line, divided by the
-host's pages. Lines over `ratio`, and on at least `min_pages` pages, are boilerplate and go from every page of
-that host. Lines are compared without outer spaces; a page counts once however often it has the line.
+host's pages. Lines over `ratio`, and on at least `min_pages` pages (a line on one page is no repetition), are boilerplate
+and go from every page of that host. Lines are compared without outer spaces; a page counts once however often it has the line.
 
 The counts combine before they are shuffled, so a host with a third of all pages is no hot spot. A host has at most
 (its mean of distinct lines) / ratio boilerplate lines. They are broadcast if a count shows that they are few, else
 each host's set goes to `SALTS` places where its pages, dealt by their text, meet it.
 
 Nulls and edges: null text stays null and counts as a page without lines; rows without host stay as they are; empty
-lines are never boilerplate; a page that loses all lines keeps its row with what is left. Every column is kept.
+lines are never boilerplate; a page that loses all lines keeps its row with what is left; repeated rows are pages each; an
+empty table gives no row. Every column is kept.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import materialize, table
 
-RATIO, MIN_PAGES, SALTS = 0.05, 5, 64
+RATIO, MIN_PAGES, SALTS = 0.05, 2, 64
 #: Boilerplate lines (16 bytes each) that a broadcast may hold.
 BROADCAST_LINES = 200_000
 
@@ -66,7 +67,7 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(
 l AS (SELECT r, source, unnest(list_distinct(list_transform(ls, lambda x: trim(x, ' ')))) AS line FROM d WHERE source IS NOT NULL),
 n AS (SELECT source, count(*) AS pages FROM d WHERE source IS NOT NULL GROUP BY source),
 f AS (SELECT source, line, count(*) AS c FROM l WHERE line <> '' GROUP BY source, line),
-o AS (SELECT f.source, list(line) AS bad FROM f JOIN n USING (source) WHERE c >= 5 AND c > 0.05::DOUBLE * pages GROUP BY f.source),
+o AS (SELECT f.source, list(line) AS bad FROM f JOIN n USING (source) WHERE c >= 2 AND c > 0.05::DOUBLE * pages GROUP BY f.source),
 k AS (SELECT d.*, list_filter(ls, lambda x: bad IS NULL OR trim(x, ' ') = '' OR NOT list_contains(bad, trim(x, ' '))) AS good FROM d LEFT JOIN o USING (source))
 SELECT doc_id, source, CASE WHEN text IS NULL THEN NULL ELSE array_to_string(good, chr(10)) END AS text,
   CASE WHEN text IS NULL THEN 0 ELSE len(ls) END::BIGINT AS n_lines, CASE WHEN text IS NULL THEN 0 ELSE len(ls) - len(good) END::BIGINT AS n_dropped
