@@ -17,6 +17,8 @@ from tesserae.llm.common import free, held, materialize, small, table
 NEAR_PERCENT = 80
 #: Share of a host's pages over which a line goes; op4's SQL has 5 %, which leaves most repeated lines.
 LINE_RATIO = 0.01
+#: Pages of a host that have a line at least before it goes: fewer may be copies of one document.
+LINE_PAGES = 5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their site's boilerplate lines; n_chars follows the text."""
-    out = line_dedup.drop_boilerplate(docs, ratio=LINE_RATIO)
+    out = line_dedup.drop_boilerplate(docs, ratio=LINE_RATIO, min_pages=LINE_PAGES)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_ts_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
