@@ -270,7 +270,7 @@ def identity_links(spark, d):
     """WITH n AS (SELECT item_id, doc_id, lower(b.text) AS a, lower(d.text) AS b FROM benchmark b JOIN (SELECT doc_id, lower(substr(text, 1, 200)) AS text FROM documents) d ON doc_id % 7 = item_id % 7 AND doc_id < 60),
 w AS (SELECT *, list_distinct(list_filter(string_split(a, ' '), lambda x: x <> '')) AS wa, list_distinct(list_filter(string_split(b, ' '), lambda x: x <> '')) AS wb, regexp_replace(a, '\\s+', '', 'g') AS sa, regexp_replace(b, '\\s+', '', 'g') AS sb FROM n),
 g AS (SELECT *, list_distinct(list_transform(range(1, length(sa) - 1), lambda i: substr(sa, i, 3))) AS ga, list_distinct(list_transform(range(1, length(sb) - 1), lambda i: substr(sb, i, 3))) AS gb FROM w)
-SELECT item_id, doc_id, CASE WHEN a = b THEN 1.0::DOUBLE ELSE round(0.58::DOUBLE * len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb))) + 0.42::DOUBLE * len(list_intersect(ga, gb)) / len(list_distinct(list_concat(ga, gb))), 4) END AS similarity FROM g"""
+SELECT item_id, doc_id, CASE WHEN a = b THEN 1.0::DOUBLE ELSE round(0.58::DOUBLE * (len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb)))) + 0.42::DOUBLE * (len(list_intersect(ga, gb)) / len(list_distinct(list_concat(ga, gb)))), 4) END AS similarity FROM g"""
 )
 def text_similarity(spark, d):
     """Passages against beginnings of documents: words and trigrams."""

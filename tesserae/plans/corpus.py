@@ -107,7 +107,7 @@ SELECT doc_id, start, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY st
 )
 def number_segments(spark, d):
     """Segments of a text from each number to the next."""
-    runs = t(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("n"), F.posexplode(F.regexp_extract_all("text", F.lit(r"([^0-9]*)([0-9]+)"), F.lit(0))).alias("i", "m"))
+    runs = t(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("n"), F.posexplode(F.regexp_extract_all("text", F.lit(r"\G[^0-9]*+[0-9]++"), F.lit(0))).alias("i", "m"))
     from pyspark.sql import Window
 
     upto = F.sum(F.length("m")).over(Window.partitionBy("doc_id").orderBy("i"))
