@@ -265,11 +265,11 @@ def answer_record(spark, d):
     return r.select("doc_id", "lang", F.md5("text").alias("text"), "text_withheld", "confidence", S.level(F.col("confidence")).alias("level"))
 
 
-@query("SELECT key, kind, rights FROM (VALUES ('en', 'source', 'cleared'), ('fr', 'source', 'public-domain'), ('openiti', 'external', 'review-required')) v(key, kind, rights)")
+@query("SELECT key, kind, rights FROM (VALUES ('en', 'source', 'cleared'), ('fr', 'source', 'public-domain'), ('external-texts', 'external', 'review-required')) v(key, kind, rights)")
 def answer_sources(spark, d):
     """The registry's sources and external data sets, as one list."""
     a = spark.createDataFrame([("en", "cleared"), ("fr", "public-domain")], "key string, rights string").withColumn("kind", F.lit("source"))
-    b = spark.createDataFrame([("openiti", "review-required")], "key string, rights string").withColumn("kind", F.lit("external"))
+    b = spark.createDataFrame([("external-texts", "review-required")], "key string, rights string").withColumn("kind", F.lit("external"))
     return a.unionByName(b).select("key", "kind", "rights")
 
 

@@ -10,7 +10,7 @@ from tesserae.plans.catalogue import query, t
 from tesserae.plans.literal import Literal
 from tesserae.sources import archive as A
 
-REGISTRY = Literal("registry", "key string, kind string, rights string, fields array<string>", [("bukhari", "source", "cleared", ["isnad", "matn"]), ("openiti", "external", "review-required", [])])
+REGISTRY = Literal("registry", "key string, kind string, rights string, fields array<string>", [("bukhari", "source", "cleared", ["isnad", "matn"]), ("external-texts", "external", "review-required", [])])
 
 
 def _scratch(spark) -> str:
@@ -21,7 +21,7 @@ def _scratch(spark) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{tempfile.mktemp(prefix='t', dir='')}"
 
 
-@query("SELECT 'source:' || key AS id, key, kind, rights, fields FROM (VALUES ('bukhari', 'source', 'cleared', '[\"isnad\",\"matn\"]'), ('openiti', 'external', 'review-required', '[]')) v(key, kind, rights, fields)")
+@query("SELECT 'source:' || key AS id, key, kind, rights, fields FROM (VALUES ('bukhari', 'source', 'cleared', '[\"isnad\",\"matn\"]'), ('external-texts', 'external', 'review-required', '[]')) v(key, kind, rights, fields)")
 def source_works(spark, d):
     return A.source_works(REGISTRY.df(spark))
 
@@ -73,7 +73,7 @@ def curated_mentions(spark, d):
     return A.curated_mentions(CURATED.df(spark))
 
 
-@query("SELECT * FROM (VALUES ('manifest.json', '{\"release_id\":\"r1\",\"data_version\":\"v\",\"tables\":[\"a\",\"b\"]}'), ('register.sql', 'INSERT INTO atlas_release (release_id, data_version, is_active) VALUES (''r1'', ''v'', 0);'), ('activate.sql', 'UPDATE atlas_release SET is_active = (release_id = ''r1'');'), ('latest.env', 'RELEASE_ID=r1')) v(file, content)")
+@query("SELECT * FROM (VALUES ('manifest.json', '{\"release_id\":\"r1\",\"data_version\":\"v\",\"tables\":[\"a\",\"b\"]}'), ('register.sql', 'INSERT INTO release (release_id, data_version, is_active) VALUES (''r1'', ''v'', 0);'), ('activate.sql', 'UPDATE release SET is_active = (release_id = ''r1'');'), ('latest.env', 'RELEASE_ID=r1')) v(file, content)")
 def release_files(spark, d):
     return A.release_files("r1", spark.createDataFrame([("b",), ("a",)], "name string"), "v")
 

@@ -137,8 +137,8 @@ def release_files(release_id: str, tables: DataFrame, version: str) -> DataFrame
     manifest = F.to_json(F.struct(F.lit(release_id).alias("release_id"), F.lit(version).alias("data_version"), F.sort_array(F.collect_list("name")).alias("tables")))
     text = lambda name, c: F.struct(F.lit(name).alias("file"), c.alias("content"))
     files = F.array(
-        text("manifest.json", F.col("m")), text("register.sql", F.lit(f"INSERT INTO atlas_release (release_id, data_version, is_active) VALUES ('{release_id}', '{version}', 0);")),
-        text("activate.sql", F.lit(f"UPDATE atlas_release SET is_active = (release_id = '{release_id}');")), text("latest.env", F.lit(f"RELEASE_ID={release_id}")),
+        text("manifest.json", F.col("m")), text("register.sql", F.lit(f"INSERT INTO release (release_id, data_version, is_active) VALUES ('{release_id}', '{version}', 0);")),
+        text("activate.sql", F.lit(f"UPDATE release SET is_active = (release_id = '{release_id}');")), text("latest.env", F.lit(f"RELEASE_ID={release_id}")),
     )
     return tables.agg(manifest.alias("m")).select(F.explode(files).alias("f")).select("f.*")
 
