@@ -97,8 +97,8 @@ def shingle_sets(texts: list[str | None], known: WordHashes) -> list[np.ndarray]
     return out
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: int = 1, size: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Slices of batches whose texts have about `size` bytes."""
+def chunks(batches: Iterator[pa.RecordBatch], text: int = 1, size: int = CHUNK, strings: bool = True) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of batches whose texts have about `size` bytes, and those texts, if strings are wanted."""
     for b in batches:
         col = b.column(text)
         lens = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), np.int64)
@@ -106,7 +106,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: int = 1, size: int = CHUNK)
         while at < b.num_rows:
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
             part = b.slice(at, to - at)
-            yield part, part.column(text).to_pylist()
+            yield part, part.column(text).to_pylist() if strings else []
             at = to
     give_back()
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import give_back, materialize, table
 from tesserae.llm.near_dedup import chunks
-from tesserae.llm.tokens import Encoder, default_path
+from tesserae.llm.tokens import KNOWN_WORDS, Encoder, default_path
 
 WINDOW, END, SHARD_TOKENS, K1, B = 4096, 2, 1 << 20, 1.2, 0.75
 
@@ -31,13 +31,13 @@ WINDOW, END, SHARD_TOKENS, K1, B = 4096, 2, 1 << 20, 1.2, 0.75
 AT_ONCE = 4 << 20
 
 
-def _tokenize(path: str, end: int, vocabulary: int, at_once: int):
+def _tokenize(path: str, end: int, vocabulary: int, at_once: int, known: int):
     """A row for each document, and one for each partition with its document frequencies."""
     names, counts = ["id", "key", "n", "ids", "df"], pa.map_(pa.int32(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, df = Encoder.of_worker(path), np.zeros(vocabulary, np.int64)
-        for part, _ in chunks(batches, size=at_once):
+        enc, df = Encoder.of_worker(path, known=known), np.zeros(vocabulary, np.int64)
+        for part, _ in chunks(batches, size=at_once, strings=False):
             ids = enc.encode(part.column(1), end)
             key = []
             for x in ids:
@@ -168,14 +168,14 @@ def _pack(width: int, idf: np.ndarray, mean: float, window: int, shard_tokens: i
     return run
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end: int = END, tokenizer: str | None = None, shard_tokens: int = SHARD_TOKENS, at_once: int = AT_ONCE) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end: int = END, tokenizer: str | None = None, shard_tokens: int = SHARD_TOKENS, at_once: int = AT_ONCE, known: int = KNOWN_WORDS) -> DataFrame:
     """Pieces: id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset. at_once: bytes of text that
-    a task encodes together; fewer take less memory and a little more time."""
+    a task encodes together, known: words that it remembers; fewer take less memory and more time."""
     path = tokenizer or default_path()
     known = Encoder(path)
     width, vocabulary = known.dtype.itemsize, max(known.tokenizer.get_vocab_size(True), end + 1)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    made = materialize(docs.mapInArrow(_tokenize(path, end, vocabulary, at_once), "id long, key int, n long, ids binary, df map<int, long>"))
+    made = materialize(docs.mapInArrow(_tokenize(path, end, vocabulary, at_once, known), "id long, key int, n long, ids binary, df map<int, long>"))
     tok = made.where("ids is not null").drop("df")
     total = tok.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
     df = np.zeros(vocabulary)

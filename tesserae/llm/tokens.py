@@ -35,7 +35,7 @@ _BEYOND = re.compile("[İɐ-\U0010ffff]").search
 #: Words that a worker remembers, besides those of the texts at hand. When they are too many, those that were met again stay.
 KNOWN_WORDS = 1_000_000
 #: Words whose ids are gathered at once.
-GATHERED = 200_000
+GATHERED = 100_000
 
 
 def default_path() -> str:
@@ -58,6 +58,7 @@ class Encoder:
         self.last = np.zeros(1 << (8 * min(self.dtype.itemsize, 3)), bool)
         self.last[[i for w, i in self.tokenizer.get_vocab(True).items() if w.endswith("</w>")]] = True
 
+        self.limit = KNOWN_WORDS
         self._forget()
 
     def _forget(self) -> None:
@@ -71,11 +72,12 @@ class Encoder:
         self.words, self.starts, self.sizes, self.again = self.words.take(pa.array(keep)), (ends - n).astype(np.int32), n.astype(np.int32), np.zeros(len(keep), bool)
 
     @classmethod
-    def of_worker(cls, path: str, dtype: str = "<u2") -> Encoder:
-        """The one that this Python worker has used before, if any."""
+    def of_worker(cls, path: str, dtype: str = "<u2", known: int = KNOWN_WORDS) -> Encoder:
+        """The one that this Python worker has used before, if any; it remembers up to `known` words."""
         kept = sys.modules.setdefault("_tesserae_kept", types.ModuleType("_tesserae_kept"))
         if getattr(kept, "key", None) != (path, dtype):
             kept.key, kept.encoder = (path, dtype), cls(path, dtype)
+        kept.encoder.limit = known
         return kept.encoder
 
     def _bytes(self, words: list[str]) -> list[bytes]:
@@ -110,9 +112,9 @@ class Encoder:
     def _places(self, words: pa.Array) -> np.ndarray:
         """The places of distinct words among the known ones; new ones are learnt."""
         at = pc.index_in(words, value_set=self.words)
-        if len(self.words) and len(self.words) + at.null_count > KNOWN_WORDS:
+        if len(self.words) and len(self.words) + at.null_count > self.limit:
             self._shrink()
-            if len(self.words) + at.null_count > KNOWN_WORDS:
+            if len(self.words) + at.null_count > self.limit:
                 self._forget()
             at = pc.index_in(words, value_set=self.words)
         place = pc.fill_null(at, -1).to_numpy().astype(np.int64)
