@@ -15,8 +15,9 @@ from tesserae.llm import decontam, line_dedup, near_dedup, packing, toxicity
 from tesserae.llm.common import free, held, materialize, small, table
 
 NEAR_PERCENT = 80
-#: Bytes of text that a packing task encodes together: little, as the workers lived through the other stages.
-ENCODED_AT_ONCE = 1 << 20
+#: Bytes of text that a packing task encodes together, and words that it remembers: little, as workers and executors have
+#: grown in the stages before.
+ENCODED_AT_ONCE, KNOWN_WORDS = 1 << 20, 200_000
 #: Share of a host's pages over which a line goes; op4's SQL has 5 %, which leaves most repeated lines.
 LINE_RATIO = 0.01
 #: Pages of a host that have a line at least before it goes: fewer may be copies of one document.
@@ -59,7 +60,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, by sequence and place."""
-    return packing.digest(packing.pack_documents(docs, at_once=ENCODED_AT_ONCE))
+    return packing.digest(packing.pack_documents(docs, at_once=ENCODED_AT_ONCE, known=KNOWN_WORDS))
 
 
 STAGES = [
