@@ -172,8 +172,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Pieces: id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset. at_once: bytes of text that
     a task encodes together, known: words that it remembers; fewer take less memory and more time."""
     path = tokenizer or default_path()
-    known = Encoder(path)
-    width, vocabulary = known.dtype.itemsize, max(known.tokenizer.get_vocab_size(True), end + 1)
+    encoder = Encoder(path)
+    width, vocabulary = encoder.dtype.itemsize, max(encoder.tokenizer.get_vocab_size(True), end + 1)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     made = materialize(docs.mapInArrow(_tokenize(path, end, vocabulary, at_once, known), "id long, key int, n long, ids binary, df map<int, long>"))
     tok = made.where("ids is not null").drop("df")
