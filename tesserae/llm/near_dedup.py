@@ -218,7 +218,7 @@ def _prefixed(nodes: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     # the overlap that the least size of the other's class calls for, with a hair for rounding
     need = F.ceil(share * (F.col("n") + F.pow(F.lit(STEP), F.col("c") + F.col("k"))) - 1e-6)
     at = at.where(F.col("before") < F.col("n") - need + 1)
-    return at.select("node", "h", F.least("c", F.col("c") + F.col("k")).alias("lo"), F.greatest("c", F.col("c") + F.col("k")).alias("hi"), (F.col("k") >= 0).alias("small"))
+    return at.select("node", "h", (F.col("n") - F.col("before")).alias("left"), "n", F.least("c", F.col("c") + F.col("k")).alias("lo"), F.greatest("c", F.col("c") + F.col("k")).alias("hi"), (F.col("k") >= 0).alias("small"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -267,8 +267,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place = ["h", "lo", "hi"]
     main = met.groupBy(*place, "c").count().groupBy(*place).agg(F.max_by("c", F.struct("count", "c")).alias("m"), F.count("*").alias("components")).where("components > 1")
     met = met.join(main.select(*place, "m"), place)
-    l, r = met.selectExpr(*place, "node u", "c cu", "small su", "m"), met.where("c <> m").selectExpr(*place, "node v", "c cv", "small sv")
-    pairs = l.join(r, place).where("cu <> cv and (lo = hi or su <> sv) and (cu = m or u < v)").selectExpr("least(u, v) u", "greatest(u, v) v").distinct()
+    l, r = met.selectExpr(*place, "node u", "c cu", "small su", "m", "n nu", "left lu"), met.where("c <> m").selectExpr(*place, "node v", "c cv", "small sv", "n nv", "left lv")
+    # from the first shingle that both have on, enough must be left of either
+    enough = F.least("lu", "lv") >= F.ceil(percent / (100 + percent) * (F.col("nu") + F.col("nv")) - 1e-6)
+    pairs = l.join(r, place).where("cu <> cv and (lo = hi or su <> sv) and (cu = m or u < v)").where(enough).selectExpr("least(u, v) u", "greatest(u, v) v").distinct()
     bands = nodes.select("node", "bands")
     pairs = pairs.join(bands.selectExpr("node u", "bands bu"), "u").join(bands.selectExpr("node v", "bands bv"), "v").where("exists(zip_with(bu, bv, (x, y) -> x = y), z -> z)").select("u", "v")
     more = confirmed(estimated(pairs))
