@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Units of the state, words of a class, steps that gradients go back, lanes, and tokens of a window when nothing is learnt.
-UNITS, SIZE, STEPS, LANES, WINDOW = 32, 32, 16, 256, 8192
+UNITS, SIZE, STEPS, LANES, WINDOW = 32, 64, 16, 256, 8192
 RATE, MOMENTS = 0.01, (0.9, 0.99)
 
 
@@ -81,40 +81,32 @@ class Gru:
     def output(self, h: np.ndarray, y: np.ndarray, live: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Natural logarithms of P(y | h); if learning, the gradients of their negative sum for h and for v, c, w, b."""
         rows, cls = np.arange(len(y)), self.classes(y)
-        p = h @ self.v
-        p += self.c
-        p -= p.max(1, keepdims=True)
-        at = p[rows, cls]
-        np.exp(p, p)
-        total = p.sum(1)
-        logs = at - np.log(total)
+        p = self.v.T @ h.T  # a column a symbol: sums over rows are fast
+        p += self.c[:, None]
+        logs, p = _softmax(p, cls, rows)
         dw, db = (np.zeros_like(self.w), np.zeros_like(self.b)) if learn else (self.w, self.b)
         if learn:
-            p /= total[:, None]
-            p[rows, cls] -= 1
-            p *= live[:, None]
-            dh = p @ self.v.T
+            p[cls, rows] -= 1
+            p *= live
+            dh = p.T @ self.v.T
         order = np.argsort(cls, kind="stable")
         ends = np.searchsorted(cls[order], np.arange(len(self.b) + 1))
         for k in range(len(self.b)):
             some = order[ends[k] : ends[k + 1]]
             if not len(some):
                 continue
-            mine, word = h[some], y[some] % SIZE
-            q = mine @ self.w[k] + self.b[k]
-            q -= q.max(1, keepdims=True)
-            at = q[np.arange(len(some)), word]
-            np.exp(q, q)
-            total = q.sum(1)
-            logs[some] += at - np.log(total)
+            mine, word, at = h[some], y[some] % SIZE, rows[: len(some)]
+            q = self.w[k].T @ mine.T
+            q += self.b[k][:, None]
+            more, q = _softmax(q, word, at)
+            logs[some] += more
             if learn:
-                q /= total[:, None]
-                q[np.arange(len(some)), word] -= 1
-                q *= live[some][:, None]
-                dw[k], db[k] = mine.T @ q, q.sum(0)
-                dh[some] += q @ self.w[k].T
+                q[word, at] -= 1
+                q *= live[some]
+                dw[k], db[k] = mine.T @ q.T, q.sum(1)
+                dh[some] += q.T @ self.w[k].T
         logs *= live
-        return (logs, dh, [h.T @ p, p.sum(0), dw, db]) if learn else (logs, h, [])
+        return (logs, dh, [h.T @ p.T, p.sum(1), dw, db]) if learn else (logs, h, [])
 
     def gradients(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """The state after a window, and the gradients of the window's loss for all parts."""
@@ -172,6 +164,16 @@ class Gru:
         return sums
 
 
+def _softmax(p: np.ndarray, y: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of the probabilities of rows y of each column, and all probabilities (in p's memory)."""
+    p -= p.max(0)
+    at = p[y, columns]
+    np.exp(p, p)
+    total = p.sum(0)
+    p /= total
+    return at - np.log(total), p
+
+
 class Lanes:
     """Documents in lanes, the longest first, each where the least is; lanes by length."""
 
