@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import normalize
+from tesserae.operators.scans import two_level
 
 
 def in_order(*parts: DataFrame, order: str = "corpus_order") -> DataFrame:
@@ -119,13 +120,12 @@ def once_each(df: DataFrame, scope: str, key: Column, order: list) -> DataFrame:
 def page_of(offsets: DataFrame, pages: DataFrame, doc: str, offset: str, page: str, length: str, gap: int = 1) -> DataFrame:
     """offsets with the page they fall on. pages: doc, page, length; pages follow each other, `gap` characters apart.
     Both are one sequence by place in which the last page's number is carried forward."""
-    before = Window.partitionBy(doc).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
-    starts = pages.select(doc, F.coalesce(F.sum(F.col(length) + gap).over(before), F.lit(0)).cast("long").alias("_at"), F.lit(0).alias("_kind"), F.col(page).alias("_page"))
+    starts = two_level(pages.select(doc, page, length), doc, [page], sums={"_upto": F.col(length) + gap})
+    starts = starts.select(doc, (F.col("_upto") - F.col(length) - gap).cast("long").alias("_at"), F.lit(0).alias("_kind"), F.col(page).alias("_page"))
     rest = [c for c in offsets.columns if c != doc]
     asked = offsets.select(doc, F.col(offset).cast("long").alias("_at"), F.lit(1).alias("_kind"), F.struct(*rest).alias("_row"))
     both = starts.unionByName(asked, allowMissingColumns=True)
-    w = Window.partitionBy(doc).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_page", F.last("_page", ignorenulls=True).over(w)).where("_kind = 1")
+    found = two_level(both, doc, ["_at", "_kind"], lasts={"_page": F.col("_page")}).where("_kind = 1")
     return found.select(doc, "_row.*", F.col("_page").alias(page))
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.identifiers import frame_digest, nth_random, shuffled, text_seed
 from tesserae.operators.editorial import quotas
+from tesserae.operators.scans import first_shuffled, ordinals
+from tesserae.sources.scratch import stored
 
 #: What an annotator may decide.
 DECISIONS = ["identified", "ambiguous", "not_in_registry", "unreadable"]
@@ -20,6 +22,15 @@ def simple_frame(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     return drawn.select(key, F.lit(total / max(1, min(n, total))).alias("weight"))
 
 
+def seeded_frame(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
+    """(key, place, weight): the first n rows of a population sorted by key after the seeded shuffle by swaps, whatever its size."""
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct()
+    placed = stored(ordinals(keys, [key], "item"))
+    total = placed.count()
+    drawn = first_shuffled(total, text_seed(F.lit(seed)), n, df.sparkSession)
+    return placed.join(drawn, "item").select(key, "place", F.lit(total / max(1, min(n, total))).alias("weight"))
+
+
 def shuffled_frame(cells: DataFrame, cell: str, ids: str, seed: str, n: Column) -> DataFrame:
     """cells (cell, ids: sorted array of a bounded frame) -> (cell, id, place): the first n ids of each after a seeded shuffle."""
     order = shuffled(F.col(ids), F.concat(F.lit(seed + "|"), F.col(cell)))

@@ -1,8 +1,8 @@
 """From the pages of a work to records, chains, narrators and registry entries.
 
 Pages are rows. A page's markers come from one pattern, headings are carried forward over the pages of a work, an entry's
-parts on several pages are joined by a running count of markers. A work is a window's partition; a page is what one row
-holds. Readers of single texts are in functions.chains and functions.hijri.
+parts on several pages are joined by a running count of markers. Both scans are two-level, so a work may have any number of pages;
+a page is what one row holds. Readers of single texts are in functions.chains and functions.hijri.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from tesserae.functions import chains as C
 from tesserae.functions.names import MARKS_OF_NAMES, name_head
 from tesserae.functions.scalars import fingerprint, level, normalize
 from tesserae.functions.text import ascii_digits, title_spans
+from tesserae.operators.scans import two_level
 
 # How a record is numbered, by collection; the largest number, and of a collection's main count.
 MARKERS = {"muslim": r"(?:^|\n)([٠-٩0-9]{1,5})\s*-\s*\(([٠-٩0-9]{1,5})\)\s*", "": r"(?:^|\n)([٠-٩0-9]{1,5})\s*-\s*()"}
@@ -27,9 +28,8 @@ def headings(pages: DataFrame, work: str, order: str) -> DataFrame:
     if it says so."""
     title = F.trim(F.regexp_replace(F.regexp_replace(F.element_at(title_spans(F.col("text")), -1), "<[^>]+>", " "), r"\s+", " "))
     p = pages.withColumn("_t", F.when(F.size(title_spans(F.col("text"))) > 0, F.nullif(title, F.lit("")))).withColumn("_n", ascii_digits(normalize(F.col("_t"))))
-    so_far = Window.partitionBy(work).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    last = lambda c: F.last(F.when(c, F.col("_t")), ignorenulls=True).over(so_far)
-    return p.withColumn("book", last(F.col("_n").rlike(r"^\d+\s*-\s*(?!باب)"))).withColumn("chapter", last(F.col("_n").contains("باب"))).drop("_t", "_n")
+    lasts = {"book": F.when(F.col("_n").rlike(r"^\d+\s*-\s*(?!باب)"), F.col("_t")), "chapter": F.when(F.col("_n").contains("باب"), F.col("_t"))}
+    return two_level(p, work, [order], lasts=lasts).drop("_t", "_n")
 
 
 def marked(text: Column, pattern: str) -> Column:
@@ -95,8 +95,7 @@ def entries(pages: DataFrame, work: str, order: str, source: str) -> DataFrame:
     pattern = ENTRY_MARKERS.get(source, ENTRY_MARKERS[""])
     body = F.regexp_replace("text", FOOTNOTES, "")
     parts = pages.select(work, order, F.posexplode(marked(body, pattern)).alias("_k", "p"))
-    so_far = Window.partitionBy(work).orderBy(order, "_k").rowsBetween(Window.unboundedPreceding, 0)
-    parts = parts.withColumn("entry", F.sum(F.col("p.is_marked").cast("int")).over(so_far)).where("entry > 0 and (p.is_marked or trim(p.body) <> '')")
+    parts = two_level(parts, work, [order, "_k"], sums={"entry": F.col("p.is_marked").cast("int")}).where("entry > 0 and (p.is_marked or trim(p.body) <> '')")
     number = F.max(F.when(F.col("p.is_marked"), ascii_digits(F.col("p.first")).try_cast("int")))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "_k", F.col("p.body").alias("t")))), lambda x: x["t"]), "\n")
     return parts.groupBy(work, "entry").agg(number.alias("number"), F.min(order).alias("page"), F.max(order).alias("last_page"), text.alias("text"))

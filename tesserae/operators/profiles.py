@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tesserae.functions.identifiers import COLOURS
 from tesserae.functions.scalars import level
 from tesserae.operators.corpus import preview
+from tesserae.operators.scans import two_level
+from tesserae.sources.scratch import stored
 
 #: Kinds of evidence and the states of what no one has reviewed.
 ISNAD, STATEMENT, CHRONOLOGY = "isnad_link", "rijal_statement", "chronology_only"
@@ -122,11 +124,39 @@ def chronology_label(overlap: Column, gap: Column, sources: Column) -> Column:
     return F.when(F.size(names) > 0, F.concat(said, F.lit(" ("), F.array_join(names, ", "), F.lit(")"))).otherwise(said)
 
 
-def tree_layout(segments: DataFrame, depth: str, path: str, width: int = 160, height: int = 80) -> DataFrame:
-    """segments with x and y: levels from the top, siblings side by side in the order of their paths, each level centred."""
-    place = F.row_number().over(Window.partitionBy(depth).orderBy(path)) - 1
-    n = F.count("*").over(Window.partitionBy(depth))
-    return segments.withColumn("x", (place - (n - 1) / 2) * width).withColumn("y", (F.col(depth) - 1) * height)
+def tree_layout(nodes: DataFrame, key: str, parent: str, depth: str, order: str) -> DataFrame:
+    """(key, depth, leaves, slot, place) of the nodes of a forest. Leaves stand side by side in the order of their branches, each in a
+    slot of its own; slot is a node's first leaf's, place the mean of its children's places, so that a parent stands over its
+    children. Roots have no parent and the least depth; key and parent are of one type, `order` orders siblings, depth counts from any number.
+
+    Contracted from the deepest level up: a level's leaf counts, the slots of siblings before a node (a two-level scan a
+    parent, so any number of siblings), and the mean of the children go to their parents; then slots are handed down. One
+    stored table a level and way."""
+    n = stored(nodes.select(F.col(key).alias("key"), F.col(parent).alias("parent"), F.col(depth).alias("depth"), F.col(order).alias("order")))
+    levels = sorted(r.depth for r in n.select("depth").distinct().collect())  # as many as the tree is deep
+    up, below = [], None
+    for k in reversed(levels):
+        level = n.where(F.col("depth") == k)
+        if below is not None:
+            sums = below.groupBy(F.col("parent").alias("key")).agg(F.sum("leaves").alias("leaves"), F.avg(F.col("before") + F.col("inner")).alias("inner"))
+            level = level.join(sums, "key", "left").na.fill({"leaves": 1, "inner": 0.0})
+        else:
+            level = level.withColumn("leaves", F.lit(1).cast("long")).withColumn("inner", F.lit(0.0))
+        # slots of the siblings before, and where a node stands over its own
+        level = two_level(level, "parent", ["order", "key"], sums={"upto": F.col("leaves")}).withColumn("before", F.col("upto") - F.col("leaves")).drop("upto")
+        below = stored(level)
+        up.append(below)
+    placed, out = None, None
+    for level in reversed(up):
+        if placed is None:
+            placed = level.withColumn("slot", F.col("before"))
+        else:
+            above = placed.select(F.col("key").alias("parent"), F.col("slot").alias("_at"))
+            placed = level.join(above, "parent", "left").withColumn("slot", F.coalesce("_at", F.lit(0)) + F.col("before")).drop("_at")
+        placed = stored(placed)
+        rows = placed.select("key", "depth", "leaves", "slot", (F.col("slot") + F.col("inner")).alias("place"))
+        out = rows if out is None else out.unionByName(rows)
+    return out if out is not None else n.select("key", "depth", F.lit(1).cast("long").alias("leaves"), F.lit(0).cast("long").alias("slot"), F.lit(0.0).alias("place"))
 
 
 def merged_from_end(chains: DataFrame, chain: str, position: str, form: str, term: str, relative: str) -> DataFrame:

@@ -101,11 +101,6 @@ def search_substring(spark, d):
     return records.search_substring(t(spark, d, "documents"), F.lower("text"), "thand").select("doc_id", "source")
 
 
-@query(r"SELECT doc_id, source FROM documents WHERE contains(' ' || regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g') || ' ', ' of the ')")
-def search_phrase(spark, d):
-    return records.search_phrase(t(spark, d, "documents"), F.lower("text"), "of the").select("doc_id", "source")
-
-
 @query("SELECT doc_id, lang, n_chars, (SELECT count(*) FROM documents WHERE lang = 'fr') > 40 AS has_next FROM documents WHERE lang = 'fr' ORDER BY doc_id LIMIT 20 OFFSET 20")
 def search_page(spark, d):
     return records.page(t(spark, d, "documents").where("lang = 'fr'").select("doc_id", "lang", "n_chars"), ["doc_id"], records.decode_cursor(records.encode_cursor(20)), 20)
@@ -264,16 +259,3 @@ def agreement_kappa(spark, d):
 def identity_links(spark, d):
     s = t(spark, d, "supplier").where("s_acctbal > 0").select("s_suppkey")
     return t(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 100 + 1).alias("s_suppkey")).join(s, "s_suppkey").select("p_partkey", "s_suppkey")
-
-
-@query(
-    """WITH n AS (SELECT item_id, doc_id, lower(b.text) AS a, lower(d.text) AS b FROM benchmark b JOIN (SELECT doc_id, lower(substr(text, 1, 200)) AS text FROM documents) d ON doc_id % 7 = item_id % 7 AND doc_id < 60),
-w AS (SELECT *, list_distinct(list_filter(string_split(a, ' '), lambda x: x <> '')) AS wa, list_distinct(list_filter(string_split(b, ' '), lambda x: x <> '')) AS wb, regexp_replace(a, '\\s+', '', 'g') AS sa, regexp_replace(b, '\\s+', '', 'g') AS sb FROM n),
-g AS (SELECT *, list_distinct(list_transform(range(1, length(sa) - 1), lambda i: substr(sa, i, 3))) AS ga, list_distinct(list_transform(range(1, length(sb) - 1), lambda i: substr(sb, i, 3))) AS gb FROM w)
-SELECT item_id, doc_id, CASE WHEN a = b THEN 1.0::DOUBLE ELSE round(0.58::DOUBLE * (len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb)))) + 0.42::DOUBLE * (len(list_intersect(ga, gb)) / len(list_distinct(list_concat(ga, gb)))), 4) END AS similarity FROM g"""
-)
-def text_similarity(spark, d):
-    """Passages against beginnings of documents: words and trigrams."""
-    docs = t(spark, d, "documents").where("doc_id < 60").select("doc_id", F.lower(F.substring("text", 1, 200)).alias("b"), (F.col("doc_id") % 7).alias("k"))
-    p = t(spark, d, "benchmark").select("item_id", F.lower("text").alias("a"), (F.col("item_id") % 7).alias("k")).join(docs, "k")
-    return p.select("item_id", "doc_id", S.text_similarity(F.col("a"), F.col("b")).alias("similarity"))

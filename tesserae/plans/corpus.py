@@ -198,13 +198,6 @@ def fallback_chains(spark, d):
     return c.select("id", "chain_order", "o.position", "o.raw")
 
 
-@query(r"SELECT doc_id, source FROM documents WHERE contains(lower(trim(regexp_replace(regexp_replace(strip_accents(doc_id || ' ' || source || ' ' || lang || ' ' || text), '\s+', ' ', 'g'), '^ | $', '', 'g'))), ' en the ')")
-def search_documents(spark, d):
-    """A phrase in the normalized haystack of number, source, language and text."""
-    docs = t(spark, d, "documents")
-    return docs.where(C.haystack(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("text")).contains(" en the ")).select("doc_id", "source")
-
-
 @query("WITH e AS (SELECT l_suppkey AS source, l_partkey AS target, l_returnflag AS c FROM lineitem WHERE l_suppkey < 4), k AS (SELECT source, target FROM e GROUP BY ALL HAVING bool_or(c = 'R')) SELECT 'edge' AS kind, count(*) AS n FROM k UNION ALL SELECT 'node', count(*) FROM (SELECT source FROM k UNION SELECT -target FROM k)")
 def collection_graph(spark, d):
     """The edges of one collection and the nodes that they touch, counted."""

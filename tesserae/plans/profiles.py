@@ -119,16 +119,6 @@ def merged_conversations(spark, d):
     return m.groupBy("depth").agg(F.count("*").alias("nodes"), F.max("n_chains").alias("most"))
 
 
-@query(
-    """WITH p AS (SELECT conv_id, string_agg(role, '>') OVER w AS path, count(*) OVER w AS depth FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)), s AS (SELECT depth, path, count(DISTINCT conv_id) AS n_chains FROM p GROUP BY ALL)
-SELECT depth, path, n_chains, (row_number() OVER (PARTITION BY depth ORDER BY path) - 1 - (count(*) OVER (PARTITION BY depth) - 1) / 2.0::DOUBLE) * 160 AS x, (depth - 1) * 80 AS y FROM s"""
-)
-def tree_layout(spark, d):
-    from tesserae.operators.chains import prefix_segments
-
-    return P.tree_layout(prefix_segments(t(spark, d, "conversations"), "conv_id", "role", ["turn", "role", "text"]), "depth", "path")
-
-
 FACTS = Literal(
     "facts",
     "k int, kinds array<string>, status string, statuses array<string>, years array<int>, candidate int, overlap int, gap int, sources array<string>",

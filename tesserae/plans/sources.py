@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from tesserae.plans.catalogue import query, t
 from tesserae.plans.literal import Literal
+from tesserae.plans.search import _CONTENT, _content
 from tesserae.sources import archive as A
+from tesserae.sources.scratch import folder
 
 REGISTRY = Literal("registry", "key string, kind string, rights string, fields array<string>", [("bukhari", "source", "cleared", ["isnad", "matn"]), ("external-texts", "external", "review-required", [])])
 
 
-def _scratch(spark) -> str:
-    """A folder for a query's own files: in the cluster's shared folder, or a local session's temporary one."""
-    from tesserae.operators.workflow import checkpoint_dir
-
-    checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{tempfile.mktemp(prefix='t', dir='')}"
+_scratch = folder
 
 
 @query("SELECT 'source:' || key AS id, key, kind, rights, fields FROM (VALUES ('bukhari', 'source', 'cleared', '[\"isnad\",\"matn\"]'), ('external-texts', 'external', 'review-required', '[]')) v(key, kind, rights, fields)")
@@ -26,10 +21,11 @@ def source_works(spark, d):
     return A.source_works(REGISTRY.df(spark))
 
 
-@query("SELECT 'batch:' || source || ':' || substr(h, 1, 12) AS id, source, h AS sha256, a + r AS rows, '{\"accepted\":' || a || ',\"rejected\":' || r || '}' AS report FROM (SELECT source, sha256(source) AS h, count(*) FILTER (n_chars > 500) AS a, count(*) FILTER (n_chars <= 500) AS r FROM documents GROUP BY source)")
+@query(f"WITH {_CONTENT}, c AS (SELECT source, count(*) FILTER (n_chars > 500) AS a, count(*) FILTER (n_chars <= 500) AS r FROM documents GROUP BY source) SELECT 'batch:' || source || ':' || substr(h, 1, 12) AS id, source, h AS sha256, a + r AS rows, '{{\"accepted\":' || a || ',\"rejected\":' || r || '}}' AS report FROM c JOIN h USING (source)")
 def import_batches(spark, d):
+    """Provenance by the hash of what was read."""
     c = t(spark, d, "documents").groupBy("source").agg(F.count_if(F.col("n_chars") > 500).alias("accepted"), F.count_if(F.col("n_chars") <= 500).alias("rejected"))
-    return A.import_batches(c, c.select("source", F.sha2("source", 256).alias("sha256")))
+    return A.import_batches(c, _content(t(spark, d, "documents"), "source"))
 
 
 @query("SELECT source AS id, CASE WHEN n % 3 = 0 THEN 'load' WHEN n % 3 = 1 THEN 'reuse' ELSE 'reload' END AS state FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")
@@ -55,9 +51,10 @@ def completeness_report(spark, d):
     return A.completeness(r, "lang", "n_chars", "k", "heading")
 
 
-@query("SELECT substr(sha256(string_agg(name || ':' || h, chr(10) ORDER BY name || ':' || h)), 1, 16) AS data_version, count(*) AS tables FROM (SELECT source AS name, sha256(source) AS h FROM documents GROUP BY source)")
+@query(f"WITH {_CONTENT} SELECT substr(sha256(string_agg(source || ':' || h, chr(10) ORDER BY source || ':' || h)), 1, 16) AS data_version, count(*) AS tables FROM h")
 def data_versions(spark, d):
-    return A.data_version(t(spark, d, "documents").select(F.col("source").alias("name"), F.sha2("source", 256).alias("sha256")).distinct())
+    """The version of a set of tables by what they hold."""
+    return A.data_version(_content(t(spark, d, "documents"), "source").withColumnRenamed("source", "name"))
 
 
 CURATED = Literal("curated", "externalId string, collection string, rawIsnad string, matn string", [("1", "b", "مالك ← نافع ← ابن عمر", "x"), ("2", "b", "مالك ←  ← عمر", "y"), ("3", "", "هشام ← أبيه", None), ("3", "m", "هشام", "z")])
