@@ -14,16 +14,19 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Units of the state, words of a class, steps that gradients go back, lanes, and tokens of a window when nothing is learnt.
-UNITS, SIZE, STEPS, LANES, WINDOW = 32, 64, 16, 256, 8192
-RATE, MOMENTS = 0.01, (0.9, 0.99)
+#: Units of the state, numbers that stand for a symbol, words of a class, steps that gradients go back, lanes, and tokens of a
+#: window when nothing is learnt.
+UNITS, PLACES, SIZE, STEPS, LANES, WINDOW = 16, 16, 64, 16, 512, 8192
+RATE, MOMENTS = 0.015, (0.9, 0.99)
 
 
 @dataclass
 class Gru:
-    """x: what each symbol adds to the gates (reset, update, new); u: what the state adds; v, c: classes; w, b: words."""
+    """e: symbols as vectors; x, a: what these add to the gates (reset, update, new); u: what the state adds; v, c: classes; w, b: words."""
 
+    e: np.ndarray
     x: np.ndarray
+    a: np.ndarray
     u: np.ndarray
     v: np.ndarray
     c: np.ndarray
@@ -38,10 +41,10 @@ class Gru:
         classes = np.concatenate([counts[:words].reshape(n, SIZE).sum(1), counts[words:]])
         f = lambda *shape: (r.normal(size=shape) * 0.1).astype(np.float32)
         logs = lambda a: np.log(a / a.sum(-1, keepdims=True)).astype(np.float32)
-        return cls(f(len(counts), 3 * UNITS), f(UNITS, 3 * UNITS), np.zeros((UNITS, len(classes)), np.float32), logs(classes), np.zeros((n, UNITS, SIZE), np.float32), logs(counts[:words].reshape(n, SIZE)))
+        return cls(f(len(counts), PLACES), 2 * f(PLACES, 3 * UNITS), np.zeros(3 * UNITS, np.float32), f(UNITS, 3 * UNITS), np.zeros((UNITS, len(classes)), np.float32), logs(classes), np.zeros((n, UNITS, SIZE), np.float32), logs(counts[:words].reshape(n, SIZE)))
 
     def parts(self) -> list[np.ndarray]:
-        return [self.x, self.u, self.v, self.c, self.w, self.b]
+        return [self.e, self.x, self.a, self.u, self.v, self.c, self.w, self.b]
 
     def vector(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts()])
@@ -60,11 +63,11 @@ class Gru:
 
     def states(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
         """States after each step of symbols x (steps, lanes), from h; what backpropagation needs, if kept."""
-        out, kept = np.empty((*x.shape, UNITS), np.float32), []
+        out, kept, adds = np.empty((*x.shape, UNITS), np.float32), [], self.e @ self.x + self.a
         for t in range(len(x)):
             if fresh[t].any():
                 h = h * ~fresh[t][:, None]
-            g, a = self.x[x[t]], h @ self.u
+            g, a = adds[x[t]], h @ self.u
             gates = g[:, : 2 * UNITS] + a[:, : 2 * UNITS]
             np.negative(gates, gates)
             np.exp(gates, gates)
@@ -83,7 +86,7 @@ class Gru:
         rows, cls = np.arange(len(y)), self.classes(y)
         p = self.v.T @ h.T  # a column a symbol: sums over rows are fast
         p += self.c[:, None]
-        logs, p = _softmax(p, cls, rows)
+        logs = _softmax(p, cls, rows, learn)
         dw, db = (np.zeros_like(self.w), np.zeros_like(self.b)) if learn else (self.w, self.b)
         if learn:
             p[cls, rows] -= 1
@@ -98,8 +101,7 @@ class Gru:
             mine, word, at = h[some], y[some] % SIZE, rows[: len(some)]
             q = self.w[k].T @ mine.T
             q += self.b[k][:, None]
-            more, q = _softmax(q, word, at)
-            logs[some] += more
+            logs[some] += _softmax(q, word, at, learn)
             if learn:
                 q[word, at] -= 1
                 q *= live[some]
@@ -125,11 +127,11 @@ class Gru:
             back = d * update + da[t] @ self.u.T
             back *= ~fresh[t][:, None]
             was[t] = before
-        dx, flat = np.zeros_like(self.x), x.ravel()
+        dg, de, flat = dg.reshape(-1, 3 * UNITS), np.zeros_like(self.e), x.ravel()
         order = np.argsort(flat, kind="stable")
         first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        dx[flat[order][first]] = np.add.reduceat(dg.reshape(-1, 3 * UNITS)[order], first)
-        return hs[-1], [dx, was.reshape(-1, UNITS).T @ da.reshape(-1, 3 * UNITS), *out]
+        de[flat[order][first]] = np.add.reduceat((dg @ self.x.T)[order], first)
+        return hs[-1], [de, self.e[flat].T @ dg, dg.sum(0), was.reshape(-1, UNITS).T @ da.reshape(-1, 3 * UNITS), *out]
 
     def learn(self, docs: list[np.ndarray], start: int, rate: float, lanes: int = LANES) -> None:
         """One pass over documents, a step of Adam a window. `start` is the symbol before a document's first."""
@@ -164,14 +166,15 @@ class Gru:
         return sums
 
 
-def _softmax(p: np.ndarray, y: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Logarithms of the probabilities of rows y of each column, and all probabilities (in p's memory)."""
+def _softmax(p: np.ndarray, y: np.ndarray, columns: np.ndarray, all_: bool) -> np.ndarray:
+    """Logarithms of the probabilities of rows y of each column; p becomes all probabilities, if wanted."""
     p -= p.max(0)
     at = p[y, columns]
     np.exp(p, p)
     total = p.sum(0)
-    p /= total
-    return at - np.log(total), p
+    if all_:
+        p /= total
+    return at - np.log(total)
 
 
 class Lanes:

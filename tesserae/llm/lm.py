@@ -4,9 +4,9 @@ Four steps, each a job over all documents:
 
 1. Training documents are counted: word, occurrences. Sums combine in tasks; the table grows with the corpus.
 2. Documents become numbers. The `head` commonest words, chosen by the histogram of counts, go to the tasks with their
-   counts (at most 65,536); the first `words` of them are symbols of the model, every other word is one of `TAILS` classes
+   counts (at most 262,144, of 64 bytes each); the first `words` of them are symbols of the model, every other word is one of `TAILS` classes
    by its last two bytes, in which words are told apart by their counts. Words beyond the head are joined with their counts
-   by a shuffle; none of them has more than a 65,536th of the tokens, so no key is hot.
+   by a shuffle; none of them but overlong ones has more than a 262,144th of the tokens, so no key is hot.
 3. The model (tesserae.llm.gru) learns in rounds, each on its share of the training documents, all of which are in one.
    A task learns on its documents from the last round's model; the tasks' models are averaged by tokens in two
    levels of groups, and only the average, whose size is fixed, passes through the driver.
@@ -38,7 +38,9 @@ from tesserae.llm.divergence import folded
 from tesserae.llm.gru import RATE, SIZE, Gru
 from tesserae.llm.near_dedup import chunks
 
-HEAD, WORDS, TAILS = 1 << 16, 2048, 64
+HEAD, WORDS, TAILS = 1 << 18, 2048, 64
+#: Bytes of a word of the head: HEAD times this bounds what tasks are sent.
+SHORT = 64
 FOLDS, HELD_OUT = 7, 2
 #: Shares of the training documents by round, in sixteenths, and how the rate falls from round to round.
 ROUNDS, FALL = (1, 1, 2, 4, 8), 0.7
@@ -96,16 +98,17 @@ class Vocabulary:
 
     def __init__(self, counts: DataFrame, head: int = HEAD, words: int = WORDS):
         octave = F.floor(8 * F.log2("c"))
-        levels = counts.groupBy(octave.alias("k"), _tail(F.col("w")).alias("t")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect()  # some hundred levels
+        short = F.octet_length("w") <= SHORT
+        levels = counts.groupBy(octave.alias("k"), _tail(F.col("w")).alias("t"), short.alias("short")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect()  # some hundred levels
         by_level: dict[int, int] = {}
         for r in levels:
-            by_level[r.k] = by_level.get(r.k, 0) + r.v
+            by_level[r.k] = by_level.get(r.k, 0) + (r.v if r.short else 0)
         least, have = None, 0
         for k in sorted(by_level, reverse=True):
             if (have := have + by_level[k]) > head:
                 break
             least = k
-        found = [] if least is None else sorted((-r.c, r.w) for r in counts.where(octave >= least).collect())
+        found = [] if least is None else sorted((-r.c, r.w) for r in counts.where((octave >= least) & short).collect())
         self.n, self.v = sum(r.n for r in levels), sum(r.v for r in levels)
         self.words, self.counts = pa.array([w for _, w in found], pa.string()), np.array([-c for c, _ in found], np.int64)
         self.symbols = min(words, len(found) // SIZE * SIZE)

@@ -53,7 +53,7 @@ def test_scores_are_those_of_each_document_alone(model):
     def alone(d):
         h, before, total = np.zeros(UNITS), 0, 0.0
         for y in d:
-            g, a = model.x[before].astype(float), h @ model.u
+            g, a = model.e[before].astype(float) @ model.x + model.a, h @ model.u
             reset, update = sigmoid(g[:UNITS] + a[:UNITS]), sigmoid(g[UNITS : 2 * UNITS] + a[UNITS : 2 * UNITS])
             new = np.tanh(g[2 * UNITS :] + reset * a[2 * UNITS :])
             h, before = (1 - update) * new + update * h, y
@@ -98,7 +98,7 @@ def check(rows, got):
 
 
 def test_counts_base_scores_and_edges(spark):
-    rows = [(i, f"The cat{i % 7} sat\ton THE mat {i} é.") for i in range(90)] + [(None, "a\x85b  c"), (3, None), (3, ""), (3, ""), (4, "x " * 5000), (5, " \n")]
+    rows = [(i, f"The cat{i % 7} sat\ton THE mat {i} é.") for i in range(90)] + [(None, "a\x85b  c"), (3, None), (3, ""), (3, ""), (4, "x " * 5000), (5, " \n"), (6, "y" * 100 + " z")] + [(i, "y" * 100 + " z") for i in range(600, 640)]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_tokens", F.lit("x")).withColumn("w", F.lit(1)).repartition(3)
     check(rows, lm.score_documents(d).collect())
     assert lm.score_documents(d.limit(0)).count() == 0
