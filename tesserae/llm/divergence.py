@@ -37,7 +37,7 @@ from tesserae.llm.near_dedup import chunks
 MIN_DOCS, TOP, SCALE = 3, 200, 1_000_000_000
 DEPTH, WIDTH = 3, 1 << 22
 #: Bytes of text that a task counts at a time.
-AT_ONCE = 16 << 20
+AT_ONCE = 4 << 20
 #: Bits of one bitmap of Spark's bitmap functions.
 _BITMAP = 32_768
 #: What separates terms becomes a space, A-Z are lower-cased, other letters and bytes beyond ASCII stay.
