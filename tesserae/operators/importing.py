@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import chains as C
 from tesserae.functions.names import MARKS_OF_NAMES, name_head
-from tesserae.functions.scalars import fingerprint, level, normalize
+from tesserae.functions.scalars import FOLDED, fingerprint, level, normalize
 from tesserae.functions.text import ascii_digits, title_spans
 from tesserae.operators.scans import two_level
 
@@ -101,18 +101,64 @@ def entries(pages: DataFrame, work: str, order: str, source: str) -> DataFrame:
     return parts.groupBy(work, "entry").agg(number.alias("number"), F.min(order).alias("page"), F.max(order).alias("last_page"), text.alias("text"))
 
 
+# Signs of sources before a name, whole or with a bracket missing, and within it; words that begin a head and words that
+# are left hanging at its end.
+SIGN = r"(?:[(\[]\s*(?:[ء-ي٤]{1,3}\s*[،,]?\s*){1,8}[)\]]|[(\[]\s*تمييز\s*[)\]])\s*"
+SIGNS = r"(?:[ء-ي٤]{1,3}(?:\s+|\s*[،,]\s*)){0,7}[ء-ي٤]{1,3}"
+BROKEN_SIGN = rf"(?:[(\[]\s*{SIGNS}\s*[»«\"]|{SIGNS}\s*[)\]])\s*"
+INNER_SIGN = r"\[(?![^\]]*[ء-ي]{4})[^\]]{0,18}\]"
+JOINING = r"^(?:فاما|واما|اما|فأما|وأما|أما|ثم|منهم|وفيهم|وقد|وهو)\s+"
+HANGING = "من في الي عن ثم و بن ابن ابو ابي ابا ام ال هو هي له لها بني".split()
+
+
+def _spelt(word: str) -> str:
+    """A pattern for a word of the search form as raw texts spell it: letters in all variants, with marks between."""
+    return "".join("[" + "".join([c, *(k for k, v in FOLDED.items() if v == c)]) + r"][\p{M}ـ]*" for c in word)
+
+
+_EDGE, _HANGS = r"[\s،؛:.\-•/]+$", r"(?:^|[\s،؛])(?:" + "|".join(map(_spelt, HANGING)) + ")$"
+
+
+def _with(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _leading(head: Column, pattern: str, most: Column) -> Column:
+    """(signs, rest): what the pattern takes off the beginning again and again, `most` times at most."""
+    run = F.regexp_extract_all(F.regexp_extract(head, f"^(?:{pattern})+", 0), F.lit(pattern), F.lit(0))
+    length = lambda signs: F.aggregate(signs, F.lit(0), lambda n, x: n + F.length(x))
+    return _with(F.slice(run, F.lit(1), most), lambda signs: F.struct(F.transform(signs, lambda x: F.trim(x)).alias("signs"), F.substring(head, length(signs) + 1, F.length(head)).alias("rest")))
+
+
 def cleaned_head(raw: Column) -> Column:
-    """(head, sigla): a name's head without marks of footnotes, and the signs of sources before and within it."""
-    t = F.regexp_replace(F.regexp_replace(F.coalesce(raw, F.lit("")), r"\(\s*\^?\s*[٠-٩0-9]{1,3}\s*\)|⦗[^⦘]*⦘|\(\s*\^?\s*[٠-٩0-9]{1,3}\s*[»«\"]", " "), r"\s+", " ")
-    t = F.regexp_replace(F.trim(t), r"^\s*\^?\s*[٠-٩0-9]{0,3}\s*[)\]]\s*", "")
-    lead = r"^\s*(?:(?:[(\[]\s*(?:[ء-ي٤]{1,3}\s*[،,]?\s*){1,8}[)\]]|[(\[]\s*تمييز\s*[)\]])\s*){1,4}"
-    inner = r"\[[^\]ء-ي]{0,18}(?:[ء-ي]{1,3}[^\]ء-ي]+)*[ء-ي]{0,3}\]"
-    first = F.regexp_extract(t, lead, 0)
-    rest = F.regexp_replace(F.regexp_replace(t, lead, ""), r"\s+-\s+.*$", "")
-    rest = F.regexp_replace(F.regexp_replace(rest, r"^[\s،؛:.\-/]+", ""), r"^(?:فاما|واما|اما|فأما|وأما|أما|ثم|منهم|وفيهم|وقد|وهو)\s+", "")
-    head = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(rest, inner, " "), r"\s+", " "), r"[\s،؛:.\-•/]+$", ""))
-    sigla = F.array_compact(F.concat(F.array(F.nullif(F.trim(first), F.lit(""))), F.regexp_extract_all(rest, F.lit(inner), F.lit(0))))
-    return F.struct(head.alias("head"), sigla.alias("sigla"))
+    """(head, sigla): a name's head without marks of footnotes, and the signs of sources before and within it, one each.
+
+    Signs come off first: whole ones, four at most, then those with a bracket missing, six in all, then short ones before a
+    dash, as what a later dash parts is no name. Words left hanging at the end go, four at most."""
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(raw, F.lit("")), r"\(\s*\^?\s*[٠-٩0-9]{1,3}\s*\)|⦗[^⦘]*⦘|\(\s*\^?\s*[٠-٩0-9]{1,3}\s*[»«\"]", " "), r"^\s*\^?\s*[٠-٩0-9]{0,3}\s*[)\]]\s*", "")
+    t = F.trim(F.regexp_replace(t, r"\s+", " "))
+
+    def dashed(x: Column) -> Column:
+        """(signs, rest) of a head whose signs before a dash are letters and brackets, six at most."""
+        before = F.regexp_extract(x["rest"], r"^([^-]{0,14}?)\s+-\s+(?s:.+)$", 1)
+        signs = (before != "") & before.rlike(r"^[ء-ي\s،؛()\[\]]*$") & (F.length(F.regexp_replace(before, r"[\s،؛ـ]+", "")) <= 6)
+        return F.struct(F.when(signs, F.concat(x["signs"], F.array(F.trim(before)))).otherwise(x["signs"]).alias("signs"), F.when(signs, F.regexp_replace(x["rest"], r"^[^-]{0,14}?\s+-\s+", "")).otherwise(x["rest"]).alias("rest"))
+
+    def named(x: Column) -> Column:
+        rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(x["rest"], r"(?s)\s+-\s+.*$", ""), r"^[\s،؛:.\-/]+", ""), JOINING, "")
+        return F.struct(x["signs"].alias("signs"), F.trim(F.regexp_replace(rest, _EDGE, "")).alias("rest"))
+
+    def ended(x: Column) -> Column:
+        head = F.regexp_replace(F.regexp_replace(x["rest"], INNER_SIGN, " "), r"\s+", " ")
+        head = F.trim(F.regexp_replace(head, rf"^[\s،؛:.\-/]+|{_EDGE}", ""))
+        for _ in range(4):
+            head = F.regexp_replace(F.regexp_replace(head, _EDGE, ""), _HANGS, "")
+        return F.struct(F.regexp_replace(head, _EDGE, "").alias("head"), F.concat(x["signs"], F.regexp_extract_all(x["rest"], F.lit(INNER_SIGN), F.lit(0))).alias("sigla"))
+
+    whole = _with(t, lambda h: _leading(h, SIGN, F.lit(4)))
+    both = _with(whole, lambda x: _with(_leading(x["rest"], BROKEN_SIGN, 6 - F.size(x["signs"])), lambda y: F.struct(F.concat(x["signs"], y["signs"]).alias("signs"), y["rest"].alias("rest"))))
+    return _with(_with(_with(both, dashed), named), ended)
 
 
 def generation(text: Column) -> Column:
