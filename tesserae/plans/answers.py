@@ -1,4 +1,4 @@
-"""Answers of the archive's endpoints over a small archive given as rows, each with the rows that must come out."""
+"""Answers of the archive's endpoints over an archive made of the tables' rows, each with its SQL."""
 
 from __future__ import annotations
 
@@ -9,94 +9,125 @@ from tesserae.functions import scalars as S
 from tesserae.operators import chains, gold, profiles as P
 from tesserae.operators import records, resolve
 from tesserae.plans.catalogue import query, t
-from tesserae.plans.literal import Literal
+from tesserae.plans.rendered import NAMES, NISBAS, _pick, _sql
 from tesserae.sources import archive as A
 
-LINKS = Literal(
-    "links",
-    "chain string, record string, collection string, position int, form string, confidence double",
-    [
-        ("r1#0", "r1", "bukhari", 0, "مالك", 0.73), ("r1#0", "r1", "bukhari", 1, "نافع", 0.73), ("r1#0", "r1", "bukhari", 2, "ابن عمر", 0.73), ("r2#0", "r2", "muslim", 0, "مالك", 0.58), ("r2#0", "r2", "muslim", 1, "نافع", 0.58),
-        ("r3#0", "r3", "muslim", 0, "هشام", 0.42), ("r3#0", "r3", "muslim", 1, "أبيه", 0.42), ("r1#1", "r1", "bukhari", 0, "سفيان", 0.73), ("r1#1", "r1", "bukhari", 1, "أبيه", 0.73),
-    ],
-)
-ENTRIES = Literal(
-    "entries",
-    "id string, source string, number int, name string, text string, birth int, death int, confidence double, kunya string, teacher_phrase string, page int",
-    [
-        ("t-1", "taqrib", 1, "مالك", "مالك امام دار الهجره روي عن نافع", 93, 179, 0.8, "ابو عبد الله", "نافع", 5), ("m-2", "mizan", 2, "مالك بن دينار", "زاهد", None, 130, 0.6, None, None, 6), ("t-3", "taqrib", 3, "نافع", "مولي ابن عمر", None, 117, 0.9, None, "ابن عمر", 7),
-        ("t-4", "taqrib", 4, "هشام", "ثقه", 61, 146, 0.5, None, None, None), ("m-5", "mizan", 5, "مالك", "اخر", None, 181, 0.7, None, None, 9),
-    ],
-)
-REGISTRY = Literal("registry", "key string, rights string, fields array<string>", [("taqrib", "cleared", ["entry_number", "name_surface", "date_assertions", "biographical_fields", "teacher_student_phrases"]), ("mizan", "review-required", ["name_surface", "teacher_student_phrases", "criticism_references"])])
-
-
-def _nodes(spark):
-    x = LINKS.df(spark)
+# An archive of the tables: a chain for each order, whose links are its lineitems; an entry for each customer, in one of two sources.
+_FORM = f"CASE WHEN l_suppkey % 7 = 3 THEN 'أبيه' ELSE {_sql(NAMES)}[((l_suppkey * 3 + l_linenumber) % {len(NAMES)} + 1)::INTEGER] END"
+_LINKS = f"""links AS (SELECT 'r' || l_orderkey || '#0' AS chain, 'r' || l_orderkey AS record, l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity) - 1 AS position, {_FORM} AS form, l_suppkey % 7 = 3 AS relative FROM lineitem),
+named AS (SELECT *, CASE WHEN relative THEN 'ابيه' ELSE form END AS name FROM links),
+n AS (SELECT chain, position, name AS a, lead(name) OVER (PARTITION BY chain ORDER BY position) AS b FROM named),
+relations AS (SELECT chain, position, a AS src, b AS dst, 'transmitted_from' AS relation FROM n WHERE b IS NOT NULL UNION ALL SELECT chain, position, b, a, 'transmitted_to' FROM n WHERE b IS NOT NULL)"""
+_ENTRIES = f"""entries AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'm-' ELSE 't-' END || c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'mizan' ELSE 'taqrib' END AS source, c_custkey::INTEGER AS number,
+{_sql(NAMES)}[(c_custkey % {len(NAMES)} + 1)::INTEGER] || CASE WHEN c_custkey % 4 = 1 THEN ' بن دينار' ELSE '' END AS name, {_sql(NAMES)}[((c_custkey * 3 + 1) % {len(NAMES)} + 1)::INTEGER] AS teacher,
+CASE WHEN c_custkey % 5 < 3 THEN (60 + c_custkey % 90)::INTEGER END AS birth, CASE WHEN c_custkey % 7 > 0 THEN (120 + c_custkey % 90)::INTEGER END AS death, (c_custkey % 60 + 40) / 100.0::DOUBLE AS confidence,
+CASE WHEN c_custkey % 2 = 0 THEN 'ابو عبد الله' END AS kunya, (c_custkey % 30)::INTEGER AS page FROM customer)"""
+REGISTRY = [("taqrib", "cleared", ["entry_number", "name_surface", "date_assertions", "biographical_fields", "teacher_student_phrases"]), ("mizan", "review-required", ["name_surface", "teacher_student_phrases", "criticism_references"])]
+
+
+def _links(spark, d):
+    k = F.col("l_suppkey")
+    form = F.when(k % 7 == 3, F.lit("أبيه")).otherwise(_pick(NAMES, (k * 3 + F.col("l_linenumber")) % len(NAMES)))
+    li = chains.positions(t(spark, d, "lineitem"), "l_orderkey", ["l_linenumber", "l_suppkey", "l_partkey", "l_quantity"])
+    record = F.concat(F.lit("r"), "l_orderkey")
+    return li.select(F.concat(record, F.lit("#0")).alias("chain"), record.alias("record"), F.col("l_orderkey").alias("k"), F.col("position").cast("long").alias("position"), form.alias("form"))
+
+
+def _entries(spark, d):
+    k = F.col("c_custkey")
+    return t(spark, d, "customer").select(
+        k.alias("k"), F.concat(F.when(k % 3 == 0, "m-").otherwise("t-"), k.cast("string")).alias("id"), F.when(k % 3 == 0, "mizan").otherwise("taqrib").alias("source"), k.cast("int").alias("number"),
+        F.concat(_pick(NAMES, k % len(NAMES)), F.when(k % 4 == 1, " بن دينار").otherwise("")).alias("name"), F.concat(F.lit("روى عَن "), _pick(NAMES, (k * 3 + 1) % len(NAMES))).alias("text"),
+        F.when(k % 5 < 3, 60 + k % 90).cast("int").alias("birth"), F.when(k % 7 > 0, 120 + k % 90).cast("int").alias("death"), ((k % 60 + 40) / 100.0).alias("confidence"), F.when(k % 2 == 0, "ابو عبد الله").alias("kunya"),
+        _pick(NAMES, (k * 3 + 1) % len(NAMES)).alias("teacher_phrase"), (k % 30).cast("int").alias("page"),
+    )
+
+
+def _nodes(spark, d):
+    x = _links(spark, d)
     return x.withColumn("node", I.bucket_id(F.col("record"), F.substring_index("chain", "#", -1).cast("int"), F.col("position"), F.col("form"))).withColumn("name", S.normalize(F.col("form")))
 
 
-def _relations(spark):
-    return chains.adjacency(_nodes(spark), "chain", "name", ["position"])
+def _relations(spark, d):
+    return chains.adjacency(_nodes(spark, d), "chain", "name", ["position"]).withColumn("position", F.col("position").cast("long"))
 
 
-@query("SELECT chain, position, form, 'isnad withheld' AS raw FROM (VALUES ('r1#0', 0, 'مالك'), ('r1#0', 1, 'نافع'), ('r1#0', 2, 'ابن عمر'), ('r1#1', 0, 'سفيان'), ('r1#1', 1, 'أبيه')) v(chain, position, form)")
+@query(f"WITH {_LINKS} SELECT chain, position, form, CASE WHEN k % 2 = 0 THEN 'isnad of ' || record ELSE 'isnad withheld' END AS raw FROM links")
 def answer_chains(spark, d):
-    """The chains of a record; the raw chain is left out where its source is not cleared."""
-    x = LINKS.df(spark).where("record = 'r1'").withColumn("raw", F.lit("raw"))
-    return x.select("chain", "position", "form", F.when(F.lit(False), F.col("raw")).otherwise("isnad withheld").alias("raw"))
+    """The chains of every record; the raw chain is left out where its source is not cleared."""
+    x = _links(spark, d).withColumn("raw", F.concat(F.lit("isnad of "), "record")).withColumn("source", F.when(F.col("k") % 2 == 0, "bukhari").otherwise("muslim"))
+    reg = spark.createDataFrame([("bukhari", "cleared", ["raw"]), ("muslim", "review-required", ["raw"])], "key string, rights string, fields array<string>")
+    return records.gate(x, F.broadcast(reg), "source", ["raw"]).select("chain", "position", "form", F.when(F.col("text_withheld"), "isnad withheld").otherwise(F.col("raw")).alias("raw"))
 
 
-@query("SELECT id, number, name, death, kunya, teacher_phrase, page, source = 'mizan' AS text_withheld, source = 'mizan' AS criticisms_withheld FROM (VALUES ('t-1', 'taqrib', 1, 'مالك', 179, 'ابو عبد الله', 'نافع', NULL::INTEGER), ('m-2', 'mizan', NULL, 'مالك بن دينار', NULL, NULL, NULL, NULL), ('t-3', 'taqrib', 3, 'نافع', 117, NULL, 'ابن عمر', NULL), ('t-4', 'taqrib', 4, 'هشام', 146, NULL, NULL, NULL), ('m-5', 'mizan', NULL, 'مالك', NULL, NULL, NULL, NULL)) v(id, source, number, name, death, kunya, teacher_phrase, page)")
+@query(
+    f"""WITH {_ENTRIES} SELECT id, CASE WHEN source = 'taqrib' THEN number END AS number, name, CASE WHEN source = 'taqrib' THEN death END AS death, CASE WHEN source = 'taqrib' THEN kunya END AS kunya, CASE WHEN source = 'taqrib' THEN teacher END AS teacher_phrase,
+NULL::INTEGER AS page, source = 'mizan' AS text_withheld, source = 'mizan' AS criticisms_withheld FROM entries"""
+)
 def public_entries(spark, d):
     """Registry entries behind the licence, field by field."""
-    return records.public_entries(ENTRIES.df(spark), REGISTRY.df(spark), "source").select("id", "number", "name", "death", "kunya", "teacher_phrase", "page", "text_withheld", "criticisms_withheld")
+    registry = spark.createDataFrame(REGISTRY, "key string, rights string, fields array<string>")
+    return records.public_entries(_entries(spark, d), registry, "source").select("id", "number", "name", "death", "kunya", "teacher_phrase", "page", "text_withheld", "criticisms_withheld")
 
 
-@query("SELECT 2::BIGINT AS result_count, 0.8::DOUBLE AS score, 'medium' AS level, 't-1,t-3' AS ids")
+@query(
+    f"""WITH {_ENTRIES}, f AS (SELECT * FROM entries WHERE source = 'taqrib' AND teacher = 'نافع' ORDER BY number LIMIT 40), e AS (SELECT count(*) AS result_count, round(min(confidence), 3) AS score, string_agg(id, ',' ORDER BY id) AS ids FROM f)
+SELECT result_count, score, CASE WHEN score >= 0.9 THEN 'high' WHEN score >= 0.7 THEN 'medium' WHEN score IS NULL THEN 'unresolved' ELSE 'low' END AS level, coalesce(ids, 'none') AS ids FROM e"""
+)
 def answer_entries(spark, d):
-    """A source's entries whose text has the words asked for, in their envelope."""
-    e = ENTRIES.df(spark).where("source = 'taqrib'")
-    found = records.page(records.search_substring(e, S.normalize(F.col("text")), "عمر").unionByName(records.search_substring(e, S.normalize(F.col("text")), "نافع")), ["number"], 0, 40)
+    """A source's first 40 entries whose text has the words asked for, in their envelope."""
+    e = _entries(spark, d).where("source = 'taqrib'")
+    found = records.page(records.search_substring(e, S.normalize(F.col("text")), "روي عن نافع"), ["number"], 0, 40)
     return P.envelope(found, [], "confidence", "id", "none").select("result_count", "score", "level", F.array_join("references", ",").alias("ids"))
 
 
-@query("SELECT * FROM (VALUES ('t-1', 0, 'exact_name'), ('m-5', 0, 'exact_name'), ('m-2', 1, 'name_prefix')) v(id, rank, kind)")
+@query(
+    f"""WITH {_ENTRIES}, r AS (SELECT *, CASE WHEN name = 'مالك' THEN 0 WHEN starts_with(name, 'مالك') THEN 1 WHEN contains(name, 'مالك') THEN 2 WHEN teacher = 'مالك' THEN 3 END AS rank FROM entries)
+SELECT id, rank, ['exact_name', 'name_prefix', 'name_contains', 'biography_mention'][rank + 1] AS kind FROM (SELECT * FROM r WHERE rank IS NOT NULL ORDER BY rank, length(name), number, id LIMIT 24)"""
+)
 def answer_candidates(spark, d):
     """Entries as candidates for a name: how each matches; sources are never merged."""
-    r = resolve.rank_names(ENTRIES.df(spark), S.normalize(F.col("name")), "مالك", S.normalize(F.col("text")))
+    r = resolve.rank_names(_entries(spark, d), S.normalize(F.col("name")), "مالك", S.normalize(F.col("text")))
     kinds = F.array(*[F.lit(k) for k in resolve.MATCHES])
     return r.orderBy("rank", F.length("name"), F.coalesce("number", F.lit(0)), "id").limit(24).select("id", "rank", F.get(kinds, F.col("rank")).alias("kind"))
 
 
-@query("SELECT 'UNC-' || substr(sha1(n), 1, 12) AS node, k AS occurrence_count, r AS labels, false AS truncated FROM (VALUES ('مالك', 2::BIGINT, 'مالك'), ('نافع', 2, 'نافع'), ('ابن عمر', 1, 'ابن عمر'), ('هشام', 1, 'هشام'), ('سفيان', 1, 'سفيان')) v(n, k, r) UNION ALL SELECT 'UNC-REL-' || substr(sha1(x || ':ابيه'), 1, 12), 1, 'أبيه', false FROM (VALUES ('r3:0:1'), ('r1:1:1')) v(x)")
+@query(f"WITH {_LINKS} SELECT CASE WHEN relative THEN 'UNC-REL-' || substr(sha1(record || ':0:' || position || ':ابيه'), 1, 12) ELSE 'UNC-' || substr(sha1(form), 1, 12) END AS node, count(*) AS occurrence_count, form AS labels, count(*) > 50 AS truncated FROM links GROUP BY 1, form")
 def answer_profiles(spark, d):
     """Every bucket of names with its forms and occurrences; relative forms of two chains are two."""
-    b = P.buckets(_nodes(spark), "node", "form", ["chain", "position"])
+    b = P.buckets(_nodes(spark, d), "node", "form", ["chain", "position"])
     return b.select("node", "occurrence_count", F.array_join("labels", ",").alias("labels"), "truncated")
 
 
-@query("SELECT * FROM (VALUES ('r1#0', 1::BIGINT, 'ابن عمر', 'transmitted_from', true), ('r1#0', 0, 'مالك', 'transmitted_to', true)) v(chain, position, dst, relation, has_next)")
+@query(f"WITH {_LINKS} SELECT chain, position, dst, relation, (SELECT count(*) FROM relations WHERE src = 'نافع') > 60 AS has_next FROM relations WHERE src = 'نافع' ORDER BY chain, position, relation, dst LIMIT 60")
 def answer_relations(spark, d):
-    """A page of a narrator's relations, and that there are more."""
-    r = _relations(spark).where("src = 'نافع'").withColumn("position", F.col("position").cast("long"))
-    return records.page(r.select("chain", "position", "dst", "relation"), ["chain", "position", "relation"], 0, 2)
+    """A page of a narrator's relations, and whether there are more."""
+    r = _relations(spark, d).where("src = 'نافع'")
+    return records.page(r.select("chain", "position", "dst", "relation"), ["chain", "position", "relation", "dst"], 0, 60)
 
 
-@query("SELECT * FROM (VALUES ('t-1', 'death', 179), ('t-1', 'birth', 93), ('m-5', 'death', 181)) v(id, event, year)")
+@query(f"WITH {_ENTRIES} SELECT id, 'death' AS event, death AS year FROM entries WHERE name = 'مالك' AND death IS NOT NULL UNION ALL SELECT id, 'birth', birth FROM entries WHERE name = 'مالك' AND birth IS NOT NULL")
 def answer_timeline(spark, d):
     """All dates that entries of exactly this name assert, never averaged."""
-    e = ENTRIES.df(spark).where(S.normalize(F.col("name")) == "مالك")
+    e = _entries(spark, d).where(S.normalize(F.col("name")) == "مالك")
     dates = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("event"), F.col(c).alias("year"))) for c in ("death", "birth")]))
     return e.select("id", F.explode(dates).alias("x")).select("id", "x.event", "x.year")
 
 
-@query("SELECT * FROM (VALUES ('مالك', 'نافع', 'insufficient', 'no-birth', 'asserted_isnad', 'high'), ('مالك', 'هشام', 'possible', 'no-contradiction', 'not_asserted', 'high'), ('مالك', 'فلان', 'insufficient', 'unknown', 'not_asserted', 'unresolved')) v(a, b, chronology, reason, meeting, level)")
+@query(
+    f"""WITH {_ENTRIES}, {_LINKS}, l AS (SELECT name, min(birth) AS birth, max(death) AS death FROM entries GROUP BY name), p AS (SELECT DISTINCT x.name AS a, {_sql(NAMES)}[((x.k * 3 + 2) % {len(NAMES)} + 1)::INTEGER] AS b FROM entries x),
+m AS (SELECT src AS a, dst AS b, count(*) AS n FROM relations GROUP BY ALL),
+j AS (SELECT p.a, p.b, x.birth AS ab, x.death AS ad, y.birth AS bb, y.death AS bd, coalesce(n, 0) AS n FROM p LEFT JOIN l x ON x.name = p.a LEFT JOIN l y ON y.name = p.b LEFT JOIN m ON m.a = p.a AND m.b = p.b),
+v AS (SELECT *, CASE WHEN coalesce(ab, ad) IS NULL OR coalesce(bb, bd) IS NULL THEN 'unknown' WHEN ab > bd THEN 'a-after-b' WHEN bb > ad THEN 'b-after-a' WHEN ab IS NULL OR bb IS NULL THEN 'no-birth' ELSE 'no-contradiction' END AS reason FROM j),
+w AS (SELECT *, CASE WHEN reason IN ('unknown', 'no-birth') THEN 'insufficient' WHEN reason = 'no-contradiction' THEN 'possible' ELSE 'impossible' END AS chronology FROM v)
+SELECT a, b, chronology, reason, CASE WHEN n > 0 THEN 'asserted_isnad' ELSE 'not_asserted' END AS meeting, CASE WHEN chronology <> 'insufficient' OR n > 0 THEN 'high' ELSE 'unresolved' END AS level FROM w"""
+)
 def answer_comparisons(spark, d):
-    """Two persons compared: their dates' verdict, and whether a chain has them side by side."""
-    e = ENTRIES.df(spark).groupBy(S.normalize(F.col("name")).alias("n")).agg(F.min("birth").alias("birth"), F.max("death").alias("death"))
-    pairs = spark.createDataFrame([("مالك", "نافع"), ("مالك", "هشام"), ("مالك", "فلان")], "a string, b string")
-    met = _relations(spark).groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.count("*").alias("meetings"))
+    """Persons compared two by two: their dates' verdict, and whether a chain has them side by side."""
+    entries = _entries(spark, d)
+    e = entries.groupBy(S.normalize(F.col("name")).alias("n")).agg(F.min("birth").alias("birth"), F.max("death").alias("death"))
+    pairs = entries.select(F.col("name").alias("a"), _pick(NAMES, (F.col("k") * 3 + 2) % len(NAMES)).alias("b")).distinct()
+    met = _relations(spark, d).groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.count("*").alias("meetings"))
     x = pairs.join(e.toDF("a", "ab", "ad"), "a", "left").join(e.toDF("b", "bb", "bd"), "b", "left").join(met, ["a", "b"], "left")
     known = F.coalesce("ab", "ad").isNotNull() & F.coalesce("bb", "bd").isNotNull()
     v = resolve.bounds_verdict(F.col("ab"), F.col("ad"), F.col("bb"), F.col("bd"), known)
@@ -116,13 +147,14 @@ def review_states(spark, d):
     return t(spark, d, "part").select("p_partkey", (state.isin("machine_unreviewed", "in_review") & F.col("p_brand").isin("Brand#11", "Brand#12", "Brand#13")).alias("reviewed"))
 
 
-@query("SELECT * FROM (VALUES (1, 'كوفي'), (2, 'ثقة'), (3, NULL)) v(k, first)")
+@query(f"SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN {_sql(NISBAS)}[(c_custkey % 4 + 1)::INTEGER] WHEN 1 THEN 'rank ' || c_mktsegment END AS first FROM customer")
 def first_fields(spark, d):
-    """The first value under the first of several keys."""
+    """The first value under the first of several keys, in metadata of all customers."""
     from tesserae.functions.entries import metadata_fields
 
-    m = spark.createDataFrame([(1, "النسب: كوفي\nالنسب: مدني\nالرتبة: ثقة"), (2, "الرتبة: ثقة"), (3, "x")], "k int, t string")
-    return m.select("k", I.first_value(metadata_fields(F.col("t")), ["النسب", "الرتبة"]).alias("first"))
+    k, other, rank = F.col("c_custkey"), F.lit("النسب: ثان"), F.concat(F.lit("الرتبة: rank "), "c_mktsegment")
+    text = F.when(k % 3 == 0, F.concat_ws("\n", rank, F.concat(F.lit("النسب: "), _pick(NISBAS, k % 4)), other)).when(k % 3 == 1, rank).otherwise("x")
+    return t(spark, d, "customer").select(k.alias("k"), I.first_value(metadata_fields(text), ["النسب", "الرتبة"]).alias("first"))
 
 
 @query("WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT x.vec_id, list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))) AS c FROM e x JOIN e y ON y.vec_id = x.vec_id + 1 AND x.label = y.label) SELECT vec_id, round(c, 6) AS cosine, round(0.35 * 0.2 + 0.25 * 3 / 22 + 0.4 * c, 4) AS similarity FROM p")
@@ -150,12 +182,3 @@ def stored_frame(spark, d):
     path, f = _scratch(spark), gold.simple_frame(t(spark, d, "part"), "p_partkey", 20, "s")
     A.write_derived(f, path)
     return spark.createDataFrame([(A.frame_matches(spark, f, path), A.frame_matches(spark, gold.simple_frame(t(spark, d, "part"), "p_partkey", 20, "x"), path))], "same boolean, other boolean")
-
-
-@query("SELECT list_sort(['a', 'b', 'c', 'd', 'e'])::VARCHAR = '[a, b, c, d, e]' AS whole, true AS again")
-def shuffled_frame(spark, d):
-    """A seeded shuffle keeps all ids, and gives the same order for the same seed."""
-    cells = spark.createDataFrame([("x", ["a", "b", "c", "d", "e"])], "cell string, ids array<string>")
-    one = gold.shuffled_frame(cells, "cell", "ids", "s", F.lit(5)).groupBy("cell").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    a = I.shuffled(F.array(*[F.lit(x) for x in "abcde"]), F.lit("s|x"))
-    return one.select((F.array_join("ids", "") == "abcde").alias("whole"), (a == I.shuffled(F.array(*[F.lit(x) for x in "abcde"]), F.lit("s|x"))).alias("again"))

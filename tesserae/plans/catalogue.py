@@ -25,6 +25,19 @@ def query(sql: str | None = None):
     return add
 
 
+#: Small archives typed in beside the rows that must come out: tests run them, the catalogue does not list them.
+GIVEN: dict = {}
+GIVEN_ORACLES: dict[str, str] = {}
+
+
+def given(sql: str):
+    def add(f):
+        GIVEN[f.__name__], GIVEN_ORACLES[f.__name__] = f, sql
+        return f
+
+    return add
+
+
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesserae.operators import corpus as C
-from tesserae.plans.catalogue import _ORDER, query, t
+from tesserae.plans.catalogue import given, _ORDER, query, t
 from tesserae.plans.literal import Literal
 
 _POS = f"row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_ORDER)}) - 1"
@@ -172,7 +172,7 @@ RECORDS = Literal(
 )
 
 
-@query(
+@given(
     f"""WITH {RECORDS.cte} SELECT id, CASE WHEN n_chains > 0 THEN n_chains ELSE coalesce(markers, 1) END AS chain_count, CASE WHEN rights IN ('cleared', 'public-domain', 'editorially-cleared') AND list_contains(fields, 'teacher_student_phrases') THEN phrase END AS phrase,
 coalesce(id IN ('b-1', 'm-1'), false) AS hearing, CASE id WHEN 'b-1' THEN 'Medina,Mecca,Kufa' WHEN 'b-2' THEN 'Basra' WHEN 'm-1' THEN 'Kufa' ELSE '' END AS regions, CASE pick WHEN 'collection' THEN collection WHEN 'number' THEN number::VARCHAR END AS picked,
 collection || ':' || number AS reference FROM records"""
@@ -189,7 +189,7 @@ def record_projections(spark, d):
     )
 
 
-@query(f"WITH {RECORDS.cte} SELECT id, 0 AS chain_order, (i - 1)::INTEGER AS position, forms[i] AS raw FROM (SELECT id, forms, unnest(range(1, len(forms) + 1)) AS i FROM records WHERE coalesce(n_chains, 0) = 0)")
+@given(f"WITH {RECORDS.cte} SELECT id, 0 AS chain_order, (i - 1)::INTEGER AS position, forms[i] AS raw FROM (SELECT id, forms, unnest(range(1, len(forms) + 1)) AS i FROM records WHERE coalesce(n_chains, 0) = 0)")
 def fallback_chains(spark, d):
     """Records without chains get one of their surface forms."""
     r = RECORDS.df(spark).where("coalesce(n_chains, 0) = 0")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import identifiers as I
 from tesserae.functions import scalars as S
-from tesserae.plans.catalogue import query, t
+from tesserae.plans.catalogue import given, query, t
 from tesserae.plans.literal import Literal, ctes
 
 NAMES = Literal(
@@ -28,13 +28,13 @@ NAMES = Literal(
 _SHORT = "substr(sha1(norm), 1, 12)"
 
 
-@query(f"WITH {NAMES.cte} SELECT record, position, norm AS normalized, coalesce(relative, false) AS relative FROM names")
+@given(f"WITH {NAMES.cte} SELECT record, position, norm AS normalized, coalesce(relative, false) AS relative FROM names")
 def normalized_names(spark, d):
     """Normalization of Arabic and Latin names: marks, letter variants, ibn and bin, white space."""
     return NAMES.df(spark).select("record", "position", S.normalize(F.col("form")).alias("normalized"), F.coalesce(I.is_relative(F.col("form")), F.lit(False)).alias("relative"))
 
 
-@query(
+@given(
     f"""WITH {NAMES.cte} SELECT record, position, CASE WHEN norm = '' OR relative THEN 'UNC-REL-' || substr(sha1(record || ':' || chain_order || ':' || position || ':' || norm), 1, 12) ELSE 'UNC-' || {_SHORT} END AS bucket,
 CASE WHEN norm <> '' AND NOT relative THEN 'UNC-' || {_SHORT} END AS cluster FROM names"""
 )
@@ -96,7 +96,7 @@ STATES = Literal(
 )
 
 
-@query(
+@given(
     f"""WITH {STATES.cte} SELECT k, CASE WHEN status IN ('verified', 'high', 'medium', 'low', 'unresolved', 'conflict') THEN status ELSE 'unresolved' END AS status,
 score IS NULL OR level = 'verified' OR level = CASE WHEN score >= 0.9 THEN 'high' WHEN score >= 0.7 THEN 'medium' ELSE 'low' END AS sound,
 substr(coalesce(q, ''), 1, 240) AS q, CASE WHEN try_cast(n AS INTEGER) IS NULL THEN 20 ELSE greatest(1, least(100, try_cast(n AS INTEGER))) END AS n, CASE WHEN sort IN ('name', 'date') THEN sort END AS sort, coalesce(k = 1, false) AS same, CASE WHEN k = 3 THEN 'no json' ELSE replace(CASE k WHEN 1 THEN '{{"a":[1,2],"b":1}}' ELSE a END, ' ', '') END AS kept FROM states"""

@@ -9,7 +9,7 @@ from tesserae.functions import relative as R
 from tesserae.functions import statements as T
 from tesserae.operators import editorial, gold, identities, scoring
 from tesserae.operators.resolve import bounds_verdict, rank_names
-from tesserae.plans.catalogue import query, t
+from tesserae.plans.catalogue import given, query, t
 from tesserae.plans.literal import Literal, ctes
 
 FORMS = Literal(
@@ -19,7 +19,7 @@ FORMS = Literal(
 )
 
 
-@query(
+@given(
     """SELECT * FROM (VALUES (1, true, 'whole', 'father', true, '', 'citing-narrator', 1, true, 'relative-anchored-unnamed'), (2, true, 'leading-apposition', 'father', false, 'عروه', 'citing-narrator', 0, true, 'relative-anchored-named-apposition'),
 (3, true, 'trailing', 'grandfather', false, 'عروه عن', 'collector-outside-chain', NULL, true, 'relative-anchor-outside-chain'), (4, true, 'whole', 'unnamed_man', true, '', 'none', NULL, true, 'anonymous-surface-no-anchor'),
 (5, true, 'leading-apposition', 'unnamed_man', true, '', 'none', NULL, true, 'anonymous-surface-no-anchor'), (6, true, 'whole', 'unnamed_group', true, '', 'citing-narrator', 3, false, 'relative-anchored-unnamed'), (7, false, 'none', NULL, false, 'مالك بن انس', NULL, NULL, NULL, NULL),
@@ -44,7 +44,7 @@ MENTIONS = Literal(
 )
 
 
-@query(
+@given(
     """SELECT * FROM (VALUES ('t-1', 'teacher', 0, 'نافع', NULL), ('t-1', 'teacher', 1, 'حماد بن زيد', NULL), ('t-1', 'teacher', 2, 'جماعة', 'no_person_named'), ('t-1', 'teacher', 3, 'أبيه', 'relative_form'), ('t-1', 'teacher', 4, 'قال فلان', 'unsegmented_phrase'),
 ('t-1', 'teacher', 5, 'نافع', 'duplicate'), ('t-1', 'teacher', 6, 'الزهري', 'phrase_not_in_passage'), ('t-1', 'teacher', 7, 'مالك بن أنس', 'phrase_not_in_passage'), ('t-1', 'student', 0, 'يحيى القطان', NULL), ('t-1', 'student', 1, 'وكيع', NULL),
 ('t-1', 'student', 2, '', 'empty_after_cleaning'), ('t-1', 'student', 3, 'قيل. آخر', 'unsegmented_phrase'), ('t-2', 'teacher', 0, '', 'subject_not_named'), ('t-3', 'teacher', 0, 'قتادة', 'entry_text_missing'),
@@ -55,13 +55,13 @@ def mention_verdicts(spark, d):
     return T.statements(MENTIONS.df(spark)).select("id", "list", "index", "surface", "code")
 
 
-@query("SELECT 't-' || i AS id, code, n FROM (VALUES (1, 'rijal_statement_identity_unresolved', 4::BIGINT), (1, 'rijal_statement_no_person_named', 1), (1, 'rijal_statement_relative_form', 1), (1, 'rijal_statement_unsegmented_phrase', 2), (1, 'rijal_statement_duplicate', 1), (1, 'rijal_statement_phrase_not_in_passage', 2), (1, 'rijal_statement_empty_after_cleaning', 1), (2, 'rijal_statement_subject_not_named', 1), (3, 'rijal_statement_entry_text_missing', 1), (4, 'rijal_statement_unsegmented_phrase', 2), (4, 'rijal_statement_relative_form', 1), (4, 'rijal_statement_identity_unresolved', 1)) v(i, code, n)")
+@given("SELECT 't-' || i AS id, code, n FROM (VALUES (1, 'rijal_statement_identity_unresolved', 4::BIGINT), (1, 'rijal_statement_no_person_named', 1), (1, 'rijal_statement_relative_form', 1), (1, 'rijal_statement_unsegmented_phrase', 2), (1, 'rijal_statement_duplicate', 1), (1, 'rijal_statement_phrase_not_in_passage', 2), (1, 'rijal_statement_empty_after_cleaning', 1), (2, 'rijal_statement_subject_not_named', 1), (3, 'rijal_statement_entry_text_missing', 1), (4, 'rijal_statement_unsegmented_phrase', 2), (4, 'rijal_statement_relative_form', 1), (4, 'rijal_statement_identity_unresolved', 1)) v(i, code, n)")
 def rejection_histogram(spark, d):
     """The review queue's rows by code."""
     return T.review_rows(T.statements(MENTIONS.df(spark))).groupBy("id", "code").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 't-1' AS id, 'UNC-' || substr(sha1(a), 1, 12) AS teacher, 'UNC-' || substr(sha1(b), 1, 12) AS student FROM (VALUES ('نافع', 'مالك بن انس'), ('حماد بن زيد', 'مالك بن انس'), ('مالك بن انس', 'يحيي القطان'), ('مالك بن انس', 'وكيع')) v(a, b) UNION ALL SELECT 't-4', 'UNC-' || substr(sha1('هب'), 1, 12), 'UNC-' || substr(sha1('سفيان'), 1, 12)")
+@given("SELECT 't-1' AS id, 'UNC-' || substr(sha1(a), 1, 12) AS teacher, 'UNC-' || substr(sha1(b), 1, 12) AS student FROM (VALUES ('نافع', 'مالك بن انس'), ('حماد بن زيد', 'مالك بن انس'), ('مالك بن انس', 'يحيي القطان'), ('مالك بن انس', 'وكيع')) v(a, b) UNION ALL SELECT 't-4', 'UNC-' || substr(sha1('هب'), 1, 12), 'UNC-' || substr(sha1('سفيان'), 1, 12)")
 def statement_relations(spark, d):
     """Accepted statements as relations from teacher to student."""
     return T.statements(MENTIONS.df(spark)).where("code is null").select("id", "teacher", "student")
@@ -77,19 +77,19 @@ OCCURRENCES = Literal(
 )
 
 
-@query("SELECT 13::BIGINT AS occurrences, 1::BIGINT AS by_flag, 1::BIGINT AS by_form, 3::BIGINT AS relative, 1::BIGINT AS \"empty\", 6::BIGINT AS forms, 8::BIGINT AS covered, 1.33 AS factor".replace("1.33 AS", "1.33::DOUBLE AS"))
+@given("SELECT 13::BIGINT AS occurrences, 1::BIGINT AS by_flag, 1::BIGINT AS by_form, 3::BIGINT AS relative, 1::BIGINT AS \"empty\", 6::BIGINT AS forms, 8::BIGINT AS covered, 1.33 AS factor".replace("1.33 AS", "1.33::DOUBLE AS"))
 def form_counters(spark, d):
     """Occurrences by kind, distinct forms and their factor."""
     return identities.form_counters(OCCURRENCES.df(spark))
 
 
-@query("SELECT * FROM (VALUES ('مالك بن انس', 2::BIGINT, 'a', 0), ('نافع', 2, 'a', 1), ('ابن عمر', 1, 'a', 2), ('هشام بن عروه', 1, 'b', 0), ('عاءشه', 1, 'b', 2), ('عروه', 1, 'd', 0)) v(form, occurrences, first_chain, first_position)".replace("عاءشه", "عايشه"))
+@given("SELECT * FROM (VALUES ('مالك بن انس', 2::BIGINT, 'a', 0), ('نافع', 2, 'a', 1), ('ابن عمر', 1, 'a', 2), ('هشام بن عروه', 1, 'b', 0), ('عاءشه', 1, 'b', 2), ('عروه', 1, 'd', 0)) v(form, occurrences, first_chain, first_position)".replace("عاءشه", "عايشه"))
 def distinct_forms(spark, d):
     """The names of a corpus, each once."""
     return identities.distinct_forms(OCCURRENCES.df(spark))
 
 
-@query("SELECT * FROM (VALUES ('b', 1, 'father', 'whole', 'citing-narrator', 0, true, 'relative-anchored-unnamed'), ('c', 1, 'unnamed_man', 'whole', 'none', NULL, true, 'anonymous-surface-no-anchor'), ('d', 0, 'father', 'leading-apposition', 'collector-outside-chain', NULL, true, 'relative-anchor-outside-chain')) v(chain, position, kinship, \"match\", anchor, anchor_position, complete, reason)")
+@given("SELECT * FROM (VALUES ('b', 1, 'father', 'whole', 'citing-narrator', 0, true, 'relative-anchored-unnamed'), ('c', 1, 'unnamed_man', 'whole', 'none', NULL, true, 'anonymous-surface-no-anchor'), ('d', 0, 'father', 'leading-apposition', 'collector-outside-chain', NULL, true, 'relative-anchor-outside-chain')) v(chain, position, kinship, \"match\", anchor, anchor_position, complete, reason)")
 def relative_references(spark, d):
     return identities.relatives(OCCURRENCES.df(spark))
 
@@ -121,12 +121,12 @@ _SCORED = """s AS (SELECT form, id, score::DOUBLE AS score, blocked FROM (VALUES
 ('انس بن مالك', 'e-1', 0.28, true), ('انس بن مالك', 'e-2', 0.19, true), ('انس بن مالك', 'e-3', 0.22, true)) v(form, id, score, blocked))"""
 
 
-@query(f"WITH {_SCORED} SELECT * FROM s")
+@given(f"WITH {_SCORED} SELECT * FROM s")
 def archive_scores(spark, d):
     return identities.ranked(ASKED.df(spark), ENTRIES.df(spark)).select("form", "id", "score", "blocked")
 
 
-@query(
+@given(
     """SELECT form, id, score::DOUBLE AS score, level, auto_link, n_candidates FROM (VALUES ('مالك بن انس', 'e-1', 0.72, 'medium', false, 3::BIGINT), ('مالك الاصبحي', 'e-1', 0.6, 'low', false, 3), ('انس بن مالك', NULL, NULL, 'conflict', false, 3), ('ابيه', NULL, NULL, 'unresolved', false, 0),
 ('فلان', NULL, NULL, 'unresolved', false, 0)) v(form, id, score, level, auto_link, n_candidates)"""
 )
@@ -135,12 +135,12 @@ def archive_proposals(spark, d):
     return identities.batch(ASKED.df(spark), ENTRIES.df(spark))
 
 
-@query("SELECT 5::BIGINT AS forms, 2::BIGINT AS without, 9::BIGINT AS total, 1.8::DOUBLE AS mean, 3::BIGINT AS most, 0::BIGINT AS high, 1::BIGINT AS medium, 1::BIGINT AS low, 2::BIGINT AS unresolved, 1::BIGINT AS conflict, 0::BIGINT AS auto_link")
+@given("SELECT 5::BIGINT AS forms, 2::BIGINT AS without, 9::BIGINT AS total, 1.8::DOUBLE AS mean, 3::BIGINT AS most, 0::BIGINT AS high, 1::BIGINT AS medium, 1::BIGINT AS low, 2::BIGINT AS unresolved, 1::BIGINT AS conflict, 0::BIGINT AS auto_link")
 def batch_report(spark, d):
     return identities.batch_stats(identities.batch(ASKED.df(spark), ENTRIES.df(spark)))
 
 
-@query(
+@given(
     """SELECT measure, name, value::DOUBLE AS value FROM (VALUES ('forms', 'occurrences', 13), ('forms', 'by_flag', 1), ('forms', 'by_form', 1), ('forms', 'relative', 3), ('forms', 'empty', 1), ('forms', 'forms', 6), ('forms', 'covered', 8), ('forms', 'factor', 1.33),
 ('index', 'tokens', 10), ('index', 'postings', 13), ('index', 'largest', 3), ('index', 'singletons', 8), ('relatives_by_kinship', 'father', 2), ('relatives_by_kinship', 'unnamed_man', 1), ('relatives_by_match', 'whole', 2), ('relatives_by_match', 'leading-apposition', 1)) v(measure, name, value)"""
 )
@@ -152,13 +152,13 @@ def archive_measures(spark, d):
 CLAIMS = Literal("claims", "form string, id string, passage string", [("مالك بن انس", "e-1", "p. 12"), ("مالك بن انس", "e-1", "p. 13"), ("مالك بن انس", "e-2", None), ("مالك بن انس", "e-3", "")])
 
 
-@query(f"WITH {_SCORED}, {CLAIMS.cte} SELECT form, id, EXISTS (SELECT 1 FROM claims c WHERE c.form = s.form AND c.id = s.id AND passage <> '') AS source_conflict FROM s")
+@given(f"WITH {_SCORED}, {CLAIMS.cte} SELECT form, id, EXISTS (SELECT 1 FROM claims c WHERE c.form = s.form AND c.id = s.id AND passage <> '') AS source_conflict FROM s")
 def source_conflicts(spark, d):
     """Candidates that a source rules out, with a passage for it."""
     return scoring.source_conflicts(archive_scores(spark, d).select("form", "id"), CLAIMS.df(spark), "form", "id")
 
 
-@query(f"WITH {_SCORED} SELECT form, min(id) AS id, count(*) AS hits, 'unresolved' AS level FROM s WHERE form <> 'مالك بن انس' OR id = 'e-1' GROUP BY form")
+@given(f"WITH {_SCORED} SELECT form, min(id) AS id, count(*) AS hits, 'unresolved' AS level FROM s WHERE form <> 'مالك بن انس' OR id = 'e-1' GROUP BY form")
 def chain_lookup(spark, d):
     """Registry hits of each form of a chain: exact ones if there are any, else all; the first and how many."""
     ranks = archive_scores(spark, d).select("form", "id", F.when((F.col("form") == "مالك بن انس") & (F.col("id") == "e-1"), 0).otherwise(1).alias("rank"))
@@ -189,20 +189,20 @@ def _lives(spark):
     return editorial.life_intervals(x.where("event = 'birth'").selectExpr("k", "lo birth"), x.where("event = 'death'").selectExpr("k", "hi death"), "k")
 
 
-@query("SELECT * FROM (VALUES ('a', 'b', 'possible', 20, NULL::INTEGER), ('a', 'c', 'impossible', NULL, NULL), ('a', 'd', 'impossible', NULL, 15), ('a', 'e', 'insufficient', NULL, NULL), ('f', 'a', 'possible', 20, NULL), ('f', 'd', 'impossible', NULL, 55)) v(a, b, verdict, overlap_years, gap_years)")
+@given("SELECT * FROM (VALUES ('a', 'b', 'possible', 20, NULL::INTEGER), ('a', 'c', 'impossible', NULL, NULL), ('a', 'd', 'impossible', NULL, 15), ('a', 'e', 'insufficient', NULL, NULL), ('f', 'a', 'possible', 20, NULL), ('f', 'd', 'impossible', NULL, 55)) v(a, b, verdict, overlap_years, gap_years)")
 def interval_verdicts(spark, d):
     """Lives compared: overlaps, gaps, touching years, missing births."""
     return editorial.compare_lives(PAIRS.df(spark), _lives(spark), "k")
 
 
-@query(f"WITH {ctes(LIVES, PAIRS)}, h AS (SELECT DISTINCT x.k FROM lives x JOIN lives y ON x.k = y.k AND x.event = 'birth' AND y.event = 'death' AND x.lo <= y.hi) SELECT a, b, count(*) AS dates, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM pairs JOIN lives ON k IN (a, b) WHERE a IN (SELECT k FROM h) AND b IN (SELECT k FROM h) GROUP BY ALL")
+@given(f"WITH {ctes(LIVES, PAIRS)}, h AS (SELECT DISTINCT x.k FROM lives x JOIN lives y ON x.k = y.k AND x.event = 'birth' AND y.event = 'death' AND x.lo <= y.hi) SELECT a, b, count(*) AS dates, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM pairs JOIN lives ON k IN (a, b) WHERE a IN (SELECT k FROM h) AND b IN (SELECT k FROM h) GROUP BY ALL")
 def interval_evidence(spark, d):
     """The dates that a comparison rests on; none where it is insufficient."""
     e = editorial.chronology_evidence(PAIRS.df(spark), _lives(spark), LIVES.df(spark), "k")
     return e.groupBy("a", "b").agg(F.count("*").alias("dates"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
 
 
-@query(f"WITH {ctes(LIVES, PAIRS)}, g AS (SELECT k, min(lo) FILTER (event = 'birth') AS birth, max(hi) FILTER (event = 'death') AS death, string_agg(lo::VARCHAR, ',' ORDER BY lo) FILTER (event = 'birth') AS births FROM lives GROUP BY k) SELECT a, b, CASE WHEN x.birth > y.death THEN 'impossible' WHEN y.birth > x.death THEN 'impossible' WHEN x.birth IS NULL OR y.birth IS NULL THEN 'insufficient' ELSE 'possible' END AS verdict, x.births FROM pairs JOIN g x ON x.k = a JOIN g y ON y.k = b")
+@given(f"WITH {ctes(LIVES, PAIRS)}, g AS (SELECT k, min(lo) FILTER (event = 'birth') AS birth, max(hi) FILTER (event = 'death') AS death, string_agg(lo::VARCHAR, ',' ORDER BY lo) FILTER (event = 'birth') AS births FROM lives GROUP BY k) SELECT a, b, CASE WHEN x.birth > y.death THEN 'impossible' WHEN y.birth > x.death THEN 'impossible' WHEN x.birth IS NULL OR y.birth IS NULL THEN 'insufficient' ELSE 'possible' END AS verdict, x.births FROM pairs JOIN g x ON x.k = a JOIN g y ON y.k = b")
 def bounds_verdicts(spark, d):
     """The same pairs by their earliest birth and latest death."""
     g = LIVES.df(spark).groupBy("k").agg(F.min(F.when(F.col("event") == "birth", F.col("lo"))).alias("birth"), F.max(F.when(F.col("event") == "death", F.col("hi"))).alias("death"), F.array_join(F.transform(F.array_sort(F.collect_set(F.when(F.col("event") == "birth", F.col("lo")))), lambda y: y.cast("string")), ",").alias("births"))
@@ -210,7 +210,7 @@ def bounds_verdicts(spark, d):
     return p.select("a", "b", bounds_verdict(F.col("birth"), F.col("death"), F.col("birth2"), F.col("death2"))["verdict"].alias("verdict"), F.nullif("births", F.lit("")).alias("births"))
 
 
-@query(f"WITH {ENTRIES.cte} SELECT c AS cluster, id, death FROM (VALUES ('مالك بن انس'), ('نافع')) v(c) JOIN entries ON replace(name, 'أ', 'ا') = c WHERE death IS NOT NULL")
+@given(f"WITH {ENTRIES.cte} SELECT c AS cluster, id, death FROM (VALUES ('مالك بن انس'), ('نافع')) v(c) JOIN entries ON replace(name, 'أ', 'ا') = c WHERE death IS NOT NULL")
 def dated_clusters(spark, d):
     """Dates of a name by the entries that have exactly that head."""
     from tesserae.functions.scalars import normalize
@@ -259,7 +259,7 @@ FRAME = Literal("frame", "id int, stratum string, cell_size long, weight double"
 PEOPLE = Literal("people", "id int, stratum string", [(1, "a"), (2, "a"), (3, "a"), (4, "a"), (5, "b"), (6, "b"), (7, "c"), (8, "d")])
 
 
-@query("SELECT * FROM (VALUES ('duplicate_id', 1::BIGINT), ('unknown_id', 1), ('cell_size', 2), ('weight_sum', 1), ('empty_cell', 1), ('digest', 1)) v(\"check\", n)")
+@given("SELECT * FROM (VALUES ('duplicate_id', 1::BIGINT), ('unknown_id', 1), ('cell_size', 2), ('weight_sum', 1), ('empty_cell', 1), ('digest', 1)) v(\"check\", n)")
 def frame_checks(spark, d):
     return gold.check_frame(FRAME.df(spark), PEOPLE.df(spark), "0" * 32)
 
@@ -270,17 +270,17 @@ SECOND = Literal("second", _SAID, [(1, "v", "identified", "p", 1), (2, "v", "ide
 THIRD = Literal("third", _SAID, [(2, "w", "ambiguous", None, None), (3, "u", "identified", "q", 1)])
 
 
-@query("SELECT * FROM (VALUES (4, 'u', 'unknown-decision'), (5, 'u', 'person-missing'), (6, 'u', 'person-unwanted'), (3, 'v', 'revision-missing')) v(id, annotator, code)")
+@given("SELECT * FROM (VALUES (4, 'u', 'unknown-decision'), (5, 'u', 'person-missing'), (6, 'u', 'person-unwanted'), (3, 'v', 'revision-missing')) v(id, annotator, code)")
 def annotation_errors(spark, d):
     return gold.annotation_errors(FIRST.df(spark).unionByName(SECOND.df(spark)))
 
 
-@query("SELECT 4::BIGINT AS n, 2::BIGINT AS same_decision, 2::BIGINT AS both_identified, 1::BIGINT AS same_person, 0.5::DOUBLE AS exact")
+@given("SELECT 4::BIGINT AS n, 2::BIGINT AS same_decision, 2::BIGINT AS both_identified, 1::BIGINT AS same_person, 0.5::DOUBLE AS exact")
 def annotator_agreement(spark, d):
     return gold.agreement(FIRST.df(spark), SECOND.df(spark))
 
 
-@query("SELECT * FROM (VALUES (1, 'identified', 'p', 'both'), (2, 'ambiguous', NULL, 'third'), (3, NULL, NULL, 'open'), (4, NULL, NULL, 'open')) v(id, decision, narrator, \"by\")")
+@given("SELECT * FROM (VALUES (1, 'identified', 'p', 'both'), (2, 'ambiguous', NULL, 'third'), (3, NULL, NULL, 'open'), (4, NULL, NULL, 'open')) v(id, decision, narrator, \"by\")")
 def adjudication(spark, d):
     return gold.adjudicated(FIRST.df(spark), SECOND.df(spark), THIRD.df(spark))
 

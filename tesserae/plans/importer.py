@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import scalars as S
 from tesserae.functions import text as X
 from tesserae.operators import editorial, scoring
-from tesserae.plans.catalogue import query, t
+from tesserae.plans.catalogue import given, query, t
 
 
 @query(
@@ -178,7 +178,7 @@ def word_diff(spark, d):
     return p.withColumn("s", X.word_difference(F.col("text"), F.col("other"))).select("conv_id", "turn", joined("before").alias("before"), joined("after").alias("after"))
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'equal', 'إِنَّمَا الأعمال', 'انما الأعمال'), (2, 0, 'equal', 'إنما الأعمال', 'إنما الأعمال'), (2, 1, 'replacement', 'بالنيات', 'بالنية وزيادة'), (3, 0, 'equal', 'قال زيد', 'قال زيد'), (3, 1, 'addition', '', 'اليوم'), (4, 0, 'equal', 'قال زيد', 'قال زيد'), (4, 1, 'omission', 'اليوم', '')) v(k, step, kind, before, after)")
+@given("SELECT * FROM (VALUES (1, 0, 'equal', 'إِنَّمَا الأعمال', 'انما الأعمال'), (2, 0, 'equal', 'إنما الأعمال', 'إنما الأعمال'), (2, 1, 'replacement', 'بالنيات', 'بالنية وزيادة'), (3, 0, 'equal', 'قال زيد', 'قال زيد'), (3, 1, 'addition', '', 'اليوم'), (4, 0, 'equal', 'قال زيد', 'قال زيد'), (4, 1, 'omission', 'اليوم', '')) v(k, step, kind, before, after)")
 def word_steps(spark, d):
     """Kinds of steps between two wordings; words are compared in the search form and given as they stand."""
     rows = [(1, "إِنَّمَا الأعمال", "انما الأعمال"), (2, "إنما الأعمال بالنيات", "إنما الأعمال بالنية وزيادة"), (3, "قال زيد", "قال زيد، اليوم"), (4, "قال زيد اليوم", "قال زيد"), (5, None, "")]
@@ -186,7 +186,7 @@ def word_steps(spark, d):
     return df.select("k", F.posexplode(X.word_difference(F.col("a"), F.col("b"))).alias("step", "s")).select("k", "step", "s.*")
 
 
-@query("SELECT * FROM (VALUES (2, 'replacement', 'بالنيات', 'بالنية وزيادة'), (3, 'addition', '', 'اليوم'), (4, 'omission', 'اليوم', '')) v(k, kind, before, after)")
+@given("SELECT * FROM (VALUES (2, 'replacement', 'بالنيات', 'بالنية وزيادة'), (3, 'addition', '', 'اليوم'), (4, 'omission', 'اليوم', '')) v(k, kind, before, after)")
 def variant_differences(spark, d):
     """What differs between the representatives of two families."""
     return word_steps(spark, d).where("kind <> 'equal'").select("k", "kind", "before", "after")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesserae.operators import editorial, lifecycle as L
-from tesserae.plans.catalogue import query, t
+from tesserae.plans.catalogue import given, query, t
 from tesserae.plans.literal import Literal, ctes
 
 REDIRECTS = Literal("events_", "event int, kind string, absorbed string, target string, at int", [(1, "merge", "b", "a", 1), (2, "merge", "c", "b", 2), (3, "merge", "d", "a", 3), (4, "split", "d", "a", 4), (5, "merge", "e", "c", 5), (6, "merge", "f", "a", 6), (7, "split", "f", "a", 7), (8, "merge", "f", "c", 8)])
@@ -13,13 +13,13 @@ KEYS = Literal("keys_", "key string", [("a",), ("b",), ("d",), ("e",), ("f",), (
 ALIASES = Literal("aliases_", "key string, alias string, is_active boolean", [("a", "UNC-a", True), ("b", "UNC-b", True), ("b", "UNC-b2", False), ("c", "UNC-c", True), ("d", "UNC-d", True), ("e", "UNC-e", True)])
 
 
-@query("SELECT * FROM (VALUES ('b', 'a', 1, true), ('c', 'b', 2, true), ('d', 'a', 3, false), ('e', 'c', 5, true), ('f', 'a', 6, false), ('f', 'c', 8, true)) v(absorbed, target, cause, is_active)")
+@given("SELECT * FROM (VALUES ('b', 'a', 1, true), ('c', 'b', 2, true), ('d', 'a', 3, false), ('e', 'c', 5, true), ('f', 'a', 6, false), ('f', 'c', 8, true)) v(absorbed, target, cause, is_active)")
 def redirect_log(spark, d):
     """Merges and splits as redirects, all on record, the last of a key active."""
     return L.redirects_of(REDIRECTS.df(spark))
 
 
-@query("SELECT * FROM (VALUES ('a', 'a', '', false), ('b', 'a', 'b', false), ('d', 'd', '', false), ('e', 'a', 'e>c>b', false), ('f', 'a', 'f>c>b', false), ('x', 'x', '', false)) v(key, target, path, truncated)")
+@given("SELECT * FROM (VALUES ('a', 'a', '', false), ('b', 'a', 'b', false), ('d', 'd', '', false), ('e', 'a', 'e>c>b', false), ('f', 'a', 'f>c>b', false), ('x', 'x', '', false)) v(key, target, path, truncated)")
 def redirect_paths(spark, d):
     return L.resolved(KEYS.df(spark), L.redirects_of(REDIRECTS.df(spark)))
 
@@ -46,7 +46,7 @@ ASKED = Literal(
 REVISIONS = Literal("revisions", "revision_id int, entity_type string, entity_id string, revision_index int, after_value string, reverts_revision_id int", [(1, "narrator", "n1", 1, '{"name":"malik"}', None), (2, "narrator", "n1", 2, '{"name":"anas"}', None), (3, "narrator", "n1", 3, '{"name":"malik"}', 2)])
 
 
-@query(
+@given(
     """SELECT * FROM (VALUES (1, NULL, '{"name":"malik"}', '{"name":"malik","status":"low"}', 3, false), (2, 'unknown-action', NULL, NULL, NULL, NULL), (3, 'rationale-too-short', NULL, NULL, NULL, NULL), (4, 'no-object', NULL, NULL, NULL, NULL), (5, 'unknown-entity', NULL, NULL, NULL, NULL),
 (6, 'unknown-passage', NULL, NULL, NULL, NULL), (7, 'passage-of-another', NULL, NULL, NULL, NULL), (8, 'no-change', NULL, NULL, NULL, NULL), (9, NULL, '{"head":"malik","id":"e1"}', '{"head":"malik b anas","id":"e1"}', NULL, true), (10, 'no-object', NULL, NULL, NULL, NULL)) v(request, code, before, after, baseline, requires_second)"""
 )
@@ -95,7 +95,7 @@ LINKS = Literal(
 )
 
 
-@query("SELECT * FROM (VALUES ('distinct_persons', 1::BIGINT), ('valid_range', 1), ('isnad_needs_positions', 1), ('statement_needs_passage', 1), ('chronology_has_no_chain', 1), ('chronology_needs_dates', 1), ('chronology_is_never_transmission', 1), ('distinct_occurrences', 1), ('level_threshold', 1), ('verified_is_editorial', 1), ('score_is_machine', 1), ('review_pair', 1), ('decision_needs_reviewer', 1)) v(rule, n)")
+@given("SELECT * FROM (VALUES ('distinct_persons', 1::BIGINT), ('valid_range', 1), ('isnad_needs_positions', 1), ('statement_needs_passage', 1), ('chronology_has_no_chain', 1), ('chronology_needs_dates', 1), ('chronology_is_never_transmission', 1), ('distinct_occurrences', 1), ('level_threshold', 1), ('verified_is_editorial', 1), ('score_is_machine', 1), ('review_pair', 1), ('decision_needs_reviewer', 1)) v(rule, n)")
 def relationship_constraints(spark, d):
     return editorial.violations(LINKS.df(spark), L.relationship_rules())
 
@@ -112,7 +112,7 @@ def filled_positions(spark, d):
 RELEASES = Literal("releases", "release_id string, is_active boolean, built_at string, activated_at string", [("r1", False, "2026-01", "2026-02"), ("r2", False, "2026-02", "2026-05"), ("r3", True, "2026-03", "2026-06"), ("r4", False, "2026-04", None)])
 
 
-@query("SELECT 'r2' AS release_id, 5::BIGINT AS n, 1::BIGINT AS active")
+@given("SELECT 'r2' AS release_id, 5::BIGINT AS n, 1::BIGINT AS active")
 def release_rollback(spark, d):
     """The release to go back to, and the table after it went active again beside a new one."""
     from tesserae.operators.workflow import activate

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import scalars as S
 from tesserae.operators import profiles as P
 from tesserae.operators import records, resolve
-from tesserae.plans.catalogue import _EDGES, _ORDER, _edges, query, t
+from tesserae.plans.catalogue import _EDGES, _edges, given, _ORDER, query, t
 from tesserae.plans.literal import Literal
 
 _POS = f"row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_ORDER)}) - 1"
@@ -99,7 +99,7 @@ CHAINS = Literal(
 )
 
 
-@query(
+@given(
     """SELECT * FROM (VALUES (1, 'umar', 5::BIGINT, 'nafi', 2::BIGINT), (1, 'umar', 5, 'abihi', 1), (1, 'umar', 5, 'abihi', 1), (1, 'umar', 5, 'nafi', 1), (2, 'nafi', 2, 'malik', 1), (2, 'nafi', 2, 'yahya', 1)) v(depth, form, n_chains, child, child_chains)"""
 )
 def merged_chains(spark, d):
@@ -131,7 +131,7 @@ FACTS = Literal(
 )
 
 
-@query(
+@given(
     """SELECT * FROM (VALUES (1, 'isnad', 'low', '143 / 145', 'overlap of 20 years (mizan, taqrib)'), (2, 'statement', 'conflict', '143', 'gap of 15 years (mizan)'), (3, 'uncertain', 'unresolved', '150', 'insufficient'),
 (4, 'uncertain', 'unresolved', NULL, 'overlap of 0 years (tahdhib)')) v(k, evidence, status, death, label)"""
 )
@@ -255,7 +255,7 @@ def answer_record(spark, d):
     return r.select("doc_id", "lang", F.md5("text").alias("text"), "text_withheld", "confidence", S.level(F.col("confidence")).alias("level"))
 
 
-@query("SELECT key, kind, rights FROM (VALUES ('en', 'source', 'cleared'), ('fr', 'source', 'public-domain'), ('external-texts', 'external', 'review-required')) v(key, kind, rights)")
+@given("SELECT key, kind, rights FROM (VALUES ('en', 'source', 'cleared'), ('fr', 'source', 'public-domain'), ('external-texts', 'external', 'review-required')) v(key, kind, rights)")
 def answer_sources(spark, d):
     """The registry's sources and external data sets, as one list."""
     a = spark.createDataFrame([("en", "cleared"), ("fr", "public-domain")], "key string, rights string").withColumn("kind", F.lit("source"))

@@ -46,7 +46,7 @@ def _words(n: Column) -> Column:
 
 
 @query("SELECT o_orderkey, (o_orderkey % 999 + 1)::INTEGER AS year FROM orders")
-def year_phrases(spark, d):
+def number_words(spark, d):
     """Numbers of orders in words, read back."""
     o = t(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 999 + 1).alias("n"))
     return o.select("o_orderkey", H.year_words(_words(F.col("n"))).alias("year"))
@@ -63,7 +63,7 @@ UNION ALL SELECT k, 'death', m, NULL, false, false, NULL, 'approximate', 0.65 FR
 UNION ALL SELECT k, 'death', n, NULL, true, false, 'بعد', 'exact', 0.85 FROM o WHERE c = 3
 UNION ALL SELECT k, 'death', n, least(999, n + s), true, false, 'range', 'approximate', 0.6 FROM o WHERE c = 4 AND least(999, n + s) > n"""
 )
-def dated_texts(spark, d):
+def date_assertions(spark, d):
     """What texts of orders say of births and deaths: digits and words, bounds, ranges, bare years without a century, and nothing."""
     n = (F.col("o_orderkey") * 7 % 899 + 100).cast("int")
     k, year, upto = F.col("o_orderkey"), F.lit("سنه "), F.least(F.lit(999), n + (F.col("o_orderkey") % 60 + 1).cast("int"))
@@ -80,7 +80,7 @@ def dated_texts(spark, d):
     """WITH o AS (SELECT o_orderkey AS k, (o_orderkey % 140)::INTEGER AS n FROM orders), w AS (SELECT *, (n % 10 > 0)::INTEGER + (n % 100 >= 10)::INTEGER + (n >= 100)::INTEGER AS words FROM o)
 SELECT k, CASE WHEN k % 3 > 0 AND n BETWEEN 15 AND 130 AND words <= 2 AND n % 100 NOT BETWEEN 11 AND 19 THEN n END AS age FROM w"""
 )
-def ages_in_texts(spark, d):
+def ages_and_births(spark, d):
     """Ages that texts of orders tell; under 15 and over 130 are none, and neither are those of other than a word or two that
     `and` joins."""
     n = F.col("o_orderkey") % 140
@@ -128,17 +128,22 @@ CASE WHEN kind = 1 THEN 'structural-heading' WHEN kind = 2 OR none THEN NULL WHE
 CASE WHEN kind = 1 THEN 0.85 WHEN kind = 2 OR none THEN 0 WHEN kind = 3 THEN 0.7 ELSE 0.8 END::DOUBLE AS confidence,
 CASE WHEN kind = 2 OR kind <> 1 AND none THEN 'transmission-term-not-found' END AS error, kind NOT IN (1, 2) AND NOT none AS strong, book || ' - كتاب الايمان' AS book FROM r JOIN b USING (page)"""
 )
-def records_of_pages(spark, d):
+def imported_records(spark, d):
     """Records of a work of all orders: numbers, classes, rules, reasons, and the book that its pages carry forward."""
     return _imported(spark, d).select("id", "class", "rule", "confidence", "error", "strong", "book")
 
 
+@query(f"WITH {_RECORDS} SELECT CASE WHEN kind = 1 THEN 'structural-heading' WHEN kind = 2 OR none THEN 'unparsed' WHEN kind = 3 THEN 'hadith-reference' ELSE 'hadith' END AS class, count(*) AS n FROM r GROUP BY 1")
+def imported_classes(spark, d):
+    return _imported(spark, d).groupBy("class").agg(F.count("*").alias("n"))
+
+
 @query(
     f"""WITH {_RECORDS}, l AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity) AS i, {_sql(NAMES)}[((l_suppkey * 7 + l_linenumber) % {len(NAMES)} + 1)::INTEGER] AS form, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
 f AS (SELECT k, form, min(i) AS i FROM l WHERE k % 5 <> 3 OR i < n GROUP BY k, form)
 SELECT concat_ws('-', 'bukhari', number, number, page) || '#c0' AS chain_id, (row_number() OVER (PARTITION BY r.k ORDER BY i) - 1)::INTEGER AS position, form, CASE WHEN i = 1 THEN 'حدثنا' ELSE 'عن' END AS term FROM r JOIN f USING (k) WHERE kind IN (0, 3, 4)"""
 )
-def narrators_of_pages(spark, d):
+def imported_narrators(spark, d):
     """The narrators of each order's chain, each once, by the place where it first stands. A record that refers to another ends at its
     last term, so the name after it is no narrator."""
     return I.narrators(I.chains(_imported(spark, d))).select("chain_id", "position", "form", "term")
@@ -160,25 +165,67 @@ def _entry_pages(spark, d: str) -> DataFrame:
     return pages.select(F.lit("t").alias("work"), "page", F.concat("text", F.lit("\n_____\nحاشيه [7] لا شيء")).alias("text"))
 
 
+def _read_entries(spark, d: str) -> DataFrame:
+    return I.entry_fields(I.entries(stored(_entry_pages(spark, d)), "work", "page", "tahdhib"))
+
+
 @query(
     f"""SELECT (c_custkey % 90000 + 1)::INTEGER AS number, (c_custkey // 3 * 2)::INTEGER AS page, (c_custkey // 3 * 2 + CASE WHEN c_custkey % 3 = 2 THEN 1 ELSE 0 END)::INTEGER AS last_page,
 {_sql(FIRST)}[(c_custkey % 7 + 1)::INTEGER] || ' بن ' || {_sql(SECOND)}[(c_custkey % 5 + 1)::INTEGER] || '، ابو ' || {_sql(KUNYAS)}[(c_custkey % 3 + 1)::INTEGER] || ' ' || {_sql(NISBAS)}[(c_custkey % 4 + 1)::INTEGER] AS name,
 CASE c_custkey % 4 WHEN 2 THEN 'د ت' ELSE '' END AS sigla, 'ابو ' || {_sql(KUNYAS)}[(c_custkey % 3 + 1)::INTEGER] AS kunya, {_sql(PLACES)}[(c_custkey % 4 + 1)::INTEGER] AS region, (c_custkey % 10 + 1)::INTEGER AS generation,
 {_sql(TEACHERS)}[(c_custkey % 4 + 1)::INTEGER] || ',و' || {_sql(TEACHERS)}[((c_custkey + 1) % 4 + 1)::INTEGER] AS teachers, {_sql(STUDENTS)}[(c_custkey % 3 + 1)::INTEGER] || ',و' || {_sql(STUDENTS)}[((c_custkey + 1) % 3 + 1)::INTEGER] AS students, (c_custkey % 899 + 100)::INTEGER AS death, '' AS reasons FROM customer"""
 )
-def entries_of_pages(spark, d):
+def imported_entries(spark, d):
     """Registry entries of all customers over their pages: signs, names, fields, generations, teachers, students, deaths. Signs in
     brackets after a number belong to the marker."""
-    e = I.entry_fields(I.entries(stored(_entry_pages(spark, d)), "work", "page", "tahdhib"))
+    e = _read_entries(spark, d)
     joined = lambda c: F.array_join(c, ",").alias(c)
     return e.select("number", "page", "last_page", "name", joined("sigla"), "kunya", "region", F.col("generation.ordinal").alias("generation"), joined("teachers"), joined("students"), H.first_of(H.date_assertions(F.col("normalized")), "death")["value"].alias("death"), joined("reasons"))
 
 
+@query(
+    f"""WITH c AS (SELECT c_custkey AS k, (c_custkey % 90000 + 1)::INTEGER AS number FROM customer)
+SELECT number, 'teacher' AS list, i::INTEGER AS place, CASE i WHEN 1 THEN 'و' ELSE '' END || {_sql(TEACHERS)}[((k + i) % 4 + 1)::INTEGER] AS mention FROM c, range(0, 2) x(i)
+UNION ALL SELECT number, 'student', i::INTEGER, CASE i WHEN 1 THEN 'و' ELSE '' END || {_sql(STUDENTS)}[((k + i) % 3 + 1)::INTEGER] FROM c, range(0, 2) x(i)"""
+)
+def imported_mentions(spark, d):
+    """Teachers and students of all customers' entries, one by one."""
+    e = _read_entries(spark, d)
+    one = lambda k: e.select("number", F.lit(k).alias("list"), F.posexplode(k + "s").alias("place", "mention"))
+    return one("teacher").unionByName(one("student"))
+
+
+@query(
+    f"""SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN '(خ م)' WHEN 1 THEN 'د ت' WHEN 2 THEN 'م)' ELSE '[خ د]' END AS sigla, CASE WHEN p_partkey % 3 = 0 THEN 'بضم الراء' ELSE '' END AS notes, CASE WHEN p_partkey % 2 = 0 THEN 'ابن ' || {_sql(SECOND)}[(p_partkey % 5 + 1)::INTEGER] || ' بن هاشم' ELSE '' END AS forms,
+{_sql(FIRST)}[(p_partkey % 7 + 1)::INTEGER] || ' بن ' || {_sql(SECOND)}[(p_partkey % 5 + 1)::INTEGER] AS name FROM part"""
+)
+def imported_head_parts(spark, d):
+    """Heads of all parts: signs of sources in their kinds, notes on spelling, other forms, and the name."""
+    from tesserae.functions.names import name_head
+    from tesserae.functions.scalars import normalize
+
+    k = F.col("p_partkey")
+    name = F.concat(_pick(FIRST, k % 7), F.lit(" بن "), _pick(SECOND, k % 5))
+    signs = F.when(k % 4 == 0, "(خ م) ").when(k % 4 == 1, "د ت - ").when(k % 4 == 2, "م) ").otherwise("")
+    head = F.concat(signs, name, F.when(k % 4 == 3, " [خ د]").otherwise(""), F.when(k % 3 == 0, " بضم الراء").otherwise(""), F.when(k % 2 == 0, F.concat(F.lit("، ويقال: ابن "), _pick(SECOND, k % 5), F.lit(" بن هاشم"))).otherwise(""))
+    h = t(spark, d, "part").select(k.alias("k"), I.cleaned_head(head).alias("c")).withColumn("h", name_head(F.col("c.head"), normalize(F.col("c.head"))))
+    return h.select("k", F.array_join("c.sigla", ",").alias("sigla"), F.array_join("h.notes", ",").alias("notes"), F.array_join("h.forms", ",").alias("forms"), F.col("h.name").alias("name"))
+
+
+@query(r"SELECT doc_id, lower(trim(regexp_replace(regexp_replace(strip_accents(text), '\s+', ' ', 'g'), '^ | $', '', 'g'))) AS normalized, substr(text, 1, 3) AS span FROM documents")
+def prepared_pages(spark, d):
+    """Documents in the search form with places, and what stands in the text where the search form's first three letters come from."""
+    from tesserae.functions import chains as C
+
+    p = t(spark, d, "documents").withColumn("p", C.prepared(F.col("text"))).withColumn("s", C.raw_span(F.col("p.places"), F.lit(0), F.lit(3)))
+    return p.select("doc_id", "p.normalized", F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("span"))
+
+
 @query(
     f"""WITH s AS (SELECT p_partkey AS id, unnest(range(0, p_partkey % 3 + 1)) AS i FROM part)
 SELECT id, {_sql(CRITICS)}[((id + i) % 3 + 1)::INTEGER] AS critic, {_sql(PHRASES)}[((id + 2 * i) % 4 + 1)::INTEGER] AS phrase, {_sql(WORKS)}[((id + i) % 4 + 1)::INTEGER] AS work, (id % 40 + 1)::VARCHAR AS volume, (id % 700 + i)::VARCHAR AS page, CASE WHEN id % 2 = 0 THEN (id % 900 + 1)::INTEGER END AS source_page, i::INTEGER AS n FROM s"""
 )
-def criticisms_of_texts(spark, d):
+def imported_criticisms(spark, d):
     """Statements of critics in biographies of all parts, with their citations."""
     k = F.col("p_partkey")
     part = lambda i: F.concat_ws("\n", _pick(CRITICS, (k + i) % 3), _pick(PHRASES, (k + 2 * i) % 4), F.concat(_pick(WORKS, (k + i) % 4), F.lit(" ("), (k % 40 + 1).cast("string"), F.lit("/ "), (k % 700 + i).cast("string"), F.lit(")")), F.when(k % 2 == 0, (k % 900 + 1).cast("string")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tesserae.plans.catalogue import query, t
+from tesserae.plans.catalogue import given, query, t
 from tesserae.plans.literal import Literal
 from tesserae.plans.search import _CONTENT, _content
 from tesserae.sources import archive as A
@@ -16,7 +16,7 @@ REGISTRY = Literal("registry", "key string, kind string, rights string, fields a
 _scratch = folder
 
 
-@query("SELECT 'source:' || key AS id, key, kind, rights, fields FROM (VALUES ('bukhari', 'source', 'cleared', '[\"isnad\",\"matn\"]'), ('external-texts', 'external', 'review-required', '[]')) v(key, kind, rights, fields)")
+@given("SELECT 'source:' || key AS id, key, kind, rights, fields FROM (VALUES ('bukhari', 'source', 'cleared', '[\"isnad\",\"matn\"]'), ('external-texts', 'external', 'review-required', '[]')) v(key, kind, rights, fields)")
 def source_works(spark, d):
     return A.source_works(REGISTRY.df(spark))
 
@@ -60,17 +60,17 @@ def data_versions(spark, d):
 CURATED = Literal("curated", "externalId string, collection string, rawIsnad string, matn string", [("1", "b", "مالك ← نافع ← ابن عمر", "x"), ("2", "b", "مالك ←  ← عمر", "y"), ("3", "", "هشام ← أبيه", None), ("3", "m", "هشام", "z")])
 
 
-@query("SELECT * FROM (VALUES ('2', 'empty-link'), ('3', 'missing-collection'), ('3', 'missing-matn'), ('3', 'duplicate-id')) v(\"externalId\", code)")
+@given("SELECT * FROM (VALUES ('2', 'empty-link'), ('3', 'missing-collection'), ('3', 'missing-matn'), ('3', 'duplicate-id')) v(\"externalId\", code)")
 def curated_errors(spark, d):
     return A.curated_errors(CURATED.df(spark), ["externalId", "collection", "rawIsnad", "matn"])
 
 
-@query("SELECT * FROM (VALUES ('1', 0, 'مالك'), ('1', 1, 'نافع'), ('1', 2, 'ابن عمر'), ('2', 0, 'مالك'), ('2', 2, 'عمر'), ('3', 0, 'هشام'), ('3', 1, 'أبيه'), ('3', 0, 'هشام')) v(\"externalId\", position, mention)")
+@given("SELECT * FROM (VALUES ('1', 0, 'مالك'), ('1', 1, 'نافع'), ('1', 2, 'ابن عمر'), ('2', 0, 'مالك'), ('2', 2, 'عمر'), ('3', 0, 'هشام'), ('3', 1, 'أبيه'), ('3', 0, 'هشام')) v(\"externalId\", position, mention)")
 def curated_mentions(spark, d):
     return A.curated_mentions(CURATED.df(spark))
 
 
-@query("SELECT * FROM (VALUES ('manifest.json', '{\"release_id\":\"r1\",\"data_version\":\"v\",\"tables\":[\"a\",\"b\"]}'), ('register.sql', 'INSERT INTO release (release_id, data_version, is_active) VALUES (''r1'', ''v'', 0);'), ('activate.sql', 'UPDATE release SET is_active = (release_id = ''r1'');'), ('latest.env', 'RELEASE_ID=r1')) v(file, content)")
+@given("SELECT * FROM (VALUES ('manifest.json', '{\"release_id\":\"r1\",\"data_version\":\"v\",\"tables\":[\"a\",\"b\"]}'), ('register.sql', 'INSERT INTO release (release_id, data_version, is_active) VALUES (''r1'', ''v'', 0);'), ('activate.sql', 'UPDATE release SET is_active = (release_id = ''r1'');'), ('latest.env', 'RELEASE_ID=r1')) v(file, content)")
 def release_files(spark, d):
     return A.release_files("r1", spark.createDataFrame([("b",), ("a",)], "name string"), "v")
 

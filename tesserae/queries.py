@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.plans import answers, archive, catalogue, corpus, identifiers, identities, importer, lifecycle, profiles, rendered, search, sources, workflow  # noqa: F401  they add to the catalogue
+from tesserae.plans import answers, catalogue, corpus, identifiers, identities, importer, lifecycle, profiles, rendered, search, sources, workflow  # noqa: F401  they add to the catalogue
 
 QUERIES = catalogue.QUERIES
 ORACLES = catalogue.ORACLES

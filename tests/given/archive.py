@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesserae.functions import hijri as H
-from tesserae.plans.catalogue import query
+from tesserae.plans.catalogue import given
 from tesserae.plans.literal import Literal
 
 PHRASES = Literal(
@@ -16,7 +16,7 @@ PHRASES = Literal(
 )
 
 
-@query(f"WITH {PHRASES.cte} SELECT phrase, year FROM phrases")
+@given(f"WITH {PHRASES.cte} SELECT phrase, year FROM phrases")
 def number_words(spark, d):
     """Years in number words; a century that is not named is not added."""
     return PHRASES.df(spark).select("phrase", H.year_words(F.col("phrase")).alias("year"))
@@ -32,7 +32,7 @@ DATED = Literal(
 )
 
 
-@query(
+@given(
     """SELECT k, kind, value, until, explicit, shared, qualifier, "precision", confidence::DOUBLE AS confidence FROM (VALUES (1, 'death', 183, NULL, true, false, NULL, 'exact', 0.85), (2, 'death', 240, NULL, true, false, 'بعد', 'exact', 0.85), (3, 'death', 191, NULL, false, true, NULL, 'approximate', 0.85), (3, 'death', 192, NULL, true, false, 'reported-variant', 'exact', 0.6),
 (4, 'death', 93, NULL, false, false, NULL, 'approximate', 0.65), (4, 'death', 202, NULL, true, false, 'reported-variant', 'exact', 0.6), (5, 'death', 140, 150, false, true, 'range', 'approximate', 0.6), (7, 'birth', 93, NULL, false, false, NULL, 'approximate', 0.65), (7, 'death', 179, NULL, true, false, NULL, 'exact', 0.85),
 (8, 'death', 200, NULL, true, false, 'حدود', 'exact', 0.85), (9, 'death', 36, NULL, false, false, NULL, 'approximate', 0.65), (12, 'death', 170, NULL, true, false, 'نيف', 'exact', 0.85), (13, 'death', 150, NULL, true, false, NULL, 'exact', 0.85)) v(k, kind, value, until, explicit, shared, qualifier, "precision", confidence)"""
@@ -43,7 +43,7 @@ def date_assertions(spark, d):
     return a.select("k", "a.kind", "a.value", "a.until", "a.explicit", "a.shared", "a.qualifier", H.precision(F.col("a")).alias("precision"), "a.confidence")
 
 
-@query("SELECT * FROM (VALUES (7, 93, NULL::INTEGER), (8, NULL, 80)) v(k, birth, age)")
+@given("SELECT * FROM (VALUES (7, 93, NULL::INTEGER), (8, NULL, 80)) v(k, birth, age)")
 def ages_and_births(spark, d):
     """The first birth and the age at death that a text tells."""
     x = DATED.df(spark).select("k", H.first_of(H.date_assertions(F.col("text")), "birth")["value"].alias("birth"), H.age_at_death(F.col("text")).alias("age"))
@@ -68,7 +68,7 @@ def _records(spark):
     return I.records(I.segments(I.headings(PAGES.df(spark).withColumn("work", F.lit("b")), "work", "page"), "bukhari"), "bukhari")
 
 
-@query(
+@given(
     """SELECT id, class, rule, confidence::DOUBLE AS confidence, error, strong, book, chapter FROM (VALUES ('bukhari-1-1-1', 'hadith', 'quote-open', 0.8, NULL, true, '1 - كتاب بدء الوحي', NULL), ('bukhari-2-2-1', 'hadith-reference', 'reference-record', 0.7, NULL, true, '1 - كتاب بدء الوحي', NULL),
 ('bukhari-3-3-2', 'structural-heading', 'structural-heading', 0.85, NULL, false, '1 - كتاب بدء الوحي', 'باب كيف كان بدء الوحي'), ('bukhari-4-4-3', 'unparsed', NULL, 0, 'empty-segment', false, '1 - كتاب بدء الوحي', 'باب كيف كان بدء الوحي'),
 ('bukhari-5-5-2', 'unparsed', NULL, 0, 'transmission-term-not-found', false, '1 - كتاب بدء الوحي', 'باب كيف كان بدء الوحي'), ('bukhari-6-6-2', 'hadith', 'colon-boundary', 0.6, NULL, true, '1 - كتاب بدء الوحي', 'باب كيف كان بدء الوحي')) v(id, class, rule, confidence, error, strong, book, chapter)"""
@@ -78,12 +78,12 @@ def imported_records(spark, d):
     return _records(spark).select("id", "class", "rule", "confidence", "error", "strong", "book", "chapter")
 
 
-@query("SELECT class, count(*) AS n FROM (VALUES ('hadith'), ('hadith'), ('hadith-reference'), ('structural-heading'), ('unparsed'), ('unparsed')) v(class) GROUP BY class")
+@given("SELECT class, count(*) AS n FROM (VALUES ('hadith'), ('hadith'), ('hadith-reference'), ('structural-heading'), ('unparsed'), ('unparsed')) v(class) GROUP BY class")
 def imported_classes(spark, d):
     return _records(spark).groupBy("class").agg(F.count("*").alias("n"))
 
 
-@query(
+@given(
     """SELECT * FROM (VALUES ('bukhari-1-1-1#c0', 0, 'الحميدي عبد الله بن الزبير', 'حدثنا', 'unresolved'), ('bukhari-1-1-1#c0', 1, 'سفيان', 'حدثنا', 'unresolved'), ('bukhari-1-1-1#c0', 2, 'يحيي بن سعيد الانصاري', 'حدثنا', 'unresolved'), ('bukhari-1-1-1#c0', 3, 'عمر', 'سمعت', 'unresolved'),
 ('bukhari-1-1-1#c0', 4, 'رسول الله صلي الله عليه وسلم', 'سمعت', 'unresolved'), ('bukhari-2-2-1#c0', 0, 'عبد الله بن يوسف', 'حدثنا', 'unresolved'), ('bukhari-2-2-1#c0', 1, 'مالك', 'اخبرنا', 'unresolved'),
 ('bukhari-2-2-1#c0', 2, 'هشام بن عروه', 'عن', 'unresolved'), ('bukhari-6-6-2#c0', 0, 'يحيي بن بكير', 'حدثنا', 'unresolved'), ('bukhari-6-6-2#c0', 1, 'الليث', 'عن', 'unresolved'), ('bukhari-6-6-2#c1', 0, 'عبد الله', 'وحدثنا', 'unresolved'), ('bukhari-6-6-2#c1', 1, 'معمر', 'اخبرنا', 'unresolved'), ('bukhari-6-6-2#c1', 2, 'الزهري', 'عن', 'unresolved'), ('bukhari-6-6-2#c1', 3, 'النبي صلي الله عليه وسلم', NULL, 'prophet-mention')) v(chain_id, position, form, term, status)"""
@@ -112,7 +112,7 @@ def _entries(spark):
     return I.entry_fields(I.entries(BOOK.df(spark), "work", "page", "tahdhib"))
 
 
-@query(
+@given(
     """SELECT * FROM (VALUES (1, 1, 1, 'مالك بن أنس بن مالك، أبو عبد الله المدني', 'name-form-and-boundary', 'ابو عبد الله', 'المدني,والزهري,ويحيي', 'مالك بن انس بن مالك', 'المدينة', 7, 'نافع، والزهري، وجماعه', 'شعبه، ويحيي القطان', ''), (2, 1, 2, 'زيد مولى عمر', 'name-form-and-hard-boundary', NULL, '', 'زيد مولي عمر', NULL, 3, 'عمر بن الخطاب', NULL, ''),
 (3, 3, 3, 'القاسم بن رشدين بن عمير', 'name-form-and-boundary', NULL, '', 'القاسم بن رشدين بن عمير ويقال ابن رشدين بن القاسم مصري نزيل مصر', NULL, NULL, NULL, NULL, ''), (4, 3, 3, 'من', 'name-form-and-boundary', NULL, '', 'من', NULL, NULL, NULL, NULL, 'segment-too-short,name-head-too-short,no-personal-name-marker'),
 (5, 3, 3, 'the unknown man of letters', 'name-form-and-boundary', NULL, '', 'the unknown man of letters', NULL, NULL, NULL, NULL, 'name-head-not-arabic,no-personal-name-marker')) v(number, page, last_page, name, rule, kunya, nisbas, name_chain, region, generation, teachers, students, reasons)"""
@@ -123,14 +123,14 @@ def imported_entries(spark, d):
     return e.select("number", "page", "last_page", "name", "rule", "kunya", F.array_join("nisbas", ",").alias("nisbas"), "name_chain", "region", F.col("generation.ordinal").alias("generation"), F.col("teacher_phrase").alias("teachers"), F.col("student_phrase").alias("students"), F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("SELECT * FROM (VALUES (1, 'teacher', 0, 'نافع'), (1, 'teacher', 1, 'والزهري'), (1, 'student', 0, 'شعبه'), (1, 'student', 1, 'ويحيي القطان'), (2, 'teacher', 0, 'عمر بن الخطاب')) v(number, list, place, mention)")
+@given("SELECT * FROM (VALUES (1, 'teacher', 0, 'نافع'), (1, 'teacher', 1, 'والزهري'), (1, 'student', 0, 'شعبه'), (1, 'student', 1, 'ويحيي القطان'), (2, 'teacher', 0, 'عمر بن الخطاب')) v(number, list, place, mention)")
 def imported_mentions(spark, d):
     e = _entries(spark)
     one = lambda k: e.select("number", F.lit(k).alias("list"), F.posexplode(k + "s").alias("place", "mention"))
     return one("teacher").unionByName(one("student"))
 
 
-@query("SELECT * FROM (VALUES (1, '', '', NULL::VARCHAR, NULL::VARCHAR), (2, '', '', NULL, NULL), (3, '', 'بضم الراء', 'ابن رشدين بن القاسم مصري', NULL), (4, '', '', NULL, NULL), (5, '', '', NULL, NULL)) v(number, sigla, notes, forms, described)")
+@given("SELECT * FROM (VALUES (1, '', '', NULL::VARCHAR, NULL::VARCHAR), (2, '', '', NULL, NULL), (3, '', 'بضم الراء', 'ابن رشدين بن القاسم مصري', NULL), (4, '', '', NULL, NULL), (5, '', '', NULL, NULL)) v(number, sigla, notes, forms, described)")
 def imported_head_parts(spark, d):
     """Signs of sources, notes on spelling, other forms of a name."""
     e = _entries(spark)
@@ -140,7 +140,7 @@ def imported_head_parts(spark, d):
 LIVES_OF = Literal("biographies", "id int, text string", [(1, "أحمد بن حنبل\nثقة ثبت\nتهذيب الكمال (1/ 23)\n123\n\n\nإثبات السماع\nسمع من الزهري\nوأدركه\nسير أعلام النبلاء (2/ 45)\n456"), (2, ": ابن معين\r\nليس به بأس\nالتاريخ (3/ 7)\nضعيف\nالكامل (4/ 8)\n9"), (3, "سطر\nواحد"), (4, None)])
 
 
-@query(
+@given(
     """SELECT * FROM (VALUES (1, 'أحمد بن حنبل', 'critic', 'ثقة ثبت', 'تهذيب الكمال', '1', '23', 123, 0), (1, 'إثبات السماع', 'hearing_evidence', 'سمع من الزهري وأدركه', 'سير أعلام النبلاء', '2', '45', 456, 1), (2, 'ابن معين', 'critic', 'ليس به بأس', 'التاريخ', '3', '7', NULL, 0),
 (2, 'ابن معين', 'critic', 'ضعيف', 'الكامل', '4', '8', 9, 1)) v(id, critic, kind, phrase, work, volume, page, source_page, n)"""
 )
@@ -154,7 +154,7 @@ def imported_criticisms(spark, d):
 MARKED = Literal("marked", "k int, raw string", [(1, "<span data-type='title'>بَابُ أ</span>\r\n\n\n\nنصّ  &nbsp;⦗ص1⦘ <b>ة</b>"), (2, ""), (3, None), (4, "a < b Éa")])
 
 
-@query("SELECT * FROM (VALUES (1, 'باب ا نص ه', 'بَابُ أ', 'بَاب', 'verbatim'), (2, '', NULL, NULL, NULL), (3, '', NULL, NULL, NULL), (4, 'a < b ea', NULL, 'a <', 'contains-markup')) v(k, normalized, title, span, integrity)")
+@given("SELECT * FROM (VALUES (1, 'باب ا نص ه', 'بَابُ أ', 'بَاب', 'verbatim'), (2, '', NULL, NULL, NULL), (3, '', NULL, NULL, NULL), (4, 'a < b ea', NULL, 'a <', 'contains-markup')) v(k, normalized, title, span, integrity)")
 def prepared_pages(spark, d):
     """Pages in three forms, with stretches of the search form traced to the raw page."""
     from tesserae.functions import chains as C

@@ -4,9 +4,12 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import scalars as S
 from tesserae.operators import chains, records, resolve
+from tesserae import queries  # noqa: F401  they fill the catalogue
 from tesserae.plans import catalogue
 from tesserae.sources import readers
 
+from given import archive  # noqa: F401, E402
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -18,10 +21,13 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
+ALL = {("table", n): (catalogue.QUERIES[n], q) for n, q in catalogue.ORACLES.items()} | {("given", n): (catalogue.GIVEN[n], q) for n, q in catalogue.GIVEN_ORACLES.items()}
+
+
+@pytest.mark.parametrize("name", sorted(ALL))
 def test_matches_sql(spark, duck, name):
-    df = catalogue.QUERIES[name](spark, SF)
-    sql = duck.sql(catalogue.ORACLES[name])
+    query, oracle = ALL[name]
+    df, sql = query(spark, SF), duck.sql(oracle)
     cols = sorted(df.columns)
     assert cols == sorted(sql.columns)
     got = sorted(repr(tuple(r[c] for c in cols)) for r in df.collect())
