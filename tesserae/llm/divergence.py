@@ -5,7 +5,7 @@ Terms are runs of ASCII letters, lower-cased, and of anything beyond ASCII. Coun
 1. Every task keeps a count-min sketch of document frequencies of (language, term), saturating at the threshold, and
    sends the cells that it touched; sums of cells merge the sketches. A cell never tells less than a term's frequency, so
    a term with a cell under the threshold cannot reach it. What is left of the merged sketch is one bit a cell:
-   `depth * width` bits, 1.5 MB with the defaults whatever the corpus, which tasks get as a broadcast.
+   `depth * width` bits, 2 MB with the defaults whatever the corpus, which tasks get as a broadcast.
 2. Tasks count the terms whose cells are all at the threshold; only those are shuffled, and their document frequencies
    are exact sums. The sketch only saves shuffling: with any width the result is the same. Larger vocabularies than
    about `width` terms want a larger one.
@@ -35,9 +35,9 @@ from tesserae.llm.common import give_back, materialize, small, table
 from tesserae.llm.near_dedup import chunks
 
 MIN_DOCS, TOP, SCALE = 3, 200, 1_000_000_000
-DEPTH, WIDTH = 3, 1 << 22
+DEPTH, WIDTH = 2, 1 << 23
 #: Bytes of text that a task counts at a time.
-AT_ONCE = 4 << 20
+AT_ONCE = 6 << 20
 #: Bits of one bitmap of Spark's bitmap functions.
 _BITMAP = 32_768
 #: What separates terms becomes a space, A-Z are lower-cased, other letters and bytes beyond ASCII stay.
