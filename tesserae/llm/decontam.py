@@ -120,10 +120,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return best.select("id", "row_hash", "item", "start", "similarity")
 
 
+#: Stands for a missing id while rows are looked for; a row's text tells it apart all the same.
+_NO_ID = -(1 << 63)
+
+
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that hold a benchmark item."""
-    bad = small(materialize(find_leaks(docs, benchmark, id_col, text_col).selectExpr("id _ts_id", "row_hash _ts_hash").distinct()))
-    return docs.join(bad, (F.col(id_col).cast("long") == F.col("_ts_id")) & (F.xxhash64(F.col(text_col)) == F.col("_ts_hash")), "left_anti")
+    """docs without the rows that hold a benchmark item, those without an id among them."""
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
+    found = find_leaks(docs.select(key.alias("_ts_key"), F.col(text_col).alias("_ts_text")), benchmark, "_ts_key", "_ts_text")
+    bad = small(materialize(found.selectExpr("id _ts_id", "row_hash _ts_hash").distinct()))
+    return docs.join(bad, (key == F.col("_ts_id")) & (F.xxhash64(F.col(text_col)) == F.col("_ts_hash")), "left_anti")
 
 
 def op2_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

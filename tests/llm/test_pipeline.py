@@ -58,3 +58,19 @@ def test_repeated_and_missing_ids_keep_their_texts(spark):
     got = sorted((r.doc_id or -1, (r.text or "")[:1]) for r in P.drop_near_duplicates(spark, d, "").collect())
     assert got == [(-1, ""), (3, "a"), (7, "b"), (8, "")]
     assert near_duplicates(d.limit(0)).count() == 0
+
+
+def test_rows_without_an_id_lose_leaks_and_extra_columns_stay(spark, sf):
+    path, texts = sf
+    item = spark.read.parquet(f"{path}/benchmark.parquet").first().text
+    long_ = " ".join(f"far{i}" for i in range(20_000))
+    d = spark.createDataFrame([(None, f"x {item} y", "en", "s", 1, 9), (None, "clean text", "en", "s", 2, 9), (5, f"{long_} {item}", "en", "s", 3, 9), (5, "clean", "en", "s", 4, 9), (None, None, "en", "s", 5, 9)], DOCS + ", id long")
+    kept = P.drop_benchmark_leaks(spark, d, path)
+    assert kept.columns == d.columns and sorted(r.n_chars for r in kept.collect()) == [2, 4, 5]
+
+
+def test_run_on_empty_tables(spark, sf, tmp_path):
+    path, _ = sf
+    for name in ("documents", "benchmark", "labels"):
+        spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    assert P.run(spark, f"file://{tmp_path}").count() == 0
