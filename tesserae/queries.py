@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.plans import answers, catalogue, corpus, evaluation, identifiers, identities, importer, lifecycle, profiles, relations, rendered, search, sources, tables, workflow  # noqa: F401  they add to the catalogue
+from tesserae.plans import answers, catalogue, corpus, evaluation, identifiers, identities, importer, lifecycle, profiles, relations, rendered, resolving, search, sources, tables, workflow  # noqa: F401  they add to the catalogue
 
 QUERIES = catalogue.QUERIES
 ORACLES = catalogue.ORACLES
