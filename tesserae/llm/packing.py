@@ -140,6 +140,8 @@ class Shard:
 def _pack(width: int, idf: np.ndarray, mean: float, window: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
+        Encoder.leave_worker()
+        give_back()
 
         def done(docs: list) -> pa.RecordBatch:
             nonlocal base

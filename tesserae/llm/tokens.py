@@ -80,6 +80,11 @@ class Encoder:
         kept.encoder.limit = known
         return kept.encoder
 
+    @staticmethod
+    def leave_worker() -> None:
+        """Frees the encoder that this Python worker has kept, for a stage that encodes nothing."""
+        sys.modules.pop("_tesserae_kept", None)
+
     def _bytes(self, words: list[str]) -> list[bytes]:
         return [array("H" if self.dtype.itemsize == 2 else "I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
