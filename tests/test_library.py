@@ -1,15 +1,14 @@
 import duckdb
 import pytest
+from given import archive  # noqa: F401  it fills the catalogue, as do the queries
 from pyspark.sql import functions as F
 
+from tesserae import queries  # noqa: F401
 from tesserae.functions import scalars as S
 from tesserae.operators import chains, records, resolve
-from tesserae import queries  # noqa: F401  they fill the catalogue
 from tesserae.plans import catalogue
 from tesserae.sources import readers
 
-from given import archive  # noqa: F401, E402
-
 SF = "/root/testdata/sf0.001"
 
 
@@ -24,7 +23,7 @@ def duck():
 ALL = {("table", n): (catalogue.QUERIES[n], q) for n, q in catalogue.ORACLES.items()} | {("given", n): (catalogue.GIVEN[n], q) for n, q in catalogue.GIVEN_ORACLES.items()}
 
 
-@pytest.mark.parametrize("name", sorted(ALL))
+@pytest.mark.parametrize("name", sorted(ALL), ids="-".join)
 def test_matches_sql(spark, duck, name):
     query, oracle = ALL[name]
     df, sql = query(spark, SF), duck.sql(oracle)
