@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.sources.scratch import stored
+
 
 def positions(df: DataFrame, chain: str, order: list[str]) -> DataFrame:
     """df with position, from 0, in each chain; `order` has to be total up to equal rows."""
@@ -36,9 +38,10 @@ def bounded_paths(edges: DataFrame, start: int | str, depth: int, cap: int, dire
     """(depth, src, dst, path, truncated) of the simple paths from start, by depth, source, target and path, cut at cap.
 
     Level by level: deeper paths come later in that order, so a level is cut where the cap is reached and no further one is
-    needed. Each level joins the edges with the one before, of at most `cap` rows, which alone pass through the driver."""
+    needed. Each level joins the edges, stored once, with the one before, of at most `cap` rows, which alone pass through the
+    driver. graph.paths_from() does the same for many starts at once without the driver."""
     d = edges.where(F.col("relation").isin(DIRECTIONS[direction])) if "relation" in edges.columns else edges
-    d = d.select("src", "dst").distinct()
+    d = stored(d.select("src", "dst").distinct())
     spark, kind = edges.sparkSession, d.schema["src"].dataType.simpleString()
     schema = f"depth int, src {kind}, dst {kind}, path string"
     rows: list = []
