@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import relative as R
 from tesserae.functions.scalars import level, normalize, normalize_each
 from tesserae.operators import resolve, scoring
+from tesserae.sources.scratch import stored
 
 # Signs by which an entry names a collection, and the compilers that its students may name.
 SIGLA = {"bukhari": ["خ", "خت", "ع", "صح"], "muslim": ["م", "ع", "صح"]}
@@ -37,13 +38,15 @@ def distinct_forms(occurrences: DataFrame) -> DataFrame:
     return names.groupBy("form").agg(F.count("*").alias("occurrences"), F.min(F.struct("chain", "position")).alias("p")).select("form", "occurrences", F.col("p.chain").alias("first_chain"), F.col("p.position").alias("first_position"))
 
 
-def form_counters(occurrences: DataFrame) -> DataFrame:
+def form_counters(occurrences: DataFrame, weight: str | None = None) -> DataFrame:
     """One row: occurrences of each kind, distinct forms, and how many occurrences a form stands for on average. Relative
-    forms count with those that name someone beside."""
+    forms count with those that name someone beside. weight: a column that says how often a row occurs."""
     c = classified(occurrences)
-    n = lambda k: F.count_if(F.col("kind") == k)
-    relative = F.count_if(~F.col("kind").isin("prophet", "prophet-form") & F.col("a.relative"))
-    return c.agg(F.count("*").alias("occurrences"), n("prophet").alias("by_flag"), n("prophet-form").alias("by_form"), relative.alias("relative"), n("empty").alias("empty"), F.countDistinct(F.when(F.col("kind") == "name", F.col("form"))).alias("forms"), n("name").alias("covered")).withColumn("factor", F.coalesce(F.round(F.try_divide("covered", "forms"), 2), F.lit(0.0)))
+    w = F.col(weight) if weight else F.lit(1).cast("long")
+    total = lambda when: F.coalesce(F.sum(F.when(when, w)), F.lit(0).cast("long"))
+    n = lambda k: total(F.col("kind") == k)
+    relative = total(~F.col("kind").isin("prophet", "prophet-form") & F.col("a.relative"))
+    return c.agg(total(F.lit(True)).alias("occurrences"), n("prophet").alias("by_flag"), n("prophet-form").alias("by_form"), relative.alias("relative"), n("empty").alias("empty"), F.countDistinct(F.when(F.col("kind") == "name", F.col("form"))).alias("forms"), n("name").alias("covered")).withColumn("factor", F.coalesce(F.round(F.try_divide("covered", "forms"), 2), F.lit(0.0)))
 
 
 def relatives(occurrences: DataFrame) -> DataFrame:
@@ -134,13 +137,17 @@ def batch_stats(proposed: DataFrame) -> DataFrame:
 
 
 def measures(occurrences: DataFrame, entries: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """(measure, name, value): counters of forms, relatives by kinship and by place, postings, proposals."""
+    """(measure, name, value): counters of forms, relatives by kinship and by place, postings, proposals. Equal surfaces are counted
+    once and read once."""
     row = lambda df, measure: df.select(F.lit(measure).alias("measure"), F.explode(F.create_map(*[x for c in df.columns for x in (F.lit(c), F.col(c).cast("double"))])).alias("name", "value"))
-    by = lambda df, c: df.groupBy(c).agg(F.count("*").cast("double").alias("value")).select(F.lit(f"relatives_by_{c}").alias("measure"), F.col(c).alias("name"), "value")
     sizes = resolve.posting_sizes(head_tokens(entries)).agg(F.count("*").alias("tokens"), F.sum("n").alias("postings"), F.max("n").alias("largest"), F.count_if(F.col("n") == 1).alias("singletons"))
-    rel = relatives(occurrences)
-    out = row(form_counters(occurrences), "forms").unionByName(row(sizes, "index")).unionByName(row(batch_stats(batch(distinct_forms(occurrences), entries, budget)), "batch"))
-    return out.unionByName(by(rel, "kinship")).unionByName(by(rel, "match"))
+    surfaces = stored(occurrences.groupBy("raw", "prophet").agg(F.count("*").alias("n")))
+    forms = stored(classified(surfaces).select("form", "kind", "a", "n"))
+    named = forms.where("kind = 'name'").select("form").distinct()
+    rel = forms.where("kind not in ('prophet', 'prophet-form') and a.relative").select("a.kinship", "a.match", "n")
+    by = lambda c: rel.groupBy(c).agg(F.sum("n").cast("double").alias("value")).select(F.lit(f"relatives_by_{c}").alias("measure"), F.col(c).alias("name"), "value")
+    out = row(form_counters(surfaces, "n"), "forms").unionByName(row(sizes, "index")).unionByName(row(batch_stats(batch(named, entries, budget)), "batch"))
+    return out.unionByName(by("kinship")).unionByName(by("match"))
 
 
 def chosen(ranks: DataFrame, group: str) -> DataFrame:
