@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions import hijri as H
-from tesserae.functions.text import strip_markup
+from tesserae.functions.text import span_integrity, strip_markup
 from tesserae.operators import importing as I
 from tesserae.plans.catalogue import query, t
 from tesserae.sources.scratch import stored
@@ -212,13 +212,30 @@ def imported_head_parts(spark, d):
     return h.select("k", F.array_join("c.sigla", ",").alias("sigla"), F.array_join("h.notes", ",").alias("notes"), F.array_join("h.forms", ",").alias("forms"), F.col("h.name").alias("name"))
 
 
-@query(r"SELECT doc_id, lower(trim(regexp_replace(regexp_replace(strip_accents(text), '\s+', ' ', 'g'), '^ | $', '', 'g'))) AS normalized, substr(text, 1, 3) AS span FROM documents")
+# a page for each document: a title of two letters before empty lines, a remark and markup after the text, or a title and a paragraph
+_PAGE = r"""r AS (SELECT doc_id, doc_id % 3 AS kind, lang, source, CASE doc_id % 3 WHEN 0 THEN '<span data-type="title">' || lang || '</span>' || chr(13) || chr(10) || chr(10) || chr(10) || chr(10) || text
+WHEN 1 THEN text || '⦗ص' || doc_id || '⦘&nbsp;<b>' || source || '</b>' ELSE '<span class=x data-type=''title''>' || source || '</span>' || chr(9) || ' ' || chr(10) || '<p>' || text || '</p>' END AS raw FROM documents)"""
+
+
+@query(
+    rf"""WITH {_PAGE}, p AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '\r|(?i:</?span[^>]*>)', '', 'g'), '<[^>]*>|⦗[^⦘]*⦘|&nbsp;', ' ', 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS plain,
+CASE kind WHEN 0 THEN lang || '</span>' || chr(13) || chr(10) WHEN 1 THEN substr(raw, 1, 3) ELSE substr(source, 1, 3) END AS span FROM r)
+SELECT doc_id, plain, lower(trim(regexp_replace(strip_accents(plain), '\s+', ' ', 'g'))) AS normalized, CASE kind WHEN 0 THEN lang WHEN 2 THEN source END AS title, span, CASE WHEN regexp_matches(span, '[<>⦗⦘]') THEN 'contains-markup' ELSE 'verbatim' END AS integrity FROM p"""
+)
 def prepared_pages(spark, d):
-    """Documents in the search form with places, and what stands in the text where the search form's first three letters come from."""
+    """A page of each document in its forms: plain and in the search form with places, its title, and what stands in the raw page where
+    the search form's first three letters come from, which may cross markup."""
     from tesserae.functions import chains as C
 
-    p = t(spark, d, "documents").withColumn("p", C.prepared(F.col("text"))).withColumn("s", C.raw_span(F.col("p.places"), F.lit(0), F.lit(3)))
-    return p.select("doc_id", "p.normalized", F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("span"))
+    k = F.col("doc_id") % 3
+    raw = (
+        F.when(k == 0, F.concat(F.lit('<span data-type="title">'), "lang", F.lit("</span>\r\n\n\n\n"), "text")).when(k == 1, F.concat("text", F.lit("⦗ص"), F.col("doc_id").cast("string"), F.lit("⦘&nbsp;<b>"), "source", F.lit("</b>")))
+        .otherwise(F.concat(F.lit("<span class=x data-type='title'>"), "source", F.lit("</span>\t \n<p>"), "text", F.lit("</p>")))
+    )
+    cut = lambda c, s: F.substring(c, s["start"] + 1, s["end"] - s["start"])
+    p = t(spark, d, "documents").select("doc_id", raw.alias("raw")).withColumn("p", C.prepared(F.col("raw")))
+    p = p.withColumn("span", cut(F.col("raw"), C.raw_span(F.col("p.places"), F.lit(0), F.lit(3))))
+    return p.select("doc_id", "p.plain", "p.normalized", cut(F.col("p.plain"), F.get("p.titles", F.lit(0))).alias("title"), "span", span_integrity(F.col("span")).alias("integrity"))
 
 
 @query(

@@ -12,6 +12,13 @@ def rows(spark):
     return lambda name: queries.QUERIES[name](spark, SF).collect()
 
 
+def test_prepared_pages_have_all_forms(rows):
+    got = rows("prepared_pages")
+    assert {r.integrity for r in got} == {"verbatim", "contains-markup"}
+    assert sum(r.title is not None for r in got) > len(got) // 2
+    assert all(r.plain and "<" not in r.plain and r.normalized == r.normalized.strip() for r in got)
+
+
 def test_archive_measures_have_all_measures(rows):
     got = {(r["measure"], r["name"]): r["value"] for r in rows("archive_measures")}
     assert {m for m, _ in got} == {"forms", "index", "batch", "relatives_by_kinship", "relatives_by_match"}
