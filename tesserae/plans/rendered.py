@@ -26,6 +26,8 @@ PLACES = ["المدينة", "الكوفة", "البصرة", "دمشق"]
 TEACHERS, STUDENTS = ["نافع", "عطاء", "طاوس", "عكرمه"], ["شعبه", "معمر", "وكيع"]
 CRITICS, WORKS = ["أحمد بن حنبل", "ابن معين", "البخاري"], ["تهذيب الكمال", "التاريخ", "الكامل", "سير أعلام النبلاء"]
 PHRASES = ["ثقة ثبت", "ليس به بأس", "ضعيف", "صدوق ربما وهم"]
+HEADINGS = [*CRITICS, "إثبات السماع", "الإرسال والانقطاع", "المفاضلة", "التدليس"]
+KINDS = ["critic", "critic", "critic", "hearing_evidence", "disconnection", "comparison", "other"]
 
 
 def _pick(words: list[str], n: Column) -> Column:
@@ -238,17 +240,27 @@ def prepared_pages(spark, d):
     return p.select("doc_id", "p.plain", "p.normalized", cut(F.col("p.plain"), F.get("p.titles", F.lit(0))).alias("title"), "span", span_integrity(F.col("span")).alias("integrity"))
 
 
+# of a part's biography each section is a critic's or one of the other kinds; one in five states two things in each, one in four over two lines
+_STATED = f"""s AS (SELECT p_partkey AS id, unnest(range(0, p_partkey % 3 + 1)) AS i FROM part), x AS (SELECT id, i, CASE WHEN id % 5 = 0 THEN 2 ELSE 1 END AS most, unnest(range(0, CASE WHEN id % 5 = 0 THEN 2 ELSE 1 END)) AS j FROM s)"""
+
+
 @query(
-    f"""WITH s AS (SELECT p_partkey AS id, unnest(range(0, p_partkey % 3 + 1)) AS i FROM part)
-SELECT id, {_sql(CRITICS)}[((id + i) % 3 + 1)::INTEGER] AS critic, {_sql(PHRASES)}[((id + 2 * i) % 4 + 1)::INTEGER] AS phrase, {_sql(WORKS)}[((id + i) % 4 + 1)::INTEGER] AS work, (id % 40 + 1)::VARCHAR AS volume, (id % 700 + i)::VARCHAR AS page, CASE WHEN id % 2 = 0 THEN (id % 900 + 1)::INTEGER END AS source_page, i::INTEGER AS n FROM s"""
+    f"""WITH {_STATED} SELECT id, {_sql(HEADINGS)}[((id + i) % {len(HEADINGS)} + 1)::INTEGER] AS critic, {_sql(KINDS)}[((id + i) % {len(HEADINGS)} + 1)::INTEGER] AS kind, {_sql(PHRASES)}[((id + 2 * i + j) % 4 + 1)::INTEGER] || CASE WHEN j = 0 AND id % 4 = 1 THEN ' وأدركه' ELSE '' END AS phrase,
+{_sql(WORKS)}[((id + i + j) % 4 + 1)::INTEGER] AS work, (id % 40 + 1)::VARCHAR AS volume, (id % 700 + i + j)::VARCHAR AS page, CASE WHEN id % 2 = 0 AND j = 0 THEN (id % 900 + 1)::INTEGER END AS source_page, (i * most + j)::INTEGER AS n FROM x"""
 )
 def imported_criticisms(spark, d):
-    """Statements of critics in biographies of all parts, with their citations."""
+    """Statements in biographies of all parts, with their kinds and citations: of critics, and of hearing, disconnection, comparison and
+    the rest. Some sections state two things, some phrases stand on two lines, some texts have carriage returns, some critics a colon,
+    and sections of two lines state nothing."""
     k = F.col("p_partkey")
-    part = lambda i: F.concat_ws("\n", _pick(CRITICS, (k + i) % 3), _pick(PHRASES, (k + 2 * i) % 4), F.concat(_pick(WORKS, (k + i) % 4), F.lit(" ("), (k % 40 + 1).cast("string"), F.lit("/ "), (k % 700 + i).cast("string"), F.lit(")")), F.when(k % 2 == 0, (k % 900 + 1).cast("string")))
-    text = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), k % 3), part), "\n\n\n\n")
+    cited = lambda i, j: F.concat(_pick(WORKS, (k + i + j) % 4), F.lit(" ("), (k % 40 + 1).cast("string"), F.lit("/ "), (k % 700 + i + j).cast("string"), F.lit(")"))
+    phrase = lambda i, j: _pick(PHRASES, (k + 2 * i + j) % 4)
+    heading = lambda i: F.concat(F.when(k % 11 == 0, ": ").otherwise(""), _pick(HEADINGS, (k + i) % len(HEADINGS)))
+    part = lambda i: F.concat_ws("\n", heading(i), phrase(i, 0), F.when(k % 4 == 1, "وأدركه"), cited(i, 0), F.when(k % 2 == 0, (k % 900 + 1).cast("string")), F.when(k % 5 == 0, F.concat_ws("\n", phrase(i, 1), cited(i, 1))))
+    text = F.concat(F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), k % 3), part), "\n\n\n\n"), F.when(k % 7 == 3, "\n\n\nسطر\nواحد").otherwise(""))
+    text = F.when(k % 13 == 0, F.replace(text, F.lit("\n"), F.lit("\r\n"))).otherwise(text)
     c = I.criticisms(t(spark, d, "part").select(k.alias("id"), text.alias("text")), "id", "text")
-    return c.select("id", "critic", "phrase", "work", "volume", "page", "source_page", "n")
+    return c.select("id", "critic", "kind", "phrase", "work", "volume", "page", "source_page", "n")
 
 
 @query(

@@ -19,6 +19,12 @@ def test_prepared_pages_have_all_forms(rows):
     assert all(r.plain and "<" not in r.plain and r.normalized == r.normalized.strip() for r in got)
 
 
+def test_imported_criticisms_have_all_kinds(rows):
+    got = rows("imported_criticisms")
+    assert {r.kind for r in got} == {"critic", "hearing_evidence", "disconnection", "comparison", "other"}
+    assert {r.critic for r in got if r.kind == "hearing_evidence"} == {"إثبات السماع"}
+
+
 def test_archive_measures_have_all_measures(rows):
     got = {(r["measure"], r["name"]): r["value"] for r in rows("archive_measures")}
     assert {m for m, _ in got} == {"forms", "index", "batch", "relatives_by_kinship", "relatives_by_match"}
