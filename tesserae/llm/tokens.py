@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 
 
 def _pattern() -> re.Pattern:
-    """The tokenizer's pattern over lower-cased text below U+0250, of which only the number of pieces is used."""
+    """The tokenizer's pattern over lower-cased text below U+0250."""
     kinds = {"L": "", "N": ""}
     for c in map(chr, range(0x250)):
         if (k := unicodedata.category(c)[0]) in kinds:
@@ -49,13 +49,15 @@ class Encoder:
 
     def __init__(self, path: str, dtype: str = "<u2"):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
         if self.tokenizer.get_vocab_size(True) > 1 << (8 * self.dtype.itemsize):
             self.dtype = np.dtype("<u4")
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.last = np.zeros(1 << (8 * min(self.dtype.itemsize, 3)), bool)
+        #: For pieces that are lower-cased and cut already: the tokenizer's own bytes of each.
+        self.blanks = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.last[[i for w, i in self.tokenizer.get_vocab(True).items() if w.endswith("</w>")]] = True
 
         self.limit = KNOWN_WORDS
@@ -89,30 +91,40 @@ class Encoder:
         return [array("H" if self.dtype.itemsize == 2 else "I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words, one after the other, and how many each has. Many words go in one text: the last token
-        of each piece carries the end-of-word mark, and the pieces of a word are counted here."""
-        pieces = [1 if w.isalpha() and not _BEYOND(w) else 0 if _BEYOND(w) else len(_PIECES(w.lower())) for w in words]
-        order = sorted(range(len(words)), key=lambda i: pieces[i] == 0) if 0 in pieces else range(len(words))
-        many = [words[i] for i in order if pieces[i]]
-        raw = np.frombuffer(b"".join(self._bytes([" ".join(many[k : k + 64]) for k in range(0, len(many), 64)])), self.dtype)
-        ends, upto = np.flatnonzero(self.last[raw]) + 1, np.cumsum([pieces[i] for i in order if pieces[i]], dtype=np.int64)
-        if len(ends) != (upto[-1] if len(upto) else 0):
-            one = self._bytes(words)
-            return np.frombuffer(b"".join(one), self.dtype), np.array([len(x) for x in one], np.int64) // self.dtype.itemsize
-        alone = self._bytes([words[i] for i in order if not pieces[i]])
-        sizes = np.zeros(len(words), np.int64)
-        sizes[np.array(order, np.int64)] = np.concatenate([np.diff(ends[upto - 1], prepend=0), np.array([len(x) for x in alone], np.int64) // self.dtype.itemsize])
-        if not alone:
-            return raw, sizes
-        one, at = iter(alone), 0
-        out = []
-        for i, k in zip(pieces, sizes.tolist(), strict=True):
-            if i:
-                out.append(raw[at : at + k].tobytes())
-                at += k
+        """The ids of words, one after the other, and how many each has. Words below U+0250 are lower-cased and cut here, and each
+        distinct piece is encoded once: many in one text, told apart by the end-of-word mark of their last token."""
+        codes: dict[str, int] = {}
+        alone, of, n = [], array("i"), array("i")
+        for w in words:
+            if _BEYOND(w) or not (found := (w.lower(),) if w.isalpha() else _PIECES(w.lower())):
+                alone.append(w)
+                of.append(-len(alone))
+                n.append(1)
             else:
-                out.append(next(one))
-        return np.frombuffer(b"".join(out), self.dtype), sizes
+                of.extend([codes.setdefault(x, len(codes)) for x in found])
+                n.append(len(found))
+        distinct = list(codes)
+        normalizer, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        try:
+            self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = None, self.blanks
+            raw = np.frombuffer(b"".join(self._bytes([" ".join(distinct[k : k + 64]) for k in range(0, len(distinct), 64)])), self.dtype)
+        finally:
+            self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = normalizer, cut
+        ends = np.flatnonzero(self.last[raw]) + 1
+        one = self._bytes(words if len(ends) != len(distinct) else alone)
+        sizes = np.array([len(x) for x in one], np.int64) // self.dtype.itemsize
+        if len(ends) != len(distinct):
+            return np.frombuffer(b"".join(one), self.dtype), sizes
+        # words encoded alone stand behind the pieces, and are theirs
+        raw = np.concatenate([raw, np.frombuffer(b"".join(one), self.dtype)])
+        sizes = np.concatenate([np.diff(ends, prepend=0), sizes])
+        first = np.cumsum(sizes) - sizes
+        at, n = np.frombuffer(of, np.int32).astype(np.int64), np.frombuffer(n, np.int32)
+        at = np.where(at < 0, len(distinct) - 1 - at, at)
+        size = sizes[at]
+        upto = np.cumsum(size)
+        ids = raw[np.repeat(first[at] - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)]
+        return ids, np.diff(upto[np.cumsum(n) - 1], prepend=0) if len(n) else np.zeros(0, np.int64)
 
     def _places(self, words: pa.Array) -> np.ndarray:
         """The places of distinct words among the known ones; new ones are learnt."""
