@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import give_back, materialize, table
+from tesserae.llm.common import arrow_rows, give_back, materialize, table
 from tesserae.llm.near_dedup import chunks
 from tesserae.llm.tokens import KNOWN_WORDS, Encoder, default_path
 
@@ -170,14 +170,15 @@ def _pack(width: int, idf: np.ndarray, mean: float, window: int, shard_tokens: i
     return run
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end: int = END, tokenizer: str | None = None, shard_tokens: int = SHARD_TOKENS, at_once: int = AT_ONCE, known: int = KNOWN_WORDS) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end: int = END, tokenizer: str | None = None, shard_tokens: int = SHARD_TOKENS, at_once: int = AT_ONCE, known: int = KNOWN_WORDS, rows: int | None = None) -> DataFrame:
     """Pieces: id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset. at_once: bytes of text that
-    a task encodes together, known: words that it remembers; fewer take less memory and more time."""
+    a task encodes together, known: words that it remembers, rows: documents that are sent to it at once; fewer take less memory and more time."""
     path = tokenizer or default_path()
     encoder = Encoder(path)
     width, vocabulary = encoder.dtype.itemsize, max(encoder.tokenizer.get_vocab_size(True), end + 1)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    made = materialize(docs.mapInArrow(_tokenize(path, end, vocabulary, at_once, known), "id long, key int, n long, ids binary, df map<int, long>"))
+    with arrow_rows(docs.sparkSession, rows):
+        made = materialize(docs.mapInArrow(_tokenize(path, end, vocabulary, at_once, known), "id long, key int, n long, ids binary, df map<int, long>"))
     tok = made.where("ids is not null").drop("df")
     total = tok.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
     df = np.zeros(vocabulary)

@@ -1,8 +1,10 @@
-"""The encoder's short ways against the tokenizer's own."""
+"""The encoder's short ways against the tokenizer's own, and how much a packing task is sent."""
 
 import itertools
 
-from tesserae.llm import tokens
+import pyarrow as pa
+
+from tesserae.llm import common, tokens
 
 
 def test_each_distinct_piece_is_encoded_once(monkeypatch):
@@ -21,3 +23,15 @@ def test_words_have_the_ids_of_the_whole_tokenizer():
     got = enc.encode(words)
     assert [list(memoryview(b).cast("H")) for b in got] == want
     assert [e.ids for e in enc.tokenizer.encode_batch(words, add_special_tokens=False)] == want
+
+
+def test_arrow_rows_bounds_what_is_sent_at_once(spark):
+    def count(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with common.arrow_rows(spark, 100):
+        sent = [r.n for r in spark.range(1000, numPartitions=1).mapInArrow(count, "n long").collect()]
+    assert sent == [100] * 10 and spark.conf.get(name) == before
