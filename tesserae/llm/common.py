@@ -10,13 +10,17 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of at most 16 bytes that a broadcast may hold; beyond it the plan shuffles.
 BROADCAST_ROWS = 500_000
+#: Scratch tables after which the driver gives back memory.
+TRIMMED_EACH = 4
 
 _scratch: list[tuple[SparkSession, str]] = []
+_written = 0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,13 +49,18 @@ def keep_until_end(spark: SparkSession, path: str) -> str:
 
 def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends there, and a lost
-    executor costs a re-read only. The tables go when the driver ends, or with free()."""
+    executor costs a re-read only. The tables go when the driver ends, or with free(). After some tables the
+    driver gives back what it holds unused, which else adds up over hundreds of jobs."""
+    global _written
     spark = df.sparkSession
     path = keep_until_end(spark, f"{scratch_dir(spark)}/tesserae-{uuid.uuid4().hex}")
     if partitions:
         df = df.coalesce(partitions)
     # small row groups: a writer holds one in memory
     df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
+    _written += 1
+    if _written % TRIMMED_EACH == 0:
+        driver_gives_back(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -99,6 +108,22 @@ def give_back() -> None:
         return
 
 
+def driver_gives_back(spark: SparkSession) -> bool:
+    """What the driver's Python and the C library under its JVM hold unused goes back to the system: compiled code of many jobs
+    leaves some hundred MB there. Whether the JVM could; one of another maker or system may not know how."""
+    give_back()
+    sc, jvm = spark.sparkContext, spark.sparkContext._jvm
+    try:
+        args = sc._gateway.new_array(jvm.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # by the interface, as the class of the server is not open to reflection
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods() if m.getName() == "invoke")
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        return False
+    return True
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if a count shows at most `limit` rows, else unmarked (a shuffle join)."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

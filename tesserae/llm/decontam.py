@@ -72,20 +72,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     known = materialize(benchmark.select(F.col(item_col).alias("item"), shingles(F.col(item_text)).alias("ih"), words.alias("ws")).where("item is not null and size(ws) > 0").withColumn("n", F.size("ih")))
     items = known.where("n > 0").drop("ws")
     index = materialize(items.select("n", F.explode("ih").alias("h")).distinct())
-    sizes = index.groupBy("h").agg(F.sort_array(F.collect_set("n")).alias("ns"))
+    # plain rows, as the driver holds what is broadcast several times over
     few = index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    sizes = F.broadcast(sizes) if few else sizes
+    sizes, known_h = (F.broadcast(x) if few else x for x in (index, index.select("h").distinct()))
 
     # rows that have a shingle of an item
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("row_hash"), F.col(text_col).alias("t")).where("id is not null")
     # outer: else Spark infers a filter that would build the shingles twice
-    at = d.select("id", "row_hash", F.explode_outer(shingles(F.col("t"))).alias("h")).join(sizes, "h")
+    at = d.select("id", "row_hash", F.explode_outer(shingles(F.col("t"))).alias("h")).join(known_h, "h", "left_semi")
     rows = small(materialize(at.select("id", "row_hash").distinct()))
     found = d.join(rows, ["id", "row_hash"]).groupBy("id", "row_hash").agg(F.first("t").alias("t"), F.count("*").alias("times"))
     found = materialize(found.select("id", "row_hash", "times", shingles(F.col("t")).alias("hs")))
 
     # the windows that begin at the places of such shingles, by their hashes; of equal ones the shingles of the first
-    hits = found.select("id", "row_hash", F.posexplode("hs").alias("p", "h")).join(sizes, "h").select("id", "row_hash", "p", F.explode("ns").alias("n"))
+    hits = found.select("id", "row_hash", F.posexplode("hs").alias("p", "h")).join(sizes, "h").select("id", "row_hash", "p", "n")
     placed = hits.groupBy("id", "row_hash").agg(F.collect_set(F.struct("n", "p")).alias("ps")).join(found, ["id", "row_hash"])
     at = lambda x: F.greatest(F.lit(0), F.least(x["p"], F.size("hs") - x["n"]))
     starts = F.array_distinct(F.transform("ps", lambda x: F.struct(x["n"].alias("n"), at(x).alias("p"))))

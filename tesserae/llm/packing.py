@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import arrow_rows, give_back, materialize, table
+from tesserae.llm.common import arrow_rows, driver_gives_back, give_back, materialize, table
 from tesserae.llm.near_dedup import chunks
 from tesserae.llm.tokens import KNOWN_WORDS, Encoder, default_path
 
@@ -176,6 +176,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     path = tokenizer or default_path()
     encoder = Encoder(path)
     width, vocabulary = encoder.dtype.itemsize, max(encoder.tokenizer.get_vocab_size(True), end + 1)
+    del encoder
+    driver_gives_back(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     with arrow_rows(docs.sparkSession, rows):
         made = materialize(docs.mapInArrow(_tokenize(path, end, vocabulary, at_once, known), "id long, key int, n long, ids binary, df map<int, long>"))

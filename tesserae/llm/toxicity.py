@@ -33,7 +33,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import give_back, materialize, table
+from tesserae.llm.common import driver_gives_back, give_back, materialize, table
 
 #: Labelled documents a class; beginnings of words, ordinary windows and toxic passages that the driver may see.
 SAMPLE, TOLD, ORDINARY_WINDOWS, TOXIC_PASSAGES = 3000, 5000, 60_000, 20_000
@@ -237,7 +237,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     some = known.where("_ts_y = 1").orderBy(order, "_ts_id").limit(sample).unionByName(known.where("_ts_y = 0").orderBy(order, "_ts_id").limit(sample))
     # at most 2 * sample ids
     met = docs.select(F.col(id_col).alias("_ts_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_ts_t")).join(F.broadcast(some), "_ts_id")
-    return fit(materialize(met.groupBy("_ts_id", "_ts_y").agg(F.min("_ts_t").alias("_ts_t"))), rows)
+    model = fit(materialize(met.groupBy("_ts_id", "_ts_y").agg(F.min("_ts_t").alias("_ts_t"))), rows)
+    driver_gives_back(docs.sparkSession)
+    return model
 
 
 def score(text: Column, model: Model) -> Column:
