@@ -17,7 +17,7 @@ from tesserae.llm.common import free, held, materialize, small, table
 NEAR_PERCENT = 80
 #: Bytes of text that a packing task encodes together, words that it remembers, and documents that are sent to it at once: little,
 #: as workers and executors have grown in the stages before.
-ENCODED_AT_ONCE, KNOWN_WORDS, SENT_AT_ONCE = 1 << 20, 200_000, 500
+ENCODED_AT_ONCE, KNOWN_WORDS, SENT_AT_ONCE = 1 << 20, 100_000, 500
 #: Share of a host's pages over which a line goes; op4's SQL has 5 %, which leaves most repeated lines.
 LINE_RATIO = 0.01
 #: Pages of a host that have a line at least before it goes: fewer may be copies of one document.

@@ -1,8 +1,8 @@
 """Exact token ids at the speed of a dictionary: each word of a text is encoded once a worker.
 
 The tokenizer lower-cases and composes a text, cuts it at white space and by its pattern, and encodes each piece on its
-own, so the ids of a text are those of its words between ASCII white space, one after the other. Known words are an
-Arrow array, their ids one flat array, and a text's ids are gathered from it. Texts that hold a special token's string
+own, so the ids of a text are those of its words between ASCII white space, one after the other. Known words are a
+dictionary, their ids one flat array, and a text's ids are gathered from it. Texts that hold a special token's string
 go through the tokenizer whole. tests/llm compares both ways.
 """
 
@@ -14,6 +14,7 @@ import sys
 import types
 import unicodedata
 from array import array
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -64,14 +65,16 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.words, self.flat, self.starts, self.sizes, self.again = pa.array([], pa.string()), np.empty(0, self.dtype), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, bool)
+        self.words: dict[str, int] = {}
+        self.flat, self.starts, self.sizes, self.again = np.empty(0, self.dtype), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, bool)
 
     def _shrink(self) -> None:
         """Keeps the words that were met again since they were learnt or kept."""
         keep, n = np.flatnonzero(self.again), self.sizes[self.again].astype(np.int64)
         ends = np.cumsum(n)
         self.flat = self.flat[np.repeat(self.starts[keep] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
-        self.words, self.starts, self.sizes, self.again = self.words.take(pa.array(keep)), (ends - n).astype(np.int32), n.astype(np.int32), np.zeros(len(keep), bool)
+        self.words = {w: k for k, w in enumerate(compress(self.words, self.again.tolist()))}
+        self.starts, self.sizes, self.again = (ends - n).astype(np.int32), n.astype(np.int32), np.zeros(len(keep), bool)
 
     @classmethod
     def of_worker(cls, path: str, dtype: str = "<u2", known: int = KNOWN_WORDS) -> Encoder:
@@ -126,21 +129,26 @@ class Encoder:
         ids = raw[np.repeat(first[at] - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)]
         return ids, np.diff(upto[np.cumsum(n) - 1], prepend=0) if len(n) else np.zeros(0, np.int64)
 
+    def _known(self, words: list[str]) -> np.ndarray:
+        """The places of words among the known ones, -1 for new ones."""
+        return np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+
     def _places(self, words: pa.Array) -> np.ndarray:
         """The places of distinct words among the known ones; new ones are learnt."""
-        at = pc.index_in(words, value_set=self.words)
-        if len(self.words) and len(self.words) + at.null_count > self.limit:
+        words = words.to_pylist()
+        place = self._known(words)
+        unknown = int((place < 0).sum())
+        if self.words and len(self.words) + unknown > self.limit:
             self._shrink()
-            if len(self.words) + at.null_count > self.limit:
+            if len(self.words) + unknown > self.limit:
                 self._forget()
-            at = pc.index_in(words, value_set=self.words)
-        place = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+            place = self._known(words)
         self.again[place[place >= 0]] = True
-        if at.null_count:
-            new = words.filter(at.is_null())
-            ids, sizes = self._ids(new.to_pylist())
-            place[place < 0] = np.arange(len(new)) + len(self.words)
-            self.words = pa.concat_arrays([self.words, new])
+        if len(at := np.flatnonzero(place < 0)):
+            new = [words[k] for k in at.tolist()]
+            ids, sizes = self._ids(new)
+            place[at] = np.arange(len(new)) + len(self.words)
+            self.words.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
             self.starts = np.concatenate([self.starts, (np.cumsum(sizes) - sizes + len(self.flat)).astype(np.int32)])
             self.sizes, self.flat = np.concatenate([self.sizes, sizes.astype(np.int32)]), np.concatenate([self.flat, ids])
             self.again = np.concatenate([self.again, np.zeros(len(new), bool)])

@@ -35,3 +35,16 @@ def test_arrow_rows_bounds_what_is_sent_at_once(spark):
     with common.arrow_rows(spark, 100):
         sent = [r.n for r in spark.range(1000, numPartitions=1).mapInArrow(count, "n long").collect()]
     assert sent == [100] * 10 and spark.conf.get(name) == before
+
+
+def test_no_table_of_all_known_words_is_built_for_each_lookup(monkeypatch):
+    enc = tokens.Encoder(tokens.default_path())
+    want = enc.encode(["one two three", "Two four"], 2)
+
+    def built(*_, **__):
+        raise AssertionError
+
+    monkeypatch.setattr(tokens.pc, "index_in", built)
+    assert enc.encode(["one two three", "Two four"], 2) == want
+    enc.limit = 3  # more words than are remembered
+    assert enc.encode(["five six seven", "Two four"], 2)[1] == want[1] and enc.encode(["one two three"], 2) == want[:1]
