@@ -84,31 +84,41 @@ class Gru:
     def output(self, h: np.ndarray, y: np.ndarray, live: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Natural logarithms of P(y | h); if learning, the gradients of their negative sum for h and for v, c, w, b."""
         rows, cls = np.arange(len(y)), self.classes(y)
+        whole = live.all()
         p = self.v.T @ h.T  # a column a symbol: sums over rows are fast
         p += self.c[:, None]
         logs = _softmax(p, cls, rows, learn)
         dw, db = (np.zeros_like(self.w), np.zeros_like(self.b)) if learn else (self.w, self.b)
         if learn:
             p[cls, rows] -= 1
-            p *= live
+            if not whole:
+                p *= live
             dh = p.T @ self.v.T
-        order = np.argsort(cls, kind="stable")
+        # the words of a class stand together from here on; 16 bits are sorted by radix
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
+        order = order[: np.searchsorted(cls[order], len(self.b))]
         ends = np.searchsorted(cls[order], np.arange(len(self.b) + 1))
-        for k in range(len(self.b)):
-            some = order[ends[k] : ends[k + 1]]
-            if not len(some):
+        ours, words, there = h[order], y[order] % SIZE, live[order]
+        more, back = np.empty(len(order), np.float32), np.empty((len(order) * learn, UNITS), np.float32)
+        for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+            if a == b:
                 continue
-            mine, word, at = h[some], y[some] % SIZE, rows[: len(some)]
+            mine, word, at = ours[a:b], words[a:b], rows[: b - a]
             q = self.w[k].T @ mine.T
             q += self.b[k][:, None]
-            logs[some] += _softmax(q, word, at, learn)
+            more[a:b] = _softmax(q, word, at, learn)
             if learn:
                 q[word, at] -= 1
-                q *= live[some]
+                if not whole:
+                    q *= there[a:b]
                 dw[k], db[k] = mine.T @ q.T, q.sum(1)
-                dh[some] += q.T @ self.w[k].T
+                back[a:b] = q.T @ self.w[k].T
+        logs[order] += more
         logs *= live
-        return (logs, dh, [h.T @ p.T, p.sum(1), dw, db]) if learn else (logs, h, [])
+        if not learn:
+            return logs, h, []
+        dh[order] += back
+        return logs, dh, [h.T @ p.T, p.sum(1), dw, db]
 
     def gradients(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """The state after a window, and the gradients of the window's loss for all parts."""
@@ -125,10 +135,11 @@ class Gru:
             dg[t, :, 2 * UNITS :] = n
             da[t, :, 2 * UNITS :] = n * reset
             back = d * update + da[t] @ self.u.T
-            back *= ~fresh[t][:, None]
+            if fresh[t].any():
+                back *= ~fresh[t][:, None]
             was[t] = before
         dg, de, flat = dg.reshape(-1, 3 * UNITS), np.zeros_like(self.e), x.ravel()
-        order = np.argsort(flat, kind="stable")
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
         first = np.flatnonzero(np.diff(flat[order], prepend=-1))
         de[flat[order][first]] = np.add.reduceat((dg @ self.x.T)[order], first)
         return hs[-1], [de, self.e[flat].T @ dg, dg.sum(0), was.reshape(-1, UNITS).T @ da.reshape(-1, 3 * UNITS), *out]

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.llm import lm
+from tesserae.llm import gru, lm
 from tesserae.llm.gru import SIZE, UNITS, Gru, windows
 
 
@@ -129,3 +129,16 @@ def test_both_ways_to_tell_a_tail(spark):
     some = ["a", "é", "ab", "word,", "日本", "\n", "x" * 50]
     got = spark.createDataFrame([(w,) for w in some], "w string").select(lm._tail(F.col("w")).alias("t")).collect()
     assert [r.t for r in got] == lm._tails(pa.array(some)).tolist()
+
+
+def test_windows_are_sorted_by_16_bit_keys(monkeypatch):
+    """numpy sorts these by radix, and wider ones by merging."""
+    model, keys, sort = gru.Gru.start(np.arange(140) + 1, 128), [], np.argsort
+    x = np.random.default_rng(3).integers(0, 140, (8, 4))
+    live = np.ones((8, 4), bool)
+    live[6:, 3] = False
+    fresh = np.zeros((8, 4), bool)
+    fresh[0] = True
+    monkeypatch.setattr(gru.np, "argsort", lambda a, **how: keys.append(a.dtype) or sort(a, **how))
+    model.gradients(x, x[::-1], fresh, live, np.zeros((4, gru.UNITS), np.float32))
+    assert len(keys) == 2 and all(k == np.uint16 for k in keys)
