@@ -81,6 +81,29 @@ def test_lives_that_overlap(spark, width):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_pairs_of_single_lives_are_not_shuffled(spark):
+    df = spark.range(300).select(F.col("id").alias("k"), (F.col("id") % 3).cast("int").alias("birth"), (F.col("id") % 3 + 1 + F.col("id") % 2).cast("int").alias("death"))
+    df = df.unionByName(spark.createDataFrame([(0, 0, 1), (1, 7, 8), (400, 7, 9), (400, 7, 9)], "k long, birth int, death int"))
+    want = {}
+    rows = [tuple(r) for r in df.collect()]
+    for a, b1, d1 in rows:
+        for b, b2, d2 in rows:
+            if a < b and (o := min(d1, d2) - max(b1, b2)) > 0:
+                want[a, b] = max(want.get((a, b), 0), o)
+    for crowd in (7, 100_000):  # with few, each bin is dealt out
+        got = editorial.meeting_lives(df, "k", 1, crowd)
+        assert sorted(tuple(r) for r in got.collect()) == sorted((*k, v) for k, v in want.items())
+    metrics, todo = 0, [got._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if "QueryStage" in node.nodeName() or node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan() if node.nodeName() == "AdaptiveSparkPlan" else node.plan())
+        if node.nodeName() == "Exchange":
+            metrics = max(metrics, node.metrics().apply("shuffleRecordsWritten").value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert 0 < metrics < len(want) / 5
+
+
 def test_tree_layout(spark):
     tree = {"a": ["b", "c"], "b": ["d", "e", "f"], "c": [], "d": ["g"], "e": [], "f": [], "g": [], "z": ["y"], "y": []}
     parent = {c: p for p, cs in tree.items() for c in cs}
