@@ -235,9 +235,8 @@ def prepared_pages(spark, d):
         .otherwise(F.concat(F.lit("<span class=x data-type='title'>"), "source", F.lit("</span>\t \n<p>"), "text", F.lit("</p>")))
     )
     cut = lambda c, s: F.substring(c, s["start"] + 1, s["end"] - s["start"])
-    p = t(spark, d, "documents").select("doc_id", raw.alias("raw")).withColumn("p", C.prepared(F.col("raw")))
-    p = p.withColumn("span", cut(F.col("raw"), C.raw_span(F.col("p.places"), F.lit(0), F.lit(3))))
-    return p.select("doc_id", "p.plain", "p.normalized", cut(F.col("p.plain"), F.get("p.titles", F.lit(0))).alias("title"), "span", span_integrity(F.col("span")).alias("integrity"))
+    p = C.prepared_with_span(t(spark, d, "documents").select("doc_id", raw.alias("raw")), "raw", 0, 3).withColumn("span", cut(F.col("raw"), F.col("span")))
+    return p.select("doc_id", "plain", "normalized", cut(F.col("plain"), F.get("titles", F.lit(0))).alias("title"), "span", span_integrity(F.col("span")).alias("integrity"))
 
 
 # of a part's biography each section is a critic's or one of the other kinds; one in five states two things in each, one in four over two lines

@@ -71,6 +71,17 @@ def test_places_lead_back_to_the_raw_page():
     assert C.plain_with_places("") == ("", [], []) and C.folded_with_places(" ") == ("", [])
 
 
+@pytest.mark.parametrize("sent", [1, 50, 2_000_000])
+def test_pages_come_back_without_their_places(spark, monkeypatch, sent):
+    monkeypatch.setattr(C, "SENT", sent)
+    raws = ["<span data-type='title'>بَابُ أ</span>\r\n\n\n\nنصّ  &nbsp;⦗ص1⦘ <b>ةﷺ</b> a < b", "", None, " \n", "<b>x</b>", "É <i>a</i>\t\tb", "<" * 300] * 3
+    df = spark.createDataFrame(list(enumerate(raws)), "k int, raw string").coalesce(1)
+    got = C.prepared_with_span(df, "raw", 1, 4)
+    want = df.withColumn("p", C.prepared(F.col("raw"))).select("k", "raw", "p.plain", "p.titles", "p.normalized", C.raw_span(F.col("p.places"), F.lit(1), F.lit(4)).alias("span"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert "places" not in got.columns and got.limit(0).count() == 0
+
+
 def test_number_words_and_dates_on_edges():
     assert H.number([]) is None and H.number(["و"]) is None and H.assertions(None) == [] and H.assertions("مات") == []
     assert H.number("ثلاث عشره ومايتين".split())["value"] == 213 and H.number("الف".split()) is None
