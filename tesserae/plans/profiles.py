@@ -71,7 +71,7 @@ SELECT cluster, family, n, members, NOT shown AS withheld, CASE WHEN shown THEN
 )
 def family_members(spark, d):
     """Families with members, representative and colour; texts behind the licence."""
-    docs = t(spark, d, "documents").withColumn("cluster", F.concat_ws(":", "lang", F.substring("source", 1, 3)))
+    docs = t(spark, d, "documents").withColumn("cluster", F.concat("lang", F.lit(":"), F.substring("source", 1, 3)))
     f = P.families(docs, "cluster", F.col("text"), "doc_id", F.col("lang").isin("en", "fr"))
     return f.select("cluster", "family", "n", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"), "withheld", F.md5("representative").alias("representative"), "colour")
 

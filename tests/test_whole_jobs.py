@@ -30,3 +30,17 @@ def test_archive_measures_have_all_measures(rows):
     assert {m for m, _ in got} == {"forms", "index", "batch", "relatives_by_kinship", "relatives_by_match"}
     assert got["forms", "by_flag"] > 0 and got["forms", "by_form"] > 0
     assert got["batch", "forms"] == got["forms", "forms"] == got["batch", "low"] + got["batch", "unresolved"]
+
+
+def _table(spark, tmp_path, name, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+
+def test_a_family_has_all_its_members(spark, tmp_path):
+    docs = [(i, "same", "en", "web") for i in range(70)] + [(100, "same", "de", "web"), (101, None, "fr", "web"), (102, None, "fr", "web"), (103, "x", None, "web"), (104, "x", "en", None)]
+    _table(spark, tmp_path, "documents", docs, "doc_id long, text string, lang string, source string")
+    got = {r.members: r for r in queries.QUERIES["family_members"](spark, str(tmp_path)).collect()}
+    all_ = ",".join(map(str, range(70)))
+    assert set(got) == {all_, "100", "101,102", "103,104"} and got[all_].n == 70 and got[all_].representative
+    assert [got[k].withheld for k in (all_, "100", "101,102", "103,104")] == [False, True, False, False]
+    assert got["101,102"].representative is None and got["103,104"].cluster is None
