@@ -44,3 +44,9 @@ def test_a_family_has_all_its_members(spark, tmp_path):
     assert set(got) == {all_, "100", "101,102", "103,104"} and got[all_].n == 70 and got[all_].representative
     assert [got[k].withheld for k in (all_, "100", "101,102", "103,104")] == [False, True, False, False]
     assert got["101,102"].representative is None and got["103,104"].cluster is None
+
+
+def test_machines_review_at_any_number(spark, tmp_path):
+    _table(spark, tmp_path, "orders", [(1, 20), (2, 90_000), (3, 1_000_009), (4, None), (5, 7)], "o_orderkey long, o_custkey long")
+    got = sorted(tuple(r) for r in queries.QUERIES["machine_reviewers"](spark, str(tmp_path)).select("o_orderkey", "column", "editor").collect())
+    assert got == [(1, "o_custkey", 20), (2, "o_custkey", 90_000), (3, "second", 1_000_010)]
