@@ -150,8 +150,10 @@ def measures(occurrences: DataFrame, entries: DataFrame, budget: int = BUDGET) -
     return out.unionByName(by("kinship")).unionByName(by("match"))
 
 
-def chosen(ranks: DataFrame, group: str) -> DataFrame:
-    """Of each group's registry hits (rank, id): exact ones if there are any, else all; the first, and how many."""
-    best = ranks.groupBy(group).agg(F.bool_or(F.col("rank") == 0).alias("_exact"))
-    met = ranks.join(best, group).where(~F.col("_exact") | (F.col("rank") == 0))
-    return met.groupBy(group).agg(F.min(F.struct("rank", "id")).alias("m"), F.count("*").alias("hits")).select(group, F.col("m.id").alias("id"), "hits", level(F.lit(None).cast("double")).alias("level"))
+def chosen(ranks: DataFrame, group: str, hits: str | None = None) -> DataFrame:
+    """Of each group's registry hits (rank, id): exact ones if there are any, else all; the first, and how many. hits: a column that says
+    how many hits a row stands for, of which id is the first."""
+    n = F.col(hits) if hits else F.lit(1).cast("long")
+    exact = F.col("rank") == 0
+    g = ranks.where(F.col(group).isNotNull()).groupBy(group).agg(F.min(F.struct("rank", "id")).alias("m"), F.sum(n).alias("_all"), F.sum(F.when(exact, n)).alias("_exact"))
+    return g.select(group, F.col("m.id").alias("id"), F.coalesce("_exact", "_all").alias("hits"), level(F.lit(None).cast("double")).alias("level"))

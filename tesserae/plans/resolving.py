@@ -85,6 +85,9 @@ m AS (SELECT r.* FROM r JOIN b USING (form) WHERE NOT exact OR rank = 0) SELECT
 )
 def chain_lookup(spark, d):
     """Registry hits of each form: exact ones if there are any, else all; the first and how many."""
-    p = t(spark, d, "part").select(F.col("p_name").alias("form"), (F.col("p_partkey") % 25).cast("int").alias("s_nationkey"), "p_partkey", "p_size")
-    r = p.join(t(spark, d, "supplier"), "s_nationkey").select("form", F.col("s_suppkey").alias("id"), F.when((F.col("p_partkey") % 10 == F.col("s_suppkey") % 10) & (F.col("p_size") < 3), 0).otherwise(1).alias("rank"))
-    return identities.chosen(r, "form")
+    digit = lambda c: (F.col(c) % 10).alias("digit")
+    # parts and entries that are alike in all that a hit's rank depends on are joined once, with how many they are
+    p = t(spark, d, "part").groupBy(F.col("p_name").alias("form"), (F.col("p_partkey") % 25).cast("int").alias("s_nationkey"), digit("p_partkey"), (F.col("p_size") < 3).alias("small")).agg(F.count("*").alias("parts"))
+    e = t(spark, d, "supplier").groupBy("s_nationkey", digit("s_suppkey").alias("id_digit")).agg(F.min("s_suppkey").alias("id"), F.count("*").alias("entries"))
+    r = p.join(e, "s_nationkey").select("form", "id", F.when((F.col("digit") == F.col("id_digit")) & F.col("small"), 0).otherwise(1).alias("rank"), (F.col("parts") * F.col("entries")).alias("n"))
+    return identities.chosen(r, "form", "n")

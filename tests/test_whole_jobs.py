@@ -50,3 +50,21 @@ def test_machines_review_at_any_number(spark, tmp_path):
     _table(spark, tmp_path, "orders", [(1, 20), (2, 90_000), (3, 1_000_009), (4, None), (5, 7)], "o_orderkey long, o_custkey long")
     got = sorted(tuple(r) for r in queries.QUERIES["machine_reviewers"](spark, str(tmp_path)).select("o_orderkey", "column", "editor").collect())
     assert got == [(1, "o_custkey", 20), (2, "o_custkey", 90_000), (3, "second", 1_000_010)]
+
+
+def test_hits_are_counted_without_being_paired(spark, tmp_path):
+    _table(spark, tmp_path, "part", [(25 * i, "a" if i % 2 else "b", 1 + i % 5) for i in range(3000)] + [(50, None, 1), (75, "c", None)], "p_partkey long, p_name string, p_size int")
+    _table(spark, tmp_path, "supplier", [(i, 0) for i in range(1, 2001, 2)] + [(3000, 1)], "s_suppkey long, s_nationkey int")
+    df = queries.QUERIES["chain_lookup"](spark, str(tmp_path))
+    # forms a are of odd parts, whose keys end on 5: exact with every entry on 5 where the size is under 3; keys of b end on 0, as no entry does
+    small = sum(1 for i in range(3000) if i % 2 and 1 + i % 5 < 3)
+    assert sorted(tuple(r) for r in df.collect()) == [("a", 5, small * 200, "unresolved"), ("b", 1, 1500 * 1000, "unresolved"), ("c", 1, 1000, "unresolved")]
+    made, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if "QueryStage" in node.nodeName() or node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan() if node.nodeName() == "AdaptiveSparkPlan" else node.plan())
+        if "Join" in node.nodeName():
+            made = max(made, node.metrics().apply("numOutputRows").value())
+    assert 0 < made < 1000
