@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import relative as R
 from tesserae.functions.scalars import level, normalize, normalize_each
 from tesserae.operators import resolve, scoring
-from tesserae.sources.scratch import stored
+from tesserae.sources.scratch import small, stored
 
 # Signs by which an entry names a collection, and the compilers that its students may name.
 SIGLA = {"bukhari": ["خ", "خت", "ع", "صح"], "muslim": ["م", "ع", "صح"]}
@@ -17,19 +17,20 @@ COMPILERS = {"bukhari": "البخاري", "muslim": "مسلم"}
 BUDGET, KEPT = 1500, 8
 
 
-def prophet_forms(occurrences: DataFrame) -> DataFrame:
-    """(form) of all occurrences marked as the prophet's mention."""
-    return occurrences.where("prophet").select(normalize(F.col("raw")).alias("form")).where("form <> ''").distinct()
-
-
 def classified(occurrences: DataFrame) -> DataFrame:
     """occurrences (chain, position, raw, prophet) with a (the analysis of the form), form (what it is looked up by) and kind:
-    prophet, prophet-form (a form that is a prophet's elsewhere), relative, empty or name."""
-    known = prophet_forms(occurrences).withColumn("_p", F.lit(True))
-    n = occurrences.withColumn("a", R.analysis(F.col("raw"))).withColumn("_n", normalize(F.col("raw"))).withColumn("form", R.form_of(F.col("raw"), F.col("a")))
-    met = n.join(known.withColumnRenamed("form", "_n"), "_n", "left")
-    kind = F.when(F.coalesce("prophet", F.lit(False)), "prophet").when(F.col("_p"), "prophet-form").when(F.col("a.relative") & F.col("a.unresolvable"), "relative").when(F.col("form").isNull(), "empty").otherwise("name")
-    return met.withColumn("kind", kind).drop("_n", "_p")
+    prophet, prophet-form (a form that is a prophet's elsewhere), relative, empty or name.
+
+    Surfaces are few beside occurrences: each is read once, and occurrences take what was read from it."""
+    prophet = F.coalesce("prophet", F.lit(False))
+    s = occurrences.groupBy("raw").agg(F.bool_or(prophet).alias("_p"))
+    s = s.withColumn("a", R.analysis(F.col("raw"))).withColumn("_n", normalize(F.col("raw")))
+    s = stored(s.withColumn("form", R.form_of(F.col("raw"), F.col("a"))))
+    known = s.where("_p and _n <> ''").select("_n").distinct().withColumn("_known", F.lit(True))
+    s = small(s.drop("_p").withColumnRenamed("raw", "_raw").join(known, "_n", "left").drop("_n"))
+    met = occurrences.join(s, F.col("raw").eqNullSafe(F.col("_raw")))
+    kind = F.when(prophet, "prophet").when(F.col("_known"), "prophet-form").when(F.col("a.relative") & F.col("a.unresolvable"), "relative").when(F.col("form").isNull(), "empty").otherwise("name")
+    return met.withColumn("kind", kind).drop("_raw", "_known")
 
 
 def distinct_forms(occurrences: DataFrame) -> DataFrame:

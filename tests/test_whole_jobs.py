@@ -3,6 +3,7 @@
 import pytest
 
 from tesserae import queries
+from tesserae.operators import identities
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,3 +69,13 @@ def test_hits_are_counted_without_being_paired(spark, tmp_path):
         if "Join" in node.nodeName():
             made = max(made, node.metrics().apply("numOutputRows").value())
     assert 0 < made < 1000
+
+
+def test_each_surface_is_read_once(spark):
+    rows = [("c", i, raw, i == 3) for i, raw in enumerate(["عن أبيه", "مالك", None, "موسى", "موسي", "", "رجل", "أبيه عروة"] * 200)] + [("d", 0, "مالك", None)]
+    df = spark.createDataFrame(rows, "chain string, position int, raw string, prophet boolean")
+    got = identities.classified(df)
+    kinds = [(r.raw, r.kind) for r in got.collect()]
+    assert len(kinds) == len(rows) and set(kinds) == {("عن أبيه", "relative"), ("مالك", "name"), (None, "empty"), ("موسى", "prophet"), ("موسى", "prophet-form"), ("موسي", "prophet-form"), ("", "empty"), ("رجل", "relative"), ("أبيه عروة", "name")}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "NestedLoop" not in plan  # what follows reads stored surfaces
