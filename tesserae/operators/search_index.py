@@ -1,7 +1,7 @@
 """A positional inverted index: phrases found without reading texts.
 
-Postings are rows (token, key, positions) in folders by the token's hash; a token with very many rows is split over blocks by
-the key's hash, so that no task writes or reads it alone. Documents are added in generations of new keys only; each generation is
+Postings are rows (token, key, positions) in folders by the token's hash. Each task writes those of its own documents, sorted, so texts and
+postings are not shuffled and no token, however frequent, is gathered in one task. Documents are added in generations of new keys only; each generation is
 a batch of one published version, so a search sees a generation whole or not at all. A phrase is the postings of its tokens,
 joined from the rarest on by key, with position lists shifted by the token's place and intersected. Only folders of the
 phrase's tokens are read, and rows of other tokens there are skipped by the file's statistics, as files are sorted by token.
@@ -18,19 +18,27 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.functions.text import let
 from tesserae.sources.snapshots import Snapshots
 
-BUCKETS, BLOCKS = 32, 16
-#: Occurrences from which a token is split over blocks.
-FREQUENT = 1_000_000
-#: Frequent tokens that a broadcast may hold; they are at most all occurrences / FREQUENT.
-BROADCAST_TOKENS = 100_000
+BUCKETS = 32
 #: What parts tokens: all but letters and digits, or white space.
 LETTERS, SPACES = r"[^\p{L}\p{N}]+", r"\s+"
 #: Expansions of a part of a word that are looked up by name; more are joined.
 EXPANSIONS = 1000
 
 
+def _places_of(words: Column) -> Column:
+    """(token, positions) of each word of a text, once."""
+
+    def of(s: Column) -> Column:
+        begins = F.filter(F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>")), lambda i: (i == 0) | (F.get(s, i - 1)["token"] != F.get(s, i)["token"]))
+        one = lambda bs, b, k: F.struct(F.get(s, b)["token"].alias("token"), F.transform(F.slice(s, b + 1, F.coalesce(F.get(bs, k + 1), F.size(s)) - b), lambda x: x["at"]).alias("positions"))
+        return let(begins, lambda bs: F.transform(bs, lambda b, k: one(bs, b, k)))
+
+    return let(F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("token"), i.alias("at")))), of)
+
+
 class SearchIndex:
     def __init__(self, store: Snapshots, separators: str = LETTERS, buckets: int = BUCKETS):
         self.store, self.separators, self.buckets = store, separators, buckets
@@ -47,23 +55,22 @@ class SearchIndex:
     def _has(self, table: str) -> bool:
         return table in self.store.manifest()["tables"]
 
-    def add(self, docs: DataFrame, key: str, haystack: Column, frequent: int = FREQUENT) -> int:
-        """Indexes the documents whose key is not indexed yet. How many there were."""
-        new = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), self.tokens_of(haystack).alias("words")).dropDuplicates(["key"])
+    def add(self, docs: DataFrame, key: str, haystack: Column, frequent: int | None = None) -> int:
+        """Indexes the documents whose key is not indexed yet. How many there were. `frequent` has no effect: as each task writes the postings
+        of its own documents, no token is gathered that would have to be split."""
+        new = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), haystack.alias("text"))
         if self._has("keys"):
             new = new.join(self.store.read("keys").select("key"), "key", "left_anti")
-        places = new.select("key", F.posexplode("words").alias("at", "token"))
-        counts = places.groupBy("token").agg(F.count("*").alias("n")).withColumn("bucket", self._bucket(F.col("token")))
-        often = counts.where(F.col("n") >= frequent).select("token", F.lit(True).alias("_often"))
-        if often.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS:
-            often = F.broadcast(often)
-        block = F.when(F.col("_often"), F.pmod(F.xxhash64("key"), F.lit(BLOCKS))).otherwise(0).cast("int")
-        dealt = places.join(often, "token", "left").select("token", "key", "at", self._bucket(F.col("token")).alias("bucket"), block.alias("block")).repartition("bucket", "block")
-        # one exchange: rows of a (bucket, block) are in one task already
-        postings = dealt.groupBy("bucket", "block", "token", "key").agg(F.sort_array(F.collect_list("at")).alias("positions")).sortWithinPartitions("bucket", "token", "key")
+        # only documents that share a key are shuffled
+        twice = new.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        if not twice.isEmpty():
+            new = new.join(twice, "key", "left_anti").unionByName(new.join(twice, "key", "left_semi").dropDuplicates(["key"]))
+        new = new.select("key", self.tokens_of(F.col("text")).alias("words"))
+        postings = new.select("key", F.explode(_places_of(F.col("words"))).alias("p")).select(self._bucket(F.col("p.token")).alias("bucket"), "p.token", "key", "p.positions").sortWithinPartitions("bucket", "token", "key")
+        counts = new.select(F.explode("words").alias("token")).groupBy("token").agg(F.count("*").alias("n")).withColumn("bucket", self._bucket(F.col("token")))
         keys = new.select("key", F.size("words").alias("n"))
         generation = uuid.uuid4().hex
-        self.store.publish({"postings": {generation: postings.drop("block")}, "tokens": {generation: counts}, "keys": {generation: keys}}, by={"postings": ["bucket"], "tokens": ["bucket"]})
+        self.store.publish({"postings": {generation: postings}, "tokens": {generation: counts}, "keys": {generation: keys}}, by={"postings": ["bucket"], "tokens": ["bucket"]})
         return self.store.manifest()["tables"]["keys"]["batches"][generation]["rows"]
 
     def counts(self, words: list[str]) -> dict[str, int]:

@@ -123,3 +123,15 @@ def test_only_the_folders_of_the_tokens_are_read(spark, store):
     read = scan._jdf.queryExecution().executedPlan().toString()
     files = {r.f for r in scan.select(F.input_file_name().alias("f")).collect()}
     assert "PartitionFilters" in read and files and all(f"bucket={index._buckets(['w3'])[0]}/" in f for f in files)
+
+
+def test_postings_are_written_without_a_shuffle(spark, store, monkeypatch):
+    plans = {}
+    real = store._write
+    monkeypatch.setattr(store, "_write", lambda df, by: plans.update({tuple(df.columns): df._jdf.queryExecution().executedPlan().toString()}) or real(df, by))
+    docs = spark.createDataFrame([(i, "b a b") for i in range(20)] + [(3, "b a b"), (50, None)], "id long, text string")
+    assert SearchIndex(store).add(docs.where("id <> 3"), "id", F.col("text")) == 20
+    assert "hashpartitioning" not in plans["bucket", "token", "key", "positions"]
+    assert SearchIndex(store).add(docs, "id", F.col("text")) == 1
+    got = store.read("postings").where("token = 'b'").select("key", "positions").collect()
+    assert sorted((r.key, r.positions) for r in got) == [(i, [0, 2]) for i in range(20)]
